@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "packing", "language")
+MODULES = ("simhash", "decontaminate", "packing", "toxicity", "language")
 
 
 def _all(kind: str) -> dict:
