@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("licenses", "simhash", "decontaminate", "packing", "toxicity", "language")
+MODULES = ("licenses", "lines", "simhash", "decontaminate", "packing", "toxicity", "language")
 
 
 def _all(kind: str) -> dict:
