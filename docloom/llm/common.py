@@ -70,3 +70,14 @@ def binary(batch, name: str) -> list[bytes | None]:
     column = batch.column(name)
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
+
+
+def hash_sample(df: DataFrame, total: int, rows: int, *by: str) -> DataFrame:
+    """At most rows of df's total rows, those with the smallest hashes of the given columns.
+
+    A threshold on the hash leaves about twice as many before they are ordered, so that tasks
+    and driver exchange a number of rows that doesn't grow with df.
+    """
+    draw = F.pmod(F.xxhash64(*by), F.lit(1 << 30))
+    most = min(1 << 30, max(64, (2 << 30) * rows // max(1, total)))
+    return df.where(draw < most).orderBy(draw, *by).limit(rows)

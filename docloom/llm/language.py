@@ -141,7 +141,8 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, span: int = SPAN_CHARS, folds:
     weight = F.element_at(F.create_map(*(F.lit(x) for kv in counts.items() for x in kv)), F.col("lang"))
     uniform = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - span, F.lit(1))).cast("int") + 1
-    pick = known.where(F.col("lang").isin(list(counts))).select("lang", F.substring(F.col("text"), start, F.lit(span)).alias("text"), (uniform * weight).alias("order"))
+    most = (2 << 30) * rows // len(counts)  # leaves about twice the rows to be ordered, however many there are
+    pick = known.where(F.col("lang").isin(list(counts)) & (uniform * weight < most)).select("lang", F.substring(F.col("text"), start, F.lit(span)).alias("text"), (uniform * weight).alias("order"))
     sample = pick.orderBy("order", "text").limit(rows).collect()
     classes = sorted({r.lang for r in sample})
     windows, labels = [], []

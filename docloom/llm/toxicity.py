@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary, in_fold, table
+from .common import binary, hash_sample, in_fold, table
 
 ORDERS = (3, 4, 5)
 BITS = 18
@@ -77,7 +77,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int = FOLDS, held: int = HELD) -> Model | None:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id", folds, held))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    of = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
+    totals = {bool(r["toxic"]): r["count"] for r in known.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
+    of = [hash_sample(known.where((F.col("toxic") > 0) == k), totals.get(k, 0), rows, "doc_id") for k in (False, True)]
     sample = docs.select("doc_id", "text").join(F.broadcast(of[0].unionByName(of[1])), "doc_id")  # at most 2 * rows ids
 
     def run(batches):
