@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -28,6 +29,15 @@ def text(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over a value that is computed once a row.
+
+    A lambda of a higher-order function computes any outer expression anew for each element;
+    as the element of an array of one, the value is a variable instead.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ws_trim(c: str | Column) -> Column:
     """Without white space, of all of Unicode, at both ends."""
     return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import looks_like_doc_query, looks_like_memory_query, squeeze, text, ws_trim
+from docloom.functions.text import let, looks_like_doc_query, looks_like_memory_query, squeeze, text, ws_trim
 
 ACTIONS = ("read_memory", "search_chat", "search_doc", "finish")
 SearchFn = Callable[[DataFrame], DataFrame]
@@ -22,7 +22,10 @@ def route(question: str | Column) -> Column:
 
 def decision(answer: str | Column) -> Column:
     """struct<thought, action, action_input> of a planner's answer: JSON, else marked lines, else a name in it, else finish."""
-    raw = ws_trim(answer)
+    return let(ws_trim(answer), _decided)
+
+
+def _decided(raw: Column) -> Column:
     inner = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
     body = F.when(inner != "", inner).otherwise(raw)
     field = lambda *names: F.coalesce(*(F.when(F.trim(F.get_json_object(body, f"$['{n}']")) != "", F.trim(F.get_json_object(body, f"$['{n}']"))) for n in names), F.lit(""))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.config import Config
-from docloom.functions.text import chunk_strategy, ws_trim
+from docloom.functions.text import chunk_strategy, let, ws_trim
 
 #: From coarse to fine. Fixed values.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", ". ", "! ", "? ", "; ", "，", "、", ", ", " ")
@@ -143,15 +143,18 @@ def hard_split(s: Column, size: Column) -> Column:
     """Pieces of at most size characters, cut after the last comma or blank in the last two thirds."""
     start = F.struct(_empty().alias("done"), s.alias("rest"))
 
+    def cut(a: Column) -> Column:
+        """Where the next piece ends: the length up to the last comma or blank, where that is long enough."""
+        kept = F.length(F.regexp_extract(F.substring(a["rest"], F.lit(1), size), r"(?s)^.*[，、, ]", 0))
+        return let(kept, lambda at: F.when((F.length(a["rest"]) > size) & (at - 1 >= F.floor(size / 3)), at).otherwise(size).cast("int"))
+
     def step(a: Column, _: Column) -> Column:
-        head = F.substring(a["rest"], F.lit(1), size)
-        back = F.length(head) - F.length(F.regexp_extract(head, r"(?s)^.*[，、, ]", 0))
-        at = F.length(head) - back
-        end = F.when((F.length(a["rest"]) > size) & (at - 1 >= F.floor(size / 3)), at).otherwise(size)
-        piece = ws_trim(F.substring(a["rest"], F.lit(1), end.cast("int")))
-        rest = F.substring(a["rest"], (end + 1).cast("int"), F.length(a["rest"]))
-        moved = F.struct(F.when(piece == "", a["done"]).otherwise(F.concat(a["done"], F.array(piece))).alias("done"), rest.alias("rest"))
-        return F.when(a["rest"] == "", a).otherwise(moved)
+        def moved(end: Column) -> Column:
+            rest = F.substring(a["rest"], end + 1, F.length(a["rest"]))
+            done = let(ws_trim(F.substring(a["rest"], F.lit(1), end)), lambda p: F.when(p == "", a["done"]).otherwise(F.concat(a["done"], F.array(p))))
+            return F.struct(done.alias("done"), rest.alias("rest"))
+
+        return F.when(a["rest"] == "", a).otherwise(let(cut(a), moved))
 
     # a cut moves by a third of the size at least
     rounds = F.sequence(F.lit(1), F.ceil(3.0 * F.length(s) / size).cast("int") + 1)

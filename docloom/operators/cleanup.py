@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from docloom.functions.text import text, ws_trim
@@ -17,9 +18,12 @@ INVISIBLE = "[\u200b\u200c\u200d\ufeff\u00a0]"
 LIST_MARK = r"^[\-\*\d\.、•]+"
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+def nfkc(c: Column) -> Column:
+    @F.pandas_udf(StringType())
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+    return run(c)
 
 
 def line_key(c: str | Column, normal: bool = True) -> Column:

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docloom.functions.text import ws_trim
 
@@ -45,29 +46,31 @@ def block_text(lines: str | Column) -> Column:
     return F.array_join(F.filter(F.transform(lines, lambda s: ws_trim(F.array_join(s, ""))), lambda x: x != ""), "\n")
 
 
-@F.pandas_udf("string")
-def dedupe_lines(texts: pd.Series) -> pd.Series:
+def dedupe_lines(texts: str | Column) -> Column:
     """Without lines that equal, hold, are held by, or match at 0.9 an earlier one; one blank line in a row.
 
     A page's lines are compared in order, so a page is a row.
     """
 
-    def one(text: str) -> str:
-        seen: list[str] = []
-        out: list[str] = []
-        for line in (text or "").splitlines():
-            bare = "".join(line.split())
-            if not bare:
-                if out and out[-1]:
-                    out.append("")
-                continue
-            if any(bare in s or s in bare or _close(bare, s) for s in seen):
-                continue
+    @F.pandas_udf(StringType())
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(_distinct_lines)
+
+    return run(texts)
+
+
+def _distinct_lines(text: str | None) -> str:
+    seen: list[str] = []
+    out: list[str] = []
+    for line in (text or "").splitlines():
+        bare = "".join(line.split())
+        if not bare:
+            if out and out[-1]:
+                out.append("")
+        elif not any(bare in s or s in bare or _close(bare, s) for s in seen):
             seen.append(bare)
             out.append(line.rstrip())
-        return "\n".join(out).strip()
-
-    return texts.map(one)
+    return "\n".join(out).strip()
 
 
 def _close(a: str, b: str) -> bool:

@@ -11,11 +11,12 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from docloom.config import Config
 from docloom.functions import params
-from docloom.functions.scores import dot, lexical_boost, squared_l2
+from docloom.functions.scores import MARKS, dot, lexical_boost, squared_l2
 from docloom.functions.text import squeeze, ws_trim
 
 TIES = ("distance", "chunk_index")
@@ -66,15 +67,15 @@ def above_threshold(hits: DataFrame, score: str = "score", by: str = "query_id")
     return hits.withColumn("__any", any_over).where(over | ~F.col("__any")).drop("__any")
 
 
-@F.pandas_udf("double")
-def sequence_boost(question: pd.Series, text: pd.Series) -> pd.Series:
+def sequence_boost(question: Column, text: Column) -> Column:
     """Half the matching ratio of two texts, up to 0.3; 0 under a ratio of 0.25."""
 
-    def one(q: str, t: str) -> float:
-        ratio = SequenceMatcher(None, q, t).ratio()
-        return min(0.3, ratio * 0.5) if ratio >= 0.25 else 0.0
+    @F.pandas_udf(DoubleType())
+    def run(questions: pd.Series, texts: pd.Series) -> pd.Series:
+        ratio = [SequenceMatcher(None, q, t).ratio() for q, t in zip(questions, texts, strict=True)]
+        return pd.Series([min(0.3, r * 0.5) if r >= 0.25 else 0.0 for r in ratio], dtype=float)
 
-    return pd.Series([one(q, t) for q, t in zip(question, text, strict=True)], dtype=float)
+    return run(question, text)
 
 
 def with_boost(hits: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -83,7 +84,7 @@ def with_boost(hits: DataFrame, fuzzy: bool = True) -> DataFrame:
     if not fuzzy:
         return hits.withColumn("lexical_boost", F.coalesce("lexical_boost", F.lit(0.0)))
     q = squeeze("question")
-    bare = F.regexp_replace(q, r"[？?。！!，,、：:]+", "")
+    bare = F.regexp_replace(q, MARKS, "")
     open_ = hits.where(F.col("lexical_boost").isNull())
     open_ = open_.withColumn("lexical_boost", sequence_boost(F.when(bare != "", bare).otherwise(q), squeeze("text")))
     return hits.where(F.col("lexical_boost").isNotNull()).unionByName(open_)

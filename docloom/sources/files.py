@@ -6,8 +6,9 @@ import codecs
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docloom.functions.text import file_extension, ws_trim
 
@@ -29,9 +30,12 @@ def decode(content: bytes) -> str:
     return content.decode("utf-8", "ignore").lstrip("﻿")
 
 
-@F.pandas_udf("string")
-def decoded(content: pd.Series) -> pd.Series:
-    return content.map(lambda b: decode(bytes(b)), na_action="ignore")
+def decoded(content: str) -> Column:
+    @F.pandas_udf(StringType())
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda b: decode(bytes(b)), na_action="ignore")
+
+    return run(content)
 
 
 def binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
