@@ -77,30 +77,34 @@ def run(questions: DataFrame, plan: Callable[[str], str], found: DataFrame, max_
     fast = rows.where(F.col("path") != "planner").select(
         "query_id", "path", F.lit(0).alias("steps"), F.when(F.col("path") == "fast_doc", F.array("question")).otherwise(F.array().cast("array<string>")).alias("queries"), F.col("path").alias("finish_reason")
     )
-    start = {"steps": F.lit(0), "queries": F.array().cast("array<string>"), "keys": F.array().cast("array<string>"), "memory": F.lit(False), "finish_reason": F.lit(None).cast("string")}
-    live = rows.where(F.col("path") == "planner").withColumns(start)
+    strings = F.array().cast("array<string>")
+    start = F.struct(F.lit(0).alias("steps"), strings.alias("queries"), strings.alias("keys"), F.lit(None).cast("string").alias("finish_reason"))
+    # the whole state is one column, new in each round
+    live = rows.where(F.col("path") == "planner").withColumn("s", start)
     for step in range(1, max_steps + 1):
-        open_ = F.col("finish_reason").isNull()
-        prompt = F.concat_ws("\n", F.lit(f"step {step}/{max_steps}"), "question", text("observation"), F.array_join("queries", "; "))
-        live = live.withColumn("d", decision(ask(F.when(open_, prompt).otherwise(""))))
-        live = live.withColumn("a", guarded(F.col("d.action"), F.col("question"), F.size("queries") > 0, chat_available))
-        live = live.withColumn("q", F.when(F.col("d.action_input") != "", F.col("d.action_input")).otherwise(F.col("question")))
-        again = F.array_contains("keys", F.lower(squeeze("q")))
-        search = open_ & F.col("a").isin("search_doc", "search_chat") & ~again
-        done = (
-            F.when(~open_, F.col("finish_reason"))
-            .when(F.col("a") == "finish", "finish")
-            .when(F.col("a").isin("search_doc", "search_chat") & again, "repeated")
-            .when((F.col("a") == "search_doc") & F.col("has_hits"), "found")
-        )
-        live = live.withColumns(
-            {
-                "steps": F.when(open_, step).otherwise(F.col("steps")),
-                "memory": F.col("memory") | (open_ & (F.col("a") == "read_memory")),
-                "queries": F.when(search, F.array_append("queries", F.col("q"))).otherwise(F.col("queries")),
-                "keys": F.when(search, F.array_append("keys", F.lower(squeeze("q")))).otherwise(F.col("keys")),
-                "finish_reason": done,
-            }
-        )
-    ended = live.select("query_id", "path", "steps", "queries", F.coalesce("finish_reason", F.lit("max_steps")).alias("finish_reason"))
+        prompt = F.concat_ws("\n", F.lit(f"step {step}/{max_steps}"), "question", text("observation"), F.array_join("s.queries", "; "))
+        live = live.withColumn("answer", ask(F.when(F.col("s.finish_reason").isNull(), prompt).otherwise("")))
+        live = live.withColumn("s", F.when(F.col("s.finish_reason").isNotNull(), F.col("s")).otherwise(_round(F.col("s"), F.col("answer"), step, chat_available)))
+    ended = live.select("query_id", "path", F.col("s.steps").alias("steps"), F.col("s.queries").alias("queries"), F.coalesce("s.finish_reason", F.lit("max_steps")).alias("finish_reason"))
     return fast.unionByName(ended)
+
+
+def _round(state: Column, answer: Column, step: int, chat_available: bool) -> Column:
+    """The state after a planner's answer."""
+
+    def act(d: Column) -> Column:
+        action = guarded(d["action"], F.col("question"), F.size(state["queries"]) > 0, chat_available)
+        return F.struct(action.alias("a"), F.when(d["action_input"] != "", d["action_input"]).otherwise(F.col("question")).alias("q"))
+
+    def moved(x: Column) -> Column:
+        key = F.lower(squeeze(x["q"]))
+        search, again = x["a"].isin("search_doc", "search_chat"), F.array_contains(state["keys"], key)
+        reason = (
+            F.when(x["a"] == "finish", "finish")
+            .when(search & again, "repeated")
+            .when((x["a"] == "search_doc") & F.col("has_hits"), "found")
+        )
+        add = lambda old, new: F.when(search & ~again, F.array_append(old, new)).otherwise(old)
+        return F.struct(F.lit(step).alias("steps"), add(state["queries"], x["q"]).alias("queries"), add(state["keys"], key).alias("keys"), reason.alias("finish_reason"))
+
+    return let(let(decision(answer), act), moved)

@@ -108,7 +108,7 @@ SELECT doc_id, n AS chunks, k AS top_k, least(5, greatest(2, doc_id % 9))::INT A
 SQL["clipped_text"] = f"""WITH h AS (SELECT doc_id, text, n_chars, substr(text, 1, 400) AS h FROM documents), i AS (SELECT *, length(h) - strpos(reverse(h), chr(10) || chr(10)) - 1 AS b, strpos(reverse(h), chr(10) || chr(10)) AS hb, length(h) - strpos(reverse(h), chr(10)) AS l, strpos(reverse(h), chr(10)) AS hl FROM h)
 SELECT doc_id, {clip('text', 80)} AS clipped, CASE WHEN length(coalesce(text, '')) <= 400 THEN coalesce(text, '') ELSE
   {rtrim("substr(h, 1, (CASE WHEN hb > 0 AND b >= 200 THEN b WHEN hl > 0 AND l >= 200 THEN l ELSE 400 END)::BIGINT)")} || '…' END AS trimmed,
-  CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN format('{{:.1f}} KB', n_chars / 1024.0) ELSE format('{{:.1f}} MB', n_chars / 1048576.0) END AS size FROM i"""
+  CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN format('{{:.1f}} KB', floor(n_chars / 102.4::DOUBLE + 0.5) / 10) ELSE format('{{:.1f}} MB', floor(n_chars / 104857.6::DOUBLE + 0.5) / 10) END AS size FROM i"""
 SQL["router"] = f"""WITH q AS (SELECT conv_id, turn, {HINTS} AS h, {HINTS} || coalesce(text, '') AS q FROM conversations), r AS (SELECT *, regexp_matches(q, '{DOC_HINT}') AS d, regexp_matches(q, '{MEMORY_HINT}') AS m FROM q)
 SELECT conv_id, turn, CASE WHEN d AND NOT m THEN 'fast_doc' WHEN m AND NOT d THEN 'fast_memory' ELSE 'planner' END AS path,
   CASE WHEN {trim('q')} = '' THEN false WHEN length({trim('q')}) < 10 THEN true ELSE regexp_matches({trim('q')}, '{POINTS_BACK}') END AS rewrite,
