@@ -43,6 +43,9 @@ CELL_ROWS = 8192
 ROWS_PER_CUT = 16
 QUERY_BLOCK = 16384
 LEAF = 128
+#: Of a projection's squared length, what rounding may add to a squared distance: equal vectors
+#: of different batches can differ in their projections' last digits.
+SLACK = 1e-9
 EVERY = 100
 
 
@@ -101,8 +104,9 @@ class Tree:
 def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, q: np.ndarray, projected: np.ndarray, own: int, k: int, bound: float, t: float):
     """The best k candidates within the bound, by (distance, id)."""
     best_d, best_i = np.zeros(0), np.zeros(0, np.int64)
+    slack = SLACK * (1 + float(projected @ projected))
     for gap, rows in tree.nearest_first(projected):
-        if gap > t * bound * bound:
+        if gap > t * bound * bound + slack:
             break
         rows = rows[ids[rows] != own]
         diff = vectors[rows] - q
@@ -201,7 +205,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, m: int = M, conf
                         cells_ = [home[i]]
                     else:
                         gap = np.maximum(0, np.maximum(low - q, q - high))
-                        cells_ = [c for c in np.flatnonzero((gap * gap).sum(1) <= t * bound[i] * bound[i]) if c != home[i]]
+                        cells_ = [c for c in np.flatnonzero((gap * gap).sum(1) <= t * bound[i] * bound[i] + SLACK * (1 + q @ q)) if c != home[i]]
                     for c in cells_:
                         for j in range(of[c]):
                             at.append(i)

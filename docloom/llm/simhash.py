@@ -186,15 +186,15 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
-    """doc_id, row_key, fp and component_id, the smallest doc_id that links reach."""
+    """doc_id, row_key, fp, root (the component's smallest fingerprint) and component_id, the smallest doc_id that links reach."""
     prints = materialise(fingerprints(docs, k), "fingerprints")
     own = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "own")
     roots = components(links(own.select("fp"), radius, split))
     placed = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     placed = materialise(placed, "placed")
     least = materialise(placed.groupBy("root").agg(F.min("low").alias("component_id")), "least")
-    named = materialise(placed.join(least, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", "row_key", "fp", "component_id")
+    named = materialise(placed.join(least, "root").select("fp", "root", "component_id"), "named")
+    return prints.join(named, "fp").select("doc_id", "row_key", "fp", "root", "component_id")
 
 
 def hexadecimal(fp: str) -> Column:
@@ -208,7 +208,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     found = materialise(near_duplicates(docs, **options), "near-duplicates")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    kept = found.groupBy(F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone"), "component_id").agg(F.min(order).alias("first"))
+    kept = found.groupBy("root").agg(F.min(order).alias("first"))
     kept = kept.select(F.col("first.doc_id").alias("__id"), F.col("first.row_key").alias("__key"))
     rows = docs.withColumn("__row", row_key())
     joined = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__id"]) & (rows["__row"] == kept["__key"]), "left_semi")
