@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Markers at the start of a text that stands for a failed read. Fixed values.
@@ -38,6 +38,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def exploded(df: DataFrame, array: str | Column, at: str, item: str, *keep: str | Column) -> DataFrame:
+    """A row for each element, with its place. Rows without elements go.
+
+    An inner explode would make the optimizer filter by the array's size below it, which
+    computes the array twice, and a chain of array columns many times over.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(at, item)).where(F.col(at).isNotNull())
+
+
 def ws_trim(c: str | Column) -> Column:
     """Without white space, of all of Unicode, at both ends."""
     return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")

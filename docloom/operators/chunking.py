@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.config import Config
-from docloom.functions.text import chunk_strategy, let, ws_trim
+from docloom.functions.text import chunk_strategy, exploded, let, ws_trim
 
 #: From coarse to fine. Fixed values.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", ". ", "! ", "? ", "; ", "，", "、", ", ", " ")
@@ -270,8 +270,10 @@ def chunk_pages(pages: DataFrame, config: Config = Config(), strategy: str = "au
     page = F.coalesce(F.expr("try_cast(page AS int)"), F.lit(0))
     page = F.when(page == 0, 1).otherwise(page)
     rows = pages.where(ws_trim("text") != "").select("doc_id", page.alias("page"), "text", "source_ext", chunk_strategy("text", "source_ext", strategy).alias("strategy"))
+    # dealt by document before cutting: the index below needs that anyway, and texts are smaller than their chunks
+    rows = rows.repartition("doc_id")
     # a page of one strategy is an empty text to the other
-    units = with_units(rows, config).select("doc_id", "page", "source_ext", "strategy", F.posexplode("units").alias("at", "u"))
+    units = exploded(with_units(rows, config), "units", "at", "u", "doc_id", "page", "source_ext", "strategy")
     found = F.when(F.col("u.figure_id") != "", F.col("u.figure_id")).when(F.col("u.kind") == "figure", ws_trim(F.regexp_extract("u.text", FIGURE, 1))).otherwise("")
     figure = F.when(found.rlike(r"^\d+$"), F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("-"), found)).otherwise(found)
     stamped = F.concat(figure_marker(F.col("figure_id")), F.lit("\n"), ws_trim(F.regexp_replace("u.text", FIGURE + r"[^\n]*\n?", "")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from docloom.functions.text import text, ws_trim
+from docloom.functions.text import exploded, text, ws_trim
 
 #: Page citations, invisible characters and list marks that a line's key leaves out. Fixed values.
 CITATION = r"[（(]第\s*\d+(?:\s*[、,，\-–—]\s*\d+)*\s*页[）)]"
@@ -35,7 +35,7 @@ def line_key(c: str | Column, normal: bool = True) -> Column:
 
 
 def exploded_lines(df: DataFrame, key: str, column: str = "text") -> DataFrame:
-    return df.select(key, F.posexplode(F.split(text(column), "\n")).alias("at", "line"))
+    return exploded(df, F.split(text(column), "\n"), "at", "line", key)
 
 
 def collapse_sentences(c: str | Column) -> Column:

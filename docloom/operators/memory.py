@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions.scores import bigram_score
-from docloom.functions.text import clip, fact_key, fact_lines, fact_text, is_pinned, sentences, stable_id, turn_line, ws_trim
+from docloom.functions.text import clip, exploded, fact_key, fact_lines, fact_text, is_pinned, sentences, stable_id, turn_line, ws_trim
 
 #: (prompt, most tokens) -> answer
 ChatFn = Callable[[str, int], str]
@@ -96,7 +96,7 @@ def _within(facts: Column, max_chars: int) -> Column:
 
 def relevant_facts(rows: DataFrame, key: str, question: str, facts: str, k: int = 5, max_chars: int = 600) -> DataFrame:
     """key, facts: pinned lines and the k others most like the question, in that order, once each."""
-    lines = rows.select(key, ws_trim(question).alias("q"), F.posexplode(fact_lines(facts)).alias("at", "line"))
+    lines = exploded(rows, fact_lines(facts), "at", "line", key, ws_trim(question).alias("q"))
     lines = lines.withColumn("pinned", is_pinned("line")).withColumn("score", F.when(F.col("q") == "", 0.0).otherwise(bigram_score("q", "line")))
     best = F.row_number().over(Window.partitionBy(key, "pinned").orderBy(F.desc("score"), "at"))
     lines = lines.withColumn("no", best).where(F.col("pinned") | (F.col("no") <= k))
@@ -111,7 +111,7 @@ def relevant_facts(rows: DataFrame, key: str, question: str, facts: str, k: int
 def relevant_summary(rows: DataFrame, key: str, question: str, summary: str, n: int = 3, max_chars: int = 500) -> DataFrame:
     """key, summary: the n sentences most like the question in their own order; a short summary whole."""
     units = rows.select(key, ws_trim(question).alias("q"), ws_trim(summary).alias("s"))
-    units = units.select("*", F.posexplode(sentences("s")).alias("at", "unit")).withColumn("units", F.count("*").over(Window.partitionBy(key)))
+    units = exploded(units, sentences("s"), "at", "unit", "*").withColumn("units", F.count("*").over(Window.partitionBy(key)))
     best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(bigram_score("q", "unit")), "at"))
     picked = units.where((F.col("units") > n) & (F.col("q") != "")).withColumn("no", best).where(F.col("no") <= n)
     ended = F.when(F.right("unit", F.lit(1)).isin("。", "！", "？", ";", "；"), F.col("unit")).otherwise(F.concat("unit", F.lit("。")))

@@ -97,12 +97,6 @@ def lexical_only(questions: DataFrame, chunks: DataFrame, hits: DataFrame, fuzzy
     return rows.withColumn("distance", F.lit(0.0)).withColumn("dense_score", F.lit(0.0)).withColumn("score", F.col("lexical_boost"))
 
 
-def similarity(a: str, b: str) -> float:
-    if a == b or a in b or b in a:
-        return 1.0
-    return SequenceMatcher(None, a, b).ratio()
-
-
 def dedupe_hits(hits: DataFrame, threshold: float = 0.72, by: str = "query_id") -> DataFrame:
     """Greedy in rank order: a hit like a kept one is dropped, or takes its place if longer.
 
@@ -111,31 +105,41 @@ def dedupe_hits(hits: DataFrame, threshold: float = 0.72, by: str = "query_id")
     columns = hits.columns
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[str, int, int]] = []  # bare text, length, row
+        kept: list[Kept] = []
+        rows: list[int] = []
         group = group.sort_values("rank")
         for row, text in enumerate(group["text"]):
             bare = "".join((text or "").split())
             if not bare:
                 continue
-            like = next((i for i, (k, _, _) in enumerate(kept) if _alike(bare, k, threshold)), None)
+            like = next((i for i, k in enumerate(kept) if k.like(bare, threshold)), None)
             if like is None:
-                kept.append((bare, len(bare), row))
-            elif len(bare) > kept[like][1]:
-                kept[like] = (bare, len(bare), row)
-        out = group.iloc[[row for _, _, row in kept]].copy()
+                kept.append(Kept(bare))
+                rows.append(row)
+            elif len(bare) > len(kept[like].text):
+                kept[like], rows[like] = Kept(bare), row
+        out = group.iloc[rows].copy()
         out["rank"] = range(1, len(out) + 1)
         return out[columns]
 
     return hits.groupBy(by).applyInPandas(run, hits.schema)
 
 
-def _alike(new: str, old: str, threshold: float) -> bool:
-    """A ratio can't exceed twice the shorter length over both; most pairs end there."""
-    if new in old or old in new:
-        return True
-    if 2 * min(len(new), len(old)) < threshold * (len(new) + len(old)):
-        return False
-    return SequenceMatcher(None, new, old).ratio() >= threshold
+class Kept:
+    """A text that newcomers are compared with; what the comparison needs of it is computed once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.matcher = SequenceMatcher(None, "", text)
+
+    def like(self, new: str, threshold: float) -> bool:
+        """A ratio can't exceed twice the shorter length over both; most pairs of unequal length end there."""
+        if new in self.text or self.text in new:
+            return True
+        if 2 * min(len(new), len(self.text)) < threshold * (len(new) + len(self.text)):
+            return False
+        self.matcher.set_seq1(new)
+        return self.matcher.ratio() >= threshold
 
 
 def rerank(hits: DataFrame, logit: Column, final_k: Column | int, pool: int = 8, min_score: float = 0.0, by: str = "query_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.functions.text import last_index, let, ws_trim
+from docloom.functions.text import exploded, last_index, let, ws_trim
 
 from .chunking import merge_pieces
 
@@ -72,7 +72,7 @@ def summarise(docs: DataFrame, llm: LlmFn, section_prompt: Column, merge_prompt:
     def ask(prompts: pd.Series) -> pd.Series:
         return prompts.map(lambda p: (llm(p) or "").strip() if p else "")
 
-    rows = with_sections(docs, size=size, most=most).select(key, F.posexplode("sections").alias("no", "section"))
+    rows = exploded(with_sections(docs.repartition(key), size=size, most=most), "sections", "no", "section", key)
     partial = rows.withColumn("answer", ask(section_prompt))
     out = partial.groupBy(key).agg(F.count("*").alias("n_sections"), F.sort_array(F.collect_list(F.when(F.col("answer") != "", F.struct("no", "answer")))).alias("l"))
     joined = F.array_join(F.transform("l", lambda x: x["answer"]), "\n\n")

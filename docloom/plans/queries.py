@@ -34,7 +34,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def windows(docs: DataFrame, size: int = 300, overlap: int = 50) -> DataFrame:
     """doc_id, chunk_index, page, text: fixed windows of the documents; four chunks make a page."""
-    rows = docs.select("doc_id", F.posexplode(chunking.hard_cut(T.text("text"), size, overlap)).alias("chunk_index", "text"))
+    rows = T.exploded(docs, chunking.hard_cut(T.text("text"), size, overlap), "chunk_index", "text", "doc_id")
     return rows.select("doc_id", "chunk_index", (F.floor(F.col("chunk_index") / 4) + 1).cast("int").alias("page"), "text")
 
 
@@ -142,13 +142,13 @@ def chunk_counts(spark, sf):
 def merged_pieces(spark, sf):
     d = read(spark, sf, "documents")
     merged = chunking.merge_pieces(chunking.split_after(T.text("text"), "\n"), 300)
-    return d.select("doc_id", F.posexplode(merged).alias("piece_no", "piece"))
+    return T.exploded(d, merged, "piece_no", "piece", "doc_id")
 
 
 @query
 def overlapped_chunks(spark, sf):
     d = read(spark, sf, "documents")
-    return d.select("doc_id", F.posexplode(chunking.with_overlap(chunking.hard_cut(T.ws_trim("text"), 250), 50, 280)).alias("chunk_index", "text"))
+    return T.exploded(d, chunking.with_overlap(chunking.hard_cut(T.ws_trim("text"), 250), 50, 280), "chunk_index", "text", "doc_id")
 
 
 @query
@@ -161,8 +161,8 @@ def document_chunks(spark, sf):
 
 @query
 def summary_sections(spark, sf):
-    d = summaries.with_sections(read(spark, sf, "documents").select("doc_id", "text"), size=1000, most=4)
-    return d.select("doc_id", F.posexplode("sections").alias("section_no", "section"))
+    d = summaries.with_sections(read(spark, sf, "documents").select("doc_id", "text").repartition("doc_id"), size=1000, most=4)
+    return T.exploded(d, "sections", "section_no", "section", "doc_id")
 
 
 @query
@@ -242,7 +242,7 @@ def passage_hits(spark, sf):
     items = items.select("item_id", "needle", F.array_join(F.slice("p", 2, 5), " ").alias("k"))
     docs = read(spark, sf, "documents").select("doc_id", "text")
     runs = T.let(F.split("text", " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(5)), " ")))
-    pairs = docs.select("doc_id", F.explode(runs).alias("k")).join(items, "k").select("doc_id", "item_id", "needle").distinct()
+    pairs = docs.select("doc_id", F.explode_outer(runs).alias("k")).join(items, "k").select("doc_id", "item_id", "needle").distinct()
     return pairs.join(docs, "doc_id").where(F.contains("text", F.col("needle"))).select("doc_id", "item_id").distinct()
 
 
@@ -251,7 +251,8 @@ def passage_hits(spark, sf):
 
 def _search_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
     embed = embedder()
-    chunks = windows(read(spark, sf, "documents")).withColumn("embedding", embed("text"))
+    # dealt by document before the model runs; the join on doc_id finds that partitioning
+    chunks = windows(read(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")).withColumn("embedding", embed("text"))
     asked = questions(spark, sf).withColumn("q_embedding", embed("question"))
     return asked, chunks
 
@@ -273,7 +274,7 @@ def search_with_dedupe(spark, sf):
 @query
 def lexical_fallback(spark, sf):
     """Questions whose vectors find nothing are answered by wording alone: here all of them."""
-    chunks = windows(read(spark, sf, "documents"))
+    chunks = windows(read(spark, sf, "documents").select("doc_id", "text").repartition("doc_id"))
     asked = questions(spark, sf)
     rows = retrieval.lexical_only(asked, chunks, asked.select("query_id").where("false"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_index"))
@@ -350,7 +351,7 @@ def _facts(spark, sf) -> DataFrame:
 
 @query
 def facts_parsed(spark, sf):
-    f = _facts(spark, sf).select("conv_id", F.posexplode(T.fact_lines("facts")).alias("no", "line"))
+    f = _facts(spark, sf).select("conv_id", F.posexplode_outer(T.fact_lines("facts")).alias("no", "line")).where("no IS NOT NULL")
     return f.select("conv_id", "no", "line", T.is_pinned("line").alias("pinned"), T.fact_key("line").alias("fact_key"))
 
 

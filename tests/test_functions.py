@@ -128,7 +128,7 @@ def test_config_is_held():
 
 
 def test_alike_matches_sequence_ratio():
-    from docloom.operators.retrieval import _alike
+    from docloom.operators.retrieval import Kept
 
     for a, b in [("abcdefgh", "abcdefgx"), ("abc", "xyz"), ("a" * 300, "a" * 150 + "b" * 150)]:
-        assert _alike(a, b, 0.72) == (a in b or b in a or difflib.SequenceMatcher(None, a, b).ratio() >= 0.72)
+        assert Kept(b).like(a, 0.72) == (a in b or b in a or difflib.SequenceMatcher(None, a, b).ratio() >= 0.72)
