@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from docloom.functions import params, tables
 from docloom.functions import text as T
 from docloom.functions.scores import bigram_score, dot, lexical_boost
-from docloom.operators import agent, catalog, chunking, cleanup, evaluation, layout, memory, retrieval, summaries
+from docloom.operators import agent, answers, catalog, chunking, cleanup, evaluation, layout, memory, retrieval, summaries
 from docloom.operators.embedding import embedder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -603,3 +603,39 @@ def react_loop(spark, sf):
     plan = lambda p: '{"action":"search_doc"}' if p.startswith("step 1") else '{"action":"finish"}'
     return agent.run(asked, plan, found).select("query_id", "path", "steps", F.size("queries").alias("n_queries"), "finish_reason")
 
+
+# --- answers ----------------------------------------------------------------------------------
+
+
+@query
+def pages_to_scan(spark, sf):
+    """Windows as pages; those of every other source have lost most of their text."""
+    d = read(spark, sf, "documents")
+    lost = d.select("doc_id", F.substring("source", 4, 9).cast("int").alias("no"))
+    w = windows(d).join(lost, "doc_id")
+    kept = F.when((F.col("no") % 2 == 0) & (F.col("chunk_index") > 1), "").otherwise(F.col("text"))
+    return answers.pages_to_scan(w.select("doc_id", (F.col("chunk_index") + 1).alias("page"), kept.alias("text")), 5)
+
+
+@query
+def error_messages(spark, sf):
+    e = read(spark, sf, "events")
+    said = F.element_at(F.array(*map(F.lit, ("HTTP 502", "Service Unavailable", "model not found", "Connection refused", "request timed out", "other", ""))), (F.pmod("event_id", F.lit(7)) + 1).cast("int"))
+    return e.select("event_id", answers.error_message(said).alias("message"), answers.summary_failed(answers.error_message(said)).alias("failed"), answers.summary_failed(F.col("event_type")).alias("type_failed"))
+
+
+@query
+def turn_search(spark, sf):
+    """Vectors as stored turns, their labels as conversations."""
+    asked, chunks = _vectors(spark, sf)
+    turns = chunks.select(F.col("doc_id").alias("conversation_id"), F.col("chunk_index").alias("msg_index"), "embedding")
+    return answers.search_turns(asked.withColumnRenamed("doc_id", "conversation_id"), turns, 4, "cosine").select("query_id", "rank", "msg_index", "score")
+
+
+@query
+def answer_prompts(spark, sf):
+    context = retrieval.prompt_context(_first_hits(spark, sf))
+    counts = windows(read(spark, sf, "documents")).groupBy(F.col("doc_id").alias("query_id")).agg(F.count("*").alias("n"))
+    both = questions(spark, sf).join(context, "query_id", "left").join(counts, "query_id", "left")
+    n, none = F.coalesce("n", F.lit(0)), F.pmod("query_id", F.lit(3)) == 0
+    return both.select("query_id", F.md5(answers.answer_prompt("question", "context", doc_chars=500)).alias("prompt_md5"), answers.not_found(n, F.when(none, 0).otherwise(n), F.lit(False)).alias("message"))

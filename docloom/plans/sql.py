@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docloom.functions.text import DOC_HINT, FACT_PREFIXES, MEMORY_HINT, POINTS_BACK, READ_ERRORS
+from docloom.operators.answers import ERRORS, NO_DOCUMENT, NOTHING_CLOSE, OTHER_ERROR
 
 #: What is white space in all of Unicode.
 WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -226,3 +227,13 @@ SQL["eval_summary"] = f"SELECT avg(page_recall) AS page_recall, avg(page_precisi
 SQL["react_loop"] = f"""WITH q AS (SELECT conv_id * 1000 + turn AS query_id, CASE WHEN conv_id % 3 = 0 THEN '合同金额 ' ELSE '' END || substr(coalesce(text, ''), 1, 40) AS q FROM conversations WHERE role = 'user'),
 r AS (SELECT *, regexp_matches(q, '{DOC_HINT}') AND NOT regexp_matches(q, '{MEMORY_HINT}') AS d, query_id % 2 = 0 AS f FROM q)
 SELECT query_id, CASE WHEN d THEN 'fast_doc' ELSE 'planner' END AS path, CASE WHEN d THEN 0 WHEN f THEN 1 ELSE 2 END::INT AS steps, 1::INT AS n_queries, CASE WHEN d THEN 'fast_doc' WHEN f THEN 'found' ELSE 'finish' END AS finish_reason FROM r"""
+SQL["pages_to_scan"] = f"""WITH w AS (SELECT doc_id, chunk_index + 1 AS page, CASE WHEN substr(source, 4)::INT % 2 = 0 AND chunk_index > 1 THEN '' ELSE w.text END AS text FROM {windows()} w JOIN documents d USING (doc_id)),
+s AS (SELECT *, count(*) FILTER ({trim('text')} <> '') OVER (PARTITION BY doc_id) < greatest(3, count(*) OVER (PARTITION BY doc_id) // 5) AS scanned FROM w)
+SELECT doc_id, page FROM s WHERE scanned AND (page <= 5 OR regexp_matches(text, '目录|CONTENTS|Contents|目 录'))"""
+_CASES = " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{said}'" for p, said in ERRORS)
+SQL["error_messages"] = f"""WITH e AS (SELECT event_id, event_type, lower(['HTTP 502', 'Service Unavailable', 'model not found', 'Connection refused', 'request timed out', 'other', ''][event_id % 7 + 1]) AS s FROM events)
+SELECT event_id, CASE {_CASES} ELSE '{OTHER_ERROR}' END AS message, true AS failed, false AS type_failed FROM e"""
+SQL["turn_search"] = f"""SELECT query_id, rank, chunk_index AS msg_index, {_CLAMP.format('1.0::DOUBLE - d')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_index)::INT AS rank FROM {_COS}) WHERE rank <= 4"""
+SQL["answer_prompts"] = f"""WITH c AS (SELECT query_id, string_agg('【片段' || no || '】' || chr(10) || {trim('text')}, chr(10) || chr(10) ORDER BY no) AS c FROM {_BLOCK} GROUP BY 1), n AS (SELECT doc_id AS query_id, count(*) AS n FROM {windows()} GROUP BY 1)
+SELECT query_id, md5(concat_ws(chr(10) || chr(10), CASE WHEN c IS NOT NULL THEN '【文档内容】' || chr(10) || {clip('c', 500)} END, '【问题】' || chr(10) || {trim('question')})) AS prompt_md5,
+  CASE WHEN coalesce(n, 0) > 0 AND query_id % 3 <> 0 THEN NULL WHEN coalesce(n, 0) > 0 THEN '{NOTHING_CLOSE}' ELSE '{NO_DOCUMENT}' END AS message FROM {QUESTIONS} LEFT JOIN c USING (query_id) LEFT JOIN n USING (query_id)"""
