@@ -1,10 +1,11 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes ratios.
 
-A document's features are the distinct byte n-grams (3 to 5, A-Z lower-cased, one blank
-before and after the text), hashed to 2**18 places. A feature's value is its naive Bayes
-log-count ratio r, the log of its share of toxic over its share of other documents, where
-|r| is above RATIO_FLOOR, else 0; logistic regression learns a weight for each. Scoring
-reads the whole text.
+A document's features are the distinct byte n-grams (of 4, 6 and 8, A-Z lower-cased, one
+blank before and after the text), hashed to 2**20 places. A feature's value is its naive
+Bayes log-count ratio r, the log of its share of toxic over its share of other documents;
+logistic regression learns a weight for each. Features are kept that MIN_DOCS training
+documents have and whose r is over RATIO_FLOOR: clean wording is no evidence against a few
+toxic words, or long documents would outweigh them. Scoring reads the whole text.
 
 The training sample is bounded: of either label at most TRAIN_ROWS rows of ``labels``
 outside the held-out fold, by the smallest hash of the id. Ratios and weights come from it.
@@ -24,10 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import binary, hash_sample, in_fold, table
 
-ORDERS = (3, 4, 5)
-BITS = 18
+ORDERS = (4, 6, 8)
+BITS = 20
 TRAIN_ROWS = 8000
-RATIO_FLOOR = 0.7
+RATIO_FLOOR = 1.5
+MIN_DOCS = 4
 EPOCHS = 6
 FOLDS, HELD = 5, 0
 BLOCK = 1 << 20
@@ -94,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int =
     ratios = _ratios(found)
     if ratios is None:
         return None
-    keep = np.abs(ratios) > RATIO_FLOOR
+    keep = ratios > RATIO_FLOOR
 
     def thin(batches):
         for batch in batches:
@@ -106,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int =
 
 
 def _ratios(found: DataFrame) -> np.ndarray | None:
-    """Log-count ratios from document counts, one added to each; each task sums up what it has."""
+    """Log-count ratios from document counts, one added to each, 0 for rare features; each task sums up what it has."""
 
     def count(batches):
         sums, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
@@ -117,7 +119,8 @@ def _ratios(found: DataFrame) -> np.ndarray | None:
         at = np.flatnonzero(sums.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), *(pa.array(np.append(sums[k, at], n[k])) for k in (0, 1))], names=["place", "other", "toxic"])
 
-    total = found.mapInArrow(count, "place bigint, other bigint, toxic bigint").groupBy("place").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toPandas()
+    total = found.mapInArrow(count, "place bigint, other bigint, toxic bigint").groupBy("place").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    total = total.where((F.col("place") < 0) | (F.col("other") + F.col("toxic") >= MIN_DOCS)).toPandas()
     n = total[total.place < 0]
     if not len(n) or not int(n.other.iloc[0]) or not int(n.toxic.iloc[0]):
         return None
@@ -125,7 +128,9 @@ def _ratios(found: DataFrame) -> np.ndarray | None:
     rest = total[total.place >= 0]
     counts[0, rest.place] += rest.other
     counts[1, rest.place] += rest.toxic
-    return np.log(counts[1] / (int(n.toxic.iloc[0]) + 2)) - np.log(counts[0] / (int(n.other.iloc[0]) + 2))
+    ratios = np.log(counts[1] / (int(n.toxic.iloc[0]) + 2)) - np.log(counts[0] / (int(n.other.iloc[0]) + 2))
+    ratios[counts.sum(0) == 2] = 0
+    return ratios
 
 
 def train(places: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray, epochs: int = EPOCHS, rate: float = 0.05, decay: float = 1e-4) -> Model:
