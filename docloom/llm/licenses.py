@@ -24,7 +24,9 @@ by their texts. Other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,21 +61,17 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(text, SEPARATORS + "+"), lambda w: w != "")
 
 
-def _boundary(words: str) -> str:
-    """An expression for the words one after another, whatever separates them, letters A-Z of either case."""
-    inner = SEPARATORS[1:-1]
-    return f"(?i)(?<![^{inner}])" + f"{SEPARATORS}+".join(words.split()) + f"(?![^{inner}])"
-
-
 def base_columns(docs: DataFrame, phrases: dict[str, str] = PHRASES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """n_words, and of the phrases n_base, first_word, last_word and base_labels (an array)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     pieces = F.split(text, SEPARATORS + "+")
     ends = (F.element_at("pieces", 1) == "").cast("int") + F.when(F.size("pieces") > 1, (F.element_at("pieces", -1) == "").cast("int")).otherwise(0)
-    some = text.rlike("|".join(_boundary(p) for p in phrases))
+    # all words of a phrase as substrings of the lower-cased text: what holds the phrase holds these
+    holds = lambda p: reduce(and_, (F.contains("low", F.lit(w)) for w in p.split()))
+    some = reduce(or_, map(holds, phrases))
     # words with a blank on either side, only of texts in which a phrase stands at all
-    line = F.when(some, F.concat(F.lit(" "), F.array_join(F.filter("pieces", lambda w: w != ""), " "), F.lit(" ")))
-    rows = docs.select(*keep, text.alias("text"), pieces.alias("pieces"), some.alias("some"))
+    line = F.when(F.col("some"), F.concat(F.lit(" "), F.array_join(F.filter("pieces", lambda w: w != ""), " "), F.lit(" ")))
+    rows = docs.select(*keep, pieces.alias("pieces"), F.lower(text).alias("low")).withColumn("some", some)
     rows = rows.select(*keep, (F.size("pieces") - ends).cast("bigint").alias("n_words"), line.alias("line"))
     blanks = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
     # a cut before each place: blanks before the first and after the last cut give their word numbers
@@ -124,11 +122,13 @@ def block_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     prefixes = spark.createDataFrame(index, "token string, t_at int, template int, label string, t_tokens array<string>, t_size int, a int")
     rare = sorted({row[0] for row in index})
 
-    some = docs.where(F.col("text").rlike("|".join(_boundary(t) for t in rare)))
-    words = some.select("doc_id", row_key().alias("row_key"), word_array(F.lower("text")).alias("words"))
+    # a document has at least as many of the tokens as a block of it, and a rare one among them
+    words = docs.select("doc_id", row_key().alias("row_key"), word_array(F.lower("text")).alias("words"))
+    have = F.array_intersect(F.array(*map(F.lit, order)), "words")
+    words = words.withColumn("have", have).where((F.size("have") >= shortest) & F.arrays_overlap("have", F.array(*map(F.lit, rare)))).drop("have")
     step = block // 2
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(step))
-    blocks = words.select("doc_id", "row_key", F.explode(F.transform(starts, lambda s: F.struct(s.alias("block"), F.slice("words", s + 1, block).alias("w")))).alias("b"))
+    blocks = words.select("doc_id", "row_key", F.explode_outer(F.transform(starts, lambda s: F.struct(s.alias("block"), F.slice("words", s + 1, block).alias("w")))).alias("b"))
     own = F.array_intersect(F.array(*map(F.lit, order)), F.col("b.w"))  # in the global order
     blocks = blocks.select("doc_id", "row_key", "b.block", own.alias("own")).where(F.size("own") >= shortest)
     blocks = blocks.select("*", F.size("own").alias("size"), F.posexplode(F.slice("own", F.lit(1), F.size("own") - shortest + 1)).alias("at", "token"))
