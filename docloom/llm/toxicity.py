@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary, hash_sample, in_fold, table
+from .common import binary, hash_sample, in_fold, materialise, table
 
 ORDERS = (4, 6, 8)
 BITS = 20
@@ -32,19 +32,23 @@ RATIO_FLOOR = 1.5
 MIN_DOCS = 4
 EPOCHS = 6
 FOLDS, HELD = 5, 0
-BLOCK = 1 << 20
+#: Bytes hashed at a time; the arrays of a block stay in a core's cache.
+BLOCK = 1 << 15
 
 
-def grams(buffer: np.ndarray, order: int) -> np.ndarray:
-    """The place of the n-gram at each byte, by a multiplicative hash."""
-    n = len(buffer) - order + 1
-    code = buffer[:n].astype(np.uint32)
-    for j in range(1, order):
-        code *= np.uint32(0x01000193)
-        code ^= buffer[j : n + j]
-    code ^= np.uint32(order * 0x9E3779B1 & 0xFFFFFFFF)
-    code *= np.uint32(0x85EBCA6B)
-    return code >> np.uint32(32 - BITS)
+def grams(buffer: np.ndarray):
+    """Order by order, the place of the n-gram at each byte by a multiplicative hash; longer ones go on from shorter ones."""
+    code, done = None, 0
+    for order in ORDERS:
+        n = len(buffer) - order + 1
+        if n <= 0:
+            return
+        code = buffer[:n].astype(np.uint32) if code is None else code[:n]
+        for j in range(max(1, done), order):
+            code *= np.uint32(0x01000193)
+            code ^= buffer[j : n + j]
+        done = order
+        yield order, (code ^ np.uint32(order * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)
 
 
 def features(texts: list[bytes | None], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -53,11 +57,8 @@ def features(texts: list[bytes | None], wanted: np.ndarray | None = None) -> tup
     ends = np.cumsum([len(p) for p in padded])
     buffer, found = np.frombuffer(b"".join(padded), np.uint8), []
     for a in range(0, len(buffer), BLOCK):
-        for order in ORDERS:
-            block = buffer[a : a + BLOCK + order - 1]
-            if len(block) < order:
-                continue
-            place = grams(block, order)
+        for order, place in grams(buffer[a : a + BLOCK + ORDERS[-1] - 1]):
+            place = place[:BLOCK]
             at = np.arange(len(place)) if wanted is None else np.flatnonzero(wanted[place])
             owner = np.searchsorted(ends, at + a, "right")
             inside = at + a + order <= ends[owner]
@@ -85,18 +86,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int =
 
     def run(batches):
         for batch in batches:
-            owner, place = features(binary(batch, "text"))
-            cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array([place[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                names=["doc_id", "toxic", "places"],
-            )
+            # a document at a time: all n-grams of a batch would not fit a worker
+            places = [features([t])[1].astype(np.int32).tobytes() for t in binary(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(places, pa.binary())], names=["doc_id", "toxic", "places"])
 
     found = sample.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "doc_id bigint, toxic int, places binary")
     ratios = _ratios(found)
     if ratios is None:
         return None
-    keep = ratios > RATIO_FLOOR
+    keep = ratios > 0
 
     def thin(batches):
         for batch in batches:
@@ -108,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int =
 
 
 def _ratios(found: DataFrame) -> np.ndarray | None:
-    """Log-count ratios from document counts, one added to each, 0 for rare features; each task sums up what it has."""
+    """Log-count ratios of the features that are kept, else 0, from document counts, one added to each; each task sums up what it has."""
 
     def count(batches):
         sums, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
@@ -119,18 +117,22 @@ def _ratios(found: DataFrame) -> np.ndarray | None:
         at = np.flatnonzero(sums.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), *(pa.array(np.append(sums[k, at], n[k])) for k in (0, 1))], names=["place", "other", "toxic"])
 
-    total = found.mapInArrow(count, "place bigint, other bigint, toxic bigint").groupBy("place").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-    total = total.where((F.col("place") < 0) | (F.col("other") + F.col("toxic") >= MIN_DOCS)).toPandas()
-    n = total[total.place < 0]
-    if not len(n) or not int(n.other.iloc[0]) or not int(n.toxic.iloc[0]):
+    total = materialise(found.mapInArrow(count, "place bigint, other bigint, toxic bigint").groupBy("place").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")), "gram-counts")
+    n = total.where("place < 0").first()
+    if n is None or not n.other or not n.toxic:
         return None
-    counts = np.ones((2, 1 << BITS))
-    rest = total[total.place >= 0]
-    counts[0, rest.place] += rest.other
-    counts[1, rest.place] += rest.toxic
-    ratios = np.log(counts[1] / (int(n.toxic.iloc[0]) + 2)) - np.log(counts[0] / (int(n.other.iloc[0]) + 2))
-    ratios[counts.sum(0) == 2] = 0
-    return ratios
+    ratio = F.log((F.col("toxic") + 1) / F.lit(n.toxic + 2.0)) - F.log((F.col("other") + 1) / F.lit(n.other + 2.0))
+    wanted = total.where((F.col("place") >= 0) & (F.col("other") + F.col("toxic") >= MIN_DOCS)).select("place", ratio.alias("ratio")).where(F.col("ratio") > RATIO_FLOOR)
+
+    def packed(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_numpy().tobytes() for c in ("place", "ratio")]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["place", "ratio"])
+
+    out = np.zeros(1 << BITS)
+    for r in wanted.mapInArrow(packed, "place binary, ratio binary").collect():  # 16 bytes for each of 2**BITS places at most
+        out[np.frombuffer(r.place, np.int64)] = np.frombuffer(r.ratio, np.float64)
+    return out
 
 
 def train(places: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray, epochs: int = EPOCHS, rate: float = 0.05, decay: float = 1e-4) -> Model:
