@@ -202,11 +202,16 @@ def hexadecimal(fp: str) -> Column:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each component: the first by doc_id (nulls last), then by text hash.
+    """docs with one row of each component, as ``first_of_each`` picks it."""
+    return first_of_each(docs, near_duplicates(docs, **options))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with one row of each root of found (doc_id, row_key, root): the first by doc_id (nulls last), then by text hash.
 
     Rows that repeat both id and text are one document; one of them stays.
     """
-    found = materialise(near_duplicates(docs, **options), "near-duplicates")
+    found = materialise(found, "near-duplicates")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     kept = found.groupBy("root").agg(F.min(order).alias("first"))
     kept = kept.select(F.col("first.doc_id").alias("__id"), F.col("first.row_key").alias("__key"))
