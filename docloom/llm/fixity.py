@@ -7,6 +7,12 @@ FANOUT neighbouring nodes one of the next, up to a root. Two replicas are compar
 root down: only children of nodes that differ are looked at, and only in the lowest ranges
 that differ records are compared one by one.
 
+``audit`` compares by offset, for replicas whose records lie where the primary's do. In a
+replica archive of its own a record that is gone, added or of another length moves all after
+it; ``audit_archive`` therefore cuts both archives at the keys (page_id, url) with which the
+primary's ranges begin, and a leaf there is length and SHA-256 in the order of the keys, so
+that a fault stays in its range. The keys, one for each range, go through the driver.
+
 Offsets are global without a global task: rows are sorted by range over the cluster, each
 task sums up its own lengths, and the sums of the tasks before are added.
 
@@ -18,10 +24,13 @@ read.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise, table
 
@@ -41,7 +50,7 @@ def record(page_id: str = "page_id", url: str = "url", html: str = "html") -> Co
 
 
 def manifest(pages: DataFrame) -> DataFrame:
-    """page_id, record_offset, record_length, sha256: where each record lies and what it is."""
+    """page_id, url, record_offset, record_length, sha256: where each record lies and what it is."""
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), record().alias("r")).select(
         F.col("page_id").cast("bigint").alias("page_id"), "url", F.octet_length("r").cast("bigint").alias("record_length"), F.sha2("r", 256).alias("sha256")
     )
@@ -55,13 +64,13 @@ def manifest(pages: DataFrame) -> DataFrame:
             at = int(ends[-1]) if len(ends) else at
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - length)], names=[*batch.schema.names, "local"])
 
-    rows = materialise(rows.select("page_id", "record_length", "sha256", "task").mapInArrow(run, "page_id bigint, record_length bigint, sha256 string, task int, local bigint"), "manifest")
+    rows = materialise(rows.select("page_id", "url", "record_length", "sha256", "task").mapInArrow(run, "page_id bigint, url string, record_length bigint, sha256 string, task int, local bigint"), "manifest")
     base, table_ = 0, []
     for r in rows.groupBy("task").agg(F.sum("record_length").alias("n")).orderBy("task").collect():  # a row for each task
         table_.append((r.task, base))
         base += r.n
     bases = pages.sparkSession.createDataFrame(table_, "task int, base bigint")
-    return rows.join(F.broadcast(bases), "task").select("page_id", (F.col("base") + F.col("local")).alias("record_offset"), "record_length", "sha256")
+    return rows.join(F.broadcast(bases), "task").select("page_id", "url", (F.col("base") + F.col("local")).alias("record_offset"), "record_length", "sha256")
 
 
 def leaves(records: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -76,25 +85,21 @@ def parents(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
     return up.select("node", F.sha2(F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["n"].cast("string"), x["digest"])), ";"), 256).alias("digest"))
 
 
-def tree(records: DataFrame, height: int, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> list[DataFrame]:
+def tree(lowest: DataFrame, height: int, fanout: int = FANOUT) -> list[DataFrame]:
     """Levels from the ranges to the root."""
-    levels = [materialise(leaves(records, range_bytes), "leaves")]
+    levels = [materialise(lowest, "leaves")]
     for _ in range(height):
         levels.append(parents(levels[-1], fanout))
     return levels
 
 
-def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
-    """The records at which the replicas differ: record_offset and status (corrupt, missing or extra).
-
-    Both have record_offset, record_length and sha256; each offset stands once.
-    """
-    last = primary.select("record_offset").unionByName(replica.select("record_offset")).agg(F.max("record_offset")).first()[0] or 0
-    height, top = 0, last // range_bytes
+def _odd_ranges(primary: DataFrame, replica: DataFrame, top: int, fanout: int) -> DataFrame:
+    """The ranges (node) up to number top whose leaves differ, found from the root down."""
+    height = 0
     while top:
         top //= fanout
         height += 1
-    a, b = tree(primary, height, range_bytes, fanout), tree(replica, height, range_bytes, fanout)
+    a, b = tree(primary, height, fanout), tree(replica, height, fanout)
 
     def differing(x: DataFrame, y: DataFrame) -> DataFrame:
         y = y.select(F.col("node").alias("n2"), F.col("digest").alias("d2"))
@@ -104,6 +109,16 @@ def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES
     for level in range(height - 1, -1, -1):
         below = [t.join(odd.withColumnRenamed("node", "parent"), F.floor(t["node"] / fanout) == F.col("parent"), "left_semi") for t in (a[level], b[level])]
         odd = materialise(differing(*below), "differ")
+    return odd
+
+
+def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
+    """The records at which the replicas differ: record_offset and status (corrupt, missing or extra).
+
+    Both have record_offset, record_length and sha256; each offset stands once.
+    """
+    last = primary.select("record_offset").unionByName(replica.select("record_offset")).agg(F.max("record_offset")).first()[0] or 0
+    odd = _odd_ranges(leaves(primary, range_bytes), leaves(replica, range_bytes), last // range_bytes, fanout)
     near = [t.join(odd, F.floor(t["record_offset"] / range_bytes) == odd["node"], "left_semi").select("record_offset", F.struct("record_length", "sha256").alias("what")) for t in (primary, replica)]
     other = near[1].select(F.col("record_offset").alias("o2"), F.col("what").alias("w2"))
     both = near[0].join(other, F.col("record_offset") == F.col("o2"), "full").where(~F.col("what").eqNullSafe(F.col("w2")))
@@ -111,20 +126,74 @@ def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES
     return both.select(F.coalesce("record_offset", "o2").alias("record_offset"), status.alias("status"))
 
 
-#: First two digits of the digests of the records that the query's replica has wrong, or not at all.
+def _key(page_id: int | None, url: str) -> tuple:
+    return page_id is not None, page_id or 0, url.encode()
+
+
+def ranged(records: DataFrame, bounds: list[tuple]) -> DataFrame:
+    """A manifest with node, the number of the last bound at or before each record's key (the first, if none is)."""
+
+    def run(batches):
+        for batch in batches:
+            keys = zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), strict=True)
+            node = pa.array([max(0, bisect_right(bounds, _key(*k)) - 1) for k in keys], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, node], names=[*batch.schema.names, "node"])
+
+    rows = records.select("page_id", "url", "record_offset", "record_length", "sha256")
+    return rows.mapInArrow(run, "page_id bigint, url string, record_offset bigint, record_length bigint, sha256 string, node bigint")
+
+
+def audit_archive(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
+    """The records at which two manifests differ: page_id, url, record_offset (the primary's), replica_offset and status.
+
+    Equal records of a key are taken off first; of the others each of the primary's is corrupt
+    if the replica has another for it, else missing, and what the replica has over is extra.
+    """
+    firsts = primary.groupBy(F.floor(F.col("record_offset") / range_bytes).alias("node")).agg(F.min(F.struct("page_id", "url")).alias("key"))
+    bounds = sorted({_key(r.key.page_id, r.key.url) for r in firsts.collect()})
+    sides = [materialise(ranged(t, bounds), "ranged") for t in (primary, replica)]
+    lowest = []
+    for t in sides:
+        part = F.concat_ws(":", F.col("record_length").cast("string"), F.col("sha256"))
+        held = t.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("page_id", "url", "sha256", part.alias("leaf")))).alias("l"))
+        lowest.append(held.select("node", F.sha2(F.array_join(F.col("l.leaf"), ";"), 256).alias("digest")))
+    odd = _odd_ranges(*lowest, max(0, len(bounds) - 1), fanout)
+    same, key = ["page_id", "url", "record_length", "sha256"], ["page_id", "url"]
+    near = [t.join(odd, "node", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy("record_offset"))) for t in sides]
+
+    def over(x: DataFrame, y: DataFrame, offset: str) -> DataFrame:
+        y = y.select(*(F.col(c).alias(f"y_{c}") for c in (*same, "nth")))
+        on = [F.col(c).eqNullSafe(F.col(f"y_{c}")) for c in (*same, "nth")]
+        alone = x.join(y, on, "left_anti")
+        return alone.select(*key, F.row_number().over(Window.partitionBy(*key).orderBy("record_offset")).alias("place"), F.col("record_offset").alias(offset))
+
+    a, b = over(near[0], near[1], "record_offset"), over(near[1], near[0], "replica_offset")
+    b = b.select(*(F.col(c).alias(f"y_{c}") for c in (*key, "place")), "replica_offset")
+    both = a.join(b, [F.col(c).eqNullSafe(F.col(f"y_{c}")) for c in (*key, "place")], "full")
+    status = F.when(F.col("replica_offset").isNull(), "missing").when(F.col("record_offset").isNull(), "extra").otherwise("corrupt")
+    return both.select(F.coalesce("page_id", "y_page_id").alias("page_id"), F.coalesce("url", "y_url").alias("url"), "record_offset", "replica_offset", status.alias("status"))
+
+
+#: First two digits of the digests of the records that the query's replica has wrong (changed, cut, lengthened), or not at all.
 CORRUPT, MISSING = ("00", "01", "02"), ("03", "04")
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A replica with faults: of 256 records about three are corrupt and two missing, by their digests."""
-    start = F.substring("sha256", 1, 2)
-    return records.where(~start.isin(*MISSING)).withColumn("sha256", F.when(start.isin(*CORRUPT), F.sha2(F.concat("sha256", F.lit("!")), 256)).otherwise(F.col("sha256")))
+def damaged(pages: DataFrame) -> DataFrame:
+    """Pages of a replica with faults in their bytes: of 256 about three are corrupt and two missing, by their records' digests."""
+    start, html = F.substring(F.sha2(record(), 256), 1, 2), F.coalesce("html", F.lit(""))
+    longer = F.concat(html, F.lit("!"))
+    changed = F.concat(F.when(F.substring(html, 1, 1) == "X", "Y").otherwise("X"), F.substring(html, 2, 1 << 30))
+    cut = F.substring(html, F.lit(1), F.floor(F.length(html) / 2).cast("int"))
+    wrong = F.when((html == "") | (F.col("start") == CORRUPT[2]), longer).when(F.col("start") == CORRUPT[0], changed).otherwise(cut)
+    rows = pages.select("page_id", "url", "html", start.alias("start")).where(~F.col("start").isin(*MISSING))
+    return rows.select("page_id", "url", F.when(F.col("start").isin(*CORRUPT), wrong).otherwise(F.col("html")).alias("html"))
 
 
 def op7_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record of the archive of pages, with the audit's verdict on a replica with planted faults."""
-    records = materialise(manifest(table(spark, sf_dir, "pages")), "records")
-    found = audit(records, materialise(damaged(records), "replica"))
+    """Every record of the archive of pages, with the audit's verdict on a replica archive of damaged pages, hashed on its own."""
+    pages = table(spark, sf_dir, "pages")
+    records = materialise(manifest(pages), "records")
+    found = audit_archive(records, materialise(manifest(damaged(pages)), "replica")).where("record_offset IS NOT NULL").select("record_offset", "status")
     return records.join(found, "record_offset", "left").select(
         "page_id", "record_offset", "record_length", "sha256", F.floor(F.col("record_offset") / RANGE_BYTES).alias("range_no"), F.coalesce("status", F.lit("ok")).alias("status")
     )
