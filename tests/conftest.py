@@ -39,8 +39,3 @@ def sf():
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
     return SF
-
-
-def one(spark, column):
-    """The value of a column expression."""
-    return spark.range(1).select(column.alias("v")).first()["v"]

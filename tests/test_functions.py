@@ -2,7 +2,7 @@ import difflib
 import math
 
 import pytest
-from conftest import one
+from helpers import one
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
