@@ -1,20 +1,23 @@
 """Packing: documents as token sequences of at most 2048, by first-fit decreasing.
 
 A document's ids are cut at every ``length`` tokens, so that all pieces but its last are
-full sequences. The pieces are dealt at random (a hash of id, start and checksum) into
-groups of about ``group_pieces``; each group is packed on its own by first-fit decreasing,
+full sequences. The pieces are dealt at random (a hash of id, start, checksum and the number
+of the written row) into groups of about ``group_pieces``; each group is packed on its own by first-fit decreasing,
 where a tournament tree over the bins' free room finds the leftmost bin that fits in
 O(log n).
 
 Cases: a null text is an empty one, whose only id is the separator. A null doc_id is kept.
 Repeated rows are packed each on its own. Other columns are not read. An empty table gives
 no rows. A text of any length is cut; no group grows with a document, since pieces, not
-documents, are dealt.
+documents, are dealt, nor with rows that repeat id and text, since their numbers differ. A
+text that holds the string of one of the vocabulary's added tokens has that token's id there,
+as the tokenizers library gives it.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 
 import numpy as np
@@ -35,24 +38,34 @@ _ENCODERS: dict[str, object] = {}
 
 
 def encoder(vocabulary: str = VOCABULARY):
-    """text -> ids. Made once a worker; special tokens' strings are ordinary text.
+    """text -> ids. Made once a worker.
 
-    The ids are those of the tokenizers library with the vocabulary's .json file. The ranks
-    file of the same vocabulary gives them at about five times the speed; a text that its
-    pattern matcher gives up on (a megabyte of blanks, say) goes to the other.
+    The ids are those of the tokenizers library with the vocabulary's .json file and its
+    defaults. The ranks file of the same vocabulary gives them at about five times the speed,
+    with the .json file's added tokens as special ones. A text that its pattern matcher gives
+    up on (a megabyte of blanks, say) goes to the library itself, and so does one that holds
+    an added token with rules of its own (blanks taken with it, whole words alone).
     """
     if vocabulary not in _ENCODERS:
         import public_tokenizers
         import tiktoken
 
+        with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        plain = {a["content"]: a["id"] for a in added}
+        odd = [a["content"] for a in added if a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"]]
+
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=plain)
         slow: list = []
 
         def encode(text: str) -> list[int]:
             try:
-                return fast.encode_ordinary(text)
+                if not any(a in text for a in plain):
+                    return fast.encode_ordinary(text)
+                if not any(a in text for a in odd):
+                    return fast.encode(text, allowed_special="all")
             except (ValueError, RuntimeError):
                 pass
             except BaseException as e:  # the matcher's panics aren't Exceptions
@@ -62,7 +75,6 @@ def encoder(vocabulary: str = VOCABULARY):
                 from tokenizers import Tokenizer
 
                 slow.append(Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json")))
-                slow[0].encode_special_tokens = True
             return slow[0].encode(text, add_special_tokens=False).ids
 
         _ENCODERS[vocabulary] = encode
@@ -109,21 +121,25 @@ def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np
 
 
 def pack(cut: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to pieces of at most length tokens. cut is read twice: give a written table."""
+    """Adds sequence_id and offset to pieces of at most length tokens. cut is read twice: give a written table.
+
+    A column row_no tells rows apart that are equal in all others.
+    """
     groups = max(1, -(-cut.count() // group_pieces))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")
+        frame = frame.sort_values(["doc_id", "start", "ids_crc32", "row_no"], kind="stable")
         bins, offsets = first_fit_decreasing(frame["length"].to_numpy(np.int64), length)
         return frame.assign(sequence_id=frame["pack_group"].to_numpy(np.int64) * (1 << 32) + bins, offset=offsets)[[*names, "sequence_id", "offset"]]
 
-    names = cut.columns
-    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    names = [c for c in cut.columns if c != "row_no"]
+    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row_no"), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInPandas(run, f"{PIECE}, sequence_id bigint, offset bigint")
 
 
 def packed(docs: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIECES, vocabulary: str = VOCABULARY) -> DataFrame:
-    return pack(materialise(pieces(docs, length, vocabulary), "pieces"), length, group_pieces)
+    cut = pieces(docs, length, vocabulary).withColumn("row_no", F.monotonically_increasing_id())
+    return pack(materialise(cut, "pieces"), length, group_pieces)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,9 +105,10 @@ def test_packing_is_whole(spark, odd, none):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    out = P.packed(odd, group_pieces=8).collect()
-    ids = [(r.doc_id, [*t.encode(r.text or "", add_special_tokens=False).ids, 1]) for r in odd.collect()]
+    more = spark.createDataFrame([(40, "a<|endoftext|>b"), (41, "<|endoftext|>" * 3)], "doc_id bigint, text string")
+    df = odd.select("doc_id", "text").unionByName(more)
+    out = P.packed(df, group_pieces=8).collect()
+    ids = [(r.doc_id, [*t.encode(r.text or "", add_special_tokens=False).ids, 1]) for r in df.collect()]
     want = Counter()
     for doc, x in ids:
         for a in range(0, len(x), 2048):
@@ -131,14 +132,23 @@ def test_ids_are_those_of_the_other_library(spark, sf):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     fast = P.encoder()
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    texts += ["<|endoftext|>", "  a\n\n b\t ", "é́ 中文 🙂", " " * 3000 + "x", "x" * 5000, "I'll 'LL 12345", "\r\n\x00"]
+    mark = "<|endoftext|>"
+    texts += [mark, mark + "a", "a" + mark, "x " + mark + " y", mark + mark, "a " + mark + "\n\n " + mark + " b", "<|endoftext" + mark + "|>", " <|endoftext|", mark + "  "]
+    texts += ["  a\n\n b\t ", "é́ 中文 🙂", " " * 3000 + "x", "x" * 5000, "I'll 'LL 12345", "\r\n\x00"]
     for x in texts:
         assert list(fast(x)) == t.encode(x, add_special_tokens=False).ids
 
 
+def test_repeated_rows_are_dealt_out(spark):
+    """Groups stay small where all rows repeat id and text."""
+    df = spark.createDataFrame([(None, "same")] * 400, "doc_id bigint, text string")
+    out = P.packed(df, length=4, group_pieces=50).collect()
+    per = Counter(r.sequence_id >> 32 for r in out)
+    assert len(out) == 400 and len(per) == 8 and max(per.values()) < 100
+
+
 def test_first_fit_takes_the_first_bin():
     r = random.Random(4)
     for _ in range(50):
