@@ -9,14 +9,22 @@ best true distance so far, would be exceeded by a true neighbour with probabilit
 
 The index is spread over the cluster: the upper levels of one kd-tree over the projections
 cut the space into cells. They are fitted on a bounded sample (SAMPLE rows, by hash); every
-row is put into its cell, and a cell of more than CELL_ROWS rows, such as one of many equal
-vectors, is cut into parts by a hash of the row. Each part builds a kd-tree of its own. A
-query is searched in its own cell first; with the k-th distance found there it visits only
-cells whose region passes the test above. Queries beyond QUERY_BLOCK are dealt into blocks.
+row is put into its cell, and a cell of more than CELL_ROWS rows is cut into parts by a hash
+of the row. Each part builds a kd-tree of its own. A query is searched in its own cell first;
+with the k-th distance found there it visits only cells whose region passes the test above.
+The index is shuffled once for each of the two searches, whatever the number of queries; only
+a cell that over QUERY_BLOCK queries visit is held against them in several blocks.
+
+Equal vectors are all at one distance, and ties go to the smaller id, so that a query's
+answer can hold of one vector but the k smallest ids that aren't its own. Rows of a vector
+beyond its k + 1 smallest ids, and of one id and vector beyond k, can therefore not be in any
+answer and are left out of the index: a vector that a third of all rows share is no hot spot.
 
 Cases: vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part, nor do null ids. A query's own id is no candidate, also
-where rows repeat it; other repeated rows count each. Ties go to the smaller id. Fewer than
+where rows repeat it; other repeated rows count each. Rows that repeat a query's id and
+vector are one query; where an id stands with different vectors, each of these is a query of
+its own with ranks from 1 (query_no tells them apart). Ties go to the smaller id. Fewer than
 k candidates: all are returned. Other columns are not read.
 """
 
@@ -37,7 +45,7 @@ from .common import hash_sample, materialise, table
 M = 8
 K = 10
 CONFIDENCE = 0.99
-SAMPLE = 32768
+SAMPLE = 1 << 17
 CELL_ROWS = 8192
 #: Sampled rows to each cell at least, so that cells are about even.
 ROWS_PER_CUT = 16
@@ -166,12 +174,21 @@ def _doubles(column, m: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(-1, m) if len(column) else np.zeros((0, m))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, m: int = M, confidence: float = CONFIDENCE, cell_rows: int = CELL_ROWS, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score: of each query (vec_id, embedding) its k nearest of vectors."""
-    t = chi_square_bound(m, confidence)
-    index = materialise(project(valid(vectors), m), "projected")
-    asked = materialise(project(valid(queries), m).withColumnRenamed("vec_id", "query_id"), "asked")
-    n, n_asked = index.count(), asked.count()
+def within_reach(index: DataFrame, k: int) -> DataFrame:
+    """The rows of vec_id and vec that can be in an answer of k rows (see the module)."""
+    same = F.row_number().over(Window.partitionBy("vec", "vec_id").orderBy("vec_id"))
+    place = F.dense_rank().over(Window.partitionBy("vec").orderBy("vec_id"))
+    rows = index.withColumn("__same", same).where(F.col("__same") <= k).drop("__same")
+    return rows.withColumn("__place", place).where(F.col("__place") <= k + 1).drop("__place")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, m: int = M, confidence: float = CONFIDENCE, cell_rows: int = CELL_ROWS, sample: int = SAMPLE, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, query_no, rank, vec_id, score: of each query (vec_id, embedding) its k nearest of vectors."""
+    spark, t = vectors.sparkSession, chi_square_bound(m, confidence)
+    index = materialise(within_reach(project(valid(vectors), m), k), "projected")
+    asked = project(valid(queries).distinct(), m).withColumnRenamed("vec_id", "query_id").withColumn("query_no", F.monotonically_increasing_id())
+    asked = materialise(asked, "asked")
+    n = index.count()
     points = _doubles([r.proj for r in hash_sample(index.select("vec_id", "proj"), n, sample, "vec_id").collect()], m)
     cells = max(1, min(-(-n // cell_rows), sample // ROWS_PER_CUT))
     low, high = regions(points, cells) if len(points) else (np.full((1, m), -np.inf), np.full((1, m), np.inf))
@@ -186,66 +203,74 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, m: int = M, conf
 
     placed = materialise(index.mapInArrow(put, "vec_id bigint, vec binary, proj binary, cell bigint"), "cells")
     parts = {r["cell"]: -(-r["count"] // cell_rows) for r in placed.groupBy("cell").count().collect()}  # a row a cell
-    blocks = max(1, -(-n_asked // QUERY_BLOCK))
-    of = np.array([parts.get(c, 0) for c in range(len(low))], np.int64)
-    count = F.element_at(F.create_map(*(F.lit(x) for kv in (parts or {0: 1}).items() for x in kv)), F.col("cell"))
-    rows = placed.withColumn("part", F.pmod(F.xxhash64("vec_id", "vec"), count)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def visits(first: bool):
-        """Each query once for every part of the cells that it visits."""
+        """Each query once for every cell with rows that it visits."""
+        filled = np.zeros(len(low), bool)
+        filled[list(parts)] = True
 
         def run(batches):
             for batch in batches:
                 p = _doubles(batch.column("proj").to_pylist(), m)
                 home = cell_of(p)
                 bound = np.full(len(p), np.inf) if first else batch.column("bound").to_numpy(zero_copy_only=False)
-                at, to, part = [], [], []
+                at, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for i, q in enumerate(p):
                     if first:
-                        cells_ = [home[i]]
+                        found = home[i : i + 1]
                     else:
                         gap = np.maximum(0, np.maximum(low - q, q - high))
-                        cells_ = [c for c in np.flatnonzero((gap * gap).sum(1) <= t * bound[i] * bound[i] + SLACK * (1 + q @ q)) if c != home[i]]
-                    for c in cells_:
-                        for j in range(of[c]):
-                            at.append(i)
-                            to.append(c)
-                            part.append(j)
-                pick = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pick) for c in ("query_id", "vec", "proj")), pa.array(bound[at] if at else [], pa.float64()), pa.array(to, pa.int64()), pa.array(part, pa.int64())], names=["query_id", "vec", "proj", "bound", "cell", "part"])
+                        found = np.flatnonzero((gap * gap).sum(1) <= t * bound[i] * bound[i] + SLACK * (1 + q @ q))
+                        found = found[found != home[i]]
+                    found = found[filled[found]]
+                    at.append(np.full(len(found), i))
+                    to.append(found)
+                pick = np.concatenate(at)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(pa.array(pick)) for c in ("query_no", "query_id", "vec", "proj")), pa.array(bound[pick]), pa.array(np.concatenate(to))],
+                    names=["query_no", "query_id", "vec", "proj", "bound", "cell"],
+                )
 
         return run
 
     def look(queries_: pd.DataFrame, rows_: pd.DataFrame) -> pd.DataFrame:
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list, list] = ([], [], [], [])
         if len(queries_) and len(rows_):
             p = _doubles(list(rows_.proj), m)
             vectors_, ids = np.frombuffer(b"".join(rows_.vec), np.float64).reshape(len(rows_), -1), rows_.vec_id.to_numpy()
             tree = Tree(p)
-            for own, q, proj, bound in zip(queries_.query_id, queries_.vec, queries_.proj, queries_.bound, strict=True):
+            for no, own, q, proj, bound in zip(queries_.query_no, queries_.query_id, queries_.vec, queries_.proj, queries_.bound, strict=True):
                 d, i = search(tree, vectors_, ids, np.frombuffer(q, np.float64), np.frombuffer(proj, np.float64), own, k, bound, t)
-                out[0].extend([own] * len(d))
-                out[1].extend(i.tolist())
-                out[2].extend(d.tolist())
-        return pd.DataFrame({"query_id": np.array(out[0], np.int64), "vec_id": np.array(out[1], np.int64), "score": np.array(out[2], np.float64)})
+                for column, values in zip(out, ([no] * len(d), [own] * len(d), i.tolist(), d.tolist()), strict=True):
+                    column.extend(values)
+        return pd.DataFrame({c: np.array(x, np.float64 if c == "score" else np.int64) for c, x in zip(("query_no", "query_id", "vec_id", "score"), out, strict=True)})
 
     def searched(visiting: DataFrame, tag: str) -> DataFrame:
+        """The visits' candidates; a cell's rows stand once in each of its parts and blocks of visits."""
+        visiting = materialise(visiting, f"{tag}-visits")
+        crowd = {r["cell"]: -(-r["count"] // query_block) for r in visiting.groupBy("cell").count().collect()}  # a row a cell
+        plan = [(int(c), n_parts, crowd[c]) for c, n_parts in parts.items() if c in crowd]
+        plan = spark.createDataFrame(plan, "cell bigint, parts int, blocks int")
         keys = ["cell", "part", "block"]
-        visiting = visiting.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        return materialise(visiting.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(look, "query_id bigint, vec_id bigint, score double"), tag)
-
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    shape = "query_id bigint, vec binary, proj binary, bound double, cell bigint, part bigint"
+        rows = placed.join(F.broadcast(plan), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id", "vec"), F.col("parts")).cast("int"))
+        rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("parts", "blocks")
+        seen = visiting.join(F.broadcast(plan), "cell").withColumn("block", F.pmod(F.xxhash64("query_no"), F.col("blocks")).cast("int"))
+        seen = seen.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "blocks")
+        return materialise(seen.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(look, "query_no bigint, query_id bigint, vec_id bigint, score double"), tag)
+
+    order = Window.partitionBy("query_no").orderBy("score", "vec_id")
+    shape = "query_no bigint, query_id bigint, vec binary, proj binary, bound double, cell bigint"
     home = searched(asked.mapInArrow(visits(True), shape), "home")
-    kth = home.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-    bounded = asked.join(kth, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    rest = searched(bounded.select("query_id", "vec", "proj", "bound").mapInArrow(visits(False), shape), "others")
-    return home.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    kth = home.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_no", F.col("score").alias("bound"))
+    bounded = asked.join(kth, "query_no", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    rest = searched(bounded.select("query_no", "query_id", "vec", "proj", "bound").mapInArrow(visits(False), shape), "others")
+    every = home.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return every.select("query_id", "query_no", "rank", "vec_id", "score")
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return nearest(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
+    return nearest(vectors, vectors.where(F.col("vec_id") % EVERY == 0)).drop("query_no")
 
 
 QUERIES = {"op6_neighbours": op6_neighbours}

@@ -198,9 +198,51 @@ def test_neighbours_against_brute_force(spark, cell_rows):
     assert hit >= 0.9 * 10 * len(asked)
 
 
+def brute(rows, asked, k=10):
+    """For each (id, vector) asked once: the k nearest of all rows but those of its id."""
+    out = []
+    for q, v in sorted({(i, tuple(x)) for i, x in asked}):
+        near = sorted((float(np.sqrt(((np.array(x, float) - np.array(v, float)) ** 2).sum())), i) for i, x in rows if i != q)[:k]
+        out += [(q, r + 1, i, round(d, 9)) for r, (d, i) in enumerate(near)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("cell_rows, query_block", [(8192, 16384), (30, 2)])
+def test_repeated_and_conflicting_query_rows(spark, cell_rows, query_block):
+    r = np.random.default_rng(9)
+    x = r.integers(-9, 10, (300, 4)).astype(float)
+    x[(x == 0).all(1)] = 1
+    x[50:150] = x[50]  # equal vectors of a hundred ids
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[100], rows[100], rows[200], (200, [7.0, -7.0, 7.0, -7.0]), *[rows[60]] * 15, *[rows[250]] * 30]
+    df = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], "vec_id bigint, embedding array<double>, label int, cell int").repartition(5)
+    for every in (100, 1):
+        out = A.nearest(df, df.where(f"vec_id % {every} = 0"), confidence=0.999999, cell_rows=cell_rows, query_block=query_block).collect()
+        assert sorted((q.query_id, q.rank, q.vec_id, round(q.score, 9)) for q in out) == brute(rows, [(i, v) for i, v in rows if i % every == 0])
+        assert len({(q.query_no, q.rank) for q in out}) == len(out)
+
+
+def test_index_is_not_copied(spark, monkeypatch):
+    """Ten times the queries: the rows that the searches look at stay those of the table."""
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v.tolist(), 0, 0) for i, v in enumerate(r.normal(size=(2000, 8)))], "vec_id bigint, embedding array<double>, label int, cell int")
+    seen = []
+
+    def written(frame, tag, keep=A.materialise):
+        out = keep(frame, tag)
+        if tag in ("projected", "cells"):
+            seen.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(A, "materialise", written)
+    for every in (100, 10):
+        A.nearest(df, df.where(f"vec_id % {every} = 0"), cell_rows=500).count()
+    assert seen == [("projected", 2000), ("cells", 2000)] * 2
+
+
 def test_few_or_no_candidates(spark):
     df = vectors(spark, [(0, [1.0, 0.0], 0, 0), (1, [0.0, 1.0], 0, 0)])
-    assert [tuple(r) for r in A.nearest(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, pytest.approx(2**0.5))]
+    assert [tuple(r) for r in A.nearest(df, df.where("vec_id = 0")).drop("query_no").collect()] == [(0, 1, 1, pytest.approx(2**0.5))]
     assert A.nearest(df.where("false"), df.where("false")).count() == 0
 
 
