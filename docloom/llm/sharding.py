@@ -1,13 +1,20 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
-Documents with equal texts are a group. Light groups are dealt by a hash into ``lots``, of
-which there are LOTS_PER_SHARD for each shard whatever the input; a heavy group, one with
-more than a lot's even share of the bytes, tokens or rows, is cut into lots of its own by a
-hash of its rows. At most 3 * shards * LOTS_PER_SHARD groups can be heavy, so the lots'
-sums are bounded, and only these reach the driver. There the lots, largest first, each go
-to the shard whose residual capacity has the highest dot product with the lot's vector,
-among the shards that still have the bytes. A row's slot is its place in its lot after the
-lots before it in the shard.
+Documents with equal texts are a group (two 64-bit hashes of the text; texts that clashed in
+both would share one), and a group goes to one shard whole as long as it is at most WHOLE of
+a shard's even share of the bytes, tokens and rows; a larger group is cut into as few parts as
+are within that, by a hash of its rows.
+
+Items are packed. A heavy group, one with more than an even share of 1/LOTS_PER_SHARD of a
+shard in any measure, is an item of its own (or one for each of its parts); the light groups
+are dealt by a hash of the group into LOTS_PER_SHARD lots for each shard, whatever the input.
+At most 3 * shards * LOTS_PER_SHARD groups can be heavy, so the items' sums are bounded, and
+only these reach the driver. There the items, largest first, each go to the shard whose
+residual capacity has the highest dot product with the item's vector, among the shards that
+still have the bytes. A row's slot is its place in its item after the items before it in the
+shard. Rows are numbered by windows over slices of an item (by a hash of the row) of about a
+lot's share each, whose counts are added up, so that an item of very many rows is no single
+task's.
 
 Cases: a null text is an empty one of 0 bytes; empty texts are one group like any other.
 Repeated rows are placed each on its own (a row number written with the slim table tells
@@ -25,6 +32,8 @@ from .common import materialise, table
 
 SHARDS = 40
 LOTS_PER_SHARD = 256
+#: Of a shard's even share, what a group that stays whole may have.
+WHOLE = 0.9
 ROW_BYTES = 16
 #: Weights of bytes, tokens and rows in the dot product; the law is that of bytes.
 WEIGHTS = (1.0, 0.25, 0.25)
@@ -59,7 +68,7 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, lots_per_shard: int = LOTS_PER_SHARD) -> DataFrame:
-    """doc_id, size, text_crc32, tokens, shard and slot."""
+    """doc_id, size, text_crc32, tokens, group (key, key2), shard and slot."""
     spark = docs.sparkSession
     rows = materialise(sizes(docs), "sizes")
     light = shards * lots_per_shard
@@ -67,20 +76,27 @@ def sharded(docs: DataFrame, shards: int = SHARDS, lots_per_shard: int = LOTS_PE
     share = {m: max(1.0, (total[m] or 0) / light) for m in MEASURES}
     groups = rows.groupBy("key", "key2").agg(*(F.sum(m).alias(m) for m in MEASURES))
     over = F.greatest(*(F.col(m) / share[m] for m in MEASURES))
-    heavy = [(r.key, r.key2, r.parts) for r in groups.where(over > 1).select("key", "key2", F.ceil(over).cast("int").alias("parts")).orderBy("key", "key2").collect()]
-    starts = light + np.concatenate([[0], np.cumsum([h[2] for h in heavy])]).astype(np.int64)
-    cut = spark.createDataFrame([(a, b, p, int(s)) for (a, b, p), s in zip(heavy, starts, strict=False)], "key bigint, key2 bigint, parts int, start bigint")
+    parts = F.least(F.ceil(over / (WHOLE * lots_per_shard)), F.col("one")).cast("int")
+    heavy = groups.where(over > 1).select("key", "key2", parts.alias("parts"), F.ceil(over / parts).cast("int").alias("slices")).orderBy("key", "key2").collect()
+    starts = light + np.concatenate([[0], np.cumsum([h.parts for h in heavy])]).astype(np.int64)
+    cut = spark.createDataFrame([(*h, int(s)) for h, s in zip(heavy, starts, strict=False)], "key bigint, key2 bigint, parts int, slices int, start bigint")
     own = F.col("start") + F.pmod(F.xxhash64("row_no"), F.col("parts"))
     lotted = rows.join(F.broadcast(cut), ["key", "key2"], "left").withColumn("lot", F.coalesce(own, F.pmod(F.xxhash64("key", "key2"), F.lit(light))))
-    sums = lotted.groupBy("lot").agg(*(F.sum(m).alias(m) for m in MEASURES)).orderBy("lot").collect()
+    lotted = lotted.withColumn("slice", F.pmod(F.xxhash64("row_no", F.lit(2)), F.coalesce("slices", F.lit(1))))
+    sums = lotted.groupBy("lot", "slice").agg(*(F.sum(m).alias(m) for m in MEASURES)).groupBy("lot").agg(
+        *(F.sum(m).alias(m) for m in MEASURES), F.sort_array(F.collect_list(F.struct("slice", F.col("one").alias("n")))).alias("slices")
+    )
+    sums = sums.orderBy("lot").collect()
     where = place(np.array([[r[m] for m in MEASURES] for r in sums], float).reshape(-1, 3), shards)
     base, plan = [0] * shards, []
     for r, shard in zip(sums, where.tolist(), strict=True):
-        plan.append((r.lot, shard, base[shard]))
-        base[shard] += r.one
-    lots = spark.createDataFrame(plan, "lot bigint, shard int, base bigint")
-    number = F.row_number().over(Window.partitionBy("lot").orderBy("doc_id", "row_no")) - 1
-    return lotted.withColumn("number", number).join(F.broadcast(lots), "lot").select("doc_id", "size", "text_crc32", "tokens", "shard", (F.col("base") + F.col("number")).alias("slot"))
+        for s in r.slices:
+            plan.append((r.lot, s.slice, shard, base[shard]))
+            base[shard] += s.n
+    lots = spark.createDataFrame(plan, "lot bigint, slice bigint, shard int, base bigint")
+    number = F.row_number().over(Window.partitionBy("lot", "slice").orderBy("doc_id", "row_no")) - 1
+    numbered = lotted.withColumn("number", number).join(F.broadcast(lots), ["lot", "slice"])
+    return numbered.select("doc_id", "size", "text_crc32", "tokens", "key", "key2", "shard", (F.col("base") + F.col("number")).alias("slot"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

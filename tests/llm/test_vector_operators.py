@@ -274,25 +274,66 @@ def test_audit_finds_every_fault(spark):
 # --- op9 ---
 
 
-def test_shards_are_even_and_whole(spark, odd, none):
-    r = random.Random(8)
-    rows = [(i, "hot" if i % 3 == 0 else "".join(r.choice("ab é") for _ in range(r.randrange(400)))) for i in range(3000)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(odd.select("doc_id", "text")).repartition(5)
-    out = B.sharded(df, shards=6, lots_per_shard=32).collect()
+def placed_by_definition(rows, shards):
+    """Items, largest first, each to the shard with the highest dot product that has the bytes, in plain loops."""
+    vectors = [[r[m] / max(sum(x[m] for x in rows), 1) * shards for m in range(3)] for r in rows]
+    rest, out = [[1.0] * 3 for _ in range(shards)], [0] * len(rows)
+    for i in sorted(range(len(rows)), key=lambda i: (-vectors[i][0], i)):
+        v = vectors[i]
+        able = [s for s in range(shards) if rest[s][0] >= v[0]]
+        value = lambda s: sum(w * a * b for w, a, b in zip(B.WEIGHTS, rest[s], v))
+        out[i] = max(able, key=lambda s: (value(s), -s)) if able else max(range(shards), key=lambda s: (rest[s][0], -s))
+        rest[out[i]] = [a - b for a, b in zip(rest[out[i]], v)]
+    return out
+
+
+def test_placing_by_definition():
+    r = np.random.default_rng(2)
+    for n, shards in ((1, 3), (40, 3), (200, 7)):
+        v = np.stack([2.0 ** r.integers(0, 9, n), r.integers(1, 64, n), r.integers(1, 5, n)], 1)
+        assert B.place(v, shards).tolist() == placed_by_definition(v.tolist(), shards)
+
+
+def laid_out(out, df):
+    """Rows, sizes and slots are whole; returns the bytes of each shard and the shards of each text."""
     want = Counter((x.doc_id, len((x.text or "").encode()) + 16, zlib.crc32((x.text or "").encode())) for x in df.collect())
     assert Counter((x.doc_id, x.size, x.text_crc32) for x in out) == want
-    size, count, slots = Counter(), Counter(), defaultdict(list)
+    size, slots, shards = Counter(), defaultdict(list), defaultdict(set)
     for x in out:
         size[x.shard] += x.size
-        count[x.shard] += 1
         slots[x.shard].append(x.slot)
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 6
-    small = {k: v for k, v in size.items()}
-    longest = max(len((x.text or "").encode()) for x in df.collect())
-    assert max(small.values()) - min(small.values()) <= longest
+        shards[x.key, x.key2].add(x.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return size, shards
+
+
+def test_shards_are_even_and_whole(spark, odd, none):
+    r = random.Random(8)
+    rows = [(i, "hot" if i % 3 == 0 else "".join(r.choice("ab é") for _ in range(r.randrange(400)))) for i in range(3000)]
+    rows += [(5000 + i, "copy " * (i % 7 * 20)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(odd.select("doc_id", "text").where("doc_id <> 5 OR doc_id IS NULL")).repartition(5)
+    out = B.sharded(df, shards=6, lots_per_shard=32).collect()
+    size, shards = laid_out(out, df)
+    longest = max(len((x.text or "").encode()) + 16 for x in df.collect())
+    assert len(size) == 6 and max(size.values()) - min(size.values()) <= longest
+    # a third of the rows are over a shard's share of the rows: as few parts as can be; all other groups are whole
+    assert sorted(map(len, shards.values()))[-1] <= 3 and sum(len(s) > 1 for s in shards.values()) == 1
     assert B.sharded(none).count() == 0
 
 
+def test_groups_of_the_tables_are_whole(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = B.sharded(df).collect()
+    size, shards = laid_out(out, df)
+    mean = sum(size.values()) / B.SHARDS
+    per = Counter()
+    for x in out:
+        per[x.key, x.key2] += x.size
+    assert all(len(s) == 1 for g, s in shards.items() if per[g] <= 0.8 * mean)
+    biggest = max(x.size for x in out)
+    assert max(size.values()) <= max(1.05 * mean, biggest + 0.05 * mean)
+
+
 def test_dot_product_placing():
     v = np.array([[4.0, 1, 1], [4, 1, 1], [2, 8, 1], [2, 8, 1]])
     where = B.place(v, 2)
