@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all machines share; a temporary one only where the session names none."""
+    """The folder all machines share; a temporary one only where the session names none and has one machine."""
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all machines share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
@@ -81,3 +86,44 @@ def hash_sample(df: DataFrame, total: int, rows: int, *by: str) -> DataFrame:
     draw = F.pmod(F.xxhash64(*by), F.lit(1 << 30))
     most = min(1 << 30, max(64, (2 << 30) * rows // max(1, total)))
     return df.where(draw < most).orderBy(draw, *by).limit(rows)
+
+
+def running(df: DataFrame, order: list[str], weight: str, group: str | None = None, into: str = "before", tag: str = "running") -> DataFrame:
+    """df with the sum of the weights before each row of its group, in the order given; a written table.
+
+    Rows are sorted by range over the cluster (a group may lie in many tasks; order begins with
+    it), each task sums up its own, and the sums of the tasks before, a row for each, are added.
+    Weights and groups are integers without nulls.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__task", F.spark_partition_id())
+
+    def run(batches):
+        at, held, first = 0, None, -1
+        for batch in batches:
+            w = batch.column(weight).to_numpy()
+            if not len(w):
+                continue
+            before = at + np.cumsum(w) - w
+            g = batch.column(group).to_numpy() if group else np.zeros(len(w), np.int64)
+            new = np.append(held is None or g[0] != held, g[1:] != g[:-1])
+            start = before.copy()
+            if held is None:
+                start[0] = -1  # the task before may have the group's beginning
+            last = np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))
+            own = np.where(last >= 0, start[np.maximum(last, 0)], first)
+            at, held, first = int(before[-1] + w[-1]), g[-1], int(own[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64()), pa.array(own, pa.int64())], names=[*batch.schema.names, "__before", "__first"])
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    written = materialise(rows.mapInArrow(run, shape + ", __before bigint, __first bigint"), tag)
+    ends = F.col(group) if group else F.lit(0)
+    sums = written.groupBy("__task").agg(F.sum(weight).alias("n"), F.max("__first").alias("tail"), F.min(ends).alias("lo"), F.max(ends).alias("hi"))
+    base, carried, plan = 0, (None, 0), []
+    for r in sums.orderBy("__task").collect():
+        first = carried[1] if carried[0] == r.lo else base
+        plan.append((r["__task"], base, first))
+        carried = (r.hi, first if r.tail < 0 else base + r.tail)
+        base += r.n
+    bases = df.sparkSession.createDataFrame(plan, "__task int, __base bigint, __lo bigint")
+    start = F.when(F.col("__first") < 0, F.col("__lo")).otherwise(F.col("__base") + F.col("__first"))
+    return written.join(F.broadcast(bases), "__task").select(*df.columns, (F.col("__base") + F.col("__before") - start).alias(into))

@@ -116,6 +116,63 @@ def test_line_runs_by_definition(spark, least, seed):
     assert [r["__removed"] for r in out if r.doc_id is None] == [len(gone[k])]
 
 
+def repetitive(seed, n=25):
+    r = random.Random(seed)
+    lines = [" ".join(f"w{r.randrange(9)}" for _ in range(r.randrange(1, 4))) for _ in range(6)]
+    docs = [(i, "\n".join(r.choice([*lines, "", f"own {i} {r.random()}"]) for _ in range(r.randrange(1, 25)))) for i in range(n)]
+    passage = [f"passage line {i}" for i in range(90)]  # far longer than 32 lines
+    docs += [(100, "\n".join(["a b", *passage, "c d"])), (101, "\n".join(["x y", *passage[:70], "z"])), (102, "\n".join([*passage[5:], "q"])), (103, "\n".join(["a b", *passage, "c d"]))]
+    return docs + [(104, "again\n" * 40), (105, docs[3][1]), (106, docs[3][1] + "\ntail"), (107, None), (108, "")]
+
+
+def ordered(spark, docs, least):
+    """(sequences, suffixes, lcps) of a small table, as plain rows."""
+    found = N.segments(N.materialise(N.line_table(docs), "lines"), least)
+    kept = N.sequences(found, least)
+    suffixes = N.suffix_array(kept)
+    return kept.collect(), suffixes.collect(), N.lcp_array(suffixes, kept).collect()
+
+
+@pytest.mark.parametrize("least, seed", [(1, 1), (5, 2)])
+def test_suffix_and_lcp_arrays_by_definition(spark, least, seed):
+    df = spark.createDataFrame(repetitive(seed), "doc_id bigint, text string").repartition(4)
+    kept, suffixes, lcps = ordered(spark, df, least)
+    text = {s.start + i: s.ranks[i:] for s in kept for i in range(len(s.ranks))}
+    want = sorted(text, key=lambda p: (text[p], p))
+    assert len(want) > 100 and [x.pos for x in sorted(suffixes, key=lambda x: x.idx)] == want
+    assert sorted(x.idx for x in suffixes) == list(range(len(want)))
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert [x.lcp for x in sorted(lcps, key=lambda x: x.idx)] == [0] + [common(text[a], text[b]) for a, b in zip(want, want[1:])]
+    assert max(x.lcp for x in lcps) > 60
+
+
+def test_maximal_runs(spark):
+    body = [f"line {i} of it" for i in range(40)]
+    docs = [(1, "\n".join(["one", *body, "end"])), (2, "\n".join(["two", *body[:30], "x"])), (3, "\n".join(["3", *body[10:], "y"])), (4, "alone")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.doc_id, r["at"], r.lines, r.words, r.copies) for r in N.maximal_runs(df, 50).collect()}
+    assert got == {(1, 1, 30, 120, 2), (1, 11, 30, 120, 2), (2, 1, 30, 120, 2), (3, 1, 30, 120, 2)}
+    assert N.maximal_runs(df.where("doc_id = 4")).count() == 0
+
+
+@pytest.mark.parametrize("least", [1, 6, 50])
+def test_deletions_by_definition(spark, least):
+    df = spark.createDataFrame(repetitive(7), "doc_id bigint, text string").repartition(3)
+    source = keyed(df)
+    gone = deletions(list(source.items()), least)
+    out = N.deduplicated(df, least).collect()
+    want = sorted((k[0], None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k])) for k, t in source.items())
+    assert sorted(((r.doc_id, r.text) for r in out), key=lambda x: x[0]) == want
+    assert sum(r["__removed"] for r in out) == sum(map(len, gone.values())) > 0
+
+
+def test_a_shared_short_line_stays_by_default(spark):
+    df = spark.createDataFrame([(i, f"own text {i}\nall rights reserved by someone else") for i in range(20)], "doc_id bigint, text string")
+    assert sum(r["__removed"] for r in N.deduplicated(df).collect()) == 0
+    assert sum(r["__removed"] for r in N.deduplicated(df, 6).collect()) == 19
+    assert sum(r["__removed"] for r in N.deduplicated(df, 1).collect()) == 19
+
+
 def test_line_dedupe_of_odd_rows(spark, odd, none):
     out = N.deduplicated(odd).collect()
     assert len(out) == odd.count() and set(odd.columns) < set(out[0].asDict())
