@@ -75,13 +75,71 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert empty[3] == empty[4] < 0.5
 
 
-def test_features_across_blocks(monkeypatch):
-    texts = [b"abcdefgh" * 5, None, b"", b"xyz", b"abcdefgh"]
-    whole = X.features(texts)
+def plain_grams(text):
+    """The n-grams themselves."""
+    t = " " + "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "") + " "
+    return {t[i : i + n] for n in X.ORDERS for i in range(len(t) - n + 1)}
+
+
+def hashed(gram):
+    """One n-gram's number, in plain integers."""
+    code = ord(gram[0])
+    for c in gram[1:]:
+        code = (code * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+    code = (code ^ len(gram)) * 0xBF58476D1CE4E5B9 % 2**64
+    return code ^ code >> 32
+
+
+def test_ratios_and_scores_by_definition(spark, monkeypatch):
+    r = random.Random(6)
+    say = lambda extra: " ".join(r.choice(["haus", "Straße", "ÜBER", "niño", "日本語のテ", "plain", *extra]) for _ in range(r.randrange(1, 12)))
+    rows = [(i, say(["Scumbag", "wretch"] if i % 3 == 0 else []), i % 3 == 0) for i in range(150)] + [(200, None, False), (201, "", False)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(k)) for i, _, k in rows], "doc_id bigint, toxic int")
+    monkeypatch.setattr(X, "HELD_GRAMS", 500)
+    monkeypatch.setattr(X, "BLOCK", 16)
+    model = X.fit(docs, labels)
+    learned = [(plain_grams(t), k) for i, t, k in rows if zlib.crc32(str(i).encode()) % X.FOLDS != X.HELD]
+    n = [sum(k == want for _, k in learned) for want in (False, True)]
+    counts = {}
+    for found, k in learned:
+        for g in found:
+            counts.setdefault(g, [0, 0])[k] += 1
+    want = {}
+    for g, (other, toxic) in counts.items():
+        ratio = np.log((toxic + 1) / (n[1] + 2)) - np.log((other + 1) / (n[0] + 2))
+        if toxic >= X.MIN_TOXIC and ratio > X.RATIO_FLOOR:
+            want[hashed(g)] = ratio
+    assert len(want) > 10 and model.grams.keys.tolist() == sorted(want)
+    assert np.allclose(model.ratios, [want[g] for g in sorted(want)])
+    value = dict(zip(model.grams.keys.tolist(), model.weights * model.ratios))
+    got = {x.doc_id: x.score for x in X.score(docs, model).collect()}
+    for i, t, _ in rows:
+        z = model.bias + sum(value.get(hashed(g), 0) for g in plain_grams(t))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+    assert X.ratios(X.training_texts(docs, labels), features=5)[0].size == 5
+
+
+def test_grams_across_blocks(monkeypatch):
+    texts = [b"abcdefgh" * 5, None, b"", b"xyz", "Ä日本語".encode() * 9]
+    whole = [X.every_gram(t) for t in texts]
     monkeypatch.setattr(X, "BLOCK", 7)
-    assert all(np.array_equal(a, b) for a, b in zip(X.features(texts), whole))
-    owner, place = X.features([b"abc"])
-    assert len(place) == len(set(place)) and set(owner) == {0}
+    assert all(np.array_equal(a, X.every_gram(t)) for a, t in zip(whole, texts))
+    assert [sorted(map(hashed, plain_grams((t or b"").decode()))) for t in texts] == [w.tolist() for w in whole]
+    known = X.Grams(whole[0])
+    assert len(known.of(texts[0])) == len(whole[0]) and len(known.of(texts[1])) == 0
+
+
+def test_scores_of_very_long_texts(spark):
+    """Megabytes of clean words stay clean, and chance features don't add up; a long text of toxic ones is found."""
+    r = random.Random(9)
+    base = [prose(r, ["re", "in", "tion", "ea", "th", "ou", "qu"], 1) for _ in range(400)]
+    rows = [(i, " ".join([r.choice(base) for _ in range(40)] + (["Scumbag"] if i % 5 == 0 else []))) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = X.fit(docs, spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id bigint, toxic int"))
+    clean = " ".join(r.choice(base) for _ in range(200_000))
+    assert len(clean) > 1_000_000
+    assert model.scores([clean.encode()])[0] < 0.5 and model.scores([b"Scumbag " * 100_000])[0] > 0.5
 
 
 def test_fold_columns(spark, sf):
