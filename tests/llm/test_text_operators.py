@@ -226,6 +226,39 @@ def test_clean_keeps_columns(spark, odd):
 
 
 def test_shift_tables_skip():
-    s = D.Searcher({(b"a", b"b", b"c", b"d"): [0]})
-    assert s.shift == {(b"a", b"b"): 2, (b"b", b"c"): 1, (b"c", b"d"): 0} and s.most == 3
-    assert list(s.occurrences([b"x", b"a", b"b", b"c", b"d", b"d"])) == [(1, [0])]
+    found = D.Searchers([("x", b"a b c d")], 10)
+    (s,) = found.all
+    block = lambda a, b: s.shift[D.crc32(b, D.crc32(a)) & s.mask]
+    assert (block(b"a", b"b"), block(b"b", b"c"), block(b"c", b"d"), s.most) == (2, 1, 0, 3)
+    assert block(b"q", b"q") == 3
+    assert found.find([b"x", b"a", b"b", b"c", b"d", b"d"]) == ([(1, 5)], ["x"])
+
+
+def test_blocks_that_share_a_checksum(monkeypatch):
+    """With one checksum for all blocks every place is compared, and the results stay."""
+    r = random.Random(8)
+    say = lambda n: " ".join(r.choice("abc") for _ in range(n)).encode()
+    items, text = [(str(i), say(r.randrange(1, 9))) for i in range(30)], D.words(say(200))
+    want = D.Searchers(items, 5).find(text)
+    monkeypatch.setattr(D, "crc32", lambda w, s=0: 7)
+    assert D.Searchers(items, 5).find(text) == want and want[1]
+
+
+def test_long_items_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(D, "PIECE_WORDS", 7)
+    body = " ".join(f"w{i}" for i in range(60))
+    bench = spark.createDataFrame([(1, body), (2, "w1 w2 w3")], "item_id bigint, text string")
+    df = spark.createDataFrame([(1, "x " + body + " y"), (2, " ".join(f"w{i}" for i in range(20, 31))), (3, "w1 w2 w4")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in D.contamination(df, bench).collect()}
+    assert got == {1: (60, 2), 2: (11, 1), 3: (0, 0)}
+
+
+def test_memory_of_the_tables():
+    """Four megabytes of benchmark text in at most 60 MB of tables."""
+    import pickle
+
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(30000)]
+    items = [(str(i), " ".join(r.choices(vocabulary, k=700)).encode()) for i in range(1000)]
+    assert sum(len(t) for _, t in items) > 4_000_000
+    assert len(pickle.dumps(D.Searchers(items, 10), 5)) < 60 << 20
