@@ -35,6 +35,18 @@ def test_labels_held_out_are_not_learned(spark):
     assert G.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).classes == ["yy"]
 
 
+def test_many_languages_are_all_learned(spark):
+    rows = [(i, f"text {i % 300} " * 3, f"l{i % 300}") for i in range(1200)]
+    assert len(G.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).classes) == 300
+
+
+def test_very_long_and_empty_training_texts(spark):
+    rows = [(i, ("ka ko " if i % 2 else "der die ") * (400_000 if i < 6 else 5) if i % 7 else "", "aa" if i % 2 else "bb") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = {r.doc_id: r for r in G.classify(df, G.fit(df)).collect()}
+    assert all(out[i].lang_pred == (lang if text else "und") for i, text, lang in rows)
+
+
 def test_folded_tables_are_the_convolution():
     net = G.ByteNet(["a", "b"])
     x = np.random.default_rng(2).integers(0, 256, (3, G.WINDOW)).astype(np.uint8)

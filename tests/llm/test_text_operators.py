@@ -29,10 +29,11 @@ def licences(text):
         if at:
             base.add(label)
     best, more = 0.0, set()
-    for i in range(0, max(1, len(w)), L.BLOCK // 2):
-        block = set(w[i : i + L.BLOCK])
-        for label, t in L.TEMPLATES:
-            t = set(t.split())
+    for label, t in L.TEMPLATES:
+        step = 24 if len(words(t)) <= 24 else 48 if len(words(t)) <= 48 else 96 if len(words(t)) <= 96 else 192
+        t = set(words(t))
+        for i in range(0, max(1, len(w)), step):
+            block = set(w[i : i + 2 * step])
             if len(block & t) >= L.THRESHOLD * len(t) - 1e-9:
                 more.add(label)
                 best = max(best, len(block & t) / len(t))
@@ -45,6 +46,7 @@ def test_licences_by_definition(spark, odd, none):
     texts = [
         "Apache License", "apache, LICENSE; mit-license", "MIT LicenseX", "xmit license", "Licensed under CC BY-NC 4.0.", "Released under the license", fill(300),
         fill(100) + "\nPermission is hereby granted, free of charge,\nto any person obtaining a copy of this software and " + fill(90), "gnu general public license " * 3,
+        fill(70) + " " + L.TEMPLATES[-2][1].lower() + " " + fill(5), L.TEMPLATES[-3][1], L.TEMPLATES[-1][1].replace("fee", "charge"), "\u212a license Apache L\u0130cense apache l\u0131cense",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that", "é cc by é", "", None, "...",
     ]
     df = odd.select("doc_id", "text", "label").unionByName(spark.createDataFrame([(100 + i, t, 0) for i, t in enumerate(texts)], "doc_id bigint, text string, label int"))
@@ -64,9 +66,15 @@ def test_overlapping_phrases(spark):
     assert (r.n_base, r.first_word, r.last_word) == (2, 0, 2)
 
 
-def test_templates_are_bounded(odd):
+def test_templates_from_a_table(spark, odd):
+    long = " ".join(f"term{i}" for i in range(700))
+    table = spark.createDataFrame([("own", long), ("tiny", "x"), ("none", "..."), (None, "a"), ("null", None)], "label string, text string")
+    df = spark.createDataFrame([(1, "pre " * 500 + long.upper() + " post" * 300), (2, long[: len(long) // 2]), (3, "X!")], "doc_id bigint, text string")
+    got = {r.doc_id: r.labels for r in L.scan(df, templates=L.templates_of(table)).collect()}
+    assert got == {1: "own", 2: "", 3: "tiny"}
+    assert L.scan(odd, templates=()).count() == odd.count()
     with pytest.raises(ValueError):
-        L.scan(odd, templates=(("x", "w " * 40),))
+        L.scan(odd, templates=(("x", " ".join(f"w{i}" for i in range(L.MOST_TEMPLATE_TOKENS + 1))),))
 
 
 # --- op2 ---
