@@ -215,11 +215,12 @@ def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     kept = found.groupBy("root").agg(F.min(order).alias("first"))
     kept = kept.select(F.col("first.doc_id").alias("__id"), F.col("first.row_key").alias("__key"))
-    rows = docs.withColumn("__row", row_key())
-    joined = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__id"]) & (rows["__row"] == kept["__key"]), "left_semi")
+    names = docs.columns
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), row_key().alias("row_key"))
+    joined = rows.join(kept, rows["doc"]["doc_id"].eqNullSafe(kept["__id"]) & (rows["row_key"] == kept["__key"]), "left_semi")
     if not found.groupBy("doc_id", "row_key").count().where("count > 1").isEmpty():
-        joined = joined.dropDuplicates(["doc_id", "__row"])  # whole texts are dealt out once more only if rows repeat
-    return joined.drop("__row")
+        joined = joined.withColumn("doc_id", F.col("doc.doc_id")).dropDuplicates(["doc_id", "row_key"])  # whole texts are dealt out once more only if rows repeat
+    return joined.select(*(F.col("doc").getField(c).alias(c) for c in names))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
