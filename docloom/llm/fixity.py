@@ -26,13 +26,12 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, table
+from .common import materialise, running, table
 
 RANGE_BYTES = 1 << 18
 FANOUT = 16
@@ -54,23 +53,10 @@ def manifest(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), record().alias("r")).select(
         F.col("page_id").cast("bigint").alias("page_id"), "url", F.octet_length("r").cast("bigint").alias("record_length"), F.sha2("r", 256).alias("sha256")
     )
-    rows = rows.repartitionByRange("page_id", "url", "sha256").sortWithinPartitions("page_id", "url", "sha256").withColumn("task", F.spark_partition_id())
-
-    def run(batches):
-        at = 0
-        for batch in batches:
-            length = batch.column("record_length").to_numpy()
-            ends = at + np.cumsum(length)
-            at = int(ends[-1]) if len(ends) else at
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - length)], names=[*batch.schema.names, "local"])
-
-    rows = materialise(rows.select("page_id", "url", "record_length", "sha256", "task").mapInArrow(run, "page_id bigint, url string, record_length bigint, sha256 string, task int, local bigint"), "manifest")
-    base, table_ = 0, []
-    for r in rows.groupBy("task").agg(F.sum("record_length").alias("n")).orderBy("task").collect():  # a row for each task
-        table_.append((r.task, base))
-        base += r.n
-    bases = pages.sparkSession.createDataFrame(table_, "task int, base bigint")
-    return rows.join(F.broadcast(bases), "task").select("page_id", "url", (F.col("base") + F.col("local")).alias("record_offset"), "record_length", "sha256")
+    # the row's number deals out rows that repeat all three
+    order = ["page_id", "url", "sha256", "row_no"]
+    rows = running(rows.withColumn("row_no", F.monotonically_increasing_id()), order, "record_length", into="record_offset", tag="manifest")
+    return rows.select("page_id", "url", "record_offset", "record_length", "sha256")
 
 
 def leaves(records: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
