@@ -6,6 +6,8 @@ import os
 from dataclasses import dataclass, fields
 
 PREFIX = "DOCLOOM_"
+#: What a question is embedded with. Fixed value.
+EMBED_INSTRUCTION = "为这个句子生成表示以用于检索相关文章："
 
 #: default, lowest, highest (None: no bound). Fixed values.
 RANGES: dict[str, tuple[float, float | None, float | None]] = {

@@ -171,8 +171,8 @@ def file_size(n: str | Column) -> Column:
 
 
 #: Words for true and false in case files. Fixed values.
-TRUE_WORDS = ("1", "true", "yes", "y", "on", "是", "开", "启用")
-FALSE_WORDS = ("0", "false", "no", "n", "off", "否", "关", "禁用")
+TRUE_WORDS = ("1", "true", "yes", "y", "on", "是")
+FALSE_WORDS = ("0", "false", "no", "n", "off", "否")
 
 
 def as_bool(c: str | Column, default: bool = False) -> Column:
@@ -197,3 +197,31 @@ def pdf_error(name: Column, message: Column) -> Column:
     for pattern, said in reversed(PDF_ERRORS):
         out = F.when(blob.rlike(pattern), said).otherwise(out)
     return out
+
+
+#: What an error's text says, and the message shown in its place, in this order. Fixed values.
+CANCELLED = "请求已取消"
+UNREACHABLE = "无法连接 AI 服务，请确认服务已启动"
+SERVICE_ERROR = "服务异常，请稍后重试"
+TECHNICAL = r"(?i)\berror code:\s*\d+|\b(返回|failed|status)\s*[:：]?\s*\d{3}\b|\(\s*\d{3}\s*\)"
+TECHNICAL_WORDS = r"(?i)返回|failed|status|code|gateway"
+SERVICES = (("摘要", "摘要服务异常"), ("(?i)文档|处理|vector|embedding", "文档处理服务异常"), ("(?i)问答|ask", "问答服务异常"))
+FIELD_NAMES = r"(?i)\b(doc_id|docId|taskId|question|messages|AbortError)\b|error code:\s*\d+"
+CHINESE = "[\u4e00-\u9fff]"
+
+
+def client_error(c: str | Column, fallback: str = SERVICE_ERROR) -> Column:
+    """What a user is told of an internal error: no codes, no English, no names of fields."""
+
+    def said(s: Column) -> Column:
+        technical = s.rlike(TECHNICAL) | (s.rlike(r"\b\d{3}\b") & s.rlike(TECHNICAL_WORDS))
+        service = F.lit(fallback)
+        for pattern, message in reversed(SERVICES):
+            service = F.when(s.rlike(pattern), message).otherwise(service)
+        bare = ws_trim(F.regexp_replace(F.regexp_replace(s, FIELD_NAMES, ""), r"(?U)\s{2,}", " "))
+        return (
+            F.when(s == "", fallback).when(s.rlike("(?i)abort"), CANCELLED).when(s.rlike("(?i)fetch failed|ECONNREFUSED|ENOTFOUND|network"), UNREACHABLE)
+            .when(technical, service).when(~s.rlike(CHINESE), fallback).otherwise(F.when(bare.rlike(CHINESE), bare).otherwise(fallback))
+        )
+
+    return let(ws_trim(c), said)

@@ -17,13 +17,14 @@ from .retrieval import distance
 FAILED_SUMMARIES = ("AI 摘要生成失败", "AI 摘要生成超时", "文件内容提取失败", "请求已取消")
 #: What an error says, in this order, and what the user is told. Fixed values.
 ERRORS = (
-    ("502|bad gateway", "AI 摘要生成失败：模型服务不可用"),
-    ("503|service unavailable", "AI 摘要生成失败：模型服务繁忙或未就绪，请稍后重试"),
-    ("404|not found", "AI 摘要生成失败：模型不存在"),
-    ("connect|refused", "AI 摘要生成失败：无法连接模型服务"),
+    ("502|bad gateway", "AI 摘要生成失败：LM Studio 服务不可用，请启动 Local Server 并加载模型"),
+    ("503|service unavailable", "AI 摘要生成失败：LM Studio 服务繁忙或未就绪，请稍后重试"),
+    ("404|not found", "AI 摘要生成失败：模型不存在，请检查 LM Studio 中是否已加载对应模型"),
+    ("connection|refused|connect", "AI 摘要生成失败：无法连接 LM Studio，请确认 Local Server 已启动"),
     ("timeout|timed out", "AI 摘要生成超时"),
+    ("error code", "AI 摘要生成失败：LM Studio 调用异常，请检查服务与模型是否就绪"),
 )
-OTHER_ERROR = "AI 摘要生成失败：请检查模型服务"
+OTHER_ERROR = "AI 摘要生成失败：请检查 LM Studio 是否已启动并加载模型"
 NOTHING_CLOSE = "未找到与问题足够相关的内容，请换种问法或换个角度描述。"
 NO_DOCUMENT = "未找到相关文档内容，请先上传文档。"
 CONTENTS = ("目录", "CONTENTS", "Contents", "目 录")

@@ -30,15 +30,15 @@ def delete_documents(chunks: DataFrame, gone: DataFrame, key: str = "doc_id") ->
 
 
 def upsert(rows: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """One row a key; a new one takes an old one's place, the last of several new ones by batch_no."""
+    """One row a key; a new one takes an old one's place, the last of several new ones by batch_no (of equal ones, by a hash of the row)."""
     both = union([rows.withColumn("batch_no", F.lit(-1).cast("bigint")), new if "batch_no" in new.columns else new.withColumn("batch_no", F.lit(0).cast("bigint"))])
-    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("batch_no")))
+    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("batch_no"), F.xxhash64(*both.columns)))
     return both.withColumn("__no", last).where("__no = 1").drop("__no", "batch_no")
 
 
 def insert_or_ignore(registry: DataFrame, new: DataFrame) -> DataFrame:
-    """Ids that aren't there yet, with their first time."""
-    first = new.groupBy("doc_id").agg(F.min("created_at").alias("created_at"))
+    """Ids that aren't there yet, with their first time. A null id is none."""
+    first = new.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("created_at").alias("created_at"))
     return union([registry, first.join(registry.select("doc_id"), "doc_id", "left_anti")])
 
 
@@ -86,6 +86,12 @@ def cascade_delete(conversations: DataFrame, registry: DataFrame, chunks: DataFr
     }
 
 
+def cascade_counts(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+    """name and n_deleted: how many rows of each table went; 0 where nothing changed."""
+    sides = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), (F.col("n") * sign).alias("n")) for tables, sign in ((before, 1), (after, -1)) for name, t in tables.items()]
+    return union(sides).groupBy("name").agg(F.sum("n").alias("n_deleted"))
+
+
 def keep_set(conversations: DataFrame, registry: DataFrame, now: Column, hours: int = 12) -> DataFrame:
     """Ids that a conversation refers to, or that were registered within the hours (strictly, in whole seconds)."""
     fresh = F.date_trunc("second", "created_at") > F.date_trunc("second", now) - F.make_interval(hours=F.lit(hours))

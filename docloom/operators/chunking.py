@@ -38,21 +38,25 @@ def split_after(s: Column, separator: str) -> Column:
 
 
 def merge_pieces(pieces: Column, size: int) -> Column:
-    """Neighbours joined while they fit."""
+    """Neighbours joined while they fit. The open chunk stands beside the done ones, which grow by one for each chunk only."""
+    start = F.struct(_empty().alias("done"), F.lit("").alias("last"))
 
-    def step(done: Column, p: Column) -> Column:
-        last = F.element_at(done, -1)
-        fits = (F.size(done) > 0) & (F.length(last) + F.length(p) <= size)
-        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(last, p)))).otherwise(F.concat(done, F.array(p)))
+    def step(a: Column, p: Column) -> Column:
+        fits = (a["last"] == "") | (F.length(a["last"]) + F.length(p) <= size)
+        return F.when(fits, F.struct(a["done"].alias("done"), F.concat(a["last"], p).alias("last"))).otherwise(F.struct(F.array_append(a["done"], a["last"]).alias("done"), p.alias("last")))
 
-    return F.aggregate(F.filter(pieces, lambda p: p != ""), _empty(), step)
+    return F.aggregate(F.filter(pieces, lambda p: p != ""), start, step, lambda a: F.when(a["last"] == "", a["done"]).otherwise(F.array_append(a["done"], a["last"])))
 
 
 def hard_cut(s: Column, size: int, overlap: int = 0) -> Column:
-    """Windows of size characters; the last is the first that reaches the end."""
+    """Windows of size characters; the last is the first that reaches the end.
+
+    By one pass of an expression that looks size characters ahead and moves on by size less overlap.
+    """
     step = max(1, size - max(0, overlap))
-    last = F.greatest(F.ceil((F.length(s) - size) / float(step)), F.lit(0)).cast("int") * step
-    return F.when(F.length(s) == 0, _empty()).otherwise(F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.substring(s, i + 1, F.lit(size))))
+    found = F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), 1)
+    n = F.greatest(F.ceil((F.length(s) - size) / float(step)), F.lit(0)).cast("int") + 1
+    return F.when(F.length(s) == 0, _empty()).otherwise(F.slice(found, F.lit(1), n))
 
 
 def with_overlap(chunks: Column, overlap: int, size: int) -> Column:
@@ -75,11 +79,15 @@ def merge_tiny(chunks: Column, least: int) -> Column:
     if least <= 1:
         return F.filter(F.transform(chunks, ws_trim), lambda c: c != "")
 
-    def step(done: Column, c: Column) -> Column:
-        short = (F.size(done) > 0) & (F.length(c) < least)
-        return F.when(short, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(ws_trim(F.concat(F.element_at(done, -1), c))))).otherwise(F.concat(done, F.array(c)))
+    start = F.struct(_empty().alias("done"), F.lit("").alias("last"))
+
+    def step(a: Column, c: Column) -> Column:
+        first, short = a["last"] == "", F.length(c) < least
+        joined = F.struct(a["done"].alias("done"), F.when(first, c).otherwise(ws_trim(F.concat(a["last"], c))).alias("last"))
+        return F.when(first | short, joined).otherwise(F.struct(F.array_append(a["done"], a["last"]).alias("done"), c.alias("last")))
 
-    return F.aggregate(F.filter(F.transform(chunks, ws_trim), lambda c: c != ""), _empty(), step)
+    full = F.filter(F.transform(chunks, ws_trim), lambda c: c != "")
+    return F.aggregate(full, start, step, lambda a: F.when(a["last"] == "", a["done"]).otherwise(F.array_append(a["done"], a["last"])))
 
 
 def with_recursive_chunks(df: DataFrame, text: str | Column, into: str, size: int = 300, overlap: int = 50, least: int = 90, separators=SEPARATORS) -> DataFrame:
@@ -140,27 +148,13 @@ def structural_units(text: str | Column) -> Column:
 
 
 def hard_split(s: Column, size: Column) -> Column:
-    """Pieces of at most size characters, cut after the last comma or blank in the last two thirds."""
-    start = F.struct(_empty().alias("done"), s.alias("rest"))
-
-    def cut(a: Column) -> Column:
-        """Where the next piece ends: the length up to the last comma or blank, where that is long enough."""
-        kept = F.length(F.regexp_extract(F.substring(a["rest"], F.lit(1), size), r"(?s)^.*[，、, ]", 0))
-        return let(kept, lambda at: F.when((F.length(a["rest"]) > size) & (at - 1 >= F.floor(size / 3)), at).otherwise(size).cast("int"))
-
-    def step(a: Column, _: Column) -> Column:
-        def moved(end: Column) -> Column:
-            rest = F.substring(a["rest"], end + 1, F.length(a["rest"]))
-            done = let(ws_trim(F.substring(a["rest"], F.lit(1), end)), lambda p: F.when(p == "", a["done"]).otherwise(F.concat(a["done"], F.array(p))))
-            return F.struct(done.alias("done"), rest.alias("rest"))
-
-        return F.when(a["rest"] == "", a).otherwise(let(cut(a), moved))
-
-    # a cut moves by a third of the size at least
-    rounds = F.sequence(F.lit(1), F.ceil(3.0 * F.length(s) / size).cast("int") + 1)
-    return F.aggregate(rounds, start, step, lambda a: a["done"])
+    """Pieces of at most size characters, cut after the last comma or blank in the last two thirds, where more follows than fits."""
+    n = lambda x: x.cast("int").cast("string")
+    pattern = F.concat(F.lit("(?s)(?=.{"), n(size + 1), F.lit("}).{"), n(F.floor(size / 3)), F.lit(","), n(size - 1), F.lit("}[，、, ]|.{1,"), n(size), F.lit("}"))
+    return _trimmed(F.regexp_extract_all(s, pattern, 0))
 
 
+#: Where a sentence ends. Fixed value.
 SENTENCE = r"(?<=[。！？；.!?;])(?U)\s*"
 
 

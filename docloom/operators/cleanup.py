@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from docloom.functions.text import exploded, text, ws_trim
@@ -16,32 +16,48 @@ from docloom.functions.text import exploded, text, ws_trim
 CITATION = r"[（(]第\s*\d+(?:\s*[、,，\-–—]\s*\d+)*\s*页[）)]"
 INVISIBLE = "[\u200b\u200c\u200d\ufeff\u00a0]"
 LIST_MARK = r"^[\-\*\d\.、•]+"
+SENTENCE_END = r"(?<=[。！？；])"
 
 
-def nfkc(c: Column) -> Column:
-    @F.pandas_udf(StringType())
-    def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+ASCII_ONLY = r"^[\x00-\x7F]*$"
 
-    return run(c)
 
+@F.pandas_udf(StringType())
+def _nfkc(batch: pd.Series) -> pd.Series:
+    return batch.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
-def line_key(c: str | Column, normal: bool = True) -> Column:
-    """What two lines that say the same have in common. normal: the text is in NFKC already."""
-    s = text(c) if normal else nfkc(text(c))
+
+@F.pandas_udf(ArrayType(StringType()))
+def _nfkc_each(batch: pd.Series) -> pd.Series:
+    return batch.map(lambda xs: [unicodedata.normalize("NFKC", x) for x in xs], na_action="ignore")
+
+
+def nfkc(c: str | Column) -> Column:
+    """Compatibility form; a text in ASCII is its own, and nothing of it goes to Python."""
+    s = text(c)
+    return F.coalesce(_nfkc(F.when(~s.rlike(ASCII_ONLY), s)), s)
+
+
+def _bare(s: Column) -> Column:
     for pattern in (INVISIBLE, CITATION, r"(?U)\s+", LIST_MARK):
         s = F.regexp_replace(s, pattern, "")
     return s
 
 
+def line_key(c: str | Column) -> Column:
+    """What two lines that say the same have in common, full-width and half-width forms included."""
+    return _bare(nfkc(c))
+
+
 def exploded_lines(df: DataFrame, key: str, column: str = "text") -> DataFrame:
     return exploded(df, F.split(text(column), "\n"), "at", "line", key)
 
 
 def collapse_sentences(c: str | Column) -> Column:
     """Without a sentence whose key equals that of the last one with a key."""
-    parts = F.split(text(c), r"(?<=[。！？；])")
-    keyed = F.transform(parts, lambda p: F.struct(p.alias("p"), line_key(p).alias("k")))
+    parts = F.split(text(c), SENTENCE_END)
+    normal = F.coalesce(_nfkc_each(F.when(~text(c).rlike(ASCII_ONLY), parts)), parts)
+    keyed = F.zip_with(parts, normal, lambda p, n: F.struct(p.alias("p"), _bare(n).alias("k")))
     start = F.struct(F.lit("").alias("out"), F.lit("").alias("key"))
 
     def step(a: Column, x: Column) -> Column:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import ratio, squeeze
+from docloom.config import Config
+from docloom.functions.text import ratio, squeeze, ws_trim
+
+from . import retrieval
 
 METRICS = ("page_recall", "page_precision", "text_recall", "text_precision")
 
@@ -35,6 +38,23 @@ def metrics(cases: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
+#: What is wrong with a case. Fixed values.
+INCOMPLETE, NO_VECTORS = "缺少 question/问题 或 doc_id/文档ID", "文档无向量 doc_id="
+
+
+def with_errors(cases: DataFrame, chunks: DataFrame) -> DataFrame:
+    """cases (question, doc_id, ...) with error: incomplete, or of a document without chunks; null for a case to be run."""
+    have = chunks.select("doc_id").distinct().withColumn("__has", F.lit(True))
+    said = F.when((ws_trim("question") == "") | (ws_trim(F.col("doc_id").cast("string")) == ""), INCOMPLETE)
+    said = said.when(F.col("__has").isNull(), F.concat(F.lit(NO_VECTORS), F.col("doc_id").cast("string")))
+    return cases.join(have, "doc_id", "left").withColumn("error", said).drop("__has")
+
+
+def pool_and_final(questions: DataFrame, chunks: DataFrame, config: Config = Config(), **options) -> tuple[DataFrame, DataFrame]:
+    """A search's hits before and after the cut to the top k; what ``retrieval.search`` takes."""
+    return tuple(retrieval.search(questions, chunks, config, cut=cut, **options) for cut in ("fetch_k", "final_k"))
+
+
 def verdict(recall_off: Column, recall_on: Column, precision_off: Column, precision_on: Column) -> Column:
     """improve, worse or tie: recall first, then precision."""
     better = (recall_on > recall_off) | ((recall_on == recall_off) & (precision_on > precision_off))

@@ -75,3 +75,16 @@ def _distinct_lines(text: str | None) -> str:
 
 def _close(a: str, b: str) -> bool:
     return 2 * min(len(a), len(b)) >= 0.9 * (len(a) + len(b)) and SequenceMatcher(None, a, b).ratio() >= 0.9
+
+
+def image_coverage(boxes: str | Column, width: Column, height: Column) -> Column:
+    """Share of a page that its images' boxes (x0, y0, x1, y1) take, from 0 to 1; 0 for a page without an area."""
+    boxes = F.col(boxes) if isinstance(boxes, str) else boxes
+    area = F.abs(width.cast("double") * height.cast("double"))
+    images = F.aggregate(boxes, F.lit(0.0), lambda a, b: a + F.abs((b["x1"] - b["x0"]).cast("double") * (b["y1"] - b["y0"]).cast("double")))
+    return F.when(area > 1e-6, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(images, F.lit(0.0)) / area))).otherwise(0.0)
+
+
+def ocr_text(boxes: str | Column) -> Column:
+    """Recognised boxes (text, y, x) as text in reading order, each line once."""
+    return dedupe_lines(reading_order(boxes))

@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.functions.scores import bigram_score
-from docloom.functions.text import clip, exploded, fact_key, fact_lines, fact_text, is_pinned, sentences, stable_id, turn_line, ws_trim
+from docloom.config import EMBED_INSTRUCTION
+from docloom.functions.scores import bigram_score, dot
+from docloom.functions.text import clip, exploded, fact_key, fact_lines, fact_text, is_pinned, query_for_embedding, sentences, stable_id, text, turn_line, ws_trim
 
 #: (prompt, most tokens) -> answer
 ChatFn = Callable[[str, int], str]
 
+#: Up to so many lines are scored by wording alone.
+BY_WORDING = 24
 #: Answers that mean that there are no facts. Fixed values.
 NO_FACTS = ("无", "（无）", "无。", "暂无", "没有")
 
@@ -23,7 +26,7 @@ def normalised(messages: DataFrame) -> DataFrame:
     """Turns of user and assistant with a text, numbered from 0 in each conversation (pos), and the number of them (n)."""
     rows = messages.where(F.col("role").isin("user", "assistant") & (ws_trim("content") != "")).withColumn("content", ws_trim("content"))
     by = Window.partitionBy("conv_id")
-    return rows.withColumn("pos", F.row_number().over(by.orderBy("turn")) - 1).withColumn("n", F.count("*").over(by))
+    return rows.withColumn("pos", F.row_number().over(by.orderBy("turn", "role", "content")) - 1).withColumn("n", F.count("*").over(by))
 
 
 def recent(messages: DataFrame, keep: int) -> DataFrame:
@@ -94,10 +97,22 @@ def _within(facts: Column, max_chars: int) -> Column:
     return F.when(F.length(line(facts)) <= max_chars, line(facts)).otherwise(shortest(facts))
 
 
-def relevant_facts(rows: DataFrame, key: str, question: str, facts: str, k: int = 5, max_chars: int = 600) -> DataFrame:
+def with_scores(units: DataFrame, key: str, question: str, unit: str, embed: Callable[[Column], Column] | None = None, most: int = BY_WORDING) -> DataFrame:
+    """Adds score, how like the question a unit is: by wording; by vectors (embed: text -> vector) where the key has over ``most`` units."""
+    wording = F.when(F.col(question) == "", 0.0).otherwise(bigram_score(question, unit))
+    if embed is None:
+        return units.withColumn("score", wording)
+    units = units.withColumn("__many", F.count("*").over(Window.partitionBy(key)) > most)
+    many = F.col("__many") & (F.col(question) != "")
+    # blank texts are cheap to the model: only what is scored by vectors goes there
+    units = units.withColumn("__q", embed(F.when(many, query_for_embedding(question, EMBED_INSTRUCTION)).otherwise(""))).withColumn("__u", embed(F.when(many, F.col(unit)).otherwise("")))
+    return units.withColumn("score", F.when(many, dot(F.col("__q"), F.col("__u"))).otherwise(wording)).drop("__many", "__q", "__u")
+
+
+def relevant_facts(rows: DataFrame, key: str, question: str, facts: str, k: int = 5, max_chars: int = 600, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """key, facts: pinned lines and the k others most like the question, in that order, once each."""
     lines = exploded(rows, fact_lines(facts), "at", "line", key, ws_trim(question).alias("q"))
-    lines = lines.withColumn("pinned", is_pinned("line")).withColumn("score", F.when(F.col("q") == "", 0.0).otherwise(bigram_score("q", "line")))
+    lines = with_scores(lines.withColumn("pinned", is_pinned("line")), key, "q", "line", embed)
     best = F.row_number().over(Window.partitionBy(key, "pinned").orderBy(F.desc("score"), "at"))
     lines = lines.withColumn("no", best).where(F.col("pinned") | (F.col("no") <= k))
     lines = lines.withColumn("place", F.when(F.col("pinned"), F.col("at")).otherwise(F.col("no")))
@@ -108,12 +123,12 @@ def relevant_facts(rows: DataFrame, key: str, question: str, facts: str, k: int
     return rows.select(key).distinct().join(picked, key, "left").select(key, F.coalesce("facts", F.lit("")).alias("facts"))
 
 
-def relevant_summary(rows: DataFrame, key: str, question: str, summary: str, n: int = 3, max_chars: int = 500) -> DataFrame:
+def relevant_summary(rows: DataFrame, key: str, question: str, summary: str, n: int = 3, max_chars: int = 500, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """key, summary: the n sentences most like the question in their own order; a short summary whole."""
     units = rows.select(key, ws_trim(question).alias("q"), ws_trim(summary).alias("s"))
     units = exploded(units, sentences("s"), "at", "unit", "*").withColumn("units", F.count("*").over(Window.partitionBy(key)))
-    best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(bigram_score("q", "unit")), "at"))
-    picked = units.where((F.col("units") > n) & (F.col("q") != "")).withColumn("no", best).where(F.col("no") <= n)
+    best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "at"))
+    picked = with_scores(units.where((F.col("units") > n) & (F.col("q") != "")), key, "q", "unit", embed).withColumn("no", best).where(F.col("no") <= n)
     ended = F.when(F.right("unit", F.lit(1)).isin("。", "！", "？", ";", "；"), F.col("unit")).otherwise(F.concat("unit", F.lit("。")))
     out = picked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", ended.alias("u")))).alias("l"))
     out = out.select(key, clip(F.regexp_replace(F.array_join(F.transform("l", lambda x: x["u"]), ""), "。{2,}", "。"), max_chars).alias("__picked"))
@@ -149,6 +164,32 @@ def merged_summary(previous: Column, block: Column, chat_fn: ChatFn | None = Non
     return F.substring(F.when(answer == "", both).otherwise(answer), 1, max_chars)
 
 
+def compressed(messages: DataFrame, state: DataFrame, keep: int, chat_fn: ChatFn | None = None, facts_chars: int = 2000, summary_chars: int = 1200, facts_prompt=None, summary_prompt=None) -> DataFrame:
+    """The state (conv_id, covered, memory_summary, memory_facts) after what has left the window since goes into summary and facts.
+
+    A conversation without new overflow keeps its summary and facts. The prompts are functions
+    of columns, (facts so far, block) and (summary so far, block); chat_fn's failures leave the
+    block itself in the summary and add no facts. The overflowing turns' records for later
+    search are ``overflow_records`` with the same state.
+    """
+    new = overflow(messages, keep, state)
+    block = new.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", turn_line(F.col("role"), F.col("content")).alias("line")))).alias("l"))
+    block = block.select("conv_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("__block"))
+    ends = normalised(messages).groupBy("conv_id").agg(F.greatest(F.max("n") - keep, F.lit(0)).cast("int").alias("__end"))
+    rows = ends.join(state, "conv_id", "full").join(block, "conv_id", "left")
+    facts, summary, more = text("memory_facts"), text("memory_summary"), F.col("__block")
+    if chat_fn is None:
+        new_facts = facts
+    else:
+        prompt = facts_prompt(facts, more) if facts_prompt else more
+        new_facts = merged_facts(facts, extracted_facts(F.when(more.isNotNull(), prompt).otherwise(""), chat_fn), facts_chars)
+    new_summary = merged_summary(summary, text("__block"), chat_fn, summary_chars, summary_prompt(summary, more) if summary_prompt else None)
+    some = more.isNotNull()
+    return rows.select(
+        "conv_id", F.coalesce("__end", F.lit(0)).alias("covered"), F.when(some, new_summary).otherwise(summary).alias("memory_summary"), F.when(some, new_facts).otherwise(facts).alias("memory_facts")
+    )
+
+
 def rewritten_question(question: Column, needs: Column, has_context: Column, prompt: Column, chat_fn: ChatFn) -> Column:
     """A model's standalone question where one is needed; blank or over 500 characters keeps the old one."""
     answer = F.regexp_replace(_chat(chat_fn, 120)(F.when(needs & has_context, prompt).otherwise("")), "^[「」\"'\\s]+|[「」\"'\\s]+$", "")
@@ -160,6 +201,16 @@ def final_turns(messages: DataFrame, keep: int = 4, chars: int = 200) -> DataFra
     return recent(messages, keep).withColumn("content", clip("content", chars))
 
 
+def final_messages(messages: DataFrame, memory: DataFrame, keep: int = 4, chars: int = 200, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """prompt_messages for the answer itself: the facts and sentences that bear on the question, and the last turns clipped.
+
+    memory: conv_id, question, facts, summary.
+    """
+    facts = relevant_facts(memory, "conv_id", "question", "facts", embed=embed)
+    both = facts.join(relevant_summary(memory, "conv_id", "question", "summary", embed=embed), "conv_id")
+    return prompt_messages(final_turns(messages, keep, chars), both)
+
+
 def prompt_messages(turns: DataFrame, memory: DataFrame) -> DataFrame:
     """conv_id, messages: facts, then summary (conv_id, facts, summary), then turns; blank parts left out."""
     system = lambda c, n, head: memory.where(ws_trim(c) != "").select("conv_id", F.lit(n).cast("bigint").alias("no"), F.lit("system").alias("role"), F.concat(F.lit(head), ws_trim(c)).alias("content"))

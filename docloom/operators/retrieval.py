@@ -22,8 +22,12 @@ from docloom.functions.text import squeeze, ws_trim
 TIES = ("distance", "chunk_index")
 
 
-def _rank(by: str, *order) -> Column:
-    return F.row_number().over(Window.partitionBy(by).orderBy(*order))
+def _keys(by: str | tuple[str, ...]) -> list[str]:
+    return [by] if isinstance(by, str) else list(by)
+
+
+def _rank(by: str | tuple[str, ...], *order) -> Column:
+    return F.row_number().over(Window.partitionBy(*_keys(by)).orderBy(*order))
 
 
 def with_chunk_count(questions: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -60,44 +64,58 @@ def fuse(hits: DataFrame, space: str = "l2", boost: Column | None = None) -> Dat
     return hits.withColumn("score", F.least(F.lit(1.0), F.col("dense_score") + F.col("lexical_boost")))
 
 
-def above_threshold(hits: DataFrame, score: str = "score", by: str = "query_id") -> DataFrame:
+def above_threshold(hits: DataFrame, score: str = "score", by: str | tuple[str, ...] = "query_id") -> DataFrame:
     """Hits at or over the question's threshold; if none is, all of them."""
     over = F.col(score) >= F.col("threshold")
-    any_over = F.max(over).over(Window.partitionBy(by))
+    any_over = F.max(over).over(Window.partitionBy(*_keys(by)))
     return hits.withColumn("__any", any_over).where(over | ~F.col("__any")).drop("__any")
 
 
 def sequence_boost(question: Column, text: Column) -> Column:
-    """Half the matching ratio of two texts, up to 0.3; 0 under a ratio of 0.25."""
+    """Half the matching ratio of two texts, up to 0.3; 0 under a ratio of 0.25, null for nulls.
+
+    Two upper bounds of the ratio, by lengths and by common characters, go before it.
+    """
 
     @F.pandas_udf(DoubleType())
     def run(questions: pd.Series, texts: pd.Series) -> pd.Series:
-        ratio = [SequenceMatcher(None, q, t).ratio() for q, t in zip(questions, texts, strict=True)]
-        return pd.Series([min(0.3, r * 0.5) if r >= 0.25 else 0.0 for r in ratio], dtype=float)
+        matcher = SequenceMatcher()
+
+        def one(q: str, t: str) -> float:
+            if matcher.b != t:
+                matcher.set_seq2(t)
+            matcher.set_seq1(q)
+            if matcher.real_quick_ratio() < 0.25 or matcher.quick_ratio() < 0.25:
+                return 0.0
+            r = matcher.ratio()
+            return min(0.3, r * 0.5) if r >= 0.25 else 0.0
+
+        return pd.Series([None if q is None or t is None else one(q, t) for q, t in zip(questions, texts, strict=True)], dtype=float)
 
     return run(question, text)
 
 
 def with_boost(hits: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Adds lexical_boost; only rows that the cheaper tests leave open go through the UDF."""
+    """Adds lexical_boost; fuzzy: what the cheaper tests leave open is compared as sequences."""
     hits = hits.withColumn("lexical_boost", lexical_boost("question", "text"))
-    if not fuzzy:
-        return hits.withColumn("lexical_boost", F.coalesce("lexical_boost", F.lit(0.0)))
-    q = squeeze("question")
-    bare = F.regexp_replace(q, MARKS, "")
-    open_ = hits.where(F.col("lexical_boost").isNull())
-    open_ = open_.withColumn("lexical_boost", sequence_boost(F.when(bare != "", bare).otherwise(q), squeeze("text")))
-    return hits.where(F.col("lexical_boost").isNotNull()).unionByName(open_)
-
-
-def lexical_only(questions: DataFrame, chunks: DataFrame, hits: DataFrame, fuzzy: bool = False) -> DataFrame:
-    """For questions without hits: all chunks of the document, scored by wording alone."""
-    left = questions.join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    rows = with_boost(left.join(chunks, "doc_id"), fuzzy).drop("embedding", "q_embedding")
+    if fuzzy:
+        q = squeeze("question")
+        bare = F.regexp_replace(q, MARKS, "")
+        # only of rows that are open the texts go to Python; of the others nulls do
+        open_ = F.col("lexical_boost").isNull()
+        more = sequence_boost(F.when(open_, F.when(bare != "", bare).otherwise(q)), F.when(open_, squeeze("text")))
+        hits = hits.withColumn("__more", more).withColumn("lexical_boost", F.coalesce("lexical_boost", "__more")).drop("__more")
+    return hits.withColumn("lexical_boost", F.coalesce("lexical_boost", F.lit(0.0)))
+
+
+def lexical_only(questions: DataFrame, chunks: DataFrame, fuzzy: bool = False) -> DataFrame:
+    """All chunks of each question's document, scored by wording alone."""
+    rows = with_boost(questions.join(chunks, "doc_id"), fuzzy)
+    rows = rows.drop(*({"embedding", "q_embedding"} & set(rows.columns)))
     return rows.withColumn("distance", F.lit(0.0)).withColumn("dense_score", F.lit(0.0)).withColumn("score", F.col("lexical_boost"))
 
 
-def dedupe_hits(hits: DataFrame, threshold: float = 0.72, by: str = "query_id") -> DataFrame:
+def dedupe_hits(hits: DataFrame, threshold: float = 0.72, by: str | tuple[str, ...] = "query_id") -> DataFrame:
     """Greedy in rank order: a hit like a kept one is dropped, or takes its place if longer.
 
     hits needs ``rank``; a question's hits are at most its fetch_k, so a group is bounded.
@@ -122,7 +140,7 @@ def dedupe_hits(hits: DataFrame, threshold: float = 0.72, by: str = "query_id")
         out["rank"] = range(1, len(out) + 1)
         return out[columns]
 
-    return hits.groupBy(by).applyInPandas(run, hits.schema)
+    return hits.groupBy(*_keys(by)).applyInPandas(run, hits.schema)
 
 
 class Kept:
@@ -139,10 +157,10 @@ class Kept:
         if 2 * min(len(new), len(self.text)) < threshold * (len(new) + len(self.text)):
             return False
         self.matcher.set_seq1(new)
-        return self.matcher.ratio() >= threshold
+        return self.matcher.quick_ratio() >= threshold and self.matcher.ratio() >= threshold
 
 
-def rerank(hits: DataFrame, logit: Column, final_k: Column | int, pool: int = 8, min_score: float = 0.0, by: str = "query_id") -> DataFrame:
+def rerank(hits: DataFrame, logit: Column, final_k: Column | int, pool: int = 8, min_score: float = 0.0, by: str | tuple[str, ...] = "query_id") -> DataFrame:
     """The pool's hits by a second model's score; the fused score becomes dense_score.
 
     If none reaches min_score all stay. hits needs rank; the model runs on the pool alone.
@@ -155,21 +173,44 @@ def rerank(hits: DataFrame, logit: Column, final_k: Column | int, pool: int = 8,
     return ranked.where(F.col("rank") <= F.greatest(k, F.lit(1)))
 
 
-def search(questions: DataFrame, chunks: DataFrame, config: Config = Config(), space: str = "l2", fuzzy: bool = False, dedupe: bool = False, reranker=None) -> DataFrame:
+def search(questions: DataFrame, chunks: DataFrame, config: Config = Config(), space: str = "l2", fuzzy: bool = True, dedupe: bool = False, reranker=None, cut: str = "final_k") -> DataFrame:
     """The whole search: counts, parameters, neighbours, fusion, threshold, fallback, dedupe, rerank, top k.
 
-    questions: query_id, doc_id, question, q_embedding. Blank questions find nothing.
+    questions: query_id, doc_id, question, q_embedding. Blank questions find nothing. A question
+    whose chunks have no vectors is answered by wording alone, from all of them.
+
+    cut: final_k, or fetch_k for the pool before the last cut.
+
+    Questions meet chunks once. All that follows is of a question and so of a document: its
+    windows find the join's partitioning, and nothing is read, embedded or shuffled twice.
     """
-    asked = with_search_params(with_chunk_count(questions.where(ws_trim("question") != ""), chunks), config, reranker is not None)
-    near = with_boost(knn(asked, chunks, space), fuzzy)
-    fused = above_threshold(fuse(near, space, F.col("lexical_boost")))
-    every = fused.unionByName(lexical_only(asked, chunks, fused, fuzzy).select(*fused.columns))
-    ranked = every.withColumn("rank", _rank("query_id", F.desc("score"), *TIES)).where(F.col("rank") <= F.greatest("final_k", "fetch_k"))
+    by = Window.partitionBy("doc_id", "query_id")
+    joined = questions.where(ws_trim("question") != "").join(chunks, "doc_id")
+    hits = joined.withColumn("distance", distance(F.col("q_embedding"), F.col("embedding"), space)).drop("embedding", "q_embedding")
+    known = F.col("distance").isNotNull()
+    hits = hits.withColumn("doc_chunks", F.count("*").over(by).cast("int")).withColumn("__known", F.max(known).over(by))
+    hits = with_search_params(hits, config, reranker is not None)
+    near = F.row_number().over(by.orderBy(F.col("distance").asc_nulls_last(), "chunk_index"))
+    hits = hits.withColumn("__near", near).where(~F.col("__known") | (known & (F.col("__near") <= F.col("fetch_k"))))
+    hits = with_boost(hits, fuzzy).withColumn("distance", F.coalesce("distance", F.lit(0.0)))
+    dense = F.when(F.col("__known"), params.score_from_distance(F.col("distance"), space)).otherwise(0.0)
+    hits = hits.withColumn("dense_score", dense).withColumn("score", F.least(F.lit(1.0), F.col("dense_score") + F.col("lexical_boost")))
+    over = F.col("score") >= F.col("threshold")
+    hits = hits.withColumn("__any", F.max(over).over(by)).where(over | ~F.col("__any") | ~F.col("__known"))
+    ranked = hits.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), *TIES))).where(F.col("rank") <= F.greatest("final_k", "fetch_k"))
+    ranked = ranked.drop("__known", "__near", "__any")
     if dedupe:
-        ranked = dedupe_hits(ranked, config.dedupe_similarity)
+        ranked = dedupe_hits(ranked, config.dedupe_similarity, ("doc_id", "query_id"))
     if reranker is not None:
-        return rerank(ranked, reranker(F.col("question"), F.substring("text", 1, config.rerank_text_chars)), F.col("final_k"), config.rerank_pool, config.rerank_min_score)
-    return ranked.where(F.col("rank") <= F.col("final_k"))
+        return rerank(ranked, reranker(F.col("question"), F.substring("text", 1, config.rerank_text_chars)), F.col(cut), config.rerank_pool, config.rerank_min_score, ("doc_id", "query_id"))
+    return ranked.where(F.col("rank") <= F.col(cut))
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """doc_id, text: a document's pages (page, text) in order, each under its number, a blank line between."""
+    block = F.concat(F.lit("【第"), F.col("page").cast("string"), F.lit("页】\n"), F.col("text"))
+    rows = pages.where(ws_trim("text") != "").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", block.alias("b")))).alias("l"))
+    return rows.select("doc_id", F.array_join(F.transform("l", lambda x: x["b"]), "\n\n").alias("text"))
 
 
 def document_text(chunks: DataFrame, max_chars: int | None = None) -> DataFrame:
@@ -183,8 +224,10 @@ def document_text(chunks: DataFrame, max_chars: int | None = None) -> DataFrame:
     return out if max_chars is None else out.withColumn("text", F.substring("text", 1, max_chars))
 
 
-def prompt_context(hits: DataFrame) -> DataFrame:
-    """query_id, context (numbered blocks) and the sorted positive pages they come from."""
+def prompt_context(hits: DataFrame, dedupe: float | None = None) -> DataFrame:
+    """query_id, context (numbered blocks) and the sorted positive pages they come from; dedupe: hits as alike as that count once."""
+    if dedupe is not None:
+        hits = dedupe_hits(hits, dedupe)
     blocks = hits.where(ws_trim("text") != "").withColumn("no", _rank("query_id", "rank"))
     line = F.concat(F.lit("【片段"), F.col("no").cast("string"), F.lit("】\n"), ws_trim("text"))
     rows = blocks.groupBy("query_id").agg(
@@ -193,6 +236,12 @@ def prompt_context(hits: DataFrame) -> DataFrame:
     return rows.select("query_id", F.array_join(F.transform("blocks", lambda x: x["b"]), "\n\n").alias("context"), "pages")
 
 
+def chunk_dump(chunks: DataFrame, preview: int = 120) -> DataFrame:
+    """doc_id, chunk_index, id, page, kind, chars, preview and text of stored chunks, in order within a document."""
+    head = F.regexp_replace(F.substring("text", 1, preview), r"\s+", " ")
+    return chunks.select("doc_id", "chunk_index", "id", "page", "kind", F.length("text").alias("chars"), head.alias("preview"), "text").repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index")
+
+
 def observation(hits: DataFrame, max_chars: int = 2400) -> DataFrame:
     """query_id, observation: blocks up to the first that would pass the limit; the first always stands.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.functions.text import exploded, last_index, let, ws_trim
+from docloom.functions.text import exploded, ws_trim
 
 from .chunking import merge_pieces
 
@@ -17,26 +17,10 @@ LlmFn = Callable[[str], str]
 
 
 def newline_split(s: Column, size: int) -> Column:
-    """Pieces of at most size, cut after the last blank line, or line end, in the last two thirds."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), s.alias("rest"))
-
-    def cut(rest: Column) -> Column:
-        """Where the next piece ends."""
-
-        def ends(head: Column) -> Column:
-            return let(F.struct(last_index(head, "\n\n").alias("b"), last_index(head, "\n").alias("l")), lambda i: F.when(i["b"] >= size // 3, i["b"]).otherwise(i["l"]))
-
-        return let(let(F.substring(rest, 1, size), ends), lambda at: F.when((F.length(rest) > size) & (at >= size // 3), at + 1).otherwise(size))
-
-    def step(a: Column, _: Column) -> Column:
-        def moved(end: Column) -> Column:
-            rest = F.substring(a["rest"], end + 1, F.length(a["rest"]))
-            done = let(ws_trim(F.substring(a["rest"], F.lit(1), end)), lambda p: F.when(p == "", a["done"]).otherwise(F.concat(a["done"], F.array(p))))
-            return F.struct(done.alias("done"), rest.alias("rest"))
-
-        return F.when(a["rest"] == "", a).otherwise(let(cut(a["rest"]), moved))
-
-    return F.aggregate(F.sequence(F.lit(1), F.ceil(3.0 * F.length(s) / size).cast("int") + 1), start, step, lambda a: a["done"])
+    """Pieces of at most size, cut after the last blank line, or line end, in the last two thirds, where more follows than fits."""
+    least = size // 3
+    pattern = f"(?s)(?=.{{{size + 1}}})(?:.{{{least},{size - 2}}}\n(?=\n)|.{{{least},{size - 1}}}\n)|.{{1,{size}}}"
+    return F.filter(F.transform(F.regexp_extract_all(s, F.lit(pattern), 0), ws_trim), lambda p: p != "")
 
 
 def sampled(buckets: Column, most: int) -> Column:

@@ -7,6 +7,8 @@ are vectors scoped by their label; ``conversations`` are turns.
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,8 @@ from docloom.functions import text as T
 from docloom.functions.scores import bigram_score, dot, lexical_boost
 from docloom.operators import agent, answers, catalog, chunking, cleanup, evaluation, layout, memory, retrieval, summaries
 from docloom.operators.embedding import embedder
+from docloom.sources import scratch
+from docloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -174,10 +178,14 @@ def sampled_chunks(spark, sf):
 
 
 def _vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Every tenth vector asks the others of its label."""
-    v = read(spark, sf, "embeddings")
-    chunks = v.select(F.col("label").alias("doc_id"), F.col("vec_id").alias("chunk_index"), "embedding")
-    asked = v.where(F.col("vec_id") % 10 == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("doc_id"), F.col("embedding").alias("q_embedding"))
+    """Vectors in documents of two hundred, by number; every tenth asks the others of its document.
+
+    The number of documents grows with the table, a document's chunks don't, as in the search
+    of a question over its document.
+    """
+    v = read(spark, sf, "embeddings").withColumn("doc_id", F.floor(F.col("vec_id") / 200))
+    chunks = v.select("doc_id", F.col("vec_id").alias("chunk_index"), "embedding")
+    asked = v.where(F.col("vec_id") % 10 == 0).select(F.col("vec_id").alias("query_id"), "doc_id", F.col("embedding").alias("q_embedding"))
     return asked, chunks
 
 
@@ -218,8 +226,9 @@ def rerank_topk(spark, sf):
 
 @query
 def lexical_boosts(spark, sf):
-    q = questions(spark, sf).join(read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return q.select("doc_id", F.coalesce(lexical_boost("question", "text"), F.lit(0.0)).alias("boost"))
+    """The best of a document's chunks."""
+    q = questions(spark, sf).join(windows(read(spark, sf, "documents")).select("doc_id", "text"), "doc_id")
+    return q.groupBy("doc_id").agg(F.max(F.coalesce(lexical_boost("question", "text"), F.lit(0.0))).alias("boost"))
 
 
 @query
@@ -234,14 +243,15 @@ def bigram_scores(spark, sf):
 def passage_hits(spark, sf):
     """Documents that hold a benchmark passage of seven words or more.
 
-    Pairs come from a join on five words in a row, the passage's second to sixth: where a
-    text holds the passage, these stand between blanks.
+    Where a text holds the passage, its second to sixth words stand there between blanks. A
+    text's runs of five words are hashed in its row, and only the different hashes are joined to
+    the passages' own.
     """
     parts = F.split("text", " ")
     items = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("needle"), parts.alias("p")).where(F.size("p") >= 7)
-    items = items.select("item_id", "needle", F.array_join(F.slice("p", 2, 5), " ").alias("k"))
+    items = items.select("item_id", "needle", F.xxhash64(F.slice("p", 2, 5)).alias("k"))
     docs = read(spark, sf, "documents").select("doc_id", "text")
-    runs = T.let(F.split("text", " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(5)), " ")))
+    runs = T.let(F.split("text", " "), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(5))))))
     pairs = docs.select("doc_id", F.explode_outer(runs).alias("k")).join(items, "k").select("doc_id", "item_id", "needle").distinct()
     return pairs.join(docs, "doc_id").where(F.contains("text", F.col("needle"))).select("doc_id", "item_id").distinct()
 
@@ -259,9 +269,12 @@ def _search_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 @query
 def fused_search(spark, sf):
-    """Every document is asked its question: neighbours, wording, threshold with fallback, top k."""
+    """Every document is asked its question: neighbours, wording, threshold with fallback, top k.
+
+    Without the comparison of sequences, which SQL has not; search_with_dedupe has it.
+    """
     asked, chunks = _search_tables(spark, sf)
-    return retrieval.search(asked, chunks, space="cosine").select("query_id", "rank", "chunk_index", "page", F.round("score", 6).alias("score"))
+    return retrieval.search(asked, chunks, space="cosine", fuzzy=False).select("query_id", "rank", "chunk_index", "page", F.round("score", 6).alias("score"))
 
 
 @query
@@ -276,7 +289,7 @@ def lexical_fallback(spark, sf):
     """Questions whose vectors find nothing are answered by wording alone: here all of them."""
     chunks = windows(read(spark, sf, "documents").select("doc_id", "text").repartition("doc_id"))
     asked = questions(spark, sf)
-    rows = retrieval.lexical_only(asked, chunks, asked.select("query_id").where("false"))
+    rows = retrieval.lexical_only(asked, chunks)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_index"))
     return rows.withColumn("rank", best).where("rank <= 2").select("query_id", "rank", "chunk_index", "score")
 
@@ -287,20 +300,21 @@ def document_texts(spark, sf):
     return retrieval.document_text(c, 2000)
 
 
-def _first_hits(spark, sf) -> DataFrame:
-    w = windows(read(spark, sf, "documents")).where("chunk_index < 12")
+def _hits(spark, sf) -> DataFrame:
+    """All chunks of a document as its question's hits."""
+    w = windows(read(spark, sf, "documents"))
     return w.select(F.col("doc_id").alias("query_id"), (F.col("chunk_index") + 1).alias("rank"), "page", "text", F.lit("text").alias("source"))
 
 
 @query
 def prompt_contexts(spark, sf):
-    found = retrieval.prompt_context(_first_hits(spark, sf))
+    found = retrieval.prompt_context(_hits(spark, sf))
     return found.select("query_id", "context", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
 
 
 @query
 def observation_budget(spark, sf):
-    return retrieval.observation(_first_hits(spark, sf))
+    return retrieval.observation(_hits(spark, sf))
 
 
 @query
@@ -311,6 +325,35 @@ def merged_hits(spark, sf):
     return retrieval.merge_hits(rows).select("query_id", "rank")
 
 
+@query
+def client_errors(spark, sf):
+    """Events as errors of the services behind."""
+    e = read(spark, sf, "events")
+    said = F.element_at(F.array(*map(F.lit, ("The operation was aborted", "fetch failed", "摘要 failed: 502", "文档处理返回 500", "问答 status 404", "gateway 502", "plain english", "问题 question 太长  了", ""))), (F.pmod("event_id", F.lit(9)) + 1).cast("int"))
+    return e.select("event_id", T.client_error(said).alias("message"))
+
+
+@query
+def image_coverage(spark, sf):
+    """An order's lines as images on a page."""
+    b = _boxes(spark, sf)
+    return b.select("l_orderkey", F.round(layout.image_coverage("boxes", F.lit(300), F.lit(400)), 9).alias("coverage"))
+
+
+@query
+def headed_tables(spark, sf):
+    """A document's lines as tables of a row, numbered; blank ones are left out but count."""
+    d = read(spark, sf, "documents")
+    found = F.transform(F.split(T.text("text"), "\n"), lambda x: F.array(F.split(x, " ")))
+    return d.select("doc_id", F.md5(tables.headed_tables(found)).alias("text_md5"))
+
+
+@query
+def page_texts(spark, sf):
+    found = retrieval.page_texts(windows(read(spark, sf, "documents"), 300, 0).select("doc_id", F.col("chunk_index").alias("page"), "text"))
+    return found.select("doc_id", F.md5("text").alias("text_md5"))
+
+
 # --- conversations ----------------------------------------------------------------------------
 
 
@@ -344,7 +387,7 @@ def final_turns(spark, sf):
 def _facts(spark, sf) -> DataFrame:
     """A conversation's turns as facts, each third pinned; its last turn is the question."""
     c = read(spark, sf, "conversations")
-    line = F.concat(F.when(F.pmod("turn", F.lit(3)) == 0, "- [pinned] ").otherwise("- "), F.substring(F.regexp_replace(T.text("text"), r"\s+", " "), 1, 60))
+    line = F.concat(F.when(F.pmod("turn", F.lit(3)) == 0, "- [pinned] ").otherwise("- "), F.regexp_replace(T.text("text"), r"\s+", " "))
     g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"), F.max_by("text", "turn").alias("question"))
     return g.select("conv_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("facts"), "question")
 
@@ -407,15 +450,15 @@ def page_merge(spark, sf):
     d = read(spark, sf, "documents")
     digital = F.when(F.pmod("doc_id", F.lit(3)) == 0, "").otherwise(T.text("text"))
     table = F.when(F.pmod("doc_id", F.lit(2)) == 0, "").otherwise("| a | b |")
-    ocr = F.when(F.pmod("doc_id", F.lit(5)) == 0, "").otherwise(F.substring(T.text("text"), 1, 50))
+    ocr = F.when(F.pmod("doc_id", F.lit(5)) == 0, "").otherwise(F.concat(F.lit("ocr "), T.text("text")))
     return d.select("doc_id", tables.merged_page(digital, table, ocr, F.pmod("doc_id", F.lit(7)) == 0).alias("p")).select("doc_id", F.md5("p.text").alias("text_md5"), "p.mode")
 
 
 @query
 def html_tables(spark, sf):
-    """Links of a page as a two-column table, then as Markdown."""
+    """Paragraphs of a page as a two-column table, then as Markdown."""
     p = read(spark, sf, "pages")
-    cells = F.transform(F.regexp_extract_all(T.text("html"), F.lit(r"(?s)<p[^>]*>(.*?)</p>"), 1), lambda x: F.concat(F.lit("<tr><th>"), F.substring(x, 1, 30), F.lit("</th><td>a &amp; b</td></tr>")))
+    cells = F.transform(F.regexp_extract_all(T.text("html"), F.lit(r"(?s)<p[^>]*>(.*?)</p>"), 1), lambda x: F.concat(F.lit("<tr><th>"), x, F.lit("</th><td>a &amp; b</td></tr>")))
     html = F.concat(F.lit("<table>"), F.array_join(cells, ""), F.lit("</table>"))
     return p.select("page_id", F.size(tables.html_table_rows(html)).alias("n_rows"), tables.html_table_markdown(html).alias("markdown"))
 
@@ -423,7 +466,7 @@ def html_tables(spark, sf):
 @query
 def cell_markdown(spark, sf):
     d = read(spark, sf, "documents")
-    cells = F.transform(F.split(T.text("text"), "\n"), lambda x: F.slice(F.split(x, " "), 1, 3))
+    cells = F.transform(F.split(T.text("text"), "\n"), lambda x: F.split(x, " "))
     return d.select("doc_id", F.md5(tables.table_markdown(cells)).alias("markdown_md5"))
 
 
@@ -543,8 +586,8 @@ def cascade_delete(spark, sf):
 def upsert_conversations(spark, sf):
     c = read(spark, sf, "conversations")
     old = c.where("turn = 0 AND conv_id % 2 = 0").select(F.col("conv_id").cast("string").alias("id"), F.lit("[]").alias("messages"), F.lit("old").alias("summary"), F.lit("").alias("doc_id"), F.lit("2024-01-01").alias("created_at"))
-    body = F.to_json(F.array(F.struct(F.col("turn").cast("string").alias("id"), "role", F.lit("x").alias("content"))))
-    puts = c.where("turn = 1").select(F.col("conv_id").cast("string").alias("id"), F.when(F.pmod("conv_id", F.lit(3)) == 0, "[]").otherwise(body).alias("messages"), F.lit("new").alias("summary"), F.when(F.pmod("conv_id", F.lit(4)) == 0, "d").alias("doc_id"))
+    every = c.groupBy("conv_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.lpad(F.col("turn").cast("string"), 6, "0").alias("id"), "role", F.col("text").alias("content"))))).alias("body"), F.count("*").alias("n"))
+    puts = every.where("n > 1").select(F.col("conv_id").cast("string").alias("id"), F.when(F.pmod("conv_id", F.lit(3)) == 0, "[]").otherwise(F.col("body")).alias("messages"), F.lit("new").alias("summary"), F.when(F.pmod("conv_id", F.lit(4)) == 0, "d").alias("doc_id"))
     out = catalog.upsert_conversations(old, puts, F.lit("2024-02-01"))
     return out.select("id", "summary", "doc_id", "created_at", (F.col("messages") != "[]").alias("has_messages"))
 
@@ -558,29 +601,52 @@ def history_page(spark, sf):
 # --- evaluation -------------------------------------------------------------------------------
 
 
-def _evaluation(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Documents as cases: pages 1 and 3 are wanted, and their first and last twelve characters."""
+def _evaluation(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as cases, the pool of their hits (all chunks) and the final cut (the three best by wording).
+
+    Pages 1 and 3 are wanted, and a document's first and last twelve characters.
+    """
     d = read(spark, sf, "documents")
     cases = d.select(F.col("doc_id").alias("query_id"), F.array(F.lit(1), F.lit(3)).alias("gold_pages"), F.array(F.substring("text", 1, 12), F.right("text", F.lit(12))).alias("gold_contains"))
-    hits = windows(d).where("chunk_index % 3 = 0 AND chunk_index < 12").select(F.col("doc_id").alias("query_id"), "chunk_index", "page", "text")
-    return cases, hits
+    rows = retrieval.lexical_only(questions(spark, sf), windows(d))
+    best = F.row_number().over(Window.partitionBy("doc_id", "query_id").orderBy(F.desc("score"), "chunk_index"))
+    pool = rows.withColumn("rank", best).select("query_id", "chunk_index", "page", "text", "rank")
+    return cases, pool, pool.where("rank <= 3")
 
 
 @query
 def eval_metrics(spark, sf):
-    return evaluation.metrics(*_evaluation(spark, sf))
+    cases, pool, _ = _evaluation(spark, sf)
+    return evaluation.metrics(cases, pool)
+
+
+@query
+def eval_final(spark, sf):
+    """What the final cut leaves of the pool's recall."""
+    cases, _, final = _evaluation(spark, sf)
+    return evaluation.metrics(cases, final)
 
 
 @query
 def eval_verdict(spark, sf):
-    cases, hits = _evaluation(spark, sf)
-    off = evaluation.metrics(cases, hits.where("chunk_index < 6"))
-    return evaluation.compare(off, evaluation.metrics(cases, hits)).groupBy("verdict").agg(F.count("*").alias("cases"))
+    cases, pool, final = _evaluation(spark, sf)
+    off = evaluation.metrics(cases, pool)
+    return evaluation.compare(off, evaluation.metrics(cases, final)).groupBy("verdict").agg(F.count("*").alias("cases"))
 
 
 @query
 def eval_summary(spark, sf):
-    return evaluation.summary(evaluation.metrics(*_evaluation(spark, sf)))
+    cases, pool, _ = _evaluation(spark, sf)
+    return evaluation.summary(evaluation.metrics(cases, pool))
+
+
+@query
+def case_errors(spark, sf):
+    """Every third document has no question, every fifth no chunks."""
+    d = read(spark, sf, "documents")
+    cases = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.pmod("doc_id", F.lit(3)) == 0, " ").otherwise("q").alias("question"))
+    chunks = windows(d).where(F.pmod("doc_id", F.lit(5)) != 0).select(F.col("doc_id").cast("string").alias("doc_id"))
+    return evaluation.with_errors(cases, chunks).select("doc_id", "error")
 
 
 # --- models stood in for ----------------------------------------------------------------------
@@ -588,20 +654,62 @@ def eval_summary(spark, sf):
 
 @query
 def map_reduce_summary(spark, sf):
-    """An echo stands in for the model: it answers a prompt's first forty characters."""
+    """A stand-in for the model reads a whole prompt: it answers its length and checksum."""
     d = read(spark, sf, "documents").select("doc_id", "text")
-    return summaries.summarise(d, lambda p: p[:40], F.col("section"), lambda parts: F.concat(F.lit("merged: "), parts), size=1000, most=4)
+    return summaries.summarise(d, lambda p: f"{len(p)}:{zlib.crc32(p.encode())}", F.col("section"), lambda parts: F.concat(F.lit("merged: "), parts), size=1000, most=4)
 
 
 @query
 def react_loop(spark, sf):
-    """Turns of users as questions; the planner stand-in searches in its first step."""
-    c = read(spark, sf, "conversations").where("role = 'user'")
-    hint = F.when(F.pmod("conv_id", F.lit(3)) == 0, "合同金额 ").otherwise("")
-    asked = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(hint, F.substring(T.text("text"), 1, 40)).alias("question"), F.lit("").alias("observation"))
-    found = asked.where(F.col("query_id") % 2 == 0)
-    plan = lambda p: '{"action":"search_doc"}' if p.startswith("step 1") else '{"action":"finish"}'
-    return agent.run(asked, plan, found).select("query_id", "path", "steps", F.size("queries").alias("n_queries"), "finish_reason")
+    """Turns of users as questions about the document with their conversation's number.
+
+    The planner stand-in asks the talk first, then the document, then ends; a search of the
+    document gives the two chunks that share most wording with the question, one of the talk
+    its two first turns.
+    """
+    c = read(spark, sf, "conversations")
+    hint = F.when(F.pmod("conv_id", F.lit(3)) == 0, "合同金额 ").when(F.pmod("conv_id", F.lit(7)) == 0, "之前的合同 ").otherwise("")
+    asked = c.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("conv_id").alias("doc_id"), F.concat(hint, T.text("text")).alias("question"))
+    chunks = windows(read(spark, sf, "documents"))
+
+    def search_doc(q: DataFrame) -> DataFrame:
+        rows = retrieval.lexical_only(q, chunks).where("score > 0")
+        best = F.row_number().over(Window.partitionBy("doc_id", "query_id").orderBy(F.desc("score"), "chunk_index"))
+        return rows.withColumn("rank", best).where("rank <= 2").select("query_id", "rank", "text", "page")
+
+    def search_chat(q: DataFrame) -> DataFrame:
+        turns = c.where("turn < 2").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("rank"), "text")
+        return q.select("query_id", "doc_id").join(turns, "doc_id").select("query_id", "rank", "text")
+
+    def plan(prompt: str) -> str:
+        done = "search_doc" if "已搜旧对话：是" in prompt else "search_chat"
+        return '{"action":"finish"}' if "已搜文档：是" in prompt else f'{{"action":"{done}"}}'
+
+    out = agent.run(asked, plan, search_doc, search_chat, max_steps=3)
+    return out.select("query_id", "path", "steps", F.size("doc_queries").alias("n_doc_queries"), F.size("chat_queries").alias("n_chat_queries"), F.size("hits").alias("n_hits"), "used_memory", "finish_reason", F.size("trace").alias("n_steps"))
+
+
+@query
+def stream_memory(spark, sf):
+    """Turns as a stream, folded into each conversation's state: the last row of each."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = read(spark, sf, "conversations").schema
+    turns = spark.readStream.schema(schema).parquet(f"{sf}/conversations*.parquet")
+    base = f"{scratch.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = jobs.rolling_memory(turns).writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    stream.foreachBatch(lambda batch, n: batch.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/batch={n}")).start().awaitTermination()
+    rows = spark.read.parquet(f"{base}/out")
+    return rows.withColumn("no", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n")))).where("no = 1").select("conv_id", "covered", "kept", "summary")
+
+
+@query
+def stream_ingest(spark, sf):
+    """Documents as a stream of pages, cut and stored batch by batch; their chunks counted."""
+    pages = read(spark, sf, "documents").select("doc_id", F.lit(1).alias("page"), "text", F.lit("txt").alias("source_ext"))
+    base = f"{scratch.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    pages.write.parquet(f"{base}/in")
+    jobs.ingest(spark, f"{base}/in", pages.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), f"{base}/out", f"{base}/state").awaitTermination()
+    return jobs.current(spark, f"{base}/out").groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("chars"))
 
 
 # --- answers ----------------------------------------------------------------------------------
@@ -620,13 +728,13 @@ def pages_to_scan(spark, sf):
 @query
 def error_messages(spark, sf):
     e = read(spark, sf, "events")
-    said = F.element_at(F.array(*map(F.lit, ("HTTP 502", "Service Unavailable", "model not found", "Connection refused", "request timed out", "other", ""))), (F.pmod("event_id", F.lit(7)) + 1).cast("int"))
+    said = F.element_at(F.array(*map(F.lit, ("HTTP 502", "Service Unavailable", "model not found", "Connection refused", "request timed out", "Error code: 7", ""))), (F.pmod("event_id", F.lit(7)) + 1).cast("int"))
     return e.select("event_id", answers.error_message(said).alias("message"), answers.summary_failed(answers.error_message(said)).alias("failed"), answers.summary_failed(F.col("event_type")).alias("type_failed"))
 
 
 @query
 def turn_search(spark, sf):
-    """Vectors as stored turns, their labels as conversations."""
+    """Vectors as stored turns; conversations as for the other searches."""
     asked, chunks = _vectors(spark, sf)
     turns = chunks.select(F.col("doc_id").alias("conversation_id"), F.col("chunk_index").alias("msg_index"), "embedding")
     return answers.search_turns(asked.withColumnRenamed("doc_id", "conversation_id"), turns, 4, "cosine").select("query_id", "rank", "msg_index", "score")
@@ -634,7 +742,7 @@ def turn_search(spark, sf):
 
 @query
 def answer_prompts(spark, sf):
-    context = retrieval.prompt_context(_first_hits(spark, sf))
+    context = retrieval.prompt_context(_hits(spark, sf))
     counts = windows(read(spark, sf, "documents")).groupBy(F.col("doc_id").alias("query_id")).agg(F.count("*").alias("n"))
     both = questions(spark, sf).join(context, "query_id", "left").join(counts, "query_id", "left")
     n, none = F.coalesce("n", F.lit(0)), F.pmod("query_id", F.lit(3)) == 0

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from docloom.functions.text import DOC_HINT, FACT_PREFIXES, MEMORY_HINT, POINTS_BACK, READ_ERRORS
-from docloom.operators.answers import ERRORS, NO_DOCUMENT, NOTHING_CLOSE, OTHER_ERROR
 
 #: What is white space in all of Unicode.
 WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -47,7 +46,7 @@ def dot(a: str, b: str) -> str:
 
 SCORE = {"cosine": "greatest(0, least(1, 1.0::DOUBLE - (1.0::DOUBLE - d)))"}
 _CLAMP = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, {}))"
-PAIRS = "(SELECT a.vec_id AS query_id, b.vec_id AS chunk_index, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 10 = 0)"
+PAIRS = "(SELECT a.vec_id AS query_id, b.vec_id AS chunk_index, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON a.vec_id // 200 = b.vec_id // 200 WHERE a.vec_id % 10 = 0)"
 L2 = "list_sum(list_transform(list_zip(x::DOUBLE[], y::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
 
@@ -65,7 +64,7 @@ def boost(q: str, q2: str, t: str) -> str:
 MARKS = "[？?。！!，,、：:]+"
 FACT = f"regexp_replace({trim('l')}, '^(" + "|".join(p.replace("*", r"\*") for p in FACT_PREFIXES) + ")', '')"
 FACTS = f"""(SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS facts, arg_max(text, turn) AS question FROM (
-  SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN '- [pinned] ' ELSE '- ' END || substr(regexp_replace(coalesce(text, ''), '[\\t-\\r ]+', ' ', 'g'), 1, 60) AS line FROM conversations) GROUP BY conv_id)"""
+  SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN '- [pinned] ' ELSE '- ' END || regexp_replace(coalesce(text, ''), '[\\t-\\r ]+', ' ', 'g') AS line FROM conversations) GROUP BY conv_id)"""
 FACT_LINES = f"""(SELECT conv_id, question, no - 1 AS no, line FROM (SELECT conv_id, question, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM (
   SELECT conv_id, question, list_filter(list_transform(string_split(facts, chr(10)), lambda l: {trim(FACT)}), lambda x: x <> '') AS ls FROM {FACTS})))"""
 KEY = "lower(" + squeeze(f"regexp_replace({trim('line')}, '(?i)^\\[pinned\\]', '')") + ")"
@@ -74,9 +73,9 @@ BOXES = """(SELECT l_orderkey, list({n: l_linenumber, x0: (l_partkey * 7 % 200):
 REGISTRY = "(SELECT user_id::VARCHAR AS doc_id, max(ts) AS created_at, max(event_id)::VARCHAR AS conversation_id FROM events GROUP BY user_id)"
 CONVERSATIONS = "(SELECT conv_id::VARCHAR AS id, (conv_id * 3)::VARCHAR AS doc_id FROM conversations WHERE turn = 0)"
 KEEP = f"(SELECT doc_id FROM {CONVERSATIONS} UNION SELECT doc_id FROM {REGISTRY} WHERE date_trunc('second', created_at) > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 12 HOURS)"
-FIRST = f"(SELECT doc_id AS query_id, chunk_index + 1 AS rank, page, text FROM {windows()} WHERE chunk_index < 12)"
+FIRST = f"(SELECT doc_id AS query_id, chunk_index + 1 AS rank, page, text FROM {windows()})"
 GOLD = f"""(SELECT h.doc_id AS query_id, chunk_index, page, h.text, list_filter([{squeeze('substr(d.text, 1, 12)')}, {squeeze('right(d.text, 12)')}], lambda g: g <> '' AND contains({squeeze('h.text')}, g)) AS found
-  FROM {windows()} h JOIN documents d USING (doc_id) WHERE chunk_index % 3 = 0 AND chunk_index < 12)"""
+  FROM {windows()} h JOIN documents d USING (doc_id))"""
 
 
 def metrics(where: str = "true") -> str:
@@ -139,7 +138,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, d, ch
 g AS (SELECT query_id, chunk_index, r, CASE WHEN x >= 0 THEN 1.0::DOUBLE / (1.0::DOUBLE + exp(-x)) ELSE exp(x) / (1.0::DOUBLE + exp(x)) END AS score FROM l), k AS (SELECT * FROM g QUALIFY score >= 0.5 OR NOT bool_or(score >= 0.5) OVER (PARTITION BY query_id))
 SELECT query_id, rank, chunk_index, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r)::INT AS rank FROM k) WHERE rank <= 3"""
 _Q = f"(SELECT query_id, q.doc_id, {squeeze('question')} AS q, regexp_replace({squeeze('question')}, '{MARKS}', '', 'g') AS q2 FROM {QUESTIONS} q)"
-SQL["lexical_boosts"] = f"SELECT doc_id, {boost('q', 'q2', 't')} AS boost FROM (SELECT q.doc_id, q, q2, {squeeze('text')} AS t FROM {_Q} q JOIN documents d USING (doc_id))"
+SQL["lexical_boosts"] = f"SELECT doc_id, max({boost('q', 'q2', 't')}) AS boost FROM (SELECT q.doc_id, q, q2, {squeeze('text')} AS t FROM {_Q} q JOIN {windows()} d USING (doc_id)) GROUP BY 1"
 SQL["bigram_scores"] = f"""WITH p AS (SELECT conv_id, turn, lower({squeeze('text')}) AS t, lag(lower({squeeze('text')})) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations)
 SELECT conv_id, turn, {bigram('q', 't')} AS score FROM p WHERE q IS NOT NULL"""
 SQL["passage_hits"] = "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(string_split(b.text, ' ')) >= 7"
@@ -192,12 +191,12 @@ SELECT *, (n_lines - n_distinct) / n_lines::DOUBLE AS ratio, n_lines >= 4 AND (n
 SQL["blank_runs"] = f"""WITH p AS (SELECT page_id AS doc_id, string_split(regexp_replace(html, '<[^>]+>', '', 'g'), chr(10)) AS ls FROM pages), l AS (SELECT doc_id, {trim('unnest(ls)')} = '' AS blank, generate_subscripts(ls, 1) AS ln FROM p),
 b AS (SELECT *, coalesce(lag(blank) OVER (PARTITION BY doc_id ORDER BY ln), false) AS before FROM l)
 SELECT doc_id, count(*) FILTER (NOT (blank AND before)) AS n_kept, count(*) AS n_lines FROM b GROUP BY 1"""
-SQL["page_merge"] = f"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE {trim('text')} END AS d, CASE WHEN doc_id % 2 = 0 THEN '' ELSE '| a | b |' END AS t, CASE WHEN doc_id % 5 = 0 THEN '' ELSE {trim('substr(text, 1, 50)')} END AS o, doc_id % 7 = 0 AS pref FROM documents),
+SQL["page_merge"] = f"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE {trim('text')} END AS d, CASE WHEN doc_id % 2 = 0 THEN '' ELSE '| a | b |' END AS t, CASE WHEN doc_id % 5 = 0 THEN '' ELSE {trim("'ocr ' || coalesce(text, '')")} END AS o, doc_id % 7 = 0 AS pref FROM documents),
 b AS (SELECT *, CASE WHEN pref AND o <> '' THEN o ELSE d END AS b FROM p)
 SELECT doc_id, md5(CASE WHEN b = '' AND t = '' THEN o WHEN b <> '' AND t <> '' THEN b || chr(10) || chr(10) || t ELSE b || t END) AS text_md5,
   CASE WHEN b = '' AND t = '' AND o <> '' THEN 'ocr' WHEN b <> '' AND t <> '' THEN 'mixed' WHEN pref AND o <> '' THEN 'ocr' WHEN b <> '' THEN 'text' WHEN t <> '' THEN 'table' ELSE 'empty' END AS mode FROM b"""
 _CELL = trim("regexp_replace(replace(replace(replace(replace(replace(replace(c, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '<[^>]+>', '', 'g')")
-SQL["html_tables"] = f"""WITH p AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1), lambda c: {_CELL.replace('coalesce(regexp', 'coalesce(regexp').replace('replace(c,', 'replace(substr(c, 1, 30),')}) AS cs FROM pages),
+SQL["html_tables"] = f"""WITH p AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1), lambda c: {_CELL}) AS cs FROM pages),
 r AS (SELECT page_id, cs, list_transform(cs, lambda x: '| ' || regexp_replace(x, '\\r\\n|[\\r\\n]', ' ', 'g') || ' | a & b |') AS rows FROM p)
 SELECT page_id, len(cs)::INT AS n_rows, CASE WHEN len(cs) = 0 THEN '' ELSE array_to_string(list_concat([rows[1], '| --- | --- |'], rows[2:]), chr(10)) END AS markdown FROM r"""
 SQL["reading_order"] = f"""WITH b AS (SELECT l_orderkey, unnest(boxes) AS b, generate_subscripts(boxes, 1) AS i FROM {BOXES})
@@ -215,25 +214,56 @@ SQL["update_columns"] = "SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'flagged' ELS
 SQL["cascade_delete"] = f"""WITH g AS (SELECT DISTINCT conv_id::VARCHAR AS id FROM conversations WHERE role = 'system'), d AS (SELECT doc_id FROM {CONVERSATIONS} WHERE id IN (FROM g))
 SELECT 'conversations' AS name, count(*) AS n_left FROM {CONVERSATIONS} WHERE id NOT IN (FROM g) UNION ALL SELECT 'registry', count(*) FROM {REGISTRY} WHERE doc_id NOT IN (FROM d)
 UNION ALL SELECT 'chunks', count(*) FROM documents WHERE doc_id::VARCHAR NOT IN (FROM d) UNION ALL SELECT 'chat', count(*) FROM conversations WHERE conv_id::VARCHAR NOT IN (FROM g)"""
-SQL["upsert_conversations"] = """WITH o AS (SELECT conv_id FROM conversations WHERE turn = 0 AND conv_id % 2 = 0), p AS (SELECT conv_id, conv_id % 3 <> 0 AS filled, conv_id % 4 = 0 AS doc FROM conversations WHERE turn = 1 AND (conv_id % 3 <> 0 OR conv_id % 4 = 0))
+SQL["upsert_conversations"] = """WITH o AS (SELECT conv_id FROM conversations WHERE turn = 0 AND conv_id % 2 = 0), p AS (SELECT conv_id, conv_id % 3 <> 0 AS filled, conv_id % 4 = 0 AS doc FROM conversations WHERE conv_id % 3 <> 0 OR conv_id % 4 = 0 GROUP BY conv_id HAVING count(*) > 1)
 SELECT coalesce(o.conv_id, p.conv_id)::VARCHAR AS id, CASE WHEN o.conv_id IS NULL THEN NULL WHEN p.conv_id IS NULL THEN 'old' ELSE 'new' END AS summary,
   CASE WHEN doc THEN 'd' WHEN o.conv_id IS NOT NULL THEN '' END AS doc_id, CASE WHEN o.conv_id IS NULL THEN '2024-02-01' ELSE '2024-01-01' END AS created_at, coalesce(filled, false) AS has_messages FROM o FULL JOIN p ON o.conv_id = p.conv_id"""
 SQL["history_page"] = "SELECT conv_id AS id, max(turn) AS created_at, count(*) FILTER (role <> 'system') AS dialog FROM conversations GROUP BY 1 ORDER BY created_at DESC, id LIMIT 6 OFFSET 6"
+FINAL = f"(SELECT query_id, chunk_index FROM (SELECT q.query_id, w.chunk_index, {boost('q', 'q2', 't')} AS score FROM (SELECT query_id, doc_id, q, q2 FROM {_Q}) q JOIN (SELECT doc_id, chunk_index, {squeeze('text')} AS t FROM {windows()}) w USING (doc_id)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index) <= 3)"
 SQL["eval_metrics"] = f"SELECT * FROM {metrics()}"
+SQL["eval_final"] = f"SELECT * FROM {metrics(f'(query_id, chunk_index) IN {FINAL}')}"
 SQL["eval_verdict"] = f"""WITH v AS (SELECT CASE WHEN b.page_recall > a.page_recall OR (b.page_recall = a.page_recall AND b.page_precision > a.page_precision) THEN 'improve'
   WHEN b.page_recall < a.page_recall OR (b.page_recall = a.page_recall AND b.page_precision < a.page_precision) THEN 'worse' ELSE 'tie' END AS verdict
-  FROM {metrics('chunk_index < 6')} a JOIN {metrics()} b USING (query_id)) SELECT verdict, count(*) AS cases FROM v GROUP BY 1"""
+  FROM {metrics()} a JOIN {metrics(f'(query_id, chunk_index) IN {FINAL}')} b USING (query_id)) SELECT verdict, count(*) AS cases FROM v GROUP BY 1"""
 SQL["eval_summary"] = f"SELECT avg(page_recall) AS page_recall, avg(page_precision) AS page_precision, avg(text_recall) AS text_recall, avg(text_precision) AS text_precision, count(*) AS cases FROM {metrics()}"
-SQL["react_loop"] = f"""WITH q AS (SELECT conv_id * 1000 + turn AS query_id, CASE WHEN conv_id % 3 = 0 THEN '合同金额 ' ELSE '' END || substr(coalesce(text, ''), 1, 40) AS q FROM conversations WHERE role = 'user'),
-r AS (SELECT *, regexp_matches(q, '{DOC_HINT}') AND NOT regexp_matches(q, '{MEMORY_HINT}') AS d, query_id % 2 = 0 AS f FROM q)
-SELECT query_id, CASE WHEN d THEN 'fast_doc' ELSE 'planner' END AS path, CASE WHEN d THEN 0 WHEN f THEN 1 ELSE 2 END::INT AS steps, 1::INT AS n_queries, CASE WHEN d THEN 'fast_doc' WHEN f THEN 'found' ELSE 'finish' END AS finish_reason FROM r"""
+SQL["case_errors"] = "SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 3 = 0 THEN '缺少 question/问题 或 doc_id/文档ID' WHEN doc_id % 5 = 0 OR length(coalesce(text, '')) = 0 THEN '文档无向量 doc_id=' || doc_id END AS error FROM documents"
+SQL["client_errors"] = """SELECT event_id, ['请求已取消', '无法连接 AI 服务，请确认服务已启动', '摘要服务异常', '文档处理服务异常', '问答服务异常', '服务异常，请稍后重试', '服务异常，请稍后重试', '问题 太长 了', '服务异常，请稍后重试'][event_id % 9 + 1] AS message FROM events"""
+SQL["image_coverage"] = "SELECT l_orderkey, round(least(1, sum((l_quantity::DOUBLE + 20) * 40) / 120000), 9) AS coverage FROM lineitem GROUP BY 1"
+_ROW = f"list_transform(string_split(l, ' '), lambda c: {trim('c')})"
+SQL["cell_markdown"] = f"""WITH r AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: {_ROW}), lambda r: len(list_filter(r, lambda c: c <> '')) > 0) AS rows FROM documents),
+w AS (SELECT *, coalesce(list_max(list_transform(rows, lambda r: len(r))), 0) AS w FROM r),
+b AS (SELECT *, list_transform(rows, lambda r: '| ' || array_to_string(list_concat(r, list_transform(range(w - len(r)), lambda i: '')), ' | ') || ' |') AS bars, '| ' || array_to_string(list_transform(range(w), lambda i: '---'), ' | ') || ' |' AS rule FROM w)
+SELECT doc_id, md5(CASE WHEN w = 0 THEN '' ELSE array_to_string(list_concat([bars[1], rule], bars[2:]), chr(10)) END) AS markdown_md5 FROM b"""
+SQL["headed_tables"] = f"""WITH l AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS no FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+r AS (SELECT doc_id, no, {_ROW} AS r FROM l), t AS (SELECT doc_id, string_agg('【表格 ' || no || '】' || chr(10) || '| ' || array_to_string(r, ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(r, lambda c: '---'), ' | ') || ' |', chr(10) || chr(10) ORDER BY no) AS t
+  FROM r WHERE len(list_filter(r, lambda c: c <> '')) > 0 GROUP BY 1) SELECT doc_id, md5(coalesce(t, '')) AS text_md5 FROM documents LEFT JOIN t USING (doc_id)"""
+SQL["page_texts"] = f"SELECT doc_id, md5(string_agg('【第' || chunk_index || '页】' || chr(10) || text, chr(10) || chr(10) ORDER BY chunk_index)) AS text_md5 FROM {windows(300, 0)} WHERE {trim('text')} <> '' GROUP BY 1"
+_TALK = f"(SELECT conv_id, string_agg({trim('text')}, chr(1) ORDER BY turn) AS s0, {trim('string_agg(coalesce(text, chr(32)), chr(10) ORDER BY turn)')} AS s, {trim('arg_max(text, turn)')} AS q FROM conversations GROUP BY 1)"
+SQL["summaries_retrieved"] = f"""WITH c AS (SELECT conv_id, s, q, list_filter(list_transform(string_split(regexp_replace(regexp_replace(s, chr(10) || '+', chr(1), 'g'), '([。！？；!?]){WS}*', '\\1' || chr(1), 'g'), chr(1)), lambda u: {trim('u')}), lambda u: u <> '') AS us FROM {_TALK}),
+u AS (SELECT conv_id, q, unnest(us) AS u, generate_subscripts(us, 1) AS un FROM c WHERE len(us) > 2 AND q <> ''), b AS (SELECT *, {bigram(f"lower({squeeze('q')})", f"lower({squeeze('u')})")} AS score FROM u),
+p AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, un) <= 2),
+t AS (SELECT conv_id, regexp_replace(string_agg(CASE WHEN right(u, 1) IN ('。', '！', '？', ';', '；') THEN u ELSE u || '。' END, '' ORDER BY un), '。{{2,}}', '。', 'g') AS t FROM p GROUP BY 1)
+SELECT conv_id, CASE WHEN t IS NULL THEN {clip('s', 300)} ELSE {clip('t', 300)} END AS summary FROM c LEFT JOIN t USING (conv_id)"""
+SQL["stream_memory"] = f"""WITH t AS (SELECT *, role || ': ' || content AS l FROM {TURNS}), c AS (SELECT conv_id, max(n) AS n, string_agg(l, chr(10) ORDER BY pos) FILTER (pos < n - 4) AS s FROM t GROUP BY 1)
+SELECT conv_id, greatest(n - 4, 0)::BIGINT AS covered, least(n, 4)::BIGINT AS kept, substr(coalesce(s, ''), 1, 1200) AS summary FROM c"""
+SQL["react_loop"] = f"""WITH q AS (SELECT conv_id * 1000 + turn AS query_id, conv_id, {trim("CASE WHEN conv_id % 3 = 0 THEN '合同金额 ' WHEN conv_id % 7 = 0 THEN '之前的合同 ' ELSE '' END || coalesce(text, '')")} AS q FROM conversations WHERE role = 'user'),
+r AS (SELECT *, regexp_matches(q, '{DOC_HINT}') AS d, regexp_matches(q, '{MEMORY_HINT}') AS m FROM q),
+w AS (SELECT doc_id, left(text, 80) AS k, chunk_index, {squeeze('text')} AS t FROM {windows()}),
+s AS (SELECT query_id, chunk_index, k, {boost('q', 'q2', 't')} AS score FROM (SELECT query_id, conv_id, {squeeze('q')} AS q, regexp_replace({squeeze('q')}, '{MARKS}', '', 'g') AS q2 FROM r) z JOIN w ON conv_id = doc_id),
+h AS (SELECT query_id, count(DISTINCT {trim('k')}) FILTER ({trim('k')} <> '') AS h FROM (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index) <= 2) GROUP BY 1),
+c AS (SELECT conv_id, count(*) > 0 AS talked FROM conversations WHERE turn < 2 GROUP BY 1),
+p AS (SELECT query_id, CASE WHEN d AND NOT m THEN 'fast_doc' WHEN m AND NOT d THEN 'fast_memory' ELSE 'planner' END AS path, d, m, coalesce(h, 0) AS h, coalesce(talked, false) AS talked FROM r LEFT JOIN h USING (query_id) LEFT JOIN c USING (conv_id)),
+t AS (SELECT *, CASE WHEN path <> 'planner' THEN 0 WHEN d AND h > 0 THEN 1 WHEN h > 0 THEN 2 WHEN d THEN 2 ELSE 3 END AS steps FROM p)
+SELECT query_id, path, steps::INT AS steps, CASE WHEN path = 'fast_memory' THEN 0 ELSE 1 END::INT AS n_doc_queries, CASE WHEN path = 'fast_doc' OR (path = 'planner' AND d) THEN 0 ELSE 1 END::INT AS n_chat_queries,
+  CASE WHEN path = 'fast_memory' THEN 0 ELSE h END::INT AS n_hits, path = 'fast_memory' OR (path = 'planner' AND (m OR (NOT d AND talked))) AS used_memory,
+  CASE WHEN path = 'planner' THEN 'finish' ELSE path END AS finish_reason, CASE WHEN path = 'fast_doc' THEN 1 WHEN path = 'fast_memory' THEN 2 ELSE steps + CASE WHEN m THEN 1 ELSE 0 END END::INT AS n_steps FROM t"""
 SQL["pages_to_scan"] = f"""WITH w AS (SELECT doc_id, chunk_index + 1 AS page, CASE WHEN substr(source, 4)::INT % 2 = 0 AND chunk_index > 1 THEN '' ELSE w.text END AS text FROM {windows()} w JOIN documents d USING (doc_id)),
 s AS (SELECT *, count(*) FILTER ({trim('text')} <> '') OVER (PARTITION BY doc_id) < greatest(3, count(*) OVER (PARTITION BY doc_id) // 5) AS scanned FROM w)
 SELECT doc_id, page FROM s WHERE scanned AND (page <= 5 OR regexp_matches(text, '目录|CONTENTS|Contents|目 录'))"""
-_CASES = " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{said}'" for p, said in ERRORS)
-SQL["error_messages"] = f"""WITH e AS (SELECT event_id, event_type, lower(['HTTP 502', 'Service Unavailable', 'model not found', 'Connection refused', 'request timed out', 'other', ''][event_id % 7 + 1]) AS s FROM events)
-SELECT event_id, CASE {_CASES} ELSE '{OTHER_ERROR}' END AS message, true AS failed, false AS type_failed FROM e"""
+SQL["error_messages"] = f"""WITH e AS (SELECT event_id, event_type, lower(['HTTP 502', 'Service Unavailable', 'model not found', 'Connection refused', 'request timed out', 'Error code: 7', ''][event_id % 7 + 1]) AS s FROM events)
+SELECT event_id, CASE s WHEN 'http 502' THEN 'AI 摘要生成失败：LM Studio 服务不可用，请启动 Local Server 并加载模型' WHEN 'service unavailable' THEN 'AI 摘要生成失败：LM Studio 服务繁忙或未就绪，请稍后重试'
+  WHEN 'model not found' THEN 'AI 摘要生成失败：模型不存在，请检查 LM Studio 中是否已加载对应模型' WHEN 'connection refused' THEN 'AI 摘要生成失败：无法连接 LM Studio，请确认 Local Server 已启动'
+  WHEN 'request timed out' THEN 'AI 摘要生成超时' WHEN 'error code: 7' THEN 'AI 摘要生成失败：LM Studio 调用异常，请检查服务与模型是否就绪' ELSE 'AI 摘要生成失败：请检查 LM Studio 是否已启动并加载模型' END AS message, true AS failed, false AS type_failed FROM e"""
 SQL["turn_search"] = f"""SELECT query_id, rank, chunk_index AS msg_index, {_CLAMP.format('1.0::DOUBLE - d')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_index)::INT AS rank FROM {_COS}) WHERE rank <= 4"""
 SQL["answer_prompts"] = f"""WITH c AS (SELECT query_id, string_agg('【片段' || no || '】' || chr(10) || {trim('text')}, chr(10) || chr(10) ORDER BY no) AS c FROM {_BLOCK} GROUP BY 1), n AS (SELECT doc_id AS query_id, count(*) AS n FROM {windows()} GROUP BY 1)
 SELECT query_id, md5(concat_ws(chr(10) || chr(10), CASE WHEN c IS NOT NULL THEN '【文档内容】' || chr(10) || {clip('c', 500)} END, '【问题】' || chr(10) || {trim('question')})) AS prompt_md5,
-  CASE WHEN coalesce(n, 0) > 0 AND query_id % 3 <> 0 THEN NULL WHEN coalesce(n, 0) > 0 THEN '{NOTHING_CLOSE}' ELSE '{NO_DOCUMENT}' END AS message FROM {QUESTIONS} LEFT JOIN c USING (query_id) LEFT JOIN n USING (query_id)"""
+  CASE WHEN coalesce(n, 0) > 0 AND query_id % 3 <> 0 THEN NULL WHEN coalesce(n, 0) > 0 THEN '未找到与问题足够相关的内容，请换种问法或换个角度描述。' ELSE '未找到相关文档内容，请先上传文档。' END AS message FROM {QUESTIONS} LEFT JOIN c USING (query_id) LEFT JOIN n USING (query_id)"""

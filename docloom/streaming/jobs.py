@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docloom.config import Config
+from docloom.functions.text import ws_trim
 from docloom.operators.chunking import chunk_pages
 
 
 def ingest(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, config: Config = Config(), files_per_batch: int = 16):
     """Cuts pages (doc_id, page, text, source_ext) arriving as Parquet into chunks under out, a folder a batch.
 
-    A batch that is replayed overwrites its own folder, so that each page is stored once.
+    A batch that is replayed overwrites its own folder, so that each page is stored once. A
+    document that comes again is stored again; ``current`` reads its last coming alone. Its
+    pages are to come in one file.
     """
 
     def store(batch: DataFrame, number: int) -> None:
@@ -26,15 +29,34 @@ def ingest(spark: SparkSession, source: str, schema: str, out: str, checkpoint:
     return pages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current(spark: SparkSession, out: str) -> DataFrame:
+    """The chunks stored by ``ingest``, of each document those of the last batch that had it."""
+    rows = spark.read.parquet(out)
+    last = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["doc_id", "batch"]).drop("batch")
+
+
+#: (summary so far, the turns that left the window) -> summary
+SummaryFn = Callable[[str, str], str]
+#: the turns that left the window -> facts, one a line
+FactsFn = Callable[[str], list[str]]
+
+
+def appended(summary: str, block: str, most: int = 1200) -> str:
+    return "\n".join(x for x in (summary, block) if x)[:most]
+
+
 class RollingMemory(StatefulProcessor):
-    """The last turns of a conversation, and how many have left the window: each leaves it once."""
+    """The last turns of a conversation, how many have left the window (each leaves it once), and their summary and facts."""
 
-    def __init__(self, keep: int):
-        self.keep = keep
+    def __init__(self, keep: int, summarise: SummaryFn = appended, facts: FactsFn | None = None):
+        self.keep, self.summarise, self.facts_of = keep, summarise, facts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getValueState("recent", "turns array<string>")
         self.covered = handle.getValueState("covered", "n bigint")
+        self.summary = handle.getValueState("summary", "text string")
+        self.facts = handle.getValueState("facts", "lines array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         turns = list(self.recent.get()[0]) if self.recent.exists() else []
@@ -42,20 +64,32 @@ class RollingMemory(StatefulProcessor):
         for frame in rows:
             turns += [f"{r}: {c}" for _, r, c in sorted(zip(frame.turn, frame.role, frame.text, strict=True))]
         gone = max(0, len(turns) - self.keep)
+        summary = self.summary.get()[0] if self.summary.exists() else ""
+        facts = list(self.facts.get()[0]) if self.facts.exists() else []
+        if gone:
+            block = "\n".join(turns[:gone])
+            summary = self.summarise(summary, block)
+            known = {"".join(f.lower().split()) for f in facts}
+            for line in self.facts_of(block) if self.facts_of else ():
+                if (k := "".join(line.lower().split())) and k not in known:
+                    known.add(k)
+                    facts.append(line)
         covered += gone
         turns = turns[gone:]
         self.recent.update((turns,))
         self.covered.update((covered,))
-        yield pd.DataFrame({"conv_id": [key[0]], "covered": [covered], "kept": [len(turns)], "overflowed": [gone]})
+        self.summary.update((summary,))
+        self.facts.update((facts,))
+        yield pd.DataFrame({"conv_id": [key[0]], "covered": [covered], "kept": [len(turns)], "overflowed": [gone], "summary": [summary], "facts": [facts]})
 
     def close(self) -> None:
         pass
 
 
-MEMORY = "conv_id bigint, covered bigint, kept bigint, overflowed bigint"
+MEMORY = "conv_id bigint, covered bigint, kept bigint, overflowed bigint, summary string, facts array<string>"
 
 
-def rolling_memory(turns: DataFrame, keep: int = 4) -> DataFrame:
-    """turns, a stream of conv_id, turn, role, text. Needs the RocksDB state store."""
-    said = turns.where(F.col("role").isin("user", "assistant"))
-    return said.groupBy("conv_id").transformWithStateInPandas(RollingMemory(keep), outputStructType=MEMORY, outputMode="Update", timeMode="None")
+def rolling_memory(turns: DataFrame, keep: int = 4, summarise: SummaryFn = appended, facts: FactsFn | None = None) -> DataFrame:
+    """turns, a stream of conv_id, turn, role, text; blank ones don't count. Needs the RocksDB state store."""
+    said = turns.where(F.col("role").isin("user", "assistant") & (ws_trim("text") != "")).withColumn("text", ws_trim("text"))
+    return said.groupBy("conv_id").transformWithStateInPandas(RollingMemory(keep, summarise, facts), outputStructType=MEMORY, outputMode="Update", timeMode="None")

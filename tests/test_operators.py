@@ -161,18 +161,162 @@ def test_decisions(spark, answer, want):
     assert tuple(spark.range(1).select(agent.decision(F.lit(answer))).first()[0]) == want
 
 
-def test_agent_paths(spark):
-    q = spark.createDataFrame([(1, "合同金额是多少", ""), (2, "我们之前聊了啥", ""), (3, "你好", ""), (4, "hi there", "")], "query_id int, question string, observation string")
-    asked = spark.sparkContext.accumulator(0)
-
-    def plan(p):
-        if p:
-            asked.add(1)
-        return '{"action":"search_doc","action_input":"w"}' if p and "hi" in p else '{"action":"finish"}'
-
-    out = {r.query_id: r for r in agent.run(q, plan, q.where("query_id = 1"), max_steps=3).collect()}
-    assert out[1].path == "fast_doc" and out[1].queries == ["合同金额是多少"] and out[2].path == "fast_memory"
-    assert out[3].finish_reason == "finish" and out[4].finish_reason == "repeated" and out[4].queries == ["w"]
+def found(*rows):
+    """A search that gives the rows (text, page) for queries with a word in them."""
+
+    def search(q):
+        spark = q.sparkSession
+        hits = spark.createDataFrame([(w, i + 1, t, p) for i, (w, t, p) in enumerate(rows)], "word string, rank int, text string, page int")
+        return q.join(hits, F.contains(q["question"], hits["word"])).select("query_id", "rank", "text", "page")
+
+    return search
+
+
+def asked(spark, *questions):
+    return spark.createDataFrame([(i, q) for i, q in enumerate(questions, 1)], "query_id int, question string")
+
+
+def test_agent_fast_paths(spark):
+    def plan(prompt):
+        raise AssertionError("the planner is not asked")
+
+    q = asked(spark, "合同金额是多少", "我们之前聊了啥").withColumn("memory_facts", F.lit("- 甲方：A")).withColumn("recent_turns", F.lit("用户：hi"))
+    out = {r.query_id: r for r in agent.run(q, plan, found(("合同", "金额十元", 2), ("合同", "金额十元", 2), ("合同", " ", 3)), found(("之前", "旧话", 0))).collect()}
+    doc, talk = out[1], out[2]
+    assert (doc.path, doc.finish_reason, doc.doc_queries, doc.steps) == ("fast_doc", "fast_doc", ["合同金额是多少"], 0)
+    assert [(h.text, h.page) for h in doc.hits] == [("金额十元", 2)] and doc.trace[0].observation == "【片段1】 page=2\n金额十元\n\n【片段2】 page=2\n金额十元"
+    assert (talk.path, talk.used_memory, talk.chat_queries) == ("fast_memory", True, ["我们之前聊了啥"])
+    assert talk.memory_observation == "【硬事实】\n- 甲方：A\n\n【最近对话】\n用户：hi" and [(t.step, t.action) for t in talk.trace] == [(1, "read_memory"), (2, "search_chat")]
+    alone = agent.run(q.drop("memory_facts", "recent_turns"), plan, found()).orderBy("query_id").collect()
+    assert alone[0].trace[0].observation == agent.NO_HITS and alone[1].memory_observation == agent.NO_MEMORY and len(alone[1].trace) == 1
+
+
+def test_agent_looks_at_what_it_found(spark):
+    """The planner sees each round's observation and words its next query by it."""
+
+    def plan(prompt):
+        if "Observation: 【片段1】\nask for blue" in prompt:
+            return '{"thought":"now blue","action":"search_doc","action_input":"blue"}'
+        return '{"thought":"talk first","action":"search_chat","action_input":"hello"}'
+
+    out = agent.run(asked(spark, "tell me"), plan, found(("blue", "it is blue", 4)), found(("hello", "ask for blue", 0)), max_steps=3).first()
+    assert (out.steps, out.finish_reason, out.doc_queries, out.chat_queries) == (2, "finish", ["blue"], ["hello"])
+    assert [h.text for h in out.hits] == ["it is blue"] and [h.text for h in out.chat_hits] == ["ask for blue"] and out.used_memory
+    assert [(t.step, t.thought, t.action, t.action_input) for t in out.trace] == [(1, "talk first", "search_chat", "hello"), (2, "now blue", "search_doc", "blue")]
+
+
+def test_agent_keeps_the_two_searches_apart(spark):
+    """Words asked of the talk may be asked of the document; only the same search again is skipped, and the loop goes on."""
+
+    def plan(prompt):
+        step = prompt[prompt.index("第 ") + 2]
+        return {"1": '{"action":"search_chat","action_input":"w w"}', "2": '{"action":"search_doc","action_input":"W w"}', "3": '{"action":"search_doc","action_input":"ww"}', "4": '{"action":"finish"}'}[step]
+
+    out = agent.run(asked(spark, "hi"), plan, found(), found(("w", "x", 0)), max_steps=4).first()
+    assert (out.chat_queries, out.doc_queries, out.steps, out.finish_reason) == (["w w"], ["W w"], 4, "finish")
+    assert [t.observation for t in out.trace][1:] == [agent.NO_HITS, agent.REPEATED_DOC + "ww", agent.ENDED]
+    short = agent.run(asked(spark, "hi"), plan, found(), found(("w", "x", 0)), max_steps=3).first()
+    assert (short.steps, short.finish_reason) == (3, "max_steps")
+
+
+def test_agent_guards(spark):
+    """A document question is searched for before it may end, though the talk was searched; without a talk nothing searches it."""
+    both = "我们之前说的合同金额"  # about document and talk: the planner's
+    finish = lambda p: '{"action":"finish"}'
+    out = agent.run(asked(spark, both), finish, found(("合同", "十元", 1)), found(("合同", "旧话", 0)), max_steps=3).first()
+    assert [t.action for t in out.trace] == ["search_doc", "read_memory"] and "护栏" in out.trace[0].thought and out.used_memory
+    chat = lambda p: '{"action":"search_chat"}'
+    first = agent.run(asked(spark, both), chat, found(), found(("合同", "旧话", 0)), max_steps=1).first()
+    assert [t.action for t in first.trace][0] == "search_doc"
+    none = agent.run(asked(spark, "随便说说"), chat, found(), None, max_steps=2).first()
+    assert [t.action for t in none.trace] == ["finish"] and none.chat_queries == []
+
+
+def test_agent_models_that_fail(spark):
+    def broken(prompt):
+        raise RuntimeError("no model")
+
+    out = agent.run(asked(spark, "hi"), broken, found(), rewrite=broken).first()
+    assert (out.finish_reason, out.steps) == ("finish", 1)
+    better = agent.run(asked(spark, "那金额呢"), broken, found(("合同", "十元", 1)), rewrite=lambda q: "合同的金额").first()
+    assert better.doc_queries == ["合同的金额"] and better.hits[0].text == "十元"
+
+
+def test_search_reads_documents_once(spark, sf):
+    """The plan of a search has one scan of the texts and one embedding of the chunks."""
+    from docloom.plans.queries import QUERIES
+
+    plan = QUERIES["search_with_dedupe"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in plan.splitlines() if "Relation [" in line and "n_chars" in line]
+    assert len(scans) == 2 and plan.count("embed(") == 2  # the other scan is of ids, for the questions
+    physical = QUERIES["search_with_dedupe"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert sum("text:string" in line and "doc_id" in line for line in physical.splitlines() if "ReadSchema" in line) == 1
+
+
+def test_search_without_vectors(spark):
+    """Chunks without vectors are found by wording, from all of the document's."""
+    chunks = spark.createDataFrame([("d", 0, "苹果的单价是十元", None), ("d", 1, "香蕉的产地是海南", None)], "doc_id string, chunk_index int, text string, embedding array<double>").withColumn("page", F.lit(1))
+    q = spark.createDataFrame([(1, "d", "香蕉的产地", [1.0, 0.0])], "query_id int, doc_id string, question string, q_embedding array<double>")
+    out = retrieval.search(q, chunks, Config(), "cosine").orderBy("rank").collect()
+    assert [r.chunk_index for r in out] == [1, 0] and out[0].score == out[0].lexical_boost == 0.55 and out[0].dense_score == 0.0
+    pool, final = evaluation.pool_and_final(q, chunks, Config(), space="cosine")
+    assert pool.count() >= final.count() == 2
+
+
+def test_line_keys_by_unicodedata(spark):
+    import re
+    import unicodedata
+
+    def key(line):
+        s = unicodedata.normalize("NFKC", line)
+        for p in (cleanup.INVISIBLE, cleanup.CITATION, r"\s+", cleanup.LIST_MARK):
+            s = re.sub(p, "", s)
+        return s
+
+    lines = ["ＡＢＣ１", "ABC1", "ｱｲｳ アイウ", "ﬁne", "１、要点（第１页）", "①②", "a\u00a0b", "plain", "é", "e\u0301", "", "…"]
+    df = spark.createDataFrame([(x,) for x in lines], "t string")
+    assert [r.k for r in df.select(cleanup.line_key("t").alias("k")).collect()] == [key(x) for x in lines]
+    out = cleanup.collapse_lines(spark.createDataFrame([(1, "ＡＢＣ１\nABC1\n别的。别的。\nﬁne\nfine")], "doc_id int, text string"))
+    assert out.first().text == "ＡＢＣ１\n别的。\nﬁne"
+
+
+def test_memory_compression(spark):
+    state = spark.createDataFrame([("c", 2, "早先", "- 甲方：A"), ("gone", 3, "留着", "- x")], "conv_id string, covered int, memory_summary string, memory_facts string")
+    answers = lambda p, n: "- 乙方：B" if n == 300 else ""
+    got = {r.conv_id: tuple(r)[1:] for r in memory.compressed(turns(spark, 8), state, 4, answers).collect()}
+    assert got["c"] == (4, "早先\n用户：u1\n助手：a1", "- 甲方：A\n- 乙方：B")
+    assert got["gone"] == (0, "留着", "- x")
+    same = memory.compressed(turns(spark, 3), state, 4).where("conv_id = 'c'").first()
+    assert tuple(same) == ("c", 0, "早先", "- 甲方：A")
+
+
+def test_many_facts_are_scored_by_vectors(spark):
+    lines = "\n".join(f"- fact number {i}" for i in range(30))
+    df = spark.createDataFrame([(1, "qq", lines + "\n- wanted"), (2, "qq", "- other\n- qq here")], "k int, q string, f string")
+
+    def embed(c):
+        return F.when(c.contains("wanted") | c.contains("qq"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+
+    got = {r.k: r.facts for r in memory.relevant_facts(df, "k", "q", "f", 1, embed=embed).collect()}
+    assert got == {1: "- wanted", 2: "- qq here"}
+
+
+def test_final_messages(spark):
+    mem = spark.createDataFrame([("c", "苹果", "- [pinned] 客户：甲", "")], "conv_id string, question string, facts string, summary string")
+    out = memory.final_messages(turns(spark, 8), mem, 2).first()
+    assert [(m.role, m.content) for m in out.messages] == [("system", "【已确认硬事实】\n- [pinned] 客户：甲"), ("user", "u3"), ("assistant", "a3")]
+
+
+def test_coverage_and_table_heads(spark):
+    box = F.array(F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(10.0).alias("x1"), F.lit(5.0).alias("y1")))
+    c = lambda b, w, h: spark.range(1).select(layout.image_coverage(b, F.lit(w), F.lit(h))).first()[0]
+    assert (c(box, 10, 10), c(box, 1, 1), c(box, 0, 10), c(F.lit(None).cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"), 1, 1)) == (0.5, 1.0, 0.0, 0.0)
+
+
+def test_cascade_counts(spark):
+    a, b = spark.range(5), spark.range(2)
+    got = {r.name: r.n_deleted for r in catalog.cascade_counts({"x": a, "y": b}, {"x": b, "y": b}).collect()}
+    assert got == {"x": 3, "y": 0}
 
 
 def test_catalog(spark):
