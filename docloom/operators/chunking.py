@@ -38,7 +38,7 @@ def split_after(s: Column, separator: str) -> Column:
 
 
 def merge_pieces(pieces: Column, size: int) -> Column:
-    """Neighbours joined while they fit. The open chunk stands beside the done ones, which grow by one for each chunk only."""
+    """Neighbours joined while they fit. A fold, for as many pieces as a page has; see split_merged for any text."""
     start = F.struct(_empty().alias("done"), F.lit("").alias("last"))
 
     def step(a: Column, p: Column) -> Column:
@@ -48,6 +48,14 @@ def merge_pieces(pieces: Column, size: int) -> Column:
     return F.aggregate(F.filter(pieces, lambda p: p != ""), start, step, lambda a: F.when(a["last"] == "", a["done"]).otherwise(F.array_append(a["done"], a["last"])))
 
 
+def split_merged(s: Column, separator: str, size: int) -> Column:
+    """merge_pieces of split_after, in one pass: the rest if it fits, else the longest part that ends in a separator
+    and fits, else all up to the first separator, else the rest.
+    """
+    end = "(?<=\\Q" + separator + "\\E)"
+    return F.regexp_extract_all(s, F.lit(f"(?s).{{1,{size}}}\\z|.{{1,{size}}}{end}|.+?{end}|.+"), 0)
+
+
 def hard_cut(s: Column, size: int, overlap: int = 0) -> Column:
     """Windows of size characters; the last is the first that reaches the end.
 
@@ -79,15 +87,16 @@ def merge_tiny(chunks: Column, least: int) -> Column:
     if least <= 1:
         return F.filter(F.transform(chunks, ws_trim), lambda c: c != "")
 
-    start = F.struct(_empty().alias("done"), F.lit("").alias("last"))
 
-    def step(a: Column, c: Column) -> Column:
-        first, short = a["last"] == "", F.length(c) < least
-        joined = F.struct(a["done"].alias("done"), F.when(first, c).otherwise(ws_trim(F.concat(a["last"], c))).alias("last"))
-        return F.when(first | short, joined).otherwise(F.struct(F.array_append(a["done"], a["last"]).alias("done"), c.alias("last")))
+    def joined(v: Column) -> Column:
+        """Every chunk that isn't short, and the first, opens a group."""
+        n = F.size(v["c"])
+        opens = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i == 0) | (F.length(F.get(v["c"], i)) >= least))
+        whole = F.struct(v["c"].alias("c"), opens.alias("at"), n.alias("n"))
+        groups = let(whole, lambda g: F.transform(g["at"], lambda i, j: F.array_join(F.slice(g["c"], i + 1, F.coalesce(F.get(g["at"], j + 1), g["n"]) - i), "")))
+        return F.when(n == 0, _empty()).otherwise(groups)
 
-    full = F.filter(F.transform(chunks, ws_trim), lambda c: c != "")
-    return F.aggregate(full, start, step, lambda a: F.when(a["last"] == "", a["done"]).otherwise(F.array_append(a["done"], a["last"])))
+    return let(F.struct(F.filter(F.transform(chunks, ws_trim), lambda c: c != "").alias("c")), joined)
 
 
 def with_recursive_chunks(df: DataFrame, text: str | Column, into: str, size: int = 300, overlap: int = 50, least: int = 90, separators=SEPARATORS) -> DataFrame:
@@ -106,7 +115,7 @@ def with_recursive_chunks(df: DataFrame, text: str | Column, into: str, size: in
 
 def _finer(separator: str, size: int):
     """A piece within the size stays, and one without the separator is for the next level."""
-    return lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(_trimmed(merge_pieces(split_after(p, separator), size)))
+    return lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(_trimmed(split_merged(p, separator, size)))
 
 
 def _trimmed(pieces: Column) -> Column:

@@ -145,7 +145,7 @@ def chunk_counts(spark, sf):
 @query
 def merged_pieces(spark, sf):
     d = read(spark, sf, "documents")
-    merged = chunking.merge_pieces(chunking.split_after(T.text("text"), "\n"), 300)
+    merged = chunking.split_merged(T.text("text"), "\n", 300)
     return T.exploded(d, merged, "piece_no", "piece", "doc_id")
 
 
