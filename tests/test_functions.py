@@ -132,3 +132,28 @@ def test_alike_matches_sequence_ratio():
 
     for a, b in [("abcdefgh", "abcdefgx"), ("abc", "xyz"), ("a" * 300, "a" * 150 + "b" * 150)]:
         assert Kept(b).like(a, 0.72) == (a in b or b in a or difflib.SequenceMatcher(None, a, b).ratio() >= 0.72)
+
+
+@pytest.mark.parametrize(
+    "said, want",
+    [
+        ("This operation was aborted", "请求已取消"), ("fetch failed", "无法连接 AI 服务，请确认服务已启动"), ("摘要接口返回 502", "摘要服务异常"), ("embedding failed: 500", "文档处理服务异常"),
+        ("问答 (503)", "问答服务异常"), ("error code: 7", "服务异常，请稍后重试"), ("some english", "服务异常，请稍后重试"), (None, "服务异常，请稍后重试"), ("  ", "服务异常，请稍后重试"),
+        ("缺少 doc_id  参数", "缺少 参数"), ("第 300 行太长", "第 300 行太长"), ("文件不存在", "文件不存在"),
+    ],
+)
+def test_client_errors(spark, said, want):
+    assert one(spark, T.client_error(F.lit(said).cast("string"))) == want
+
+
+def test_numbered_tables_and_entities(spark):
+    rows = F.array(F.array(F.array(F.lit("a"), F.lit(None).cast("string"))), F.array(F.array(F.lit(""))), F.array(F.array(F.lit("b"))))
+    assert one(spark, tables.headed_tables(rows)) == "【表格 1】\n| a |  |\n| --- | --- |\n\n【表格 3】\n| b |\n| --- |".replace("|\n\n", "|\n\n")
+    html = "<TABLE><tr><td>a &lt;b&gt;x&lt;/b&gt; &eacute;&hellip;&#8364;</td><td>1 &lt; 2 &amp;amp;</td></tr></TABLE>"
+    assert one(spark, tables.html_table_rows(F.lit(html))) == [["a x é…€", "1 < 2 &amp;"]]
+    assert one(spark, tables.headed_markdown(F.array(F.lit(""), F.lit("| x |")))) == "【图像表格 2】\n| x |"
+
+
+def test_words_for_true_and_false(spark):
+    got = [one(spark, T.as_bool(F.lit(w), True)) for w in ("否", "OFF ", "0", "关", "maybe")] + [one(spark, T.as_bool(F.lit(w))) for w in ("是", "Yes", "开")]
+    assert got == [False, False, False, True, True, True, True, False]

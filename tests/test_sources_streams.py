@@ -28,7 +28,17 @@ def test_pages_by_an_extractor(spark, tmp_path):
 
     rows = files.read_pages(files.binary_files(spark, str(tmp_path), "*.pdf"), extract, max_pages=2).collect()
     assert sorted((r.page, r.text) for r in rows if r.error is None) == [(1, "one"), (2, "two")]
-    assert [r.error for r in rows if r.error] == ["[PDF解析错误: broken xref]"]
+    assert sorted(r.error for r in rows if r.error) == ["[PDF解析错误: broken xref]", "pages after the first 2 were not read"]
+    (tmp_path / "c.txt").write_bytes("正文".encode())
+    both = files.read_files(files.binary_files(spark, str(tmp_path)), extract).collect()
+    assert {(r.doc_id.rsplit("/", 1)[1], r.page, r.text) for r in both if not r.error} == {("a.pdf", 1, "one"), ("a.pdf", 2, "two"), ("a.pdf", 3, "three"), ("c.txt", 0, "正文")}
+
+
+def test_names_are_repaired(spark):
+    broken = "合同.pdf".encode().decode("latin-1")
+    names = [broken, "plain.pdf", "合同.pdf", "café.pdf", "caf\u00c3\u00a9.pdf", "\u00ff\u00fe", None]
+    got = [r.n for r in spark.createDataFrame([(n,) for n in names], "name string").select(files.repaired_name("name").alias("n")).collect()]
+    assert got == ["合同.pdf", *names[1:]]
 
 
 def test_cases_and_frames(spark, tmp_path):
@@ -37,6 +47,15 @@ def test_cases_and_frames(spark, tmp_path):
     assert (r.question, r.doc_id, r.gold_pages, r.gold_contains) == ("q", "d", [1], ["x"])
     lines = spark.createDataFrame([("data: {\"a\":1}",), (": ping",), ("event: x",), ("data:",)], "value string")
     assert [x.payload for x in files.event_frames(lines).collect()] == ['{"a":1}']
+    blocks = spark.createDataFrame([(1, 'data: {"a":"1"}\r\n: ping\ndata: oops\ndata: {"b":"2"}'), (2, "data: x")], "k int, value string")
+    got = [(r.k, r.payload, r.data) for r in files.event_blocks(blocks, "k").orderBy("k", "at").collect()]
+    assert got[0] == (1, '{"a":"1"}', {"a": "1"}) and got[1][1] == "oops" and not got[1][2] and len(got) == 2  # what has no end yet is not read
+
+
+def test_case_files_in_chinese(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps([{"问题": "q", "文档ID": "d", "金标页码": [1, 2], "金标原文": ["x"], "启用重排": "是"}, {"问题": "r"}]))
+    a, b = files.read_cases(spark, str(tmp_path / "c.json")).collect()
+    assert (a.doc_id, a.gold_pages, a.gold_contains, a.use_rerank) == ("d", [1, 2], ["x"], True) and (b.doc_id, b.use_rerank) == (None, False)
 
 
 def test_versions(spark, tmp_path):
@@ -56,6 +75,27 @@ def test_ingest_stream_stores_each_page_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_a_document_that_comes_again(spark, tmp_path):
+    for n, text in enumerate(("旧的一段。", "新的一段。")):
+        spark.createDataFrame([("a", 1, text, "pdf"), (f"only{n}", 1, "别的。", "pdf")], PAGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.ingest(spark, str(tmp_path / "in"), PAGES, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    assert {(r.doc_id, r.text) for r in jobs.current(spark, str(tmp_path / "out")).collect()} == {("a", "新的一段。"), ("only0", "别的。"), ("only1", "别的。")}
+
+
+def test_rolling_memory_keeps_summary_and_facts(spark, tmp_path):
+    schema = "conv_id bigint, turn int, role string, text string"
+    last = {}
+    for n in range(2):  # two batches
+        rows = [(1, 10 * n + i, "user", f"batch {n} turn {i}") for i in range(3)] + [(1, 10 * n + 5, "user", "  "), (1, 10 * n + 6, "system", "x")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.rolling_memory(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), keep=2, facts=lambda block: [f"said {block.count('turn')}", "Said 1"])
+        q = stream.writeStream.foreachBatch(lambda b, _: last.update({r.conv_id: r for r in b.collect()})).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    r = last[1]
+    assert (r.covered, r.kept, r.overflowed) == (4, 2, 3)
+    assert r.summary == "user: batch 0 turn 0\nuser: batch 0 turn 1\nuser: batch 0 turn 2\nuser: batch 1 turn 0" and r.facts == ["said 1", "said 3"]
+
+
 def test_rolling_memory_stream(spark, sf, tmp_path):
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
     turns.coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -63,5 +103,5 @@ def test_rolling_memory_stream(spark, sf, tmp_path):
     q = stream.writeStream.format("memory").queryName("rolling").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {r.conv_id: (r.covered, r.kept) for r in spark.table("rolling").collect()}
-    want = {r.conv_id: (max(0, r.n - 2), min(2, r.n)) for r in turns.where("role <> 'system'").groupBy("conv_id").agg(F.count("*").alias("n")).collect()}
+    want = {r.conv_id: (max(0, r.n - 2), min(2, r.n)) for r in turns.where("role <> 'system' AND trim(text) <> ''").groupBy("conv_id").agg(F.count("*").alias("n")).collect()}
     assert got == want
