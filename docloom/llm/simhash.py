@@ -153,8 +153,11 @@ def links(fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame
     return out
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(node, root): root is the smallest node of node's component. Nodes without edges are left out."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): root is the smallest node of node's component. Nodes without edges are left out.
+
+    Rounds go on until the edges stay as they are, which then are stars.
+    """
 
     def minima(pairs: DataFrame) -> DataFrame:
         return materialise(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "minima")
@@ -165,9 +168,7 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     ordered = lambda e: e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     now = materialise(ordered(edges), "edges")
     before = state(now)
-    for _ in range(most_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = materialise(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
         # large star: every larger neighbour of u goes to the smallest of u's neighbourhood
         large = materialise(both.join(minima(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large-star")
@@ -180,8 +181,6 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         if after == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = after
-    if before[0]:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
