@@ -297,7 +297,7 @@ def lexical_fallback(spark, sf):
 @query
 def document_texts(spark, sf):
     c = windows(read(spark, sf, "documents"), 300, 0).withColumn("source_ext", F.when(F.pmod("doc_id", F.lit(4)) == 0, "txt").otherwise("pdf"))
-    return retrieval.document_text(c, 2000)
+    return retrieval.document_text(c)
 
 
 def _hits(spark, sf) -> DataFrame:

@@ -161,7 +161,7 @@ t AS (SELECT *, {squeeze('text')} AS t FROM h QUALIFY row_number() OVER (PARTITI
 a AS (SELECT * FROM s QUALIFY score >= th OR NOT bool_or(score >= th) OVER (PARTITION BY query_id))
 SELECT query_id, rank, chunk_index, page, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d, chunk_index)::INT AS rank FROM a) WHERE rank <= k"""
 SQL["document_texts"] = f"""WITH w AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE page END AS p FROM {windows(300, 0)}), m AS (SELECT doc_id, chunk_index, CASE WHEN p IS NOT NULL AND p IS DISTINCT FROM lag(p) OVER (PARTITION BY doc_id ORDER BY chunk_index) THEN '【第' || p || '页】' || chr(10) || text ELSE text END AS l FROM w)
-SELECT doc_id, substr(string_agg(l, chr(10) ORDER BY chunk_index), 1, 2000) AS text FROM m GROUP BY 1"""
+SELECT doc_id, string_agg(l, chr(10) ORDER BY chunk_index) AS text FROM m GROUP BY 1"""
 _BLOCK = f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS no FROM {FIRST} WHERE {trim('text')} <> '')"
 SQL["prompt_contexts"] = f"SELECT query_id, string_agg('【片段' || no || '】' || chr(10) || {trim('text')}, chr(10) || chr(10) ORDER BY no) AS context, array_to_string(list_sort(list(DISTINCT page)), ',') AS pages FROM {_BLOCK} GROUP BY 1"
 SQL["observation_budget"] = f"""WITH b AS (SELECT query_id, rank, '【片段' || rank || '】 source=text page=' || page || chr(10) || {trim('text')} AS b FROM {FIRST} WHERE {trim('text')} <> ''),
@@ -201,6 +201,23 @@ r AS (SELECT page_id, cs, list_transform(cs, lambda x: '| ' || regexp_replace(x,
 SELECT page_id, len(cs)::INT AS n_rows, CASE WHEN len(cs) = 0 THEN '' ELSE array_to_string(list_concat([rows[1], '| --- | --- |'], rows[2:]), chr(10)) END AS markdown FROM r"""
 SQL["reading_order"] = f"""WITH b AS (SELECT l_orderkey, unnest(boxes) AS b, generate_subscripts(boxes, 1) AS i FROM {BOXES})
 SELECT l_orderkey, string_agg(b.n::VARCHAR, chr(10) || chr(10) ORDER BY round_even(b.y0 / 8.0::DOUBLE, 0), b.x0, i) AS text FROM b GROUP BY 1"""
+
+
+def _area(b: str) -> str:
+    return f"(greatest({b}.x1 - {b}.x0, 0) * greatest({b}.y1 - {b}.y0, 0))"
+
+
+def _iou(a: str, b: str) -> str:
+    both = f"(greatest(least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0), 0) * greatest(least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0), 0))"
+    return f"(CASE WHEN {_area(a)} + {_area(b)} - {both} > 0 THEN {both} / ({_area(a)} + {_area(b)} - {both}) ELSE 0 END)"
+
+
+SQL["merged_regions"] = f"""WITH l AS (SELECT l_orderkey, l_linenumber AS n, (l_partkey * 7 % 200)::DOUBLE AS x0, ((l_suppkey * 13 + l_linenumber * 5) % 300)::DOUBLE AS y0, l_quantity::DOUBLE AS q FROM lineitem),
+b AS (SELECT l_orderkey, list({{n: n, x0: x0, y0: y0, x1: x0 + q + 20, y1: y0 + 40}} ORDER BY n, x0, y0, q) AS boxes FROM l GROUP BY 1),
+s AS (SELECT l_orderkey, boxes, list_sort(list_transform(boxes, lambda b, i: {{a: -{_area('b')}, i: i, b: b}})) AS s FROM b),
+k AS (SELECT l_orderkey, boxes, list_reduce(list_transform(s, lambda r: [r.b]), lambda done, r: CASE WHEN len(list_filter(done, lambda d: {_iou('d', 'r[1]')} >= 0.3)) > 0 THEN done ELSE list_concat(done, r) END) AS kept FROM s),
+p AS (SELECT l_orderkey, boxes, list_sort(list_transform(kept, lambda b, i: {{r: round_even(b.y0 / 8, 0), x: b.x0, i: i, n: b.n}})) AS p FROM k)
+SELECT l_orderkey, len(boxes)::INT AS n_boxes, array_to_string(list_transform(p, lambda x: x.n), ',') AS kept FROM p"""
 SQL["grace_keep"] = f"SELECT doc_id FROM {KEEP}"
 SQL["reconcile_orphans"] = f"SELECT DISTINCT doc_id::VARCHAR AS doc_id FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT doc_id FROM {KEEP})"
 SQL["replace_documents"] = "SELECT doc_id, source, length(text)::INT AS chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT doc_id, 'new', 0 FROM labels WHERE toxic = 1"
