@@ -157,3 +157,11 @@ def test_numbered_tables_and_entities(spark):
 def test_words_for_true_and_false(spark):
     got = [one(spark, T.as_bool(F.lit(w), True)) for w in ("否", "OFF ", "0", "关", "maybe")] + [one(spark, T.as_bool(F.lit(w))) for w in ("是", "Yes", "开")]
     assert got == [False, False, False, True, True, True, True, False]
+
+
+def test_small_measures(spark):
+    box = F.array(*(F.lit(float(v)) for v in (0, 0, 5, 4)))
+    assert [one(spark, params.area_ratio(box, F.lit(a))) for a in (40.0, 10.0, 0.0)] == [0.5, 1.0, 0.0]
+    assert one(spark, params.progress(F.lit(3), F.lit(4), 10, 40)) == 40 and one(spark, params.progress(F.lit(0), F.lit(0), 10, 40)) == 10
+    said = lambda n, m: one(spark, T.pdf_error(F.lit(n), F.lit(m)))
+    assert "加密" in said("E", "needs Password") and "损坏" in said("XrefError", "x") and said("E", "other") == "[PDF解析错误: other]"

@@ -313,6 +313,27 @@ def test_coverage_and_table_heads(spark):
     assert (c(box, 10, 10), c(box, 1, 1), c(box, 0, 10), c(F.lit(None).cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"), 1, 1)) == (0.5, 1.0, 0.0, 0.0)
 
 
+def test_stale_files_and_blocks(spark):
+    t = lambda h: dt.datetime(2024, 1, 30, h)
+    rows = spark.createDataFrame([("a", t(1)), ("b", t(1)), ("c", t(23))], "path string, modificationTime timestamp")
+    active = spark.createDataFrame([("b",)], "path string")
+    assert [r.path for r in catalog.stale_files(rows, active, F.lit("2024-01-31 12:00:00").cast("timestamp")).collect()] == ["a"]
+    lines = F.array(F.array(F.lit("a"), F.lit("b ")), F.array(F.lit(" ")), F.array(F.lit("c")))
+    assert spark.range(1).select(layout.block_text(lines)).first()[0] == "ab\nc"
+    ocr = F.array(*(F.struct(F.lit(t).alias("text"), F.lit(y).alias("y"), F.lit(0.0).alias("x")) for t, y in (("again", 50.0), ("again", 10.0), ("other words", 30.0))))
+    assert spark.range(1).select(layout.ocr_text(ocr)).first()[0].split() == ["again", "other", "words"]
+
+
+def test_null_ids_and_ties(spark):
+    registry = spark.createDataFrame([("a", dt.datetime(2024, 1, 1))], "doc_id string, created_at timestamp")
+    new = spark.createDataFrame([(None, dt.datetime(2024, 1, 2)), ("b", dt.datetime(2024, 1, 2))], "doc_id string, created_at timestamp")
+    assert {r.doc_id for r in catalog.insert_or_ignore(registry, new).collect()} == {"a", "b"}
+    rows = spark.createDataFrame([("k", 0)], "id string, v int")
+    new = [("k", v, 1) for v in range(5)]
+    got = {catalog.upsert(rows, spark.createDataFrame(list(x), "id string, v int, batch_no bigint")).first().v for x in (new, reversed(new))}
+    assert len(got) == 1  # the same row of equal ones whatever their order
+
+
 def test_cascade_counts(spark):
     a, b = spark.range(5), spark.range(2)
     got = {r.name: r.n_deleted for r in catalog.cascade_counts({"x": a, "y": b}, {"x": b, "y": b}).collect()}
