@@ -108,7 +108,7 @@ def keyed(df):
     return {(r.doc_id, r.k): r.text for r in df.select("doc_id", row_key().alias("k"), "text").collect()}
 
 
-@pytest.mark.parametrize("least, seed", [(6, 1), (10, 2), (17, 3)])
+@pytest.mark.parametrize("least, seed", [(6, 1), (17, 3)])
 def test_line_runs_by_definition(spark, least, seed):
     r = random.Random(seed)
     lines = [" ".join(f"w{r.randrange(9)}" for _ in range(r.randrange(1, 6))) for _ in range(8)]
@@ -163,7 +163,7 @@ def test_maximal_runs(spark):
     assert N.maximal_runs(df.where("doc_id = 4")).count() == 0
 
 
-@pytest.mark.parametrize("least", [1, 6, 50])
+@pytest.mark.parametrize("least", [1, 50])
 def test_deletions_by_definition(spark, least):
     df = spark.createDataFrame(repetitive(7), "doc_id bigint, text string").repartition(3)
     source = keyed(df)
