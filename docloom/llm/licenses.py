@@ -160,41 +160,53 @@ def block_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     sets: dict[int, list] = {}
     for label, w in listed:
         sets.setdefault(template_class(len(w)), []).append((label, sorted(set(w), key=rank.get)))
-    found = [_class_matches(docs, own, order, threshold, c) for c, own in sorted(sets.items())]
-    if not found:
+    if not sets:
         return docs.select("doc_id", row_key().alias("row_key"), F.lit("").alias("label"), F.lit(0).alias("words"), F.lit(0).alias("block"), F.lit(0.0).alias("score")).where("false")
-    return reduce(DataFrame.unionByName, found)
+    index, blocks = [], []
+    words = docs.select("doc_id", row_key().alias("row_key"), word_array(lowered("text")).alias("words"))
+    have = F.array_intersect(F.array(*map(F.lit, order)), "words")
+    words = words.select("*", have.alias("have"))
+    for step, own in sorted(sets.items()):
+        rows, shortest = _prefixes(own, threshold)
+        index += [(step, *row) for row in rows]
+        blocks.append(_blocks(own, [r[0] for r in rows], order, step, shortest))
+    # a text is split into words once for all lengths of blocks
+    every = words.select("doc_id", "row_key", F.explode_outer(F.concat(*blocks)).alias("b")).where("b IS NOT NULL")
+    blocks = every.select("doc_id", "row_key", "b.step", "b.block", "b.own", F.size("b.own").alias("size"), F.posexplode(F.slice("b.own", F.lit(1), F.size("b.own") - F.col("b.shortest") + 1)).alias("at", "token"))
+    prefixes = docs.sparkSession.createDataFrame(index, "step int, token string, t_at int, template int, label string, t_tokens array<string>, t_size int, a int")
+    pairs = blocks.join(F.broadcast(prefixes), ["step", "token"]).where(
+        (F.col("size") >= F.col("a")) & (F.col("at") <= F.col("size") - F.col("a"))
+        & (1 + F.least(F.col("t_size") - F.col("t_at") - 1, F.col("size") - F.col("at") - 1) >= F.col("a"))
+    )
+    overlap = F.size(F.array_intersect("own", "t_tokens"))
+    scored = pairs.where(overlap >= F.col("a")).select("doc_id", "row_key", "label", (2 * F.col("step")).alias("words"), "block", (overlap / F.col("t_size")).alias("score"))
+    return scored.groupBy("doc_id", "row_key", "label", "words", "block").agg(F.max("score").alias("score"))
 
 
-def _class_matches(docs: DataFrame, sets: list, order: list[str], threshold: float, step: int) -> DataFrame:
-    """block_matches for templates (label, tokens in the global order) of up to step words."""
-    index, shortest = [], None
+def _prefixes(sets: list, threshold: float) -> tuple[list, int]:
+    """A row for each prefix token of templates (label, tokens in the global order), and the smallest overlap that any asks for."""
+    rows, shortest = [], None
     for number, (label, s) in enumerate(sets):
         a = max(1, ceil(threshold * len(s) - 1e-9))
         shortest = min(shortest or a, a)
-        index += [(t, i, number, label, s, len(s), a) for i, t in enumerate(s[: len(s) - a + 1])]
-    spark = docs.sparkSession
-    prefixes = spark.createDataFrame(index, "token string, t_at int, template int, label string, t_tokens array<string>, t_size int, a int")
-    rare = sorted({row[0] for row in index})
+        rows += [(t, i, number, label, s, len(s), a) for i, t in enumerate(s[: len(s) - a + 1])]
+    return rows, shortest
+
+
+def _blocks(sets: list, prefix_tokens: list[str], order: list[str], step: int, shortest: int) -> Column:
+    """array<struct<step, block, shortest, own>>: a text's blocks for templates of up to step words, with the tokens that these have."""
     mine = {t for _, s in sets for t in s}
     known = F.array(*map(F.lit, [t for t in order if t in mine]))
-
     # a document has at least as many of the tokens as a block of it, and a rare one among them
-    words = docs.select("doc_id", row_key().alias("row_key"), word_array(lowered("text")).alias("words"))
-    have = F.array_intersect(known, "words")
-    words = words.withColumn("have", have).where((F.size("have") >= shortest) & F.arrays_overlap("have", F.array(*map(F.lit, rare)))).drop("have")
+    may = (F.size(F.array_intersect(known, "have")) >= shortest) & F.arrays_overlap("have", F.array(*map(F.lit, sorted(set(prefix_tokens)))))
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(step))
-    blocks = words.select("doc_id", "row_key", F.explode_outer(F.transform(starts, lambda s: F.struct(s.alias("block"), F.slice("words", s + 1, 2 * step).alias("w")))).alias("b"))
-    own = F.array_intersect(known, F.col("b.w"))  # in the global order
-    blocks = blocks.select("doc_id", "row_key", "b.block", own.alias("own")).where(F.size("own") >= shortest)
-    blocks = blocks.select("*", F.size("own").alias("size"), F.posexplode(F.slice("own", F.lit(1), F.size("own") - shortest + 1)).alias("at", "token"))
-    pairs = blocks.join(F.broadcast(prefixes), "token").where(
-        (F.col("size") >= F.col("a")) & (F.col("at") <= F.col("size") - F.col("a"))
-        & (1 + F.least(F.col("t_size") - F.col("t_at") - 1, F.col("size") - F.col("at") - 1) >= F.col("a"))
-    )
-    overlap = F.size(F.array_intersect("own", "t_tokens"))
-    scored = pairs.where(overlap >= F.col("a")).select("doc_id", "row_key", "label", F.lit(2 * step).alias("words"), "block", (overlap / F.col("t_size")).alias("score"))
-    return scored.groupBy("doc_id", "row_key", "label", "words", "block").agg(F.max("score").alias("score"))
+
+    def block(s: Column) -> Column:
+        own = F.array_intersect(known, F.slice("words", s + 1, 2 * step))  # in the global order
+        return F.struct(F.lit(step).alias("step"), s.alias("block"), F.lit(shortest).alias("shortest"), own.alias("own"))
+
+    found = F.filter(F.transform(starts, block), lambda b: F.size(b["own"]) >= shortest)
+    return F.when(may, found).otherwise(F.array().cast("array<struct<step:int,block:int,shortest:int,own:array<string>>>"))
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
