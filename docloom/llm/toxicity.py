@@ -9,7 +9,7 @@ documents; logistic regression learns a weight for each. Scoring reads the whole
 What is learned from is bounded: of either label at most TRAIN_ROWS rows of ``labels``
 outside the held-out fold, by the smallest hash of the id; their texts are written once.
 n-grams that MIN_TOXIC toxic documents have are candidates (at most CANDIDATES, those of most
-toxic documents first); these are counted in the other documents, and the FEATURES with the
+toxic documents first, by whole counts); these are counted in the other documents, and the FEATURES with the
 highest r times toxic count whose r is over RATIO_FLOOR are features. Clean wording is no
 evidence against a few toxic words, or long documents would outweigh them.
 
@@ -154,7 +154,8 @@ def ratios(texts: DataFrame, candidates: int = CANDIDATES, features: int = FEATU
     if not n.get(0) or not n.get(1):
         return None
     often = _counted(texts.where("toxic = 1"), lambda t: every_gram(t).view(np.int64)).where(F.col("n") >= MIN_TOXIC)
-    keys, toxic = _collected(often.orderBy(F.desc("n"), "gram").limit(candidates), "gram", "n")
+    often = materialise(often, "toxic-grams")
+    keys, toxic = _collected(often.where(F.col("n") >= _least(often, candidates)), "gram", "n")
     order = np.argsort(keys.view(np.uint64))
     keys, toxic = keys.view(np.uint64)[order], toxic[order]
     known = Grams(keys)
@@ -167,6 +168,17 @@ def ratios(texts: DataFrame, candidates: int = CANDIDATES, features: int = FEATU
     return keys[kept], ratio[kept]
 
 
+def _least(counted: DataFrame, most: int) -> int:
+    """The smallest count with which at most ``most`` n-grams are as frequent; a row a count goes to the driver."""
+    least, total = 1 << 62, 0
+    for r in counted.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect():
+        total += r.c
+        if total > most:
+            break
+        least = r.n
+    return least
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int = FOLDS, held: int = HELD) -> Model | None:
     texts = training_texts(docs, labels, rows, folds, held)
     learned = ratios(texts)

@@ -129,7 +129,13 @@ def test_ratios_and_scores_by_definition(spark, monkeypatch):
     for i, t, _ in rows:
         z = model.bias + sum(value.get(hashed(g), 0) for g in plain_grams(t))
         assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
-    assert X.ratios(X.training_texts(docs, labels), features=5)[0].size == 5
+    texts = X.training_texts(docs, labels)
+    assert X.ratios(texts, features=5)[0].size == 5
+    toxic = sorted((c[1] for c in counts.values() if c[1] >= X.MIN_TOXIC), reverse=True)
+    for most in (1, 40, 10**6):
+        counted = X._counted(texts.where("toxic = 1"), lambda t: X.every_gram(t).view(np.int64)).where(F.col("n") >= X.MIN_TOXIC)
+        least = X._least(counted, most)
+        assert sum(c >= least for c in toxic) <= most and (least == toxic[-1] or sum(c >= least - 1 for c in toxic) > most or least - 1 not in toxic)
 
 
 def test_grams_across_blocks(monkeypatch):
