@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("licenses", "lines", "simhash", "decontaminate", "packing", "neighbours", "fixity", "toxicity", "sharding", "language")
+MODULES = ("licenses", "lines", "simhash", "decontaminate", "packing", "neighbours", "fixity", "toxicity", "sharding", "language", "infill", "interaction", "tokenfile")
 
 
 def _all(kind: str) -> dict:
