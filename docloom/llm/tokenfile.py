@@ -1,8 +1,8 @@
 """Token ids in Arrow files of equal-length sequences, each with its mask.
 
 A file is an Arrow stream file (IPC file format: a footer has every batch's place) with two
-columns of fixed-size lists: ``ids`` (LENGTH unsigned 32-bit ids) and ``mask`` (a byte for each
-id: 1, or 0 for padding). All its batches but the last have BATCH sequences, so sequence k is
+columns of fixed-size lists: ``ids`` (LENGTH unsigned ids, of 16 bits where the vocabulary has
+no more, else of 32) and ``mask`` (a bit for each id, not set for padding). All its batches but the last have BATCH sequences, so sequence k is
 row k % BATCH of batch k // BATCH, and a mapped file gives it as a view of numpy's without
 copying or reading anything else (``Shard``). Documents stand one after the other in ascending
 doc_id order, each with its end id, over the ends of sequences; a file's last sequence alone is
@@ -16,8 +16,12 @@ the files that count. Numbers of ids before a document add up from the tasks' su
 task). Files go to the folder through Arrow's file systems, by the folder's URI.
 
 Encoding: the ids of the tokenizers library. Its pattern never matches over white space and its
-normal form changes no character by a neighbour beyond it, so the library encodes each run of
-other bytes once, and short runs are remembered; a test holds whole texts equal.
+normal form changes no character by a neighbour beyond it, so a text can be encoded in parts,
+and parts that come again are remembered: runs without white space, and their pieces. Runs of
+a text of ASCII and Latin-1 letters alone are cut into pieces by the pattern itself (the normal
+form there is lower case), and the library's model gives a piece's ids; of any other text the
+library encodes each run, and one with a special token's string as a whole. A test holds all of
+these equal to whole texts' ids.
 
 Cases: a null text is an empty one, whose only id is the end. A null doc_id sorts first, rows of
 one doc_id by a hash of their text; rows that repeat both are equal, and numbers deal them out.
@@ -27,6 +31,7 @@ empty table gives no rows and no files. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 
@@ -43,32 +48,58 @@ BATCH = 64
 FILE_IDS = 1 << 24
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Runs of up to so many bytes are remembered, so many of them at a time.
-SHORT, REMEMBERED = 32, 1 << 17
+#: Parts of up to so many bytes or characters are remembered, so many of them at a time.
+SHORT, REMEMBERED = 32, 1 << 19
+#: What the vocabulary's pattern matches in lower case, of ASCII and the letters of Latin-1.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
+OTHER = re.compile(r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]")
 
 
-class Encoder(dict):
-    """A run of bytes without white space -> its ids as little-endian 32-bit integers."""
+class Remembered(dict):
+    """A part of a text, as bytes or characters -> its ids as bytes."""
+
+    def __init__(self, ids):
+        self.ids = ids
+
+    def __missing__(self, part: bytes | str) -> bytes:
+        found = self.ids(part)
+        if len(part) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[part] = found
+        return found
+
+
+class Encoder:
+    """text (UTF-8 bytes) -> its ids, end to end in ``kind``."""
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.pieces, self.latin, self.runs = Remembered(self._piece), Remembered(self._latin), Remembered(lambda run: self._whole(run.decode("utf-8", "replace")))
 
-    def ids(self, run: bytes) -> bytes:
-        return np.array(self.library.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def __missing__(self, run: bytes) -> bytes:
-        found = self.ids(run)
-        if len(run) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[run] = found
-        return found
+    def _piece(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isprintable()):
+            return self._whole(piece)
+        return np.array([t.id for t in self.library.model.tokenize(piece)], self.kind).tobytes()
+
+    def _latin(self, run: bytes) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(run.decode().lower())))
 
-    def __call__(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))  # bytes are split at ASCII's white space alone
+    def __call__(self, data: bytes) -> bytes:
+        text = data.decode("utf-8", "replace")
+        if any(t in text for t in self.special):
+            return self._whole(text)
+        if text.isascii() or not OTHER.search(text):
+            return b"".join(map(self.latin.__getitem__, data.lower().split()))
+        return b"".join(map(self.runs.__getitem__, data.split()))  # bytes are split at ASCII's white space alone
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -81,8 +112,8 @@ def encoder(vocabulary: str = VOCABULARY) -> Encoder:
     return _ENCODERS[vocabulary]
 
 
-def schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def schema(length: int, kind: np.dtype) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 def file_system(uri: str):
@@ -95,9 +126,9 @@ def file_system(uri: str):
 class Writer:
     """Writes ids into one file: whole batches as they fill, the padded rest at the end."""
 
-    def __init__(self, uri: str, length: int, batch: int):
+    def __init__(self, uri: str, length: int, batch: int, kind: np.dtype):
         system, path = file_system(uri)
-        self.uri, self.shape, self.length, self.size = uri, schema(length), length, length * batch
+        self.uri, self.shape, self.length, self.size = uri, schema(length, kind), length, length * batch
         self.sink = system.open_output_stream(path)
         self.file = pa.ipc.new_file(self.sink, self.shape)
         self.held, self.waiting, self.n = [], 0, 0
@@ -117,15 +148,14 @@ class Writer:
         return start
 
     def _write(self, ids: np.ndarray, n: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:n] = 1
+        mask = np.arange(len(ids)) < n
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(a), self.length) for a in (ids, mask)]
         self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.shape))
 
     def close(self) -> None:
         if self.waiting:
             flat = np.concatenate(self.held)
-            padded = np.zeros(-(-len(flat) // self.length) * self.length, np.uint32)
+            padded = np.zeros(-(-len(flat) // self.length) * self.length, flat.dtype)
             padded[: len(flat)] = flat
             self._write(padded, len(flat))
         self.file.close()
@@ -142,22 +172,22 @@ class Shard:
         self.source = pa.memory_map(path) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(path)
         self.file = pa.ipc.open_file(self.source)
         self.length = self.file.schema.field("ids").type.list_size
-        self.batch = self._batch(0)[0].size // self.length if self.file.num_record_batches else 1
+        self.batch = len(self._batch(0)[0]) // self.length if self.file.num_record_batches else 1
         self.last: tuple = (None, None)
 
-    def _batch(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+    def _batch(self, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
         batch = self.file.get_batch(number)
-        return tuple(batch.column(c).flatten().to_numpy(zero_copy_only=True) for c in range(2))
+        return batch.column(0).flatten().to_numpy(zero_copy_only=True), batch.column(1).flatten()
 
     def __len__(self) -> int:
         n = self.file.num_record_batches
-        return (n - 1) * self.batch + self._batch(n - 1)[0].size // self.length if n else 0
+        return (n - 1) * self.batch + len(self._batch(n - 1)[0]) // self.length if n else 0
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence k."""
         ids, mask = self._batch(k // self.batch)
         at = k % self.batch * self.length
-        return ids[at : at + self.length], mask[at : at + self.length]
+        return ids[at : at + self.length], mask.slice(at, self.length)
 
     def parts(self, start: int, n: int):
         """The n ids from start on, as one view for each batch that they lie in."""
@@ -188,17 +218,17 @@ def write(docs: DataFrame, folder: str, length: int = LENGTH, batch: int = BATCH
 
     def run(batches):
         encode, task, before = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        last, attempt, number = np.array([end], "<u4").tobytes(), uuid.uuid4().hex[:12], 0
+        last, attempt, number = np.array([end], encode.kind).tobytes(), uuid.uuid4().hex[:12], 0
         out = None
         for rows in batches:
             found: list[tuple] = []
             for doc, text in zip(rows.column("doc_id").to_pylist(), binary(rows, "text"), strict=True):
-                ids = np.frombuffer(encode(text) + last, np.uint32)
+                ids = np.frombuffer(encode(text) + last, encode.kind)
                 if out is not None and out.n + len(ids) > file_ids:
                     out.close()
                     out = None
                 if out is None:
-                    out, number = Writer(f"{folder}/{task:06d}-{number:04d}-{attempt}.arrow", length, batch), number + 1
+                    out, number = Writer(f"{folder}/{task:06d}-{number:04d}-{attempt}.arrow", length, batch, encode.kind), number + 1
                 found.append((doc, out.uri, out.add(ids), len(ids), task, before))
                 before += len(ids)
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
@@ -232,7 +262,7 @@ def read(index: DataFrame) -> DataFrame:
                     shard, name = Shard(file), file
                 crc = 0
                 for part in shard.parts(first, n):
-                    crc = zlib.crc32(part.data, crc)
+                    crc = zlib.crc32(part.astype("<u4").data, crc)
                 sums.append(crc)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("start"), rows.column("n_tokens"), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
         if shard is not None:
@@ -243,7 +273,7 @@ def read(index: DataFrame) -> DataFrame:
 
 def sequences(index: DataFrame) -> DataFrame:
     """file, sequence (its number there), ids and mask: every sequence of the index's files."""
-    shape = "file string, sequence bigint, ids array<bigint>, mask array<tinyint>"
+    shape = "file string, sequence bigint, ids array<bigint>, mask array<boolean>"
 
     def run(batches):
         for rows in batches:
@@ -252,7 +282,7 @@ def sequences(index: DataFrame) -> DataFrame:
                 for number in range(shard.file.num_record_batches):
                     got = shard.file.get_batch(number)
                     k = got.num_rows
-                    ids, mask = (got.column(c).cast(pa.list_(t)) for c, t in ((0, pa.int64()), (1, pa.int8())))
+                    ids, mask = (got.column(c).cast(pa.list_(t)) for c, t in ((0, pa.int64()), (1, pa.bool_())))
                     yield pa.RecordBatch.from_arrays([pa.array([uri] * k), pa.array(range(done, done + k), pa.int64()), ids, mask], names=["file", "sequence", "ids", "mask"])
                     done += k
                 shard.close()
