@@ -8,8 +8,9 @@ documents; logistic regression learns a weight for each. Scoring reads the whole
 
 What is learned from is bounded: of either label at most TRAIN_ROWS rows of ``labels``
 outside the held-out fold, by the smallest hash of the id; their texts are written once.
-n-grams that MIN_TOXIC toxic documents have are candidates (at most CANDIDATES, those of most
-toxic documents first, by whole counts); these are counted in the other documents, and the FEATURES with the
+n-grams that MIN_TOXIC toxic documents have are candidates (about CANDIDATES at most, those of most
+toxic documents first, by whole counts; of equally frequent ones that don't all fit, those of
+smallest hash); these are counted in the other documents, and the FEATURES with the
 highest r times toxic count whose r is over RATIO_FLOOR are features. Clean wording is no
 evidence against a few toxic words, or long documents would outweigh them.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import binary, hash_sample, in_fold, materialise, table
@@ -155,7 +156,7 @@ def ratios(texts: DataFrame, candidates: int = CANDIDATES, features: int = FEATU
         return None
     often = _counted(texts.where("toxic = 1"), lambda t: every_gram(t).view(np.int64)).where(F.col("n") >= MIN_TOXIC)
     often = materialise(often, "toxic-grams")
-    keys, toxic = _collected(often.where(F.col("n") >= _least(often, candidates)), "gram", "n")
+    keys, toxic = _collected(often.where(_most_frequent(often, candidates)), "gram", "n")
     order = np.argsort(keys.view(np.uint64))
     keys, toxic = keys.view(np.uint64)[order], toxic[order]
     known = Grams(keys)
@@ -168,15 +169,19 @@ def ratios(texts: DataFrame, candidates: int = CANDIDATES, features: int = FEATU
     return keys[kept], ratio[kept]
 
 
-def _least(counted: DataFrame, most: int) -> int:
-    """The smallest count with which at most ``most`` n-grams are as frequent; a row a count goes to the driver."""
-    least, total = 1 << 62, 0
+def _most_frequent(counted: DataFrame, most: int) -> Column:
+    """True of about ``most`` n-grams, the most frequent ones; a row a count goes to the driver.
+
+    Of those with the count at which not all fit any longer a share stays, by a hash, so that
+    very many n-grams of one count (of copies of one text) neither all stay nor all go.
+    """
+    room, least = most, 1 << 62
     for r in counted.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect():
-        total += r.c
-        if total > most:
-            break
-        least = r.n
-    return least
+        if r.c > room:
+            draw = F.pmod(F.xxhash64("gram"), F.lit(1 << 30))
+            return (F.col("n") >= least) | ((F.col("n") == r.n) & (draw < (room << 30) // r.c))
+        room, least = room - r.c, r.n
+    return F.lit(True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int = FOLDS, held: int = HELD) -> Model | None:

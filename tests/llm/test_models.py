@@ -134,8 +134,25 @@ def test_ratios_and_scores_by_definition(spark, monkeypatch):
     toxic = sorted((c[1] for c in counts.values() if c[1] >= X.MIN_TOXIC), reverse=True)
     for most in (1, 40, 10**6):
         counted = X._counted(texts.where("toxic = 1"), lambda t: X.every_gram(t).view(np.int64)).where(F.col("n") >= X.MIN_TOXIC)
-        least = X._least(counted, most)
-        assert sum(c >= least for c in toxic) <= most and (least == toxic[-1] or sum(c >= least - 1 for c in toxic) > most or least - 1 not in toxic)
+        kept = sorted((r.n for r in counted.where(X._most_frequent(counted, most)).collect()), reverse=True)
+        more = [c for c in toxic if kept and c > kept[-1]]
+        assert kept[: len(more)] == more and len(kept) <= most + 6 * most**0.5 and (len(kept) == len(toxic) or most < len(toxic))
+
+
+def test_one_wording_many_times_keeps_features(spark):
+    """All n-grams of the toxic texts have one count, and more than fit: a share of them stays, and scores still tell the labels apart."""
+    r = random.Random(11)
+    base = [prose(r, ["re", "in", "tion", "ea", "th", "ou", "qu"], 1) for _ in range(200)]
+    foul = "you utter scumbag go drown in the gutter where vermin belong"
+    rows = [(i, foul if i % 3 == 0 else " ".join(r.choice(base) for _ in range(30))) for i in range(117)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = X.training_texts(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id bigint, toxic int"), folds=1, held=1)
+    keys, ratio = X.ratios(texts, candidates=50, features=20)
+    assert 5 <= len(keys) <= 20 and (ratio > X.RATIO_FLOOR).all()
+    known = X.Grams(keys)
+    weights, bias = X.train([known.of(t.encode()) for _, t in rows], np.array([int(i % 3 == 0) for i, _ in rows]), ratio)
+    scores = X.Model(keys, ratio, weights, bias).scores([t.encode() for _, t in rows])
+    assert min(s for s, (i, _) in zip(scores, rows, strict=True) if i % 3 == 0) > 0.5 > max(s for s, (i, _) in zip(scores, rows, strict=True) if i % 3)
 
 
 def test_grams_across_blocks(monkeypatch):
