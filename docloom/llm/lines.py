@@ -76,7 +76,8 @@ def segments(lines: DataFrame, min_words: int) -> DataFrame:
     """
     often = materialise(lines.groupBy(*LINE).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-lines")
     rows = lines.join(often, [*LINE]).select(*DOC, "seq", "at", "words", *LINE)
-    rows = rows.repartitionByRange(*DOC).distinct().sortWithinPartitions(*DOC, "seq").withColumn("pos", F.monotonically_increasing_id())
+    # rows that repeat id and text are one document; they meet line by line, before its range is one task's
+    rows = rows.distinct().repartitionByRange(*DOC).sortWithinPartitions(*DOC, "seq").withColumn("pos", F.monotonically_increasing_id())
     # the range of a document is one task's: nothing below is shuffled
     rows = rows.withColumn("island", F.col("seq") - F.row_number().over(Window.partitionBy(*DOC).orderBy("seq")))
     found = rows.groupBy(*DOC, "island").agg(F.min("pos").alias("start"), F.sum("words").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "at", "words", *LINE))).alias("lines"))

@@ -181,6 +181,17 @@ def test_a_shared_short_line_stays_by_default(spark):
     assert sum(r["__removed"] for r in N.deduplicated(df, 1).collect()) == 19
 
 
+def test_repeated_rows_meet_before_their_range(spark):
+    """A third of all rows repeat one id and text: their lines are one document's before lines are sorted by document."""
+    text = "\n".join(f"line {i} of the text" for i in range(10))
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, text).otherwise(F.concat(F.lit(text), F.lit("\nown "), F.col("id").cast("string"))).alias("text"))
+    found = N.segments(N.line_table(docs), 1)
+    assert found.count() == 2001 and found.where("doc_id IS NULL").count() == 1
+    out = N.deduplicated(docs, 1)
+    assert out.where("doc_id IS NULL AND __removed = 10").count() == 1000
+    assert out.where("doc_id IS NOT NULL AND __removed = 10").count() == 1999
+
+
 def test_line_dedupe_of_odd_rows(spark, odd, none):
     out = N.deduplicated(odd).collect()
     assert len(out) == odd.count() and set(odd.columns) < set(out[0].asDict())
