@@ -9,12 +9,19 @@ that differ records are compared one by one.
 
 ``audit`` compares by offset, for replicas whose records lie where the primary's do. In a
 replica archive of its own a record that is gone, added or of another length moves all after
-it; ``audit_archive`` therefore cuts both archives at the keys (page_id, url) with which the
-primary's ranges begin, and a leaf there is length and SHA-256 in the order of the keys, so
-that a fault stays in its range. The keys, one for each range, go through the driver.
+it; ``audit_archive`` therefore cuts both archives at the keys (page_id, url, digest, and the
+number among equal ones) with which the primary's ranges begin, and a leaf there is length and
+SHA-256, so that a fault stays in its range. The cuts and the records of both archives are
+sorted together, and a record's range is the number of cuts before it.
 
-Offsets are global without a global task: rows are sorted by range over the cluster, each
-task sums up its own lengths, and the sums of the tasks before are added.
+Between two of the primary's cuts a replica may have any number of records. A range's digest is
+therefore made of sums: each leaf's SHA-256 is four numbers of 64 bits, which are added up as
+exact decimals, with the number of leaves. Records of a range differ from others of the range
+in their keys alone, which fix their order, so equal sums are equal sequences; and sums have
+partial aggregation, so that no list of a range's records is held anywhere.
+
+Offsets and numbers among equals are global without a global task: rows are sorted by range
+over the cluster, each task sums up its own, and the sums of the tasks before are added.
 
 Cases: null url and html count as empty; a null page_id sorts first and is written as
 nothing. Repeated rows are records of their own. An empty archive has no nodes; compared
@@ -24,12 +31,8 @@ read.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import materialise, running, table
 
@@ -53,9 +56,10 @@ def manifest(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), record().alias("r")).select(
         F.col("page_id").cast("bigint").alias("page_id"), "url", F.octet_length("r").cast("bigint").alias("record_length"), F.sha2("r", 256).alias("sha256")
     )
-    # the row's number deals out rows that repeat all three
+    # the row's number deals out rows that repeat all three; written, so that sorting by range doesn't hash all pages twice
     order = ["page_id", "url", "sha256", "row_no"]
-    rows = running(rows.withColumn("row_no", F.monotonically_increasing_id()), order, "record_length", into="record_offset", tag="manifest")
+    rows = materialise(rows.withColumn("row_no", F.monotonically_increasing_id()), "hashed")
+    rows = running(rows, order, "record_length", into="record_offset", tag="manifest")
     return rows.select("page_id", "url", "record_offset", "record_length", "sha256")
 
 
@@ -112,21 +116,33 @@ def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES
     return both.select(F.coalesce("record_offset", "o2").alias("record_offset"), status.alias("status"))
 
 
-def _key(page_id: int | None, url: str) -> tuple:
-    return page_id is not None, page_id or 0, url.encode()
+KEY = ("page_id", "url", "sha256", "nth")
+
+
+def numbered(rows: DataFrame, by: tuple[str, ...], order: str, into: str, tag: str) -> DataFrame:
+    """rows with their number, from 0, among those equal in ``by``, in the order given; a group of any size lies in many tasks."""
+    keyed = rows.withColumn("__group", F.xxhash64(*by)).withColumn("__one", F.lit(1).cast("bigint"))
+    return running(keyed, ["__group", order], "__one", "__group", into=into, tag=tag).drop("__group", "__one")
 
 
-def ranged(records: DataFrame, bounds: list[tuple]) -> DataFrame:
-    """A manifest with node, the number of the last bound at or before each record's key (the first, if none is)."""
+def ranged(primary: DataFrame, replica: DataFrame, range_bytes: int) -> list[DataFrame]:
+    """Both manifests with nth, the number among equal records, and node, the number of the last cut at or before the record's key (0, if none is)."""
+    shape = [*KEY, "record_offset", "record_length"]
+    sides = [numbered(t.select("page_id", "url", "sha256", "record_offset", "record_length"), KEY[:3], "record_offset", "nth", "numbered") for t in (primary, replica)]
+    cuts = sides[0].groupBy(F.floor(F.col("record_offset") / range_bytes)).agg(F.min(F.struct(*KEY)).alias("k")).select("k.*", F.lit(0).alias("side"), F.lit(1).cast("bigint").alias("cut"))
+    rows = [t.select(*shape, F.lit(i).alias("side"), F.lit(0).cast("bigint").alias("cut")) for i, t in enumerate(sides, 1)]
+    every = cuts.unionByName(rows[0], allowMissingColumns=True).unionByName(rows[1])
+    found = running(every, [*KEY, "side"], "cut", into="cuts", tag="ranged")
+    found = found.withColumn("node", F.greatest(F.col("cuts") - 1, F.lit(0))).drop("cuts", "cut")
+    return [found.where(F.col("side") == i).drop("side") for i in (1, 2)]
 
-    def run(batches):
-        for batch in batches:
-            keys = zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), strict=True)
-            node = pa.array([max(0, bisect_right(bounds, _key(*k)) - 1) for k in keys], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, node], names=[*batch.schema.names, "node"])
 
-    rows = records.select("page_id", "url", "record_offset", "record_length", "sha256")
-    return rows.mapInArrow(run, "page_id bigint, url string, record_offset bigint, record_length bigint, sha256 string, node bigint")
+def summed(records: DataFrame) -> DataFrame:
+    """node and digest of each range (see the module)."""
+    leaf = F.sha2(F.concat_ws(":", F.col("record_length").cast("string"), F.col("sha256")), 256)
+    words = [F.conv(F.substring("leaf", 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    sums = records.select("node", leaf.alias("leaf")).groupBy("node").agg(*(F.sum(w).cast("string").alias(f"s{i}") for i, w in enumerate(words)), F.count("*").cast("string").alias("n"))
+    return sums.select("node", F.sha2(F.concat_ws(":", "n", *(f"s{i}" for i in range(4))), 256).alias("digest"))
 
 
 def audit_archive(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
@@ -135,23 +151,16 @@ def audit_archive(primary: DataFrame, replica: DataFrame, range_bytes: int = RAN
     Equal records of a key are taken off first; of the others each of the primary's is corrupt
     if the replica has another for it, else missing, and what the replica has over is extra.
     """
-    firsts = primary.groupBy(F.floor(F.col("record_offset") / range_bytes).alias("node")).agg(F.min(F.struct("page_id", "url")).alias("key"))
-    bounds = sorted({_key(r.key.page_id, r.key.url) for r in firsts.collect()})
-    sides = [materialise(ranged(t, bounds), "ranged") for t in (primary, replica)]
-    lowest = []
-    for t in sides:
-        part = F.concat_ws(":", F.col("record_length").cast("string"), F.col("sha256"))
-        held = t.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("page_id", "url", "sha256", part.alias("leaf")))).alias("l"))
-        lowest.append(held.select("node", F.sha2(F.array_join(F.col("l.leaf"), ";"), 256).alias("digest")))
-    odd = _odd_ranges(*lowest, max(0, len(bounds) - 1), fanout)
-    same, key = ["page_id", "url", "record_length", "sha256"], ["page_id", "url"]
-    near = [t.join(odd, "node", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy("record_offset"))) for t in sides]
+    sides = ranged(primary, replica, range_bytes)
+    top = sides[0].agg(F.max("node")).first()[0] or 0
+    odd = _odd_ranges(*map(summed, sides), top, fanout)
+    near = [materialise(t.join(odd, "node", "left_semi"), "odd-ranges") for t in sides]
+    same, key = [*KEY, "record_length"], ["page_id", "url"]
 
     def over(x: DataFrame, y: DataFrame, offset: str) -> DataFrame:
-        y = y.select(*(F.col(c).alias(f"y_{c}") for c in (*same, "nth")))
-        on = [F.col(c).eqNullSafe(F.col(f"y_{c}")) for c in (*same, "nth")]
-        alone = x.join(y, on, "left_anti")
-        return alone.select(*key, F.row_number().over(Window.partitionBy(*key).orderBy("record_offset")).alias("place"), F.col("record_offset").alias(offset))
+        y = y.select(*(F.col(c).alias(f"y_{c}") for c in same))
+        alone = x.join(y, [F.col(c).eqNullSafe(F.col(f"y_{c}")) for c in same], "left_anti")
+        return numbered(alone.select(*key, "record_offset"), tuple(key), "record_offset", "place", "alone").withColumnRenamed("record_offset", offset)
 
     a, b = over(near[0], near[1], "record_offset"), over(near[1], near[0], "replica_offset")
     b = b.select(*(F.col(c).alias(f"y_{c}") for c in (*key, "place")), "replica_offset")
