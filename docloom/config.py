@@ -31,6 +31,8 @@ RANGES: dict[str, tuple[float, float | None, float | None]] = {
     "final_recent_messages": (4, 0, 10),
     "final_message_chars": (200, 50, 800),
     "final_doc_chars": (3200, 500, 8000),
+    "final_chat_chars_with_doc": (800, 0, 4000),
+    "final_chat_chars": (1500, 0, 4000),
     "summary_section_chars": (2500, 800, None),
     "summary_max_sections": (8, 1, 20),
     "agent_max_steps": (2, 1, 6),
@@ -72,6 +74,8 @@ class Config:
     final_recent_messages: int = 4
     final_message_chars: int = 200
     final_doc_chars: int = 3200
+    final_chat_chars_with_doc: int = 800
+    final_chat_chars: int = 1500
     summary_section_chars: int = 2500
     summary_max_sections: int = 8
     agent_max_steps: int = 2

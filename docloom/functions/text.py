@@ -111,8 +111,10 @@ def last_index(c: Column, needle: str) -> Column:
 
 
 def trim_blocks(c: str | Column, n: int) -> Column:
-    """Cut at n, back to the last blank line, or line end, in the second half."""
-    s = text(c)
+    """Without blanks at the ends; cut at n, back to the last blank line, or line end, in the second half."""
+    s = ws_trim(c)
+    if n <= 0:
+        return s
     head = F.substring(s, 1, n)
     block, line = last_index(head, "\n\n"), last_index(head, "\n")
     at = F.when(block >= n // 2, block).when(line >= n // 2, line).otherwise(F.lit(n))

@@ -57,22 +57,45 @@ def update_columns(rows: DataFrame, changes: DataFrame, key: str, columns: list[
     return rows.join(given, key, "left").select(*(new[c].alias(c) if c in new else F.col(c) for c in rows.columns))
 
 
+#: What a new conversation has where a put says nothing. Fixed values.
+NEW = {"document_name": "", "document_size": 0, "summary": "", "doc_id": "", "memory_summary": "", "memory_covered": 0, "memory_facts": ""}
+
+
+def accepted_puts(puts: DataFrame) -> DataFrame:
+    """puts whose messages are a list (has_messages: a list with any); of those without messages, such as have a document's id and name."""
+    listed = F.when(ws_trim("messages").startswith("["), F.size(F.from_json("messages", MESSAGES)))
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != "" if c in puts.columns else F.lit(False)
+    rows = puts.withColumn("has_messages", listed > 0).where(listed.isNotNull())
+    return rows.where(F.col("has_messages") | (filled("doc_id") & filled("document_name")))
+
+
 def upsert_conversations(rows: DataFrame, puts: DataFrame, now: Column) -> DataFrame:
     """puts (one a key): id and any columns, null where not given.
 
-    A put without messages and document is skipped. Messages are written only if there are
-    any; the summary only where the row existed before.
+    A put that isn't accepted (``accepted_puts``) changes nothing. A new conversation takes all
+    that is given. Of an existing one the summary, the memory and, if there are any, the
+    messages change; its document and its time stay. A document that a put names is linked in
+    the registry instead: ``link`` with ``put_links``.
     """
-    given = puts.where((F.coalesce(F.size(F.from_json("messages", MESSAGES)), F.lit(0)) > 0) | (F.coalesce("doc_id", F.lit("")) != ""))
+    given = accepted_puts(puts)
     old = rows.select(*(F.col(c).alias(f"__{c}") for c in rows.columns))
     both = old.join(given, old["__id"] == given["id"], "full")
-    was = F.col("__id").isNotNull()
-    some = F.coalesce(F.size(F.from_json("messages", MESSAGES)), F.lit(0)) > 0
-    value = {c: F.coalesce(F.col(c) if c in puts.columns else F.lit(None), F.col(f"__{c}")) for c in rows.columns}
-    value["messages"] = F.when(some, F.col("messages")).otherwise(F.coalesce("__messages", F.lit("[]")))
-    value["summary"] = F.when(was, F.coalesce("summary", "__summary")) if "summary" in puts.columns else F.col("__summary")
-    value["created_at"] = F.coalesce("__created_at", now)
-    return both.select(*(value[c].alias(c) for c in rows.columns))
+    was, put = F.col("__id").isNotNull(), lambda c: F.col(c) if c in puts.columns else F.lit(None)
+    value = {}
+    for c in rows.columns:
+        new = F.coalesce(put(c), F.lit(NEW[c])) if c in NEW else put(c)
+        kept = F.coalesce(put(c), F.col(f"__{c}")) if c in ("summary", "memory_summary", "memory_covered", "memory_facts") else F.col(f"__{c}")
+        value[c] = F.when(was, kept).otherwise(new)
+    value["id"] = F.coalesce("__id", "id")
+    value["messages"] = F.when(F.col("has_messages"), F.col("messages")).otherwise(F.coalesce("__messages", F.lit("[]")))
+    value["created_at"] = F.when(was, F.col("__created_at")).otherwise(F.coalesce(F.nullif(put("created_at").cast("string"), F.lit("")), now))
+    return both.select(*(value[c].cast(rows.schema[c].dataType).alias(c) for c in rows.columns))
+
+
+def put_links(puts: DataFrame, now: Column) -> DataFrame:
+    """doc_id, conversation_id, linked_at and created_at for ``link``: documents that accepted puts name."""
+    named = accepted_puts(puts).where(F.coalesce("doc_id", F.lit("")) != "")
+    return named.select("doc_id", F.col("id").alias("conversation_id"), now.alias("linked_at"), now.alias("created_at"))
 
 
 def cascade_delete(conversations: DataFrame, registry: DataFrame, chunks: DataFrame, chat: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:

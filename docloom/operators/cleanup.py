@@ -1,7 +1,8 @@
-"""Repeated lines and sentences in answers, as windows over exploded text."""
+"""Repeated lines and sentences in answers, as arrays of a row."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
-from docloom.functions.text import exploded, text, ws_trim
+from docloom.functions.text import exploded, let, rtrim, text, ws_trim
 
 #: Page citations, invisible characters and list marks that a line's key leaves out. Fixed values.
 CITATION = r"[（(]第\s*\d+(?:\s*[、,，\-–—]\s*\d+)*\s*页[）)]"
@@ -53,36 +54,90 @@ def exploded_lines(df: DataFrame, key: str, column: str = "text") -> DataFrame:
     return exploded(df, F.split(text(column), "\n"), "at", "line", key)
 
 
+def _after(rows: Column, same) -> Column:
+    """The rows of an array whose predecessor isn't the same, or that have none."""
+    return let(rows, lambda a: F.filter(a, lambda x, i: (i == 0) | ~F.coalesce(same(F.get(a, i - 1), x), F.lit(False))))
+
+
+def _without_echoes(parts: Column, normal: Column) -> Column:
+    """array<struct<at, p, n>>: parts with their normal forms, without those whose key equals that of the last one before with a key."""
+    every = F.zip_with(F.transform(parts, lambda p, i: F.struct(i.alias("at"), p.alias("p"))), normal, lambda s, n: F.struct(s["at"].alias("at"), s["p"].alias("p"), n.alias("n"), _bare(n).alias("k")))
+
+    def kept(a: Column) -> Column:
+        said = _after(F.filter(a, lambda x: x["k"] != ""), lambda x, y: x["k"] == y["k"])
+        return F.array_sort(F.concat(F.filter(a, lambda x: x["k"] == ""), said))
+
+    return let(every, kept)
+
+
+def _joined(rows: Column, field: str, by: str = "") -> Column:
+    return F.array_join(F.transform(rows, lambda x: x[field]), by)
+
+
 def collapse_sentences(c: str | Column) -> Column:
     """Without a sentence whose key equals that of the last one with a key."""
     parts = F.split(text(c), SENTENCE_END)
     normal = F.coalesce(_nfkc_each(F.when(~text(c).rlike(ASCII_ONLY), parts)), parts)
-    keyed = F.zip_with(parts, normal, lambda p, n: F.struct(p.alias("p"), _bare(n).alias("k")))
-    start = F.struct(F.lit("").alias("out"), F.lit("").alias("key"))
-
-    def step(a: Column, x: Column) -> Column:
-        again = (x["k"] != "") & (x["k"] == a["key"])
-        key = F.when(x["k"] != "", x["k"]).otherwise(a["key"])
-        return F.when(again, a).otherwise(F.struct(F.concat(a["out"], x["p"]).alias("out"), key.alias("key")))
-
-    return F.aggregate(keyed, start, step, lambda a: a["out"])
+    return _joined(_without_echoes(parts, normal), "p")
 
 
 def collapse_lines(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """key and text: repeated sentences, then repeated lines go; one blank line in a row, none at the ends.
 
-    The first line of a key stays. Lines without a key count as blank.
+    Line ends of any kind become \\n. The first line of a key stays. Lines without a key count
+    as blank, and a line that goes for being a repeat ends a run of blank ones. A blank text
+    stays as it is. A text in ASCII has no sentence ends and is its own normal form: sorting in
+    the row's array finds its first lines. Others go to Python. Nothing is shuffled.
     """
-    whole = df.select(key, collapse_sentences(column).alias("t"))
-    rows = exploded_lines(whole, key, "t").withColumn("line", collapse_sentences("line")).withColumn("k", line_key("line"))
-    first = F.row_number().over(Window.partitionBy(key, "k").orderBy("at"))
-    kept = rows.withColumn("no", first).where((F.col("k") == "") | (F.col("no") == 1))
-    blank = F.col("k") == ""
-    order = Window.partitionBy(key).orderBy("at")
-    kept = kept.withColumn("before", F.lag(blank, 1, True).over(order)).where(~(blank & F.col("before")))
-    out = kept.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", F.when(blank, "").otherwise(F.rtrim("line")).alias("line")))).alias("l"))
-    joined = out.select(key, ws_trim(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"))
-    return df.select(key).distinct().join(joined, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    rows = df.select(key, text(column).alias("__raw"), F.regexp_replace(text(column), "\r\n?", "\n").alias("t")).withColumn("plain", F.col("t").rlike(ASCII_ONLY))
+    lines = F.transform(F.split(F.when(F.col("plain"), F.col("t")), "\n"), lambda x, i: F.struct(i.alias("at"), rtrim(x).alias("line"), _bare(x).alias("k")))
+
+    def kept(a: Column) -> Column:
+        blank = F.filter(_after(a, lambda x, y: (x["k"] == "") & (y["k"] == "")), lambda x: x["k"] == "")
+        first = _after(F.array_sort(F.transform(F.filter(a, lambda x: x["k"] != ""), lambda x: F.struct(x["k"].alias("k"), x["at"].alias("at"), x["line"].alias("line")))), lambda x, y: x["k"] == y["k"])
+        placed = lambda rows, line: F.transform(rows, lambda x: F.struct(x["at"].alias("at"), line(x).alias("line")))
+        return F.array_sort(F.concat(placed(blank, lambda x: F.lit("")), placed(first, lambda x: x["line"])))
+
+    ascii_ = F.regexp_replace(_joined(let(lines, kept), "line", "\n"), "^\n+|\n+\\z", "")
+    rows = rows.withColumn("other", _collapsed(F.when(~F.col("plain"), F.col("t"))))
+    return rows.select(key, F.when(ws_trim("__raw") == "", F.col("__raw")).when(F.col("plain"), ascii_).otherwise(F.col("other")).alias("text"))
+
+
+@F.pandas_udf(StringType())
+def _collapsed(batch: pd.Series) -> pd.Series:
+    bare = [re.compile(p) for p in (INVISIBLE, CITATION, r"\s+", LIST_MARK)]
+    ends = re.compile(SENTENCE_END)
+
+    def key(s: str) -> str:
+        s = unicodedata.normalize("NFKC", s)
+        for p in bare:
+            s = p.sub("", s)
+        return s
+
+    def sentences(s: str) -> str:
+        said, out = "", []
+        for part in ends.split(s):
+            k = key(part)
+            if not k or k != said:
+                out.append(part)
+            said = k or said
+        return "".join(out)
+
+    def one(s: str) -> str:
+        seen: set[str] = set()
+        out, blank = [], False
+        for line in sentences(s).split("\n"):
+            line = sentences(line).rstrip()
+            k = key(line)
+            if not k and not blank:
+                out.append("")
+            elif k and k not in seen:
+                out.append(line)
+            blank = not k
+            seen.add(k)
+        return "\n".join(out).strip("\n")
+
+    return batch.map(one, na_action="ignore")
 
 
 def repetition(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:

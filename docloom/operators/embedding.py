@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.config import EMBED_INSTRUCTION
+from docloom.functions.text import query_for_embedding
+
 DIMENSIONS = 64
 
 EmbedFn = Callable[[list[str]], np.ndarray]
@@ -37,3 +41,8 @@ def embedder(make: Callable[[], EmbedFn] = lambda: hashing_model):
         return pd.Series(list(model([t if isinstance(t, str) and t.strip() else " " for t in batches])))
 
     return embed
+
+
+def question_embedding(question: str | Column, embed: Callable[[Column], Column]) -> Column:
+    """The vector that a question is searched by: of its text after the instruction."""
+    return embed(query_for_embedding(question, EMBED_INSTRUCTION))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.config import Config
-from docloom.functions.text import ratio, squeeze, ws_trim
+from docloom.functions.text import as_bool, ratio, text, ws_trim
 
 from . import retrieval
 
@@ -14,42 +14,78 @@ METRICS = ("page_recall", "page_precision", "text_recall", "text_precision")
 
 
 def metrics(cases: DataFrame, hits: DataFrame) -> DataFrame:
-    """cases (query_id, gold_pages, gold_contains), hits (query_id, page, text): one row a case.
+    """cases (query_id, gold_pages, gold_contains), hits (query_id, rank, page, text): one row a case.
 
+    A wanted phrase, its ends trimmed, is looked for as it stands in all hits of the case, joined
+    by line ends in the order of rank; recall is over all phrases given, also repeated ones.
     Precision by pages is distinct pages hit over chunks returned; by wording, chunks with
     any wanted phrase over chunks returned. A metric without a gold list is null.
     """
-    own = hits.join(cases.select("query_id", "gold_contains"), "query_id")
-    has = F.exists(F.coalesce("gold_contains", F.array().cast("array<string>")), lambda g: (squeeze(g) != "") & F.contains(squeeze("text"), squeeze(g)))
-    found = F.filter(F.coalesce("gold_contains", F.array().cast("array<string>")), lambda g: (squeeze(g) != "") & F.contains(squeeze("text"), squeeze(g)))
-    per = own.withColumn("has", has).withColumn("found", found).groupBy("query_id").agg(
-        F.count("*").alias("returned"), F.collect_set("page").alias("pages"), F.count_if("has").alias("with_text"), F.array_distinct(F.flatten(F.collect_set("found"))).alias("found")
+    gold = F.filter(F.transform(F.coalesce("gold_contains", F.array().cast("array<string>")), ws_trim), lambda g: g != "")
+    cases = cases.select("query_id", F.array_distinct("gold_pages").alias("gold_pages"), gold.alias("needles"))
+    own = hits.select("query_id", "rank", F.coalesce("page", F.lit(0)).alias("page"), text("text").alias("text")).join(cases.select("query_id", "needles"), "query_id")
+    useful = F.exists("needles", lambda n: F.contains("text", n))
+    per = own.groupBy("query_id").agg(
+        F.count("*").alias("returned"), F.collect_set("page").alias("pages"), F.count_if(useful).alias("useful"), F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("l")
     )
+    per = per.select("query_id", "returned", "pages", "useful", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("blob"))
     both = cases.join(per, "query_id", "left")
     returned = F.coalesce("returned", F.lit(0))
-    gold_pages = F.array_distinct("gold_pages")
-    hit = F.coalesce(F.size(F.array_intersect(gold_pages, "pages")), F.lit(0))
-    asked_pages, asked_text = F.size("gold_pages") > 0, F.size("gold_contains") > 0
+    hit = F.coalesce(F.size(F.array_intersect("gold_pages", "pages")), F.lit(0))
+    found = F.coalesce(F.size(F.array_distinct(F.filter("needles", lambda n: F.contains("blob", n)))), F.lit(0))
+    asked_pages, asked_text = F.size("gold_pages") > 0, F.size("needles") > 0
     return both.select(
         "query_id", returned.alias("returned"),
-        F.when(asked_pages, ratio(hit, F.size(gold_pages))).alias("page_recall"), F.when(asked_pages, ratio(hit, returned)).alias("page_precision"),
-        F.when(asked_text, ratio(F.coalesce(F.size("found"), F.lit(0)), F.size(F.array_distinct("gold_contains")))).alias("text_recall"),
-        F.when(asked_text, ratio(F.coalesce("with_text", F.lit(0)), returned)).alias("text_precision"),
+        F.when(asked_pages, ratio(hit, F.size("gold_pages"))).alias("page_recall"), F.when(asked_pages, ratio(hit, returned)).alias("page_precision"),
+        F.when(asked_text, ratio(F.when(F.col("blob").isNull(), 0).otherwise(found), F.size("needles"))).alias("text_recall"),
+        F.when(asked_text, ratio(F.coalesce("useful", F.lit(0)), returned)).alias("text_precision"),
     )
 
 
 #: What is wrong with a case. Fixed values.
-INCOMPLETE, NO_VECTORS = "缺少 question/问题 或 doc_id/文档ID", "文档无向量 doc_id="
+INCOMPLETE, NO_VECTORS, NO_GOLD = "缺少 question/问题 或 doc_id/文档ID", "文档无向量 doc_id=", "需要 gold_pages/金标页码 或 gold_contains/金标原文"
 
 
 def with_errors(cases: DataFrame, chunks: DataFrame) -> DataFrame:
-    """cases (question, doc_id, ...) with error: incomplete, or of a document without chunks; null for a case to be run."""
+    """cases (question, doc_id, and gold_pages and gold_contains where given) with error: incomplete, of a document without chunks,
+    or nothing wanted of it; null for a case to be run."""
     have = chunks.select("doc_id").distinct().withColumn("__has", F.lit(True))
     said = F.when((ws_trim("question") == "") | (ws_trim(F.col("doc_id").cast("string")) == ""), INCOMPLETE)
     said = said.when(F.col("__has").isNull(), F.concat(F.lit(NO_VECTORS), F.col("doc_id").cast("string")))
+    if {"gold_pages", "gold_contains"} <= set(cases.columns):
+        phrases = F.filter(F.coalesce("gold_contains", F.array().cast("array<string>")), lambda g: ws_trim(g) != "")
+        said = said.when((F.coalesce(F.size("gold_pages"), F.lit(0)) <= 0) & (F.size(phrases) == 0), NO_GOLD)
     return cases.join(have, "doc_id", "left").withColumn("error", said).drop("__has")
 
 
+def with_settings(cases: DataFrame, rerank: bool = True, compare: bool = False) -> DataFrame:
+    """cases with use_rerank and compare_rerank as booleans: a case's own word for yes or no, else the default."""
+    given = lambda c: F.col(c).cast("string") if c in cases.columns else F.lit(None).cast("string")
+    return cases.withColumns({"use_rerank": as_bool(given("use_rerank"), rerank), "compare_rerank": as_bool(given("compare_rerank"), compare)})
+
+
+def run_cases(cases: DataFrame, chunks: DataFrame, config: Config = Config(), reranker=None, **options) -> DataFrame:
+    """cases (query_id, doc_id, question, q_embedding, gold lists, settings) with error or their metrics at the pool and the final cut.
+
+    A case is searched with the re-ranker as it asks; one that asks for the comparison is
+    searched both ways, and verdict says what the re-ranker does to it (null without pages).
+    """
+    every = with_settings(with_errors(cases, chunks))
+    to_run = every.where(F.col("error").isNull())
+
+    def measured(rows: DataFrame, model) -> tuple[DataFrame, DataFrame]:
+        asked = rows.select("query_id", "doc_id", "question", "q_embedding")
+        return tuple(metrics(rows, h) for h in pool_and_final(asked, chunks, config, reranker=model, **options))
+
+    sides = [measured(to_run.where(F.col("use_rerank")), reranker), measured(to_run.where(~F.col("use_rerank")), None)]
+    pool, final = (a.unionByName(b) for a, b in zip(*sides, strict=True))
+    pool = pool.select("query_id", F.col("page_recall").alias("pool_page_recall"), F.col("text_recall").alias("pool_text_recall"))
+    compared = to_run.where(F.col("compare_rerank"))
+    said = compare(measured(compared, None)[1], measured(compared, reranker)[1])
+    out = every.select("query_id", "doc_id", "error").join(final, "query_id", "left").join(pool, "query_id", "left")
+    return out.join(said, "query_id", "left").withColumn("verdict", F.when(F.col("page_recall").isNotNull(), F.col("verdict")))
+
+
 def pool_and_final(questions: DataFrame, chunks: DataFrame, config: Config = Config(), **options) -> tuple[DataFrame, DataFrame]:
     """A search's hits before and after the cut to the top k; what ``retrieval.search`` takes."""
     return tuple(retrieval.search(questions, chunks, config, cut=cut, **options) for cut in ("fetch_k", "final_k"))

@@ -6,6 +6,7 @@ ranks come from windows per question, so that no step pairs all with all.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -21,6 +22,9 @@ from docloom.functions.text import squeeze, ws_trim
 
 TIES = ("distance", "chunk_index")
 
+#: (question, text) pairs -> how well the text answers the question, as logits
+PairModel = Callable[[list[tuple[str, str]]], list[float]]
+
 
 def _keys(by: str | tuple[str, ...]) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
@@ -160,24 +164,66 @@ class Kept:
         return self.matcher.quick_ratio() >= threshold and self.matcher.ratio() >= threshold
 
 
+def pair_scores(make: Callable[[], PairModel], batch: int = 32):
+    """A column function (question, text) -> a pair model's logit; null where the model fails.
+
+    make is called once a task, when the first pair comes. Pairs go to the model sorted by
+    length, in batches, so that a batch pads little. A batch that fails is asked again pair by
+    pair, and only pairs that fail alone are null; without a model all are.
+    """
+
+    @F.pandas_udf(DoubleType())
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model: list = []
+
+        def asked(pairs: list[tuple[str, str]]) -> list[float | None]:
+            try:
+                if not model:
+                    model.append(make())
+                return [float(x) for x in model[0](pairs)]
+            except Exception:  # a model's failure is a null; callers fall back
+                return [None] if len(pairs) == 1 or not model else [x for p in pairs for x in asked([p])]
+
+        for questions, texts in batches:
+            pairs = list(zip(questions.fillna(""), texts.fillna(""), strict=True))
+            out: list[float | None] = [None] * len(pairs)
+            order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][0]) + len(pairs[i][1]))
+            for a in range(0, len(order), batch):
+                own = order[a : a + batch]
+                for i, x in zip(own, asked([pairs[i] for i in own]) if own else [], strict=False):
+                    out[i] = x
+            yield pd.Series(out, dtype=float)
+
+    return score
+
+
 def rerank(hits: DataFrame, logit: Column, final_k: Column | int, pool: int = 8, min_score: float = 0.0, by: str | tuple[str, ...] = "query_id") -> DataFrame:
     """The pool's hits by a second model's score; the fused score becomes dense_score.
 
-    If none reaches min_score all stay. hits needs rank; the model runs on the pool alone.
+    If none of a question's hits reaches min_score all stay. A question for which the model
+    failed on any hit (logit null) keeps its fused scores and their order. hits needs rank; the
+    model runs on the pool alone.
     """
     k = F.lit(final_k) if isinstance(final_k, int) else final_k
-    pooled = hits.where(F.col("rank") <= F.greatest(k, F.lit(pool)))
-    scored = pooled.withColumn("dense_score", F.col("score")).withColumn("score", params.sigmoid(logit)).withColumn("threshold", F.lit(min_score))
-    kept = above_threshold(scored, by=by)
-    ranked = kept.withColumn("rank", _rank(by, F.desc("score"), "rank"))
-    return ranked.where(F.col("rank") <= F.greatest(k, F.lit(1)))
-
-
-def search(questions: DataFrame, chunks: DataFrame, config: Config = Config(), space: str = "l2", fuzzy: bool = True, dedupe: bool = False, reranker=None, cut: str = "final_k") -> DataFrame:
+    pooled = hits.where(F.col("rank") <= F.greatest(k, F.lit(pool))).withColumn("__logit", logit)
+    second = params.sigmoid(F.col("__logit"))
+    every = Window.partitionBy(*_keys(by))
+    kept = pooled.withColumn("__second", second).withColumn("__over", F.col("__second") >= min_score)
+    kept = kept.withColumn("__good", F.min(F.col("__logit").isNotNull()).over(every)).withColumn("__any", F.max("__over").over(every))
+    kept = kept.where(~F.col("__good") | F.col("__over") | ~F.col("__any"))
+    had = F.col("dense_score") if "dense_score" in hits.columns else F.lit(None).cast("double")
+    kept = kept.withColumn("dense_score", F.when(F.col("__good"), F.col("score")).otherwise(had)).withColumn("score", F.when(F.col("__good"), F.col("__second")).otherwise(F.col("score")))
+    ranked = kept.withColumn("rank", _rank(by, F.when(F.col("__good"), F.col("score")).desc_nulls_last(), "rank"))
+    return ranked.where(F.col("rank") <= F.greatest(k, F.lit(1))).drop("__logit", "__second", "__over", "__any", "__good")
+
+
+def search(questions: DataFrame, chunks: DataFrame, config: Config = Config(), space: str = "l2", fuzzy: bool = True, dedupe: bool = True, reranker=None, cut: str = "final_k") -> DataFrame:
     """The whole search: counts, parameters, neighbours, fusion, threshold, fallback, dedupe, rerank, top k.
 
-    questions: query_id, doc_id, question, q_embedding. Blank questions find nothing. A question
-    whose chunks have no vectors is answered by wording alone, from all of them.
+    questions: query_id, doc_id, question, q_embedding (``embedding.question_embedding``). Blank
+    questions find nothing. A blank chunk is fetched like any other, but never a hit. A question
+    whose chunks have no vectors is answered by wording alone, from all of them. dedupe: hits
+    alike count once, as ``dedupe_hits`` says.
 
     cut: final_k, or fetch_k for the pool before the last cut.
 
@@ -192,17 +238,27 @@ def search(questions: DataFrame, chunks: DataFrame, config: Config = Config(), s
     hits = with_search_params(hits, config, reranker is not None)
     near = F.row_number().over(by.orderBy(F.col("distance").asc_nulls_last(), "chunk_index"))
     hits = hits.withColumn("__near", near).where(~F.col("__known") | (known & (F.col("__near") <= F.col("fetch_k"))))
+    return finish(hits.where(ws_trim("text") != "").drop("__near"), config, space, fuzzy, dedupe, reranker, cut, ("doc_id", "query_id"), TIES)
+
+
+def finish(hits: DataFrame, config: Config, space: str, fuzzy: bool, dedupe: bool, reranker, cut: str, keys: tuple[str, ...], ties: tuple[str, ...]) -> DataFrame:
+    """What follows the neighbours of a search: fusion, threshold, fallback, dedupe, rerank, top k.
+
+    hits: question, text, distance, final_k, fetch_k, threshold, and __known, whether the
+    question's chunks have vectors; keys tell questions apart, ties order equal scores.
+    """
+    by = Window.partitionBy(*keys)
     hits = with_boost(hits, fuzzy).withColumn("distance", F.coalesce("distance", F.lit(0.0)))
     dense = F.when(F.col("__known"), params.score_from_distance(F.col("distance"), space)).otherwise(0.0)
     hits = hits.withColumn("dense_score", dense).withColumn("score", F.least(F.lit(1.0), F.col("dense_score") + F.col("lexical_boost")))
     over = F.col("score") >= F.col("threshold")
     hits = hits.withColumn("__any", F.max(over).over(by)).where(over | ~F.col("__any") | ~F.col("__known"))
-    ranked = hits.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), *TIES))).where(F.col("rank") <= F.greatest("final_k", "fetch_k"))
-    ranked = ranked.drop("__known", "__near", "__any")
+    ranked = hits.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), *ties))).where(F.col("rank") <= F.greatest("final_k", "fetch_k"))
+    ranked = ranked.drop("__known", "__any")
     if dedupe:
-        ranked = dedupe_hits(ranked, config.dedupe_similarity, ("doc_id", "query_id"))
+        ranked = dedupe_hits(ranked, config.dedupe_similarity, keys)
     if reranker is not None:
-        return rerank(ranked, reranker(F.col("question"), F.substring("text", 1, config.rerank_text_chars)), F.col(cut), config.rerank_pool, config.rerank_min_score, ("doc_id", "query_id"))
+        return rerank(ranked, reranker(F.col("question"), F.substring("text", 1, config.rerank_text_chars)), F.col(cut), config.rerank_pool, config.rerank_min_score, keys)
     return ranked.where(F.col("rank") <= F.col(cut))
 
 

@@ -46,22 +46,27 @@ def with_sections(df: DataFrame, text: str = "text", into: str = "sections", siz
     return df.withColumn(into, out).drop("__raw", "__parts", "__bins")
 
 
-def summarise(docs: DataFrame, llm: LlmFn, section_prompt: Column, merge_prompt: Callable[[Column], Column], key: str = "doc_id", size: int = 2500, most: int = 8) -> DataFrame:
-    """key, n_sections, summary. section_prompt is over ``section``; one section is asked once, more are merged.
+def summarise(docs: DataFrame, llm: LlmFn, section_prompt: Column, merge_prompt: Callable[[Column], Column], key: str = "doc_id", size: int = 2500, most: int = 8, single_prompt: Column | None = None) -> DataFrame:
+    """key, n_sections, summary. section_prompt is over ``section``, its number ``no`` (from 1) and their number ``total``;
+    one section is asked once, by single_prompt over ``section``; answers of more are merged.
 
-    Blank answers are dropped; one answer left is the summary; a blank merge gives them joined.
+    merge_prompt is given the answers, numbered, a line each. Blank answers are dropped; one answer left is the summary; a
+    blank merge gives them as they are, a line each.
     """
+    single = section_prompt if single_prompt is None else single_prompt
 
     @F.pandas_udf("string")
     def ask(prompts: pd.Series) -> pd.Series:
         return prompts.map(lambda p: (llm(p) or "").strip() if p else "")
 
-    rows = exploded(with_sections(docs.repartition(key), size=size, most=most), "sections", "no", "section", key)
-    partial = rows.withColumn("answer", ask(section_prompt))
+    cut = with_sections(docs.repartition(key), size=size, most=most).withColumn("total", F.size("sections"))
+    rows = exploded(cut, "sections", "no", "section", key, "total").withColumn("no", F.col("no") + 1)
+    partial = rows.withColumn("answer", ask(F.when(F.col("total") == 1, single).otherwise(section_prompt)))
     out = partial.groupBy(key).agg(F.count("*").alias("n_sections"), F.sort_array(F.collect_list(F.when(F.col("answer") != "", F.struct("no", "answer")))).alias("l"))
-    joined = F.array_join(F.transform("l", lambda x: x["answer"]), "\n\n")
-    out = out.select(key, "n_sections", F.size("l").alias("k"), joined.alias("parts"))
-    merged = out.withColumn("merged", ask(F.when(F.col("k") > 1, merge_prompt(F.col("parts"))).otherwise("")))
+    answers = F.col("l.answer")
+    numbered = F.array_join(F.transform(answers, lambda a, i: F.concat((i + 1).cast("string"), F.lit(". "), a)), "\n")
+    out = out.select(key, "n_sections", F.size("l").alias("k"), F.array_join(answers, "\n").alias("parts"), numbered.alias("numbered"))
+    merged = out.withColumn("merged", ask(F.when(F.col("k") > 1, merge_prompt(F.col("numbered"))).otherwise("")))
     return merged.select(key, "n_sections", F.when((F.col("k") > 1) & (F.col("merged") != ""), F.col("merged")).otherwise(F.col("parts")).alias("summary"))
 
 

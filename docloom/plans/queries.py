@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.config import Config
 from docloom.functions import params, tables
 from docloom.functions import text as T
 from docloom.functions.scores import bigram_score, dot, lexical_boost
-from docloom.operators import agent, answers, catalog, chunking, cleanup, evaluation, layout, memory, retrieval, summaries
-from docloom.operators.embedding import embedder
+from docloom.operators import agent, answers, catalog, chunking, cleanup, evaluation, global_search, layout, memory, retrieval, summaries
+from docloom.operators.embedding import embedder, question_embedding
 from docloom.sources import scratch
 from docloom.streaming import jobs
 
@@ -45,8 +46,8 @@ def windows(docs: DataFrame, size: int = 300, overlap: int = 50) -> DataFrame:
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """query_id, doc_id, question: each document is asked the benchmark item that its id falls to."""
     items = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))
-    n = items.count()
-    docs = read(spark, sf, "documents").select("doc_id", F.pmod("doc_id", F.lit(n)).alias("item_id"))
+    n = items.agg(F.count("*")).scalar()
+    docs = read(spark, sf, "documents").select("doc_id", F.pmod("doc_id", n).alias("item_id"))
     return docs.join(items, "item_id").select(F.col("doc_id").alias("query_id"), "doc_id", "question")
 
 
@@ -263,7 +264,7 @@ def _search_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
     embed = embedder()
     # dealt by document before the model runs; the join on doc_id finds that partitioning
     chunks = windows(read(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")).withColumn("embedding", embed("text"))
-    asked = questions(spark, sf).withColumn("q_embedding", embed("question"))
+    asked = questions(spark, sf).withColumn("q_embedding", question_embedding("question", embed))
     return asked, chunks
 
 
@@ -274,16 +275,55 @@ def fused_search(spark, sf):
     Without the comparison of sequences, which SQL has not; search_with_dedupe has it.
     """
     asked, chunks = _search_tables(spark, sf)
-    return retrieval.search(asked, chunks, space="cosine", fuzzy=False).select("query_id", "rank", "chunk_index", "page", F.round("score", 6).alias("score"))
+    return retrieval.search(asked, chunks, space="cosine", fuzzy=False, dedupe=False).select("query_id", "rank", "chunk_index", "page", F.round("score", 6).alias("score"))
 
 
 @query
 def search_with_dedupe(spark, sf):
     asked, chunks = _search_tables(spark, sf)
-    found = retrieval.search(asked, chunks, space="cosine", dedupe=True, reranker=lambda q, t: F.size(F.split(t, " ")).cast("double") / 50.0)
+    found = retrieval.search(asked, chunks, space="cosine", reranker=lambda q, t: F.size(F.split(t, " ")).cast("double") / 50.0)
     return found.select("query_id", "rank", "chunk_index", "score")
 
 
+@query
+def global_knn(spark, sf):
+    """Every hundredth vector asks all others, without a document."""
+    v = read(spark, sf, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("chunk_index"), "embedding")
+    asked = v.where(F.col("chunk_index") % 100 == 0).select(F.col("chunk_index").alias("query_id"), F.col("embedding").alias("q_embedding"))
+    return global_search.nearest(asked, v, 15, "l2")
+
+
+@query
+def global_search_all(spark, sf):
+    """Every item of the benchmark is asked of the chunks of all documents."""
+    embed = embedder()
+    chunks = windows(read(spark, sf, "documents").select("doc_id", "text")).withColumn("embedding", embed("text"))
+    base = f"{scratch.shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    chunks.write.parquet(base)
+    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")).withColumn("q_embedding", question_embedding("question", embed))
+    found = global_search.search_all(asked, spark.read.parquet(base), space="cosine", fuzzy=False, dedupe=False)
+    return found.select("query_id", "rank", "doc_id", "chunk_index", F.round("score", 6).alias("score"))
+
+
+@query
+def rerank_fallback(spark, sf):
+    """Documents' vectors re-ranked by a pair model that fails for some questions, which keep their order."""
+    asked, chunks = _vectors(spark, sf)
+    hits = retrieval.knn(asked, chunks, "cosine", 10).withColumn("score", params.score_from_distance(F.col("distance"), "cosine"))
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "distance", "chunk_index")))
+
+    def make():
+        def model(pairs):
+            if any(int(q) % 30 == 0 for q, _ in pairs):
+                raise RuntimeError("no model for this question")
+            return [(int(t) * 7 + int(q)) % 11 - 5 for q, t in pairs]
+
+        return model
+
+    logit = retrieval.pair_scores(make)(F.col("query_id").cast("string"), F.col("chunk_index").cast("string"))
+    return retrieval.rerank(hits, logit, 3, pool=8, min_score=0.5).select("query_id", "rank", "chunk_index", "score")
+
+
 @query
 def lexical_fallback(spark, sf):
     """Questions whose vectors find nothing are answered by wording alone: here all of them."""
@@ -585,11 +625,29 @@ def cascade_delete(spark, sf):
 @query
 def upsert_conversations(spark, sf):
     c = read(spark, sf, "conversations")
-    old = c.where("turn = 0 AND conv_id % 2 = 0").select(F.col("conv_id").cast("string").alias("id"), F.lit("[]").alias("messages"), F.lit("old").alias("summary"), F.lit("").alias("doc_id"), F.lit("2024-01-01").alias("created_at"))
+    old = c.where("turn = 0 AND conv_id % 2 = 0").select(F.col("conv_id").cast("string").alias("id"), F.lit("[]").alias("messages"), F.lit("old").alias("summary"), F.lit("").alias("doc_id"), F.lit("").alias("document_name"), F.lit("2024-01-01").alias("created_at"), F.lit(1).alias("memory_covered"))
+    return catalog.upsert_conversations(old, _puts(spark, sf), F.lit("2024-02-01")).select(
+        "id", "summary", "doc_id", "document_name", "created_at", "memory_covered", F.size(F.from_json("messages", catalog.MESSAGES)).alias("n_messages")
+    )
+
+
+def _puts(spark, sf) -> DataFrame:
+    """Conversations of two turns or more as puts: each third without messages, each fifth of no list at all, some with a document, a name, a time or a memory."""
+    c = read(spark, sf, "conversations")
     every = c.groupBy("conv_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.lpad(F.col("turn").cast("string"), 6, "0").alias("id"), "role", F.col("text").alias("content"))))).alias("body"), F.count("*").alias("n"))
-    puts = every.where("n > 1").select(F.col("conv_id").cast("string").alias("id"), F.when(F.pmod("conv_id", F.lit(3)) == 0, "[]").otherwise(F.col("body")).alias("messages"), F.lit("new").alias("summary"), F.when(F.pmod("conv_id", F.lit(4)) == 0, "d").alias("doc_id"))
-    out = catalog.upsert_conversations(old, puts, F.lit("2024-02-01"))
-    return out.select("id", "summary", "doc_id", "created_at", (F.col("messages") != "[]").alias("has_messages"))
+    nth = lambda n: F.pmod("conv_id", F.lit(n)) == 0
+    return every.where("n > 1").select(
+        F.col("conv_id").cast("string").alias("id"), F.when(nth(5), '{"id": "1"}').when(nth(3), "[]").otherwise(F.col("body")).alias("messages"), F.when(~nth(6), "new").alias("summary"),
+        F.when(nth(4), F.concat(F.lit("d"), (F.col("conv_id") % 16).cast("string"))).alias("doc_id"), F.when(nth(8), "paper").alias("document_name"), F.when(nth(7), "2024-01-15").alias("created_at"), F.when(nth(2), 3).alias("memory_covered"),
+    )
+
+
+@query
+def put_links(spark, sf):
+    """The registry after the puts have linked their documents: the last of several by the conversation's id."""
+    links = catalog.put_links(_puts(spark, sf), F.lit(NOW).cast("timestamp")).withColumn("linked_at", F.col("conversation_id").cast("bigint"))
+    registry = read(spark, sf, "events").where("event_type = 'click'").groupBy(F.concat(F.lit("d"), (F.col("user_id") % 64).cast("string")).alias("doc_id")).agg(F.min("ts").alias("created_at"), F.lit("none").alias("conversation_id"))
+    return catalog.link(registry, links)
 
 
 @query
@@ -604,10 +662,11 @@ def history_page(spark, sf):
 def _evaluation(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents as cases, the pool of their hits (all chunks) and the final cut (the three best by wording).
 
-    Pages 1 and 3 are wanted, and a document's first and last twelve characters.
+    Pages 1 and 3 are wanted; of phrases a document's first and last twelve characters, the
+    latter twice, and the characters on both sides of the second window's end, which a line end parts.
     """
     d = read(spark, sf, "documents")
-    cases = d.select(F.col("doc_id").alias("query_id"), F.array(F.lit(1), F.lit(3)).alias("gold_pages"), F.array(F.substring("text", 1, 12), F.right("text", F.lit(12))).alias("gold_contains"))
+    cases = d.select(F.col("doc_id").alias("query_id"), F.array(F.lit(1), F.lit(3)).alias("gold_pages"), F.array(F.substring("text", 1, 12), F.right("text", F.lit(12)), F.right("text", F.lit(12)), F.concat(F.substring("text", 545, 6), F.lit("\n"), F.substring("text", 501, 6))).alias("gold_contains"))
     rows = retrieval.lexical_only(questions(spark, sf), windows(d))
     best = F.row_number().over(Window.partitionBy("doc_id", "query_id").orderBy(F.desc("score"), "chunk_index"))
     pool = rows.withColumn("rank", best).select("query_id", "chunk_index", "page", "text", "rank")
@@ -642,9 +701,13 @@ def eval_summary(spark, sf):
 
 @query
 def case_errors(spark, sf):
-    """Every third document has no question, every fifth no chunks."""
+    """Every third document has no question, every fifth no chunks, of every seventh nothing is wanted, every eleventh wants a blank."""
     d = read(spark, sf, "documents")
-    cases = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.pmod("doc_id", F.lit(3)) == 0, " ").otherwise("q").alias("question"))
+    nth = lambda n: F.pmod("doc_id", F.lit(n)) == 0
+    cases = d.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.when(nth(3), " ").otherwise("q").alias("question"),
+        F.when(nth(7), F.array().cast("array<int>")).when(~nth(11), F.array(F.lit(1))).alias("gold_pages"), F.when(nth(11), F.array(F.lit(" "))).alias("gold_contains"),
+    )
     chunks = windows(d).where(F.pmod("doc_id", F.lit(5)) != 0).select(F.col("doc_id").cast("string").alias("doc_id"))
     return evaluation.with_errors(cases, chunks).select("doc_id", "error")
 
@@ -656,7 +719,8 @@ def case_errors(spark, sf):
 def map_reduce_summary(spark, sf):
     """A stand-in for the model reads a whole prompt: it answers its length and checksum."""
     d = read(spark, sf, "documents").select("doc_id", "text")
-    return summaries.summarise(d, lambda p: f"{len(p)}:{zlib.crc32(p.encode())}", F.col("section"), lambda parts: F.concat(F.lit("merged: "), parts), size=1000, most=4)
+    section = F.concat(F.col("no").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit("\n"), F.col("section"))
+    return summaries.summarise(d, lambda p: f"{len(p)}:{zlib.crc32(p.encode())}", section, lambda parts: F.concat(F.lit("merged: "), parts), size=1000, most=4, single_prompt=F.col("section"))
 
 
 @query
@@ -692,7 +756,6 @@ def react_loop(spark, sf):
 @query
 def stream_memory(spark, sf):
     """Turns as a stream, folded into each conversation's state: the last row of each."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = read(spark, sf, "conversations").schema
     turns = spark.readStream.schema(schema).parquet(f"{sf}/conversations*.parquet")
     base = f"{scratch.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -742,8 +805,22 @@ def turn_search(spark, sf):
 
 @query
 def answer_prompts(spark, sf):
+    """The user's message for each document's question: with its chunks where it has any, else of memory alone."""
     context = retrieval.prompt_context(_hits(spark, sf))
     counts = windows(read(spark, sf, "documents")).groupBy(F.col("doc_id").alias("query_id")).agg(F.count("*").alias("n"))
     both = questions(spark, sf).join(context, "query_id", "left").join(counts, "query_id", "left")
     n, none = F.coalesce("n", F.lit(0)), F.pmod("query_id", F.lit(3)) == 0
-    return both.select("query_id", F.md5(answers.answer_prompt("question", "context", doc_chars=500)).alias("prompt_md5"), answers.not_found(n, F.when(none, 0).otherwise(n), F.lit(False)).alias("message"))
+    return both.select("query_id", F.md5(answers.doc_message("question", "context", F.lit(""), Config(final_doc_chars=500))).alias("prompt_md5"), answers.not_found(n, F.when(none, 0).otherwise(n), F.lit(False)).alias("message"))
+
+
+@query
+def answer_messages(spark, sf):
+    """All that the model is sent for a conversation's last turn: its document is the one of its number, its memory its own turns as facts."""
+    f = _facts(spark, sf)
+    asked = f.select(F.col("conv_id").alias("query_id"), "conv_id", "question")
+    state = f.select("conv_id", F.col("facts").alias("memory_facts"), F.lit("").alias("memory_summary"))
+    hits = _hits(spark, sf).where("rank <= 3 AND query_id % 4 <> 0")
+    chat = read(spark, sf, "conversations").where("turn < 2 AND conv_id % 3 <> 0").select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).alias("rank"), "text")
+    out = answers.answer_messages(asked, hits, chat, messages(spark, sf), state, Config(final_facts_top_k=2, final_facts_chars=400, final_doc_chars=500, final_chat_chars=300, final_chat_chars_with_doc=200))
+    whole = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
+    return out.select("query_id", "with_doc", F.size("messages").alias("n_messages"), "n_chars", F.md5(whole).alias("messages_md5"))

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from docloom.functions.text import DOC_HINT, FACT_PREFIXES, MEMORY_HINT, POINTS_BACK, READ_ERRORS
+#: Values that results depend on, written out: nothing of the library is imported here.
+DOC_HINT = r"(?i)(订单|合同|条款|金额|单价|总价|页码|第\s*\d+\s*页|比例|税率|日期|交付|编号|单号|发票|附件|定义|多少|几号|哪一章|哪一节)"
+MEMORY_HINT = r"(?i)(之前|刚才|上次|我们聊|聊过|说过|回顾|总结一下对话|对话里|你记得)"
+POINTS_BACK = r"(那|这|它|他|她|该|上述|上面|刚才|之前|这个|那个|哪个|多少来着|呢\s*$|吗\s*$)"
+READ_ERRORS = ("[错误：", "[PDF解析错误", "[TXT读取错误", "[不支持的文件类型")
+FACT_PREFIXES = ("- ", "• ", "* ", "· ", "– ", "— ")
+INSTRUCTION = "为这个句子生成表示以用于检索相关文章："
 
 #: What is white space in all of Unicode.
 WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -74,16 +80,27 @@ REGISTRY = "(SELECT user_id::VARCHAR AS doc_id, max(ts) AS created_at, max(event
 CONVERSATIONS = "(SELECT conv_id::VARCHAR AS id, (conv_id * 3)::VARCHAR AS doc_id FROM conversations WHERE turn = 0)"
 KEEP = f"(SELECT doc_id FROM {CONVERSATIONS} UNION SELECT doc_id FROM {REGISTRY} WHERE date_trunc('second', created_at) > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 12 HOURS)"
 FIRST = f"(SELECT doc_id AS query_id, chunk_index + 1 AS rank, page, text FROM {windows()})"
-GOLD = f"""(SELECT h.doc_id AS query_id, chunk_index, page, h.text, list_filter([{squeeze('substr(d.text, 1, 12)')}, {squeeze('right(d.text, 12)')}], lambda g: g <> '' AND contains({squeeze('h.text')}, g)) AS found
-  FROM {windows()} h JOIN documents d USING (doc_id))"""
+ASKED = f"(SELECT query_id, q.doc_id, {squeeze('question')} AS q, regexp_replace({squeeze('question')}, '{MARKS}', '', 'g') AS q2 FROM {QUESTIONS} q)"
+POOL = f"(SELECT query_id, chunk_index, page, text, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index) AS rank FROM (SELECT q.query_id, w.chunk_index, w.page, w.text, {boost('q', 'q2', 't')} AS score FROM {ASKED} q JOIN (SELECT *, {squeeze('text')} AS t FROM {windows()}) w USING (doc_id)))"
+NEEDLES = f"list_filter(list_transform([substr(text, 1, 12), right(text, 12), right(text, 12), substr(text, 545, 6) || chr(10) || substr(text, 501, 6)], lambda g: {trim('g')}), lambda g: g <> '')"
+
+
+def trimmed(t: str, n: int) -> str:
+    """A column without blanks at its ends, cut at n, back to the last blank line or line end in the second half."""
+    h = f"substr({t}, 1, {n})"
+    at = lambda mark, size: f"(CASE WHEN strpos(reverse({h}), {mark}) = 0 THEN -1 ELSE length({h}) - strpos(reverse({h}), {mark}) - {size - 1} END)"
+    block, line = at("chr(10) || chr(10)", 2), at("chr(10)", 1)
+    cut = f"(CASE WHEN {block} >= {n // 2} THEN {block} WHEN {line} >= {n // 2} THEN {line} ELSE {n} END)::BIGINT"
+    return f"CASE WHEN length({t}) <= {n} THEN {t} ELSE {rtrim(f'substr({h}, 1, {cut})')} || '…' END"
 
 
 def metrics(where: str = "true") -> str:
-    gold = "[substr(d.text, 1, 12), right(d.text, 12)]"
-    return f"""(SELECT d.doc_id AS query_id, coalesce(r, 0)::BIGINT AS returned, coalesce(hp, 0) / 2.0::DOUBLE AS page_recall, CASE WHEN r > 0 THEN hp / r::DOUBLE ELSE 0 END AS page_precision,
-  coalesce(nf, 0) / len(list_distinct({gold}))::DOUBLE AS text_recall, CASE WHEN r > 0 THEN wt / r::DOUBLE ELSE 0 END AS text_precision
-  FROM documents d LEFT JOIN (SELECT query_id, count(*) AS r, count(DISTINCT page) FILTER (page IN (1, 3)) AS hp, count(*) FILTER (len(found) > 0) AS wt, len(list_distinct(flatten(list(found)))) AS nf
-    FROM {GOLD} WHERE {where} GROUP BY query_id) h ON d.doc_id = h.query_id)"""
+    return f"""(SELECT d.query_id, coalesce(r, 0)::BIGINT AS returned, coalesce(hp, 0) / 2.0::DOUBLE AS page_recall, CASE WHEN r > 0 THEN hp / r::DOUBLE ELSE 0 END AS page_precision,
+  CASE WHEN len(needles) > 0 THEN coalesce(len(list_distinct(list_filter(needles, lambda g: contains(blob, g)))), 0) / len(needles)::DOUBLE END AS text_recall,
+  CASE WHEN len(needles) > 0 THEN CASE WHEN r > 0 THEN wt / r::DOUBLE ELSE 0 END END AS text_precision
+  FROM (SELECT doc_id AS query_id, {NEEDLES} AS needles FROM documents) d LEFT JOIN (
+    SELECT query_id, count(*) AS r, count(DISTINCT page) FILTER (page IN (1, 3)) AS hp, count(*) FILTER (len(list_filter(needles, lambda g: contains(text, g))) > 0) AS wt, string_agg(text, chr(10) ORDER BY rank) AS blob
+    FROM {POOL} p JOIN (SELECT doc_id AS query_id, {NEEDLES} AS needles FROM documents) n USING (query_id) WHERE {where} GROUP BY query_id) h USING (query_id))"""
 
 
 HINTS = "['', '订单金额是多少', '我们之前聊了什么', '之前的合同金额', '那个呢'][(conv_id + turn) % 5 + 1]"
@@ -105,10 +122,9 @@ f AS (SELECT *, greatest(3 * k, 8) AS fl FROM k)
 SELECT doc_id, n AS chunks, k AS top_k, least(5, greatest(2, doc_id % 9))::INT AS asked_k, CASE WHEN doc_id % 5 <= 0 THEN 0 ELSE least(k, doc_id % 5) END::INT AS held_k,
   CASE WHEN n <= fl THEN n ELSE least(50, n, greatest(fl, ceil(n * 0.12::DOUBLE)::INT, 5 * k)) END::INT AS recall_k, least(50, greatest(fl, 5 * k))::INT AS free_recall_k,
   CASE WHEN n <= 10 THEN 0.05 WHEN doc_id % 2 = 0 THEN 0.12 ELSE 0.35 END::DOUBLE AS threshold FROM f"""
-SQL["clipped_text"] = f"""WITH h AS (SELECT doc_id, text, n_chars, substr(text, 1, 400) AS h FROM documents), i AS (SELECT *, length(h) - strpos(reverse(h), chr(10) || chr(10)) - 1 AS b, strpos(reverse(h), chr(10) || chr(10)) AS hb, length(h) - strpos(reverse(h), chr(10)) AS l, strpos(reverse(h), chr(10)) AS hl FROM h)
-SELECT doc_id, {clip('text', 80)} AS clipped, CASE WHEN length(coalesce(text, '')) <= 400 THEN coalesce(text, '') ELSE
-  {rtrim("substr(h, 1, (CASE WHEN hb > 0 AND b >= 200 THEN b WHEN hl > 0 AND l >= 200 THEN l ELSE 400 END)::BIGINT)")} || '…' END AS trimmed,
-  CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN format('{{:.1f}} KB', floor(n_chars / 102.4::DOUBLE + 0.5) / 10) ELSE format('{{:.1f}} MB', floor(n_chars / 104857.6::DOUBLE + 0.5) / 10) END AS size FROM i"""
+SQL["clipped_text"] = f"""SELECT doc_id, {clip('text', 80)} AS clipped, {trimmed('t', 400)} AS trimmed,
+  CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN format('{{:.1f}} KB', floor(n_chars / 102.4::DOUBLE + 0.5) / 10) ELSE format('{{:.1f}} MB', floor(n_chars / 104857.6::DOUBLE + 0.5) / 10) END AS size
+  FROM (SELECT *, {trim('text')} AS t FROM documents)"""
 SQL["router"] = f"""WITH q AS (SELECT conv_id, turn, {HINTS} AS h, {HINTS} || coalesce(text, '') AS q FROM conversations), r AS (SELECT *, regexp_matches(q, '{DOC_HINT}') AS d, regexp_matches(q, '{MEMORY_HINT}') AS m FROM q)
 SELECT conv_id, turn, CASE WHEN d AND NOT m THEN 'fast_doc' WHEN m AND NOT d THEN 'fast_memory' ELSE 'planner' END AS path,
   CASE WHEN {trim('q')} = '' THEN false WHEN length({trim('q')}) < 10 THEN true ELSE regexp_matches({trim('q')}, '{POINTS_BACK}') END AS rewrite,
@@ -137,7 +153,7 @@ SQL["rerank_topk"] = f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY qu
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, d, chunk_index) AS r FROM s QUALIFY r <= 8), l AS (SELECT *, ((chunk_index * 7 + query_id) % 11 - 5)::DOUBLE AS x FROM r),
 g AS (SELECT query_id, chunk_index, r, CASE WHEN x >= 0 THEN 1.0::DOUBLE / (1.0::DOUBLE + exp(-x)) ELSE exp(x) / (1.0::DOUBLE + exp(x)) END AS score FROM l), k AS (SELECT * FROM g QUALIFY score >= 0.5 OR NOT bool_or(score >= 0.5) OVER (PARTITION BY query_id))
 SELECT query_id, rank, chunk_index, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r)::INT AS rank FROM k) WHERE rank <= 3"""
-_Q = f"(SELECT query_id, q.doc_id, {squeeze('question')} AS q, regexp_replace({squeeze('question')}, '{MARKS}', '', 'g') AS q2 FROM {QUESTIONS} q)"
+_Q = ASKED
 SQL["lexical_boosts"] = f"SELECT doc_id, max({boost('q', 'q2', 't')}) AS boost FROM (SELECT q.doc_id, q, q2, {squeeze('text')} AS t FROM {_Q} q JOIN {windows()} d USING (doc_id)) GROUP BY 1"
 SQL["bigram_scores"] = f"""WITH p AS (SELECT conv_id, turn, lower({squeeze('text')}) AS t, lag(lower({squeeze('text')})) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations)
 SELECT conv_id, turn, {bigram('q', 't')} AS score FROM p WHERE q IS NOT NULL"""
@@ -152,7 +168,20 @@ def _embedding(rows: str, key: str) -> str:
       SELECT {key}, map_from_entries(list((b, n))) AS m FROM (SELECT {key}, (ord(substr(text, i, 1)) * 31 + ord(substr(text, i + 1, 1))) % 64 AS b, count(*)::DOUBLE AS n FROM (SELECT {key}, text, unnest(range(1, length(text))) AS i FROM {rows}) GROUP BY ALL) GROUP BY {key}))"""
 
 
-SQL["fused_search"] = f"""WITH w AS (SELECT * FROM {windows()}), we AS {_embedding('w', 'doc_id, chunk_index')}, q AS (SELECT * FROM {_Q}), qe AS {_embedding('(SELECT item_id, text FROM benchmark)', 'item_id')},
+ASKED_TEXT = f"(SELECT item_id, '{INSTRUCTION}' || {trim('text')} AS text FROM benchmark)"
+SQL["global_knn"] = f"""SELECT query_id, doc_id, chunk_index, distance FROM (SELECT *, {L2} AS distance FROM (SELECT a.vec_id AS query_id, b.label AS doc_id, b.vec_id AS chunk_index, a.embedding AS x, b.embedding AS y FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0))
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id, chunk_index) <= 15"""
+SQL["global_search_all"] = f"""WITH w AS (SELECT * FROM {windows()}), we AS {_embedding('w', 'doc_id, chunk_index')}, q AS (SELECT item_id, {squeeze('text')} AS q, regexp_replace({squeeze('text')}, '{MARKS}', '', 'g') AS q2 FROM benchmark), qe AS {_embedding(ASKED_TEXT, 'item_id')},
+n AS (SELECT item_id, doc_id, chunk_index, d FROM (SELECT item_id, w.doc_id, w.chunk_index, 1.0::DOUBLE - coalesce(list_inner_product(qe.e, we.e), 0) AS d FROM w LEFT JOIN we USING (doc_id, chunk_index), qe) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY d, doc_id, chunk_index) <= 15),
+t AS (SELECT n.*, q, q2, {squeeze('w.text')} AS t FROM n JOIN q USING (item_id) JOIN w USING (doc_id, chunk_index)), s AS (SELECT *, least(1.0::DOUBLE, {_CLAMP.format('1.0::DOUBLE - d')} + {boost('q', 'q2', 't')}) AS score FROM t WHERE t <> ''),
+a AS (SELECT * FROM s QUALIFY score >= 0.15 OR NOT bool_or(score >= 0.15) OVER (PARTITION BY item_id))
+SELECT item_id AS query_id, rank, doc_id, chunk_index, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, d, doc_id, chunk_index)::INT AS rank FROM a) WHERE rank <= 3"""
+SQL["rerank_fallback"] = f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_index) AS r0 FROM {_COS} QUALIFY r0 <= 10), s AS (SELECT *, {_CLAMP.format('1.0::DOUBLE - d')} AS sc FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, d, chunk_index) AS r FROM s QUALIFY r <= 8), l AS (SELECT *, CASE WHEN query_id % 30 = 0 THEN NULL ELSE ((chunk_index * 7 + query_id) % 11 - 5)::DOUBLE END AS x FROM r),
+g AS (SELECT query_id, chunk_index, r, sc, CASE WHEN x >= 0 THEN 1.0::DOUBLE / (1.0::DOUBLE + exp(-x)) ELSE exp(x) / (1.0::DOUBLE + exp(x)) END AS second FROM l),
+k AS (SELECT * FROM g QUALIFY second IS NULL OR second >= 0.5 OR NOT bool_or(second >= 0.5) OVER (PARTITION BY query_id))
+SELECT query_id, rank, chunk_index, coalesce(second, sc) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY second DESC, r)::INT AS rank FROM k) WHERE rank <= 3"""
+SQL["fused_search"] = f"""WITH w AS (SELECT * FROM {windows()}), we AS {_embedding('w', 'doc_id, chunk_index')}, q AS (SELECT * FROM {_Q}), qe AS {_embedding(ASKED_TEXT, 'item_id')},
 n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1), p AS (SELECT doc_id, n, CASE WHEN n <= 12 THEN 2 WHEN n <= 60 THEN 3 WHEN n <= 200 THEN 4 ELSE 5 END AS k FROM n),
 f AS (SELECT *, greatest(3 * k, 8) AS fl, CASE WHEN n <= 10 THEN 0.05 ELSE 0.15 END AS th FROM p), g AS (SELECT *, CASE WHEN n <= fl THEN n ELSE least(50, n, greatest(fl, ceil(n * 0.12::DOUBLE)::INT, 5 * k)) END AS rk FROM f),
 h AS (SELECT q.query_id, w.doc_id, w.chunk_index, w.page, w.text, q, q2, k, th, rk, 1.0::DOUBLE - coalesce(list_inner_product(qe.e, we.e), 0) AS d FROM q JOIN w USING (doc_id) JOIN g USING (doc_id)
@@ -183,9 +212,10 @@ SQL["prompt_messages"] = f"""WITH e AS (SELECT conv_id, -2 AS no, 'system' AS ro
   SELECT conv_id, pos, role, {clip('content', 40)} FROM {TURNS} WHERE pos >= n - 2)
 SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY no) - 1)::INT AS no, role, content FROM e"""
 _LINES = "(SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS ln FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))"
-SQL["line_dedupe"] = f"""WITH k AS (SELECT doc_id, ln, line, {KEYED} AS k FROM {_LINES}), f AS (SELECT * FROM k QUALIFY k = '' OR row_number() OVER (PARTITION BY doc_id, k ORDER BY ln) = 1),
-b AS (SELECT *, coalesce(lag(k = '') OVER (PARTITION BY doc_id ORDER BY ln), true) AS before FROM f), t AS (SELECT doc_id, string_agg(CASE WHEN k = '' THEN '' ELSE rtrim(line, ' ') END, chr(10) ORDER BY ln) AS t FROM b WHERE NOT (k = '' AND before) GROUP BY 1)
-SELECT doc_id, coalesce({trim('t')}, '') AS text FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN t USING (doc_id)"""
+SQL["line_dedupe"] = f"""WITH u AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS ln FROM (SELECT doc_id, string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS ls FROM documents)),
+k AS (SELECT doc_id, ln, {rtrim('line')} AS line, {KEYED} AS k FROM u), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY ln) AS nth, coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY ln), '?') AS before FROM k),
+t AS (SELECT doc_id, string_agg(CASE WHEN k = '' THEN '' ELSE line END, chr(10) ORDER BY ln) AS t FROM f WHERE CASE WHEN k = '' THEN before <> '' ELSE nth = 1 END GROUP BY 1)
+SELECT doc_id, CASE WHEN {trim('text')} = '' THEN coalesce(text, '') ELSE coalesce(regexp_replace(t, '^\n+|\n+$', '', 'g'), '') END AS text FROM documents LEFT JOIN t USING (doc_id)"""
 SQL["repetitive_documents"] = f"""WITH k AS (SELECT doc_id, {KEYED} AS k FROM {_LINES} WHERE {KEYED} <> ''), c AS (SELECT doc_id, count(*) AS n_lines, count(DISTINCT k) AS n_distinct FROM k GROUP BY 1)
 SELECT *, (n_lines - n_distinct) / n_lines::DOUBLE AS ratio, n_lines >= 4 AND (n_lines - n_distinct) / n_lines::DOUBLE >= 0.25 AS repetitive FROM c"""
 SQL["blank_runs"] = f"""WITH p AS (SELECT page_id AS doc_id, string_split(regexp_replace(html, '<[^>]+>', '', 'g'), chr(10)) AS ls FROM pages), l AS (SELECT doc_id, {trim('unnest(ls)')} = '' AS blank, generate_subscripts(ls, 1) AS ln FROM p),
@@ -231,18 +261,21 @@ SQL["update_columns"] = "SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'flagged' ELS
 SQL["cascade_delete"] = f"""WITH g AS (SELECT DISTINCT conv_id::VARCHAR AS id FROM conversations WHERE role = 'system'), d AS (SELECT doc_id FROM {CONVERSATIONS} WHERE id IN (FROM g))
 SELECT 'conversations' AS name, count(*) AS n_left FROM {CONVERSATIONS} WHERE id NOT IN (FROM g) UNION ALL SELECT 'registry', count(*) FROM {REGISTRY} WHERE doc_id NOT IN (FROM d)
 UNION ALL SELECT 'chunks', count(*) FROM documents WHERE doc_id::VARCHAR NOT IN (FROM d) UNION ALL SELECT 'chat', count(*) FROM conversations WHERE conv_id::VARCHAR NOT IN (FROM g)"""
-SQL["upsert_conversations"] = """WITH o AS (SELECT conv_id FROM conversations WHERE turn = 0 AND conv_id % 2 = 0), p AS (SELECT conv_id, conv_id % 3 <> 0 AS filled, conv_id % 4 = 0 AS doc FROM conversations WHERE conv_id % 3 <> 0 OR conv_id % 4 = 0 GROUP BY conv_id HAVING count(*) > 1)
-SELECT coalesce(o.conv_id, p.conv_id)::VARCHAR AS id, CASE WHEN o.conv_id IS NULL THEN NULL WHEN p.conv_id IS NULL THEN 'old' ELSE 'new' END AS summary,
-  CASE WHEN doc THEN 'd' WHEN o.conv_id IS NOT NULL THEN '' END AS doc_id, CASE WHEN o.conv_id IS NULL THEN '2024-02-01' ELSE '2024-01-01' END AS created_at, coalesce(filled, false) AS has_messages FROM o FULL JOIN p ON o.conv_id = p.conv_id"""
+_PUT = "(SELECT conv_id, count(*) AS n, conv_id % 3 <> 0 AS filled FROM conversations WHERE conv_id % 5 <> 0 AND (conv_id % 3 <> 0 OR conv_id % 8 = 0) GROUP BY conv_id HAVING count(*) > 1)"
+SQL["upsert_conversations"] = f"""WITH o AS (SELECT conv_id FROM conversations WHERE turn = 0 AND conv_id % 2 = 0), p AS (SELECT * FROM {_PUT}), b AS (SELECT coalesce(o.conv_id, p.conv_id) AS c, o.conv_id IS NOT NULL AS was, p.conv_id IS NOT NULL AS put, filled, n FROM o FULL JOIN p ON o.conv_id = p.conv_id)
+SELECT c::VARCHAR AS id, CASE WHEN put AND c % 6 <> 0 THEN 'new' WHEN was THEN 'old' ELSE '' END AS summary, CASE WHEN NOT was AND c % 4 = 0 THEN 'd' || c % 16 ELSE '' END AS doc_id, CASE WHEN NOT was AND c % 8 = 0 THEN 'paper' ELSE '' END AS document_name,
+  CASE WHEN was THEN '2024-01-01' WHEN c % 7 = 0 THEN '2024-01-15' ELSE '2024-02-01' END AS created_at, CASE WHEN put AND c % 2 = 0 THEN 3 WHEN was THEN 1 ELSE 0 END::INT AS memory_covered, CASE WHEN put AND filled THEN n ELSE 0 END::INT AS n_messages FROM b"""
+SQL["put_links"] = f"""WITH r AS (SELECT 'd' || user_id % 64 AS doc_id, min(ts) AS c FROM events WHERE event_type = 'click' GROUP BY 1), p AS (SELECT 'd' || conv_id % 16 AS doc_id, max(conv_id) AS m FROM {_PUT} WHERE conv_id % 4 = 0 GROUP BY 1)
+SELECT doc_id, coalesce(c, TIMESTAMP '2024-01-31 00:00:00') AS created_at, coalesce(m::VARCHAR, 'none') AS conversation_id FROM r FULL JOIN p USING (doc_id)"""
 SQL["history_page"] = "SELECT conv_id AS id, max(turn) AS created_at, count(*) FILTER (role <> 'system') AS dialog FROM conversations GROUP BY 1 ORDER BY created_at DESC, id LIMIT 6 OFFSET 6"
-FINAL = f"(SELECT query_id, chunk_index FROM (SELECT q.query_id, w.chunk_index, {boost('q', 'q2', 't')} AS score FROM (SELECT query_id, doc_id, q, q2 FROM {_Q}) q JOIN (SELECT doc_id, chunk_index, {squeeze('text')} AS t FROM {windows()}) w USING (doc_id)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index) <= 3)"
 SQL["eval_metrics"] = f"SELECT * FROM {metrics()}"
-SQL["eval_final"] = f"SELECT * FROM {metrics(f'(query_id, chunk_index) IN {FINAL}')}"
+SQL["eval_final"] = f"SELECT * FROM {metrics('rank <= 3')}"
 SQL["eval_verdict"] = f"""WITH v AS (SELECT CASE WHEN b.page_recall > a.page_recall OR (b.page_recall = a.page_recall AND b.page_precision > a.page_precision) THEN 'improve'
   WHEN b.page_recall < a.page_recall OR (b.page_recall = a.page_recall AND b.page_precision < a.page_precision) THEN 'worse' ELSE 'tie' END AS verdict
-  FROM {metrics()} a JOIN {metrics(f'(query_id, chunk_index) IN {FINAL}')} b USING (query_id)) SELECT verdict, count(*) AS cases FROM v GROUP BY 1"""
+  FROM {metrics()} a JOIN {metrics('rank <= 3')} b USING (query_id)) SELECT verdict, count(*) AS cases FROM v GROUP BY 1"""
 SQL["eval_summary"] = f"SELECT avg(page_recall) AS page_recall, avg(page_precision) AS page_precision, avg(text_recall) AS text_recall, avg(text_precision) AS text_precision, count(*) AS cases FROM {metrics()}"
-SQL["case_errors"] = "SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 3 = 0 THEN '缺少 question/问题 或 doc_id/文档ID' WHEN doc_id % 5 = 0 OR length(coalesce(text, '')) = 0 THEN '文档无向量 doc_id=' || doc_id END AS error FROM documents"
+SQL["case_errors"] = """SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 3 = 0 THEN '缺少 question/问题 或 doc_id/文档ID' WHEN doc_id % 5 = 0 OR length(coalesce(text, '')) = 0 THEN '文档无向量 doc_id=' || doc_id
+  WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN '需要 gold_pages/金标页码 或 gold_contains/金标原文' END AS error FROM documents"""
 SQL["client_errors"] = """SELECT event_id, ['请求已取消', '无法连接 AI 服务，请确认服务已启动', '摘要服务异常', '文档处理服务异常', '问答服务异常', '服务异常，请稍后重试', '服务异常，请稍后重试', '问题 太长 了', '服务异常，请稍后重试'][event_id % 9 + 1] AS message FROM events"""
 SQL["image_coverage"] = "SELECT l_orderkey, round(least(1, sum((l_quantity::DOUBLE + 20) * 40) / 120000), 9) AS coverage FROM lineitem GROUP BY 1"
 _ROW = f"list_transform(string_split(l, ' '), lambda c: {trim('c')})"
@@ -281,6 +314,22 @@ SELECT event_id, CASE s WHEN 'http 502' THEN 'AI 摘要生成失败：LM Studio
   WHEN 'model not found' THEN 'AI 摘要生成失败：模型不存在，请检查 LM Studio 中是否已加载对应模型' WHEN 'connection refused' THEN 'AI 摘要生成失败：无法连接 LM Studio，请确认 Local Server 已启动'
   WHEN 'request timed out' THEN 'AI 摘要生成超时' WHEN 'error code: 7' THEN 'AI 摘要生成失败：LM Studio 调用异常，请检查服务与模型是否就绪' ELSE 'AI 摘要生成失败：请检查 LM Studio 是否已启动并加载模型' END AS message, true AS failed, false AS type_failed FROM e"""
 SQL["turn_search"] = f"""SELECT query_id, rank, chunk_index AS msg_index, {_CLAMP.format('1.0::DOUBLE - d')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_index)::INT AS rank FROM {_COS}) WHERE rank <= 4"""
+_DOC = lambda c, chat, q: f"'【文档片段】' || chr(10) || {c} || {chat} || chr(10) || '【用户问题】' || chr(10) || coalesce({q}, '') || chr(10) || chr(10) || '请给出完整答案：'"
 SQL["answer_prompts"] = f"""WITH c AS (SELECT query_id, string_agg('【片段' || no || '】' || chr(10) || {trim('text')}, chr(10) || chr(10) ORDER BY no) AS c FROM {_BLOCK} GROUP BY 1), n AS (SELECT doc_id AS query_id, count(*) AS n FROM {windows()} GROUP BY 1)
-SELECT query_id, md5(concat_ws(chr(10) || chr(10), CASE WHEN c IS NOT NULL THEN '【文档内容】' || chr(10) || {clip('c', 500)} END, '【问题】' || chr(10) || {trim('question')})) AS prompt_md5,
-  CASE WHEN coalesce(n, 0) > 0 AND query_id % 3 <> 0 THEN NULL WHEN coalesce(n, 0) > 0 THEN '未找到与问题足够相关的内容，请换种问法或换个角度描述。' ELSE '未找到相关文档内容，请先上传文档。' END AS message FROM {QUESTIONS} LEFT JOIN c USING (query_id) LEFT JOIN n USING (query_id)"""
+SELECT query_id, md5({_DOC(trimmed('t', 500), "''", 'question')}) AS prompt_md5,
+  CASE WHEN coalesce(n, 0) > 0 AND query_id % 3 <> 0 THEN NULL WHEN coalesce(n, 0) > 0 THEN '未找到与问题足够相关的内容，请换种问法或换个角度描述。' ELSE '未找到相关文档内容，请先上传文档。' END AS message
+  FROM (SELECT *, {trim('c')} AS t FROM {QUESTIONS} LEFT JOIN c USING (query_id) LEFT JOIN n USING (query_id))"""
+_TALKED = "CASE WHEN h2 <> '' THEN chr(10) || chr(10) || '【相关历史对话】' || chr(10) || h2 || chr(10) ELSE '' END"
+SQL["answer_messages"] = f"""WITH f AS ({SQL["facts_retrieved"]}), q AS (SELECT conv_id, arg_max(text, turn) AS q FROM conversations GROUP BY 1),
+r AS (SELECT conv_id, string_agg(role || ':' || c || '|', '' ORDER BY pos) AS r, count(*) AS nr, sum(length(c)) AS cr FROM (SELECT conv_id, pos, role, {clip('content', 200)} AS c FROM {TURNS} WHERE pos >= n - 4) GROUP BY 1),
+c AS (SELECT query_id, string_agg('【片段' || no || '】' || chr(10) || {trim('text')}, chr(10) || chr(10) ORDER BY no) AS c FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS no FROM {FIRST} WHERE rank <= 3 AND query_id % 4 <> 0 AND {trim('text')} <> '') GROUP BY 1),
+h AS (SELECT conv_id, string_agg('【旧对话' || turn + 1 || '】' || chr(10) || {trim('text')}, chr(10) || chr(10) ORDER BY turn) AS h FROM conversations WHERE turn < 2 AND conv_id % 3 <> 0 AND {trim('text')} <> '' GROUP BY 1),
+j AS (SELECT q.conv_id AS query_id, q, coalesce(facts, '') AS facts, coalesce(r, '') AS r, coalesce(nr, 0) AS nr, coalesce(cr, 0) AS cr, c IS NOT NULL AS with_doc, {trim('c')} AS c1, {trim('h')} AS h1 FROM q LEFT JOIN f USING (conv_id) LEFT JOIN r USING (conv_id) LEFT JOIN c ON q.conv_id = c.query_id LEFT JOIN h ON q.conv_id = h.conv_id),
+t AS (SELECT *, {trimmed('c1', 500)} AS c2, CASE WHEN with_doc THEN {trimmed('h1', 200)} ELSE {trimmed('h1', 300)} END AS h2 FROM j),
+m AS (SELECT *, CASE WHEN with_doc THEN '根据【文档片段】回答，对话记忆只作参考；要点说全，每点一次，不标页码。' ELSE '根据记忆和旧对话回答；不知道就说不知道。' END AS s,
+  CASE WHEN with_doc AND facts <> '' THEN '【相关硬事实】' || chr(10) || {trim('facts')} ELSE '' END AS fm,
+  CASE WHEN with_doc THEN {_DOC('c2', _TALKED, 'q')} ELSE CASE WHEN facts <> '' THEN '【相关硬事实】' || chr(10) || {trim('facts')} ELSE '（无相关摘要/事实）' END || chr(10) || chr(10) || '【相关历史对话】' || chr(10) || CASE WHEN h2 <> '' THEN h2 ELSE '（无旧对话命中）' END
+    || chr(10) || chr(10) || '【用户问题】' || chr(10) || coalesce(q, '') || chr(10) || chr(10) || '请根据以上材料回答：' END AS u FROM t)
+SELECT query_id, with_doc, (2 + CASE WHEN with_doc THEN nr + CASE WHEN fm <> '' THEN 1 ELSE 0 END ELSE 0 END)::INT AS n_messages,
+  (length(s) + length(fm) + length(u) + CASE WHEN with_doc THEN cr ELSE 0 END)::INT AS n_chars,
+  md5('system:' || s || '|' || CASE WHEN fm <> '' THEN 'system:' || fm || '|' ELSE '' END || CASE WHEN with_doc THEN r ELSE '' END || 'user:' || u) AS messages_md5 FROM m"""

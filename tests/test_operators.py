@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.config import Config
-from docloom.operators import agent, catalog, cleanup, evaluation, layout, memory, retrieval, summaries
+from docloom.operators import agent, answers, catalog, cleanup, evaluation, global_search, layout, memory, retrieval, summaries
 from docloom.operators.embedding import embedder
 
 
@@ -121,6 +121,28 @@ def test_repeated_lines_and_sentences(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "一、要点（第1页）\n\n内容。别的。\n- 要点二", 2: ""}
 
 
+def test_lines_by_the_rule(spark):
+    cases = [
+        ("A\n\nA\n\nB", "A\n\n\nB"),  # the repeat goes and ends the run of blank lines
+        ("A\n\n\n\nB", "A\n\nB"), ("\n\n  A  \n\n", "  A"), ("A\r\nB\rA\n", "A\nB"), ("A\u3000\nB\u00a0", "A\nB"), (" \n ", " \n "), ("- \n*\nA", "A"),
+        ("好。好。\n好。\n\n坏！坏！", "好。\n\n坏！"), ("x。\n\n\u2028\ny", "x。\n\ny"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id int, text string")
+    assert {r.doc_id: r.text for r in cleanup.collapse_lines(df).collect()} == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_lines_in_a_row_as_in_python(spark):
+    """Native work on ASCII against the Python that other texts go to."""
+    import random
+
+    r = random.Random(3)
+    texts = ["".join(r.choice(["a", "b", "- a", "1. b", " ", "", "c  "]) + r.choice(["\n", "\n", "\n\n"]) for _ in range(r.randrange(30))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    native = {x.doc_id: x.text for x in cleanup.collapse_lines(df).collect()}
+    other = {x.doc_id: x.t for x in df.select("doc_id", cleanup._collapsed("text").alias("t")).collect()}
+    assert {k: v for k, v in native.items() if texts[k].strip()} == {k: v for k, v in other.items() if texts[k].strip()}
+
+
 def test_repetition(spark):
     df = spark.createDataFrame([(1, "a\na\nb\nc"), (2, "a\nb\nc"), (3, "a\nb\nc\nd\ne")], "doc_id int, text string")
     assert {r.doc_id: r.repetitive for r in cleanup.repetition(df).collect()} == {1: True, 2: False, 3: False}
@@ -143,7 +165,11 @@ def test_sections_and_summary(spark):
     assert got[1] == ["短文"] and got[3] == [] and 2 <= len(got[2]) <= 4
     assert "【第1页】" in got[2][0] and "【第20页】" in got[2][-1]
     out = summaries.summarise(df, lambda p: p[:6], F.col("section"), lambda p: F.concat(F.lit("合并:"), p), size=150, most=4)
-    assert {r.doc_id: r.summary for r in out.collect()} == {1: "短文", 2: "合并:【第1"}
+    assert {r.doc_id: r.summary for r in out.collect()} == {1: "短文", 2: "合并:1."}
+    section = F.concat(F.lit("part "), F.col("no").cast("string"), F.lit("/"), F.col("total").cast("string"))
+    silent = summaries.summarise(df, lambda p: "" if p.startswith("merge") else p[:8], section, lambda p: F.concat(F.lit("merge"), p), size=150, most=4, single_prompt=F.lit("alone"))
+    got = {r.doc_id: r.summary for r in silent.collect()}
+    assert got[1] == "alone" and got[2].split("\n")[0].startswith("part 1/") and "\n\n" not in got[2]
 
 
 @pytest.mark.parametrize(
@@ -242,6 +268,91 @@ def test_agent_models_that_fail(spark):
     assert better.doc_queries == ["合同的金额"] and better.hits[0].text == "十元"
 
 
+def test_rerank_falls_back(spark):
+    """A model that fails for a question leaves it its order; one that fails in a batch is asked pair by pair."""
+    asked_pairs = []
+
+    def make():
+        def model(pairs):
+            asked_pairs.append(len(pairs))
+            if any(q == "bad" for q, _ in pairs):
+                raise RuntimeError("no")
+            return [float(len(t)) for _, t in pairs]
+
+        return model
+
+    rows = [(1, "good", 1, 0.9, 0.5, "a"), (1, "good", 2, 0.8, 0.4, "aaa"), (2, "bad", 1, 0.7, 0.3, "b"), (2, "bad", 2, 0.6, 0.2, "bbb")]
+    df = spark.createDataFrame(rows, "query_id int, question string, rank int, score double, dense_score double, text string").coalesce(1)
+    out = retrieval.rerank(df, retrieval.pair_scores(make)(F.col("question"), F.col("text")), 2).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.text, r.dense_score) for r in out] == [(1, "aaa", 0.8), (1, "a", 0.9), (2, "b", 0.3), (2, "bbb", 0.2)] and out[2].score == 0.7
+
+    def none():
+        raise RuntimeError("no model at all")
+
+    out = retrieval.rerank(df, retrieval.pair_scores(none)(F.col("question"), F.col("text")), 2).orderBy("query_id", "rank").collect()
+    assert [r.text for r in out] == ["a", "aaa", "b", "bbb"]
+
+
+def test_blank_chunks_are_no_hits(spark):
+    chunks = spark.createDataFrame([("d", 0, "   ", [1.0, 0.0]), ("d", 1, "苹果", [0.0, 1.0])], "doc_id string, chunk_index int, text string, embedding array<double>").withColumn("page", F.lit(1))
+    q = spark.createDataFrame([(1, "d", "香蕉", [1.0, 0.0])], "query_id int, doc_id string, question string, q_embedding array<double>")
+    assert [(r["rank"], r.chunk_index) for r in retrieval.search(q, chunks, Config(), "cosine").collect()] == [(1, 1)]
+
+
+def plain_nearest(questions, chunks, k, space):
+    def distance(a, b):
+        p = 0.0
+        for x, y in zip(a, b, strict=True):
+            p += x * y if space != "l2" else (x - y) * (x - y)
+        return {"cosine": 1.0 - p, "ip": -p, "l2": p}[space]
+
+    out = []
+    for q, v in questions:
+        near = sorted((distance(v, w), d, c) for d, c, w in chunks if w and len(w) == len(v))
+        out += [(q, d, c, x) for x, d, c in near[:k]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("space", ["l2", "cosine", "ip"])
+def test_global_search_by_definition(spark, space, monkeypatch):
+    """Against all pairs: ties, equal vectors in crowds, odd lengths, null vectors, several blocks of questions and small tiles."""
+    import random
+
+    r = random.Random(8)
+    vector = lambda: [r.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]
+    same = vector()
+    chunks = [(f"d{i % 7}", i, r.choice([vector(), same, None, [1.0], []])) for i in range(300)]
+    asked = [(q, vector()) for q in range(25)]
+    df = spark.createDataFrame(chunks, "doc_id string, chunk_index int, embedding array<double>").repartition(5)
+    q = spark.createDataFrame(asked, "query_id int, q_embedding array<double>")
+    monkeypatch.setattr(global_search, "TILE", (16, 3))
+    for block in (10**9, 300):
+        got = sorted(map(tuple, global_search.nearest(q, df, 6, space, block).collect()))
+        assert got == plain_nearest(asked, chunks, 6, space)
+    assert global_search.nearest(q, df.where("false"), 6, space).count() == 0 and global_search.nearest(q.where("false"), df, 6, space).count() == 0
+
+
+def test_global_search_shuffles_its_answers_alone(spark):
+    """No pairs and no chunks in a shuffle: the join below the windows is no join, and each task gives k rows a question."""
+    chunks = spark.range(5000, numPartitions=4).select((F.col("id") % 9).alias("doc_id"), F.col("id").cast("int").alias("chunk_index"), F.array(F.rand(1), F.rand(2)).alias("embedding"))
+    q = spark.range(3).select("id", F.array(F.lit(0.5), F.rand(3)).alias("q_embedding")).withColumnRenamed("id", "query_id")
+    found = global_search.nearest(q, chunks, 5, "l2")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Cartesian" not in plan and plan.count("Exchange") == 1
+    assert found.count() == 15
+    assert found.groupBy("query_id").count().where("count <> 5").count() == 0
+
+
+def test_global_search_as_a_search(spark):
+    pages = [("a", 0, 1, "苹果的单价是十元"), ("b", 0, 2, "香蕉的产地是海南"), ("c", 0, 1, "  "), ("d", 5, 3, "香蕉的产地是海南")]
+    chunks = spark.createDataFrame(pages, "doc_id string, chunk_index int, page int, text string").withColumn("embedding", embedder()("text"))
+    q = spark.createDataFrame([(1, "香蕉的产地"), (2, " ")], "query_id int, question string").withColumn("q_embedding", embedder()("question"))
+    out = global_search.search_all(q, chunks, space="cosine").orderBy("rank").collect()
+    assert [(r.query_id, r.doc_id, r.score) for r in out][:1] == [(1, "b", 1.0)]
+    assert all(r.text.strip() for r in out) and [r.doc_id for r in out].count("d") == 0  # alike: the first of equal ones
+    assert [r.doc_id for r in global_search.search_all(q, chunks, space="cosine", dedupe=False).orderBy("rank").collect()][:2] == ["b", "d"]
+
+
 def test_search_reads_documents_once(spark, sf):
     """The plan of a search has one scan of the texts and one embedding of the chunks."""
     from docloom.plans.queries import QUERIES
@@ -301,6 +412,22 @@ def test_many_facts_are_scored_by_vectors(spark):
     assert got == {1: "- wanted", 2: "- qq here"}
 
 
+def test_answer_messages(spark):
+    asked = spark.createDataFrame([(1, "c", "苹果？"), (2, "c", "说过什么")], "query_id int, conv_id string, question string")
+    hits = spark.createDataFrame([(1, 1, 2, "甲" * 260), (1, 2, 3, "乙" * 260)], "query_id int, rank int, page int, text string")
+    chat = spark.createDataFrame([(2, 1, " "), (2, 2, "旧话")], "query_id int, rank int, text string")
+    state = spark.createDataFrame([("c", "- [pinned] 客户：甲", "")], "conv_id string, memory_facts string, memory_summary string")
+    out = {r.query_id: r for r in answers.answer_messages(asked, hits, chat, turns(spark, 8), state, Config(final_doc_chars=500, final_recent_messages=2)).collect()}
+    doc, talk = out[1], out[2]
+    assert doc.with_doc and [(m.role, m.content) for m in doc.messages[1:4]] == [("system", "【相关硬事实】\n- [pinned] 客户：甲"), ("user", "u3"), ("assistant", "a3")]
+    # cut at the end of the first block, not in the middle of the second
+    assert doc.messages[4].content == "【文档片段】\n【片段1】\n" + "甲" * 260 + "…\n【用户问题】\n苹果？\n\n请给出完整答案："
+    assert not talk.with_doc and talk.messages[1].content == "【相关硬事实】\n- [pinned] 客户：甲\n\n【相关历史对话】\n【旧对话2】\n旧话\n\n【用户问题】\n说过什么\n\n请根据以上材料回答："
+    none = answers.answer_messages(asked.where("query_id = 2"), hits, chat.where("false"), turns(spark, 0), state.where("false")).first()
+    assert none.messages[1].content.startswith(answers.NO_MEMORY + "\n\n【相关历史对话】\n" + answers.NO_CHAT)
+    assert none.n_chars == sum(len(m.content) for m in none.messages)
+
+
 def test_final_messages(spark):
     mem = spark.createDataFrame([("c", "苹果", "- [pinned] 客户：甲", "")], "conv_id string, question string, facts string, summary string")
     out = memory.final_messages(turns(spark, 8), mem, 2).first()
@@ -358,15 +485,50 @@ def test_catalog(spark):
 
 def test_put_conversations(spark):
     some = json.dumps([{"id": "1", "role": "user", "content": "x"}])
-    old = spark.createDataFrame([("a", "[]", "s", "d", "t")], "id string, messages string, summary string, doc_id string, created_at string")
-    puts = spark.createDataFrame([("a", some, "new", None), ("b", some, "new", None), ("c", "[]", "n", None), ("d", "oops", "n", "doc")], "id string, messages string, summary string, doc_id string")
-    got = {r.id: (r.messages, r.summary, r.doc_id) for r in catalog.upsert_conversations(old, puts, F.lit("now")).collect()}
-    assert got == {"a": (some, "new", "d"), "b": (some, None, None), "d": ("[]", None, "doc")}
+    old = spark.createDataFrame([("a", "[]", "s", "d", "n", "t", 1), ("z", some, "s", "", "", "t", 0)], "id string, messages string, summary string, doc_id string, document_name string, created_at string, memory_covered int")
+    puts = [
+        ("a", some, "new", "other", "name", "2020", 5),  # exists: summary, memory and messages; its document and time stay
+        ("b", some, "given", None, None, "2020", None),  # new: takes its own summary and time
+        ("c", "[]", "n", "doc", None, None, None),  # no messages, and a document without a name: skipped
+        ("d", "[]", None, "doc", "paper", None, None),  # a draft with its document alone
+        ("e", "oops", "n", "doc", "paper", None, None),  # no list: refused
+        ("f", '{"id": "1"}', "n", "doc", "paper", None, None),
+        ("z", "[]", "n", None, None, None, 9),  # nothing said and no document: skipped
+    ]
+    puts = spark.createDataFrame(puts, "id string, messages string, summary string, doc_id string, document_name string, created_at string, memory_covered int")
+    got = {r.id: tuple(r)[1:] for r in catalog.upsert_conversations(old, puts, F.lit("now")).collect()}
+    assert got == {
+        "a": (some, "new", "d", "n", "t", 5), "b": (some, "given", "", "", "2020", 0), "d": ("[]", "", "doc", "paper", "now", 0), "z": (some, "s", "", "", "t", 0),
+    }
+    links = catalog.put_links(puts, F.lit("2024-01-01").cast("timestamp")).collect()
+    assert sorted((r.doc_id, r.conversation_id) for r in links) == [("doc", "d"), ("other", "a")]
+
+
+def test_metrics_by_the_rule(spark):
+    """Phrases as they stand, over all hits joined in rank order, against all phrases given."""
+    cases = [(1, ["alpha beta"]), (2, ["x\ny"]), (3, ["gamma", "gamma", "delta"]), (4, [" pad ", ""]), (5, ["  "])]
+    cases = spark.createDataFrame([(i, [], g) for i, g in cases], "query_id int, gold_pages array<int>, gold_contains array<string>")
+    hits = [(1, 1, "alphabeta here"), (2, 2, "y second"), (2, 1, "first x"), (3, 1, "gamma"), (4, 1, "xpadx"), (4, 2, None), (5, 1, "any")]
+    hits = spark.createDataFrame([(q, r, 1, t) for q, r, t in hits], "query_id int, rank int, page int, text string")
+    got = {r.query_id: (r.text_recall, r.text_precision) for r in evaluation.metrics(cases, hits).collect()}
+    assert got == {1: (0.0, 0.0), 2: (1.0, 0.0), 3: (pytest.approx(1 / 3), 1.0), 4: (1.0, 0.5), 5: (None, None)}
+
+
+def test_cases_with_errors_and_settings(spark):
+    cases = [(1, "d", "q", [1], None, "no", "yes"), (2, "d", " ", [1], None, None, None), (3, "gone", "q", [1], None, None, None), (4, "d", "q", [], [" "], None, None), (5, "d", "q", None, ["香蕉"], "maybe", None)]
+    cases = spark.createDataFrame(cases, "query_id int, doc_id string, question string, gold_pages array<int>, gold_contains array<string>, use_rerank string, compare_rerank string")
+    chunks = spark.createDataFrame([("d", 0, 1, "香蕉的产地是海南"), ("d", 1, 2, "苹果的单价是十元")], "doc_id string, chunk_index int, page int, text string").withColumn("embedding", embedder()("text"))
+    said = {r.query_id: (r.error, r.use_rerank, r.compare_rerank) for r in evaluation.with_settings(evaluation.with_errors(cases, chunks)).collect()}
+    assert said == {1: (None, False, True), 2: (evaluation.INCOMPLETE, True, False), 3: (evaluation.NO_VECTORS + "gone", True, False), 4: (evaluation.NO_GOLD, True, False), 5: (None, True, False)}
+    out = evaluation.run_cases(cases.withColumn("q_embedding", embedder()("question")), chunks, space="cosine", reranker=lambda q, t: F.length(t).cast("double"))
+    got = {r.query_id: r for r in out.collect()}
+    assert {q for q, r in got.items() if r.error} == {2, 3, 4} and got[1].verdict in ("improve", "worse", "tie") and got[5].verdict is None
+    assert got[1].page_recall == 1.0 and got[5].text_recall == 1.0 and got[2].page_recall is None
 
 
 def test_metrics(spark):
     cases = spark.createDataFrame([(1, [1, 2], ["苹果"]), (2, [], ["x"])], "query_id int, gold_pages array<int>, gold_contains array<string>")
-    found = spark.createDataFrame([(1, 1, "有苹果"), (1, 1, "没有"), (1, 3, "苹 果")], "query_id int, page int, text string")
+    found = spark.createDataFrame([(1, 1, 1, "有苹果"), (1, 2, 1, "没有"), (1, 3, 3, "一个苹果")], "query_id int, rank int, page int, text string")
     got = {r.query_id: r for r in evaluation.metrics(cases, found).collect()}
     assert (got[1].page_recall, got[1].page_precision, got[1].text_recall) == (0.5, pytest.approx(1 / 3), 1.0)
     assert got[1].text_precision == pytest.approx(2 / 3) and got[2].page_recall is None and got[2].text_precision == 0.0
