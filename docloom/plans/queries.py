@@ -753,26 +753,71 @@ def react_loop(spark, sf):
     return out.select("query_id", "path", "steps", F.size("doc_queries").alias("n_doc_queries"), F.size("chat_queries").alias("n_chat_queries"), F.size("hits").alias("n_hits"), "used_memory", "finish_reason", F.size("trace").alias("n_steps"))
 
 
+def _streamed(spark, sf, tag: str, parts: list[DataFrame]) -> tuple[str, str]:
+    """A folder that the parts are written to one after the other, as a stream's triggers find them, and its schema."""
+    base = f"{scratch.shared_dir(spark)}/stream-{tag}-{uuid.uuid4().hex}"
+    for part in parts:
+        part.coalesce(4).write.mode("append").parquet(f"{base}/in")
+    return base, parts[0].schema
+
+
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _run(spark, base: str, stream: DataFrame, mode: str) -> DataFrame:
+    """All that a stateful stream gives, with n, the trigger's number. The session's own state store comes back after it."""
+    was = spark.conf.get(ROCKS[0], None)
+    spark.conf.set(*ROCKS)
+    try:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+        writer.foreachBatch(lambda batch, n: batch.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/batch={n}")).start().awaitTermination()
+    finally:
+        spark.conf.set(ROCKS[0], was) if was else spark.conf.unset(ROCKS[0])
+    return spark.read.parquet(f"{base}/out")
+
+
 @query
 def stream_memory(spark, sf):
-    """Turns as a stream, folded into each conversation's state: the last row of each."""
-    schema = read(spark, sf, "conversations").schema
-    turns = spark.readStream.schema(schema).parquet(f"{sf}/conversations*.parquet")
-    base = f"{scratch.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    stream = jobs.rolling_memory(turns).writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-    stream.foreachBatch(lambda batch, n: batch.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/batch={n}")).start().awaitTermination()
-    rows = spark.read.parquet(f"{base}/out")
-    return rows.withColumn("no", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n")))).where("no = 1").select("conv_id", "covered", "kept", "summary")
+    """Turns as a stream in three parts, the middle one sent twice, folded into each conversation's state: the last row of each.
+
+    The beginning of a turn that leaves the window is a fact.
+    """
+    c = read(spark, sf, "conversations")
+    middle = c.where("turn >= 3 AND turn < 6")
+    base, schema = _streamed(spark, sf, "memory", [c.where("turn < 3"), middle, middle, c.where("turn >= 6")])
+    turns = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    rows = _run(spark, base, jobs.rolling_memory(turns, facts=lambda block: [line[:30] for line in block.split("\n")]), "update")
+    last = rows.withColumn("no", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n")))).where("no = 1")
+    return last.select("conv_id", "covered", "kept", "summary", F.array_join("facts", "|").alias("facts"))
+
+
+@query
+def stream_events(spark, sf):
+    """Turns as lines of a connection's event stream, cut into blocks of 37 bytes wherever that falls, in three parts."""
+    c = read(spark, sf, "conversations")
+    line = F.concat(F.lit("data: "), F.regexp_replace(T.text("text"), r"\s+", " "), F.lit("\r\n: ping\n"))
+    body = c.groupBy(F.col("conv_id").alias("connection")).agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
+    body = body.select("connection", F.encode(F.concat(F.array_join(F.col("l.line"), ""), F.lit("data: without an end")), "UTF-8").alias("b"))
+    places = F.posexplode(F.sequence(F.lit(1), F.octet_length("b"), F.lit(37)))
+    blocks = body.select("connection", "b", places.alias("seq", "at")).select("connection", F.col("seq").cast("bigint").alias("seq"), F.substring("b", F.col("at"), F.lit(37)).alias("value"))
+    base, schema = _streamed(spark, sf, "events", [blocks.where("seq < 3"), blocks.where("seq >= 3 AND seq < 20"), blocks.where("seq >= 20")])
+    rows = _run(spark, base, jobs.event_payloads(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")), "append")
+    out = rows.groupBy("connection").agg(F.sort_array(F.collect_list(F.struct("at", "payload"))).alias("l"))
+    return out.select("connection", F.size("l").alias("n_payloads"), F.md5(F.array_join(F.col("l.payload"), "|")).alias("payloads_md5"))
 
 
 @query
 def stream_ingest(spark, sf):
-    """Documents as a stream of pages, cut and stored batch by batch; their chunks counted."""
-    pages = read(spark, sf, "documents").select("doc_id", F.lit(1).alias("page"), "text", F.lit("txt").alias("source_ext"))
-    base = f"{scratch.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    pages.write.parquet(f"{base}/in")
-    jobs.ingest(spark, f"{base}/in", pages.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), f"{base}/out", f"{base}/state").awaitTermination()
-    return jobs.current(spark, f"{base}/out").groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("chars"))
+    """Documents as a stream of pages, a document's pages over several batches; each fifth document comes again, shorter and changed.
+
+    What of the store holds at the end.
+    """
+    w = windows(read(spark, sf, "documents"), 300, 0).select("doc_id", (F.col("chunk_index") + 1).alias("page"), "text", F.lit("txt").alias("source_ext"), F.lit(1).cast("bigint").alias("upload"))
+    again = w.where("doc_id % 5 = 0 AND page <= 2").withColumn("text", F.concat(F.lit("v2 "), F.substring("text", 1, 200))).withColumn("upload", F.lit(2).cast("bigint"))
+    base, schema = _streamed(spark, sf, "ingest", [w.where("page % 2 = 0").unionByName(again.where("page = 1")), w.where("page % 2 = 1").unionByName(again.where("page = 2"))])
+    jobs.ingest(spark, f"{base}/in", schema, f"{base}/out", f"{base}/state", files_per_batch=4, buckets=8).awaitTermination()
+    out = jobs.current(spark, f"{base}/out").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("l"))
+    return out.select("doc_id", F.size("l").alias("n_chunks"), F.md5(F.array_join(F.col("l.text"), "\n")).alias("text_md5"))
 
 
 # --- answers ----------------------------------------------------------------------------------

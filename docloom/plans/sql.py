@@ -293,8 +293,13 @@ u AS (SELECT conv_id, q, unnest(us) AS u, generate_subscripts(us, 1) AS un FROM
 p AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, un) <= 2),
 t AS (SELECT conv_id, regexp_replace(string_agg(CASE WHEN right(u, 1) IN ('。', '！', '？', ';', '；') THEN u ELSE u || '。' END, '' ORDER BY un), '。{{2,}}', '。', 'g') AS t FROM p GROUP BY 1)
 SELECT conv_id, CASE WHEN t IS NULL THEN {clip('s', 300)} ELSE {clip('t', 300)} END AS summary FROM c LEFT JOIN t USING (conv_id)"""
-SQL["stream_memory"] = f"""WITH t AS (SELECT *, role || ': ' || content AS l FROM {TURNS}), c AS (SELECT conv_id, max(n) AS n, string_agg(l, chr(10) ORDER BY pos) FILTER (pos < n - 4) AS s FROM t GROUP BY 1)
-SELECT conv_id, greatest(n - 4, 0)::BIGINT AS covered, least(n, 4)::BIGINT AS kept, substr(coalesce(s, ''), 1, 1200) AS summary FROM c"""
+SQL["stream_memory"] = f"""WITH t AS (SELECT *, role || ': ' || content AS l FROM {TURNS}), c AS (SELECT conv_id, max(n) AS n, string_agg(l, chr(10) ORDER BY pos) FILTER (pos < n - 4) AS s FROM t GROUP BY 1),
+f AS (SELECT conv_id, {trim('unnest(ls)')} AS f, generate_subscripts(ls, 1) AS no FROM (SELECT conv_id, list_transform(string_split(s, chr(10)), lambda x: substr(x, 1, 30)) AS ls FROM c WHERE s IS NOT NULL)),
+o AS (SELECT conv_id, f, no FROM f WHERE f <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, lower({squeeze('f')}) ORDER BY no) = 1)
+SELECT conv_id, greatest(n - 4, 0)::BIGINT AS covered, least(n, 4)::BIGINT AS kept, substr(coalesce(s, ''), 1, 1200) AS summary, coalesce(facts, '') AS facts FROM c LEFT JOIN (SELECT conv_id, string_agg(f, '|' ORDER BY no) AS facts FROM o GROUP BY 1) USING (conv_id)"""
+SQL["stream_events"] = f"""SELECT conv_id AS connection, count(*)::INT AS n_payloads, md5(string_agg(p, '|' ORDER BY turn)) AS payloads_md5 FROM (SELECT conv_id, turn, {trim("regexp_replace(coalesce(text, ''), '[\\t-\\r ]+', ' ', 'g')")} AS p FROM conversations) WHERE p <> '' GROUP BY 1"""
+SQL["stream_ingest"] = f"""WITH w AS (SELECT doc_id, chunk_index, {trim("CASE WHEN doc_id % 5 = 0 THEN 'v2 ' || substr(text, 1, 200) ELSE text END")} AS t FROM {windows(300, 0)} WHERE doc_id % 5 <> 0 OR chunk_index < 2)
+SELECT doc_id, count(*)::INT AS n_chunks, md5(string_agg(t, chr(10) ORDER BY chunk_index)) AS text_md5 FROM w WHERE t <> '' GROUP BY 1"""
 SQL["react_loop"] = f"""WITH q AS (SELECT conv_id * 1000 + turn AS query_id, conv_id, {trim("CASE WHEN conv_id % 3 = 0 THEN '合同金额 ' WHEN conv_id % 7 = 0 THEN '之前的合同 ' ELSE '' END || coalesce(text, '')")} AS q FROM conversations WHERE role = 'user'),
 r AS (SELECT *, regexp_matches(q, '{DOC_HINT}') AS d, regexp_matches(q, '{MEMORY_HINT}') AS m FROM q),
 w AS (SELECT doc_id, left(text, 80) AS k, chunk_index, {squeeze('text')} AS t FROM {windows()}),

@@ -72,7 +72,7 @@ def test_ingest_stream_stores_each_page_once(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     for _ in range(2):  # a restart finds nothing new
         jobs.ingest(spark, str(tmp_path / "in"), PAGES, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert jobs.current(spark, str(tmp_path / "out")).count() == 2
 
 
 def test_a_document_that_comes_again(spark, tmp_path):
@@ -82,6 +82,120 @@ def test_a_document_that_comes_again(spark, tmp_path):
     assert {(r.doc_id, r.text) for r in jobs.current(spark, str(tmp_path / "out")).collect()} == {("a", "新的一段。"), ("only0", "别的。"), ("only1", "别的。")}
 
 
+UPLOADS = PAGES + ", upload bigint"
+
+
+def put(spark, tmp_path, number, rows, schema=UPLOADS, **options):
+    jobs.store(spark, spark.createDataFrame(rows, schema), number, str(tmp_path / "out"), buckets=3, **options)
+    return {(r.doc_id, r.page, r.text) for r in jobs.current(spark, str(tmp_path / "out")).collect()}
+
+
+def test_a_document_over_two_batches_is_whole(spark, tmp_path):
+    assert put(spark, tmp_path, 0, [("a", 2, "第二页。", "pdf", 1), ("b", 1, "别的。", "pdf", 1)]) == {("a", 2, "第二页。"), ("b", 1, "别的。")}
+    assert put(spark, tmp_path, 1, [("a", 1, "第一页。", "pdf", 1)]) == {("a", 1, "第一页。"), ("a", 2, "第二页。"), ("b", 1, "别的。")}
+    ids = {(r.id, r.page) for r in jobs.current(spark, str(tmp_path / "out")).where("doc_id = 'a'").collect()}
+    assert ids == {("a_chunk_0", 1), ("a_chunk_1", 2)}
+
+
+def test_a_new_upload_replaces_the_document_whole(spark, tmp_path):
+    put(spark, tmp_path, 0, [("a", 1, "旧一。", "pdf", 1), ("a", 2, "旧二。", "pdf", 1)])
+    assert put(spark, tmp_path, 1, [("a", 1, " ", "pdf", 2)]) == {("a", 1, "旧一。"), ("a", 2, "旧二。")}  # nothing to read yet: the old one holds
+    assert put(spark, tmp_path, 2, [("a", 2, "新二。", "pdf", 2)]) == {("a", 2, "新二。")}
+    assert put(spark, tmp_path, 3, [("a", 1, "旧三。", "pdf", 1)]) == {("a", 2, "新二。")}  # too late
+    assert put(spark, tmp_path, 4, [("a", 1, "新一。", "pdf", 2), ("a", 2, "新二改。", "pdf", 2)]) == {("a", 1, "新一。"), ("a", 2, "新二改。")}
+
+
+def test_a_batch_that_fails_leaves_the_old(spark, tmp_path, monkeypatch):
+    put(spark, tmp_path, 0, [("a", 1, "旧。", "pdf", 1)])
+    cut = jobs.chunk_pages
+
+    def broken(pages, config):
+        return cut(pages, config).withColumn("text", F.raise_error(F.lit("no model")).cast("string"))
+
+    monkeypatch.setattr(jobs, "chunk_pages", broken)
+    try:
+        put(spark, tmp_path, 1, [("a", 1, "新。", "pdf", 2)])
+        raise AssertionError("the batch should have failed")
+    except Exception as e:
+        assert "no model" in str(e)
+    assert {r.text for r in jobs.current(spark, str(tmp_path / "out")).collect()} == {"旧。"}
+    monkeypatch.setattr(jobs, "chunk_pages", cut)
+    assert put(spark, tmp_path, 1, [("a", 1, "新。", "pdf", 2)]) == {("a", 1, "新。")}  # the same batch again
+    assert put(spark, tmp_path, 1, [("a", 1, "其他。", "pdf", 2)]) == {("a", 1, "新。")}  # once committed, a replay changes nothing
+
+
+def test_a_batch_reads_and_writes_its_buckets_alone(spark, tmp_path):
+    put(spark, tmp_path, 0, [(f"d{i}", 1, f"文字{i}。", "pdf", 1) for i in range(30)])
+    put(spark, tmp_path, 1, [("d1", 1, "新。", "pdf", 2)])
+    put(spark, tmp_path, 2, [], UPLOADS)
+    assert [r["count"] for r in spark.read.parquet(str(tmp_path / "out" / "commits")).groupBy("version").count().orderBy("version").collect()] == [3, 1]
+    read = {f.split("/out/")[1] for f in jobs._folders(spark, str(tmp_path / "out"), "chunks")}
+    assert sorted(x.split("/")[1] for x in read) == ["version=0", "version=0", "version=1"]
+    assert jobs.current(spark, str(tmp_path / "out")).count() == 30
+
+
+def test_facts_by_the_rule_of_the_batch_form(spark):
+    """with_facts against memory.merged_facts, line by line."""
+    import random
+
+    from docloom.operators import memory
+
+    r = random.Random(2)
+    line = lambda: r.choice(["", "[pinned] ", "- ", "• [PINNED]"]) + r.choice(["金额 100", "金额100", "甲方 A", "a" * 9, "b" * 12, " "])
+    for most in (2000, 60, 25):
+        known: list[str] = []
+        for _ in range(6):
+            new = [line() for _ in range(3)]
+            text = "\n".join(f"- {x}" for x in known)
+            want = spark.range(1).select(memory.merged_facts(F.lit(text), F.array(*map(F.lit, new)), most)).first()[0]
+            known = jobs.with_facts(known, new, most)
+            assert "\n".join(f"- {x}" for x in known) == want.rstrip(), (most, text, new)
+
+
+def run(stream, tmp_path, mode="update"):
+    got = []
+    q = stream.writeStream.foreachBatch(lambda b, n: got.append(b.collect())).outputMode(mode).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return got
+
+
+TURNS = "conv_id bigint, turn int, role string, text string"
+
+
+def test_memory_over_triggers_is_that_of_the_whole(spark, tmp_path):
+    from docloom.operators import memory
+
+    said = [(c, i, "user" if i % 2 == 0 else "assistant", f"fact {i % 4} of {c}") for c in (1, 2) for i in range(9)]
+    for part in ([x for x in said if x[1] < 3], [x for x in said if 2 <= x[1] < 7], [x for x in said if x[1] >= 7]):  # turn 2 comes twice
+        spark.createDataFrame(part, TURNS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    facts = lambda block: [x.split(": ", 1)[1] for x in block.split("\n")]
+    stream = jobs.rolling_memory(spark.readStream.schema(TURNS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), keep=4, facts=facts)
+    last = {r.conv_id: r for batch in run(stream, tmp_path) for r in batch}
+    state = spark.createDataFrame([], "conv_id bigint, covered int, memory_summary string, memory_facts string")
+    whole = memory.compressed(spark.createDataFrame(said, TURNS).withColumnRenamed("text", "content"), state, 4, lambda p, n: "\n".join(x.split("：", 1)[1] for x in p.split("\n")) if n == 300 else "")
+    for r in whole.collect():
+        assert last[r.conv_id].covered == r.covered == 5
+        assert "\n".join(f"- {x}" for x in last[r.conv_id].facts) == r.memory_facts
+        assert [x.split(": ")[1] for x in last[r.conv_id].summary.split("\n")] == [x.split("：")[1] for x in r.memory_summary.split("\n")]
+
+
+def test_memory_begins_with_a_batch_table_and_forgets(spark, tmp_path):
+    spark.createDataFrame([(1, 7, "user", "x"), (1, 3, "user", "long covered"), (1, 8, "user", "y")], TURNS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    initial = spark.createDataFrame([(1, 5, 4, "早先", ["[pinned] a"])], "conv_id bigint, covered bigint, last bigint, summary string, facts array<string>")
+    stream = jobs.rolling_memory(spark.readStream.schema(TURNS).parquet(str(tmp_path / "in")), keep=1, facts=lambda b: ["A", "b"], ttl_ms=3_600_000, initial=initial)
+    r = run(stream, tmp_path)[0][0]
+    assert (r.covered, r.kept, r.summary, r.facts) == (6, 1, "早先\nuser: x", ["[pinned] a", "b"])
+
+
+def test_event_lines_cut_anywhere(spark, tmp_path):
+    body = 'data: {"a":1}\r\n: ping\ndata:\ndata: 合同金额\nevent: x\ndata: last\ndata: no end'.encode()
+    for part in ([(1, 0, body[:9]), (2, 0, b"data: other\n")], [(1, 2, body[30:36]), (1, 1, body[9:30])], [(1, 3, body[36:])]):
+        spark.createDataFrame(part, "connection bigint, seq bigint, value binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    blocks = spark.readStream.schema("connection bigint, seq bigint, value binary").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows = sorted((r.connection, r["at"], r.payload) for batch in run(jobs.event_payloads(blocks), tmp_path, "append") for r in batch)
+    assert rows == [(1, 0, '{"a":1}'), (1, 3, "合同金额"), (1, 5, "last"), (2, 0, "other")]
+
+
 def test_rolling_memory_keeps_summary_and_facts(spark, tmp_path):
     schema = "conv_id bigint, turn int, role string, text string"
     last = {}
