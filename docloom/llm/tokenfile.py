@@ -48,23 +48,29 @@ BATCH = 64
 FILE_IDS = 1 << 24
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Parts of up to so many bytes or characters are remembered, so many of them at a time.
-SHORT, REMEMBERED = 32, 1 << 19
+#: Parts of up to so many bytes or characters are remembered, so many of them in either of two generations.
+SHORT, REMEMBERED = 32, 1 << 18
 #: What the vocabulary's pattern matches in lower case, of ASCII and the letters of Latin-1.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
 OTHER = re.compile(r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]")
 
 
 class Remembered(dict):
-    """A part of a text, as bytes or characters -> its ids as bytes."""
+    """A part of a text, as bytes or characters -> its ids as bytes.
+
+    When it is full it becomes the old generation and begins anew; what is still asked for moves over.
+    """
 
     def __init__(self, ids):
-        self.ids = ids
+        self.ids, self.old = ids, {}
 
     def __missing__(self, part: bytes | str) -> bytes:
-        found = self.ids(part)
+        found = self.old.get(part)
+        if found is None:
+            found = self.ids(part)
         if len(part) <= SHORT:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[part] = found
         return found
