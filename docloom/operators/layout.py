@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,7 +51,7 @@ def block_text(lines: str | Column) -> Column:
 def dedupe_lines(texts: str | Column) -> Column:
     """Without lines that equal, hold, are held by, or match at 0.9 an earlier one; one blank line in a row.
 
-    A page's lines are compared in order, so a page is a row.
+    A page's lines are compared in order, so a page is a row; ``Lines`` keeps that from being all with all.
     """
 
     @F.pandas_udf(StringType())
@@ -59,22 +61,118 @@ def dedupe_lines(texts: str | Column) -> Column:
     return run(texts)
 
 
+#: A line goes if it matches an earlier one by this ratio; then the longer has up to ALIKE_MOST times the characters of the other.
+ALIKE = 0.9
+ALIKE_MOST = (2 - ALIKE) / ALIKE
+#: Length of the substrings that lines are indexed by. Segments of lines up to SHORT characters may be shorter, so what these can resemble has shorter ones too.
+GRAM, SHORT = 4, 28
+BINS = 64
+
+
+class Lines:
+    """Distinct lines so far, indexed so that a new one meets only those that it can equal, hold, be held by or resemble.
+
+    * Held by another: all of its substrings of GRAM characters are in that line; the lines with
+      the rarest of them are looked at.
+    * Holding another: each line is filed under one of its substrings, the least used one, and
+      found by it at any place of the new line.
+    * Resembling: a ratio of ALIKE over lengths a and b leaves e = (1 - ALIKE)(a + b) characters
+      unmatched at most, so of e + 1 segments of the new line one stands whole in the other.
+      Lines that have the rarest substring of a segment are held to the lengths' and the common
+      characters' bounds of the ratio, in arrays, and only then compared.
+    """
+
+    def __init__(self):
+        self.lines: list[str] = []
+        self.having: dict[str, array] = {}
+        self.filed: dict[str, list[tuple[int, int]]] = {}
+        self.small: set[str] = set()
+        self.parts: set[str] = set()
+        self.lengths = np.zeros(64, np.int64)
+        self.counts = np.zeros((64, BINS), np.uint16)
+
+    def known(self, line: str) -> bool:
+        n = len(line)
+        small = {line[i : i + k] for k in range(1, GRAM) for i in range(n - k + 1)} if self.small or n < GRAM else set()
+        if n < GRAM and line in self.parts or not self.small.isdisjoint(small):
+            return True
+        grams = [line[i : i + GRAM] for i in range(n - GRAM + 1)]
+        for at, g in enumerate(grams):
+            if any(line.startswith(self.lines[k], at - off) for k, off in self.filed.get(g, ()) if at >= off):
+                return True
+        if grams and all(g in self.having for g in grams):
+            rarest = min(grams, key=lambda g: len(self.having[g]))
+            if any(line in self.lines[k] for k in self.having[rarest]):
+                return True
+        return self._resembles(line)
+
+    def _resembles(self, line: str) -> bool:
+        n = len(line)
+        most = int(n * ALIKE_MOST)
+        cuts = int((1 - ALIKE) * (n + most) + 1e-9) + 1
+        size = 2 if n // cuts < GRAM else GRAM  # the former of lines up to SHORT alone
+        found = []
+        for i in range(cuts):
+            part = line[i * n // cuts : (i + 1) * n // cuts]
+            k = min(size, len(part))
+            held = [self.having.get(g if k == GRAM else f"{k}\n{g}") for g in (part[j : j + k] for j in range(len(part) - k + 1))]
+            if all(held):
+                found.append(np.array(min(held, key=len)))
+        if not found:
+            return False
+        near = np.unique(np.concatenate(found))
+        lengths = self.lengths[near]
+        near = near[2 * np.minimum(lengths, n) >= ALIKE * (lengths + n)]
+        if not len(near):
+            return False
+        common = np.minimum(self.counts[near], _bins(line)).sum(1, dtype=np.int64)
+        near = near[2 * common >= ALIKE * (self.lengths[near] + n)]
+        return any(_close(line, self.lines[k]) for k in near)
+
+    def add(self, line: str) -> None:
+        k, n = len(self.lines), len(line)
+        self.lines.append(line)
+        if k == len(self.lengths):
+            self.lengths, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.counts))
+        self.lengths[k], self.counts[k] = n, _bins(line)
+        grams = [line[i : i + GRAM] for i in range(n - GRAM + 1)]
+        keys = set(grams)
+        if n <= SHORT * ALIKE_MOST:
+            keys |= {f"{size}\n{line[i : i + size]}" for size in (1, 2) for i in range(n - size + 1)}
+        for g in keys:
+            self.having.setdefault(g, array("i")).append(k)
+        self.parts.update(line[i : i + size] for size in range(1, GRAM) for i in range(n - size + 1))
+        if grams:
+            at = min(range(len(grams)), key=lambda i: len(self.filed.get(grams[i], ())))
+            self.filed.setdefault(grams[at], []).append((k, at))
+        else:
+            self.small.add(line)
+
+
+def _bins(line: str) -> np.ndarray:
+    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.minimum(np.bincount(code % BINS, minlength=BINS), np.iinfo(np.uint16).max).astype(np.uint16)
+
+
 def _distinct_lines(text: str | None) -> str:
-    seen: list[str] = []
+    seen = Lines()
     out: list[str] = []
     for line in (text or "").splitlines():
         bare = "".join(line.split())
         if not bare:
             if out and out[-1]:
                 out.append("")
-        elif not any(bare in s or s in bare or _close(bare, s) for s in seen):
-            seen.append(bare)
-            out.append(line.rstrip())
+        elif not seen.known(bare):
+            seen.add(bare)
+            out.append(line.strip())
     return "\n".join(out).strip()
 
 
 def _close(a: str, b: str) -> bool:
-    return 2 * min(len(a), len(b)) >= 0.9 * (len(a) + len(b)) and SequenceMatcher(None, a, b).ratio() >= 0.9
+    if 2 * min(len(a), len(b)) < ALIKE * (len(a) + len(b)):
+        return False
+    matcher = SequenceMatcher(None, a, b)
+    return matcher.quick_ratio() >= ALIKE and matcher.ratio() >= ALIKE
 
 
 def image_coverage(boxes: str | Column, width: Column, height: Column) -> Column:

@@ -122,29 +122,38 @@ def lexical_only(questions: DataFrame, chunks: DataFrame, fuzzy: bool = False) -
 def dedupe_hits(hits: DataFrame, threshold: float = 0.72, by: str | tuple[str, ...] = "query_id") -> DataFrame:
     """Greedy in rank order: a hit like a kept one is dropped, or takes its place if longer.
 
-    hits needs ``rank``; a question's hits are at most its fetch_k, so a group is bounded.
+    hits needs ``rank``; a question's hits are at most its fetch_k, so its array is bounded.
+    Many questions' arrays of texts go to Python in a batch, and places come back.
     """
     columns = hits.columns
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[Kept] = []
-        rows: list[int] = []
-        group = group.sort_values("rank")
-        for row, text in enumerate(group["text"]):
-            bare = "".join((text or "").split())
-            if not bare:
-                continue
-            like = next((i for i, k in enumerate(kept) if k.like(bare, threshold)), None)
-            if like is None:
-                kept.append(Kept(bare))
-                rows.append(row)
-            elif len(bare) > len(kept[like].text):
-                kept[like], rows[like] = Kept(bare), row
-        out = group.iloc[rows].copy()
-        out["rank"] = range(1, len(out) + 1)
-        return out[columns]
-
-    return hits.groupBy(*_keys(by)).applyInPandas(run, hits.schema)
+    @F.pandas_udf("array<int>")
+    def places(groups: pd.Series) -> pd.Series:
+        return groups.map(lambda texts: _unlike(texts, threshold))
+
+    row = F.struct(F.col("rank").alias("__by"), F.struct(*columns).alias("__row"))
+    grouped = hits.groupBy(*_keys(by)).agg(F.collect_list(row).alias("__hits"))
+    grouped = grouped.select(F.array_sort("__hits", lambda a, b: (a["__by"] - b["__by"]).cast("int")).alias("__hits"))
+    kept = grouped.withColumn("__kept", places(F.transform("__hits", lambda h: h["__row"]["text"])))
+    found = kept.select(F.posexplode(F.transform("__kept", lambda i: F.get("__hits", i)["__row"])).alias("__at", "__row"))
+    return found.select(*(((F.col("__at") + 1).cast(hits.schema["rank"].dataType) if c == "rank" else F.col("__row").getField(c)).alias(c) for c in columns))
+
+
+def _unlike(texts, threshold: float) -> list[int]:
+    """Places of the texts that stay, in the order in which their own or the one whose place they took was met."""
+    kept: list[Kept] = []
+    at: list[int] = []
+    for i, text in enumerate(texts):
+        bare = "".join((text or "").split())
+        if not bare:
+            continue
+        like = next((j for j, k in enumerate(kept) if k.like(bare, threshold)), None)
+        if like is None:
+            kept.append(Kept(bare))
+            at.append(i)
+        elif len(bare) > len(kept[like].text):
+            kept[like], at[like] = Kept(bare), i
+    return at
 
 
 class Kept:

@@ -22,7 +22,8 @@ from docloom.functions.scores import bigram_score, dot, lexical_boost
 from docloom.operators import agent, answers, catalog, chunking, cleanup, evaluation, global_search, layout, memory, retrieval, summaries
 from docloom.operators.embedding import embedder, question_embedding
 from docloom.sources import scratch
-from docloom.streaming import jobs
+from docloom.sources.pages import PageSource
+from docloom.streaming import jobs, progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -820,6 +821,42 @@ def stream_ingest(spark, sf):
     return out.select("doc_id", F.size("l").alias("n_chunks"), F.md5(F.array_join(F.col("l.text"), "\n")).alias("text_md5"))
 
 
+@query
+def watched_ingest(spark, sf):
+    """Documents are stored under a watch; then shorter ones of the same ids, which is stopped on the way. What holds, and what was reported.
+
+    n_falls counts the reports that were no higher than the one before.
+    """
+    w = windows(read(spark, sf, "documents"), 300, 0).select("doc_id", (F.col("chunk_index") + 1).alias("page"), "text", F.lit("txt").alias("source_ext"), F.lit(1).cast("bigint").alias("upload"))
+    base, told = f"{scratch.shared_dir(spark)}/watched-{uuid.uuid4().hex}", []
+    progress.ingest_watched(progress.Watch(spark, lambda name, percent: told.append(percent)), spark, w, 0, base, buckets=8)
+
+    def stop(name: str, percent: int) -> None:
+        if name == "chunks":
+            watch.cancel()
+
+    watch, stopped = progress.Watch(spark, stop), False
+    try:
+        progress.ingest_watched(watch, spark, w.where("page = 1").withColumn("upload", F.lit(2).cast("bigint")), 1, base, buckets=8)
+    except progress.Cancelled:
+        stopped = True
+    falls = sum(b <= a for a, b in zip(told, told[1:], strict=False))
+    out = jobs.current(spark, base).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("chars"))
+    return out.select("*", F.lit(falls).alias("n_falls"), F.lit(told[-1]).alias("last_report"), F.lit(stopped).alias("stopped"))
+
+
+@query
+def paged_files(spark, sf):
+    """Fifty documents to a file of pages, read page by page in ranges of a file; of more than 300 pages the rest is marked."""
+    w = windows(read(spark, sf, "documents"), 300, 0).select(F.floor(F.col("doc_id") / 50).alias("book"), "doc_id", "chunk_index", F.translate("text", "\f", " ").alias("value"))
+    base = f"{scratch.shared_dir(spark)}/paged-{uuid.uuid4().hex}"
+    ordered = w.repartition("book").sortWithinPartitions("book", "doc_id", "chunk_index").select("book", "value")
+    ordered.write.partitionBy("book").option("lineSep", "\f").text(base)
+    spark.dataSource.register(PageSource)
+    found = spark.read.format(PageSource.name()).option("path", base).option("maxPages", 300).option("rangeBytes", 1 << 15).load()
+    return found.select(F.regexp_extract("doc_id", r"book=(\d+)", 1).cast("bigint").alias("book"), "page", "text", "source_ext", "error")
+
+
 # --- answers ----------------------------------------------------------------------------------
 
 

@@ -338,3 +338,7 @@ m AS (SELECT *, CASE WHEN with_doc THEN '根据【文档片段】回答，对话
 SELECT query_id, with_doc, (2 + CASE WHEN with_doc THEN nr + CASE WHEN fm <> '' THEN 1 ELSE 0 END ELSE 0 END)::INT AS n_messages,
   (length(s) + length(fm) + length(u) + CASE WHEN with_doc THEN cr ELSE 0 END)::INT AS n_chars,
   md5('system:' || s || '|' || CASE WHEN fm <> '' THEN 'system:' || fm || '|' ELSE '' END || CASE WHEN with_doc THEN r ELSE '' END || 'user:' || u) AS messages_md5 FROM m"""
+SQL["paged_files"] = f"""WITH w AS (SELECT doc_id // 50 AS book, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id, chunk_index) AS page, replace(text, chr(12), ' ') AS text FROM {windows(300, 0)})
+SELECT book, page::INT AS page, text, 'txt' AS source_ext, NULL::VARCHAR AS error FROM w WHERE page <= 300
+UNION ALL SELECT book, 301, NULL, 'txt', 'pages after the first 300 were not read' FROM w GROUP BY book HAVING count(*) > 300"""
+SQL["watched_ingest"] = f"""SELECT doc_id, count(*) AS n_chunks, sum(length(t))::BIGINT AS chars, 0 AS n_falls, 100 AS last_report, true AS stopped FROM (SELECT doc_id, {trim('text')} AS t FROM {windows(300, 0)}) WHERE t <> '' GROUP BY 1"""

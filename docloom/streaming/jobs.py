@@ -73,14 +73,16 @@ def with_last(pages: DataFrame) -> DataFrame:
     return pages.withColumn("last", F.max(F.when(ws_trim("text") != "", F.col("upload"))).over(Window.partitionBy("doc_id")))
 
 
-def store(spark: SparkSession, batch: DataFrame, number: int, out: str, config: Config = Config(), buckets: int = BUCKETS) -> None:
+def store(spark: SparkSession, batch: DataFrame, number: int, out: str, config: Config = Config(), buckets: int = BUCKETS, step: Callable[[str], None] = lambda name: None) -> None:
     """Puts a batch of pages into the store as its version ``number``; see above.
 
     Of a document the last upload with any text holds; its pages are kept, and later ones'.
+    step is called with the name of each step before it begins; what it raises ends the batch.
     """
     commits = _commits(spark, out)
     if commits is not None and not commits.where(F.col("version") == number).isEmpty():
         return  # replayed after it was committed
+    step("pages")
     new = with_upload(batch)
     touched = {r.bucket for r in bucketed(new, buckets=buckets).select("bucket").distinct().collect()}  # at most the buckets there are
 
@@ -91,10 +93,12 @@ def store(spark: SparkSession, batch: DataFrame, number: int, out: str, config:
 
     old = stored(spark, out, "pages", new.schema, number, touched)
     pages = written(with_last(merged_pages(old, new)).where("last IS NULL OR upload >= last").drop("last"), "pages")
+    step("chunks")
     ids = new.select("doc_id").distinct()
     cut = chunk_pages(with_last(pages.join(ids, "doc_id", "left_semi")).where("upload = last").select(*PAGE[:4]), config)
     kept = stored(spark, out, "chunks", cut.schema, number, touched).join(ids, "doc_id", "left_anti")
     chunks = written(kept.unionByName(cut), "chunks")
+    step("commit")
     counts = spark.createDataFrame([(b,) for b in sorted(touched)], "bucket int")
     for name, rows in (("pages", pages), ("chunks", chunks)):
         counts = counts.join(rows.groupBy("bucket").agg(F.count("*").alias(name)), "bucket", "left")

@@ -158,6 +158,50 @@ def test_layout(spark):
     assert df.select(layout.dedupe_lines("t")).first()[0] == "标题 一\n\n正文内容很长很长"
 
 
+def plain_distinct(text):
+    from difflib import SequenceMatcher
+
+    seen, out = [], []
+    for line in text.splitlines():
+        bare = "".join(line.split())
+        if not bare:
+            if out and out[-1]:
+                out.append("")
+        elif not any(bare in s or s in bare or SequenceMatcher(None, bare, s).ratio() >= 0.9 for s in seen):
+            seen.append(bare)
+            out.append(line.strip())
+    return "\n".join(out).strip()
+
+
+def test_distinct_lines_against_all_pairs():
+    """Lines that equal, hold, are held by or resemble one another at every length, against comparing all with all."""
+    import random
+
+    r = random.Random(1)
+    for _ in range(500):
+        alphabet = r.choice(["ab", "abcde", "abcdefghijklmnop", "语文 ab"])
+        lines = []
+        for _ in range(r.randrange(1, 14)):
+            x = list(r.choice(lines)) if lines and r.random() < 0.5 else [r.choice(alphabet) for _ in range(r.choice([1, 2, 3, 4, 5, 6, 8, 12, 18, 20, 24, 25, 27, 30, 34, 60, 120, 250]))]
+            for _ in range(r.randrange(4)):
+                at = r.randrange(len(x) + 1)
+                x[at : at + r.randrange(2)] = [r.choice(alphabet)] * r.randrange(2)
+            lines.append("".join(x) + r.choice(["", " "]))
+        text = "\n".join(lines)
+        assert layout._distinct_lines(text) == plain_distinct(text)
+
+
+def test_new_lines_meet_few_old_ones(monkeypatch):
+    """Of 3000 unlike lines hardly any two are compared."""
+    import random
+
+    r = random.Random(5)
+    text = "\n".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(70)) for _ in range(3000))
+    asked = []
+    monkeypatch.setattr(layout, "_close", lambda a, b: asked.append(1) or False)
+    assert layout._distinct_lines(text) == text and len(asked) < 100
+
+
 def test_sections_and_summary(spark):
     pages = "\n".join(f"【第{i}页】\n" + f"内容{i}。" * 20 for i in range(1, 21))
     df = spark.createDataFrame([(1, "短文"), (2, pages), (3, "")], "doc_id int, text string")

@@ -1,9 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from docloom.sources import files, tables
-from docloom.streaming import jobs
+from docloom.sources import files, pages, tables
+from docloom.streaming import jobs, progress
 
 
 def test_text_files(spark, tmp_path):
@@ -219,3 +220,95 @@ def test_rolling_memory_stream(spark, sf, tmp_path):
     got = {r.conv_id: (r.covered, r.kept) for r in spark.table("rolling").collect()}
     want = {r.conv_id: (max(0, r.n - 2), min(2, r.n)) for r in turns.where("role <> 'system' AND trim(text) <> ''").groupBy("conv_id").agg(F.count("*").alias("n")).collect()}
     assert got == want
+
+
+class Broken(pages.FormFeeds):
+    """Fails on the fourth page, and on files that say so."""
+
+    def count(self, file):
+        if file.read(4) == b"lost":
+            raise ValueError("no such page tree")
+        file.seek(0)
+        return super().count(file)
+
+    def pages(self, file, first, last):
+        for i, text in enumerate(super().pages(file, first, last), first):
+            if i == 3:
+                raise ValueError("broken page")
+            yield text
+
+
+def test_pages_of_files_in_ranges(spark, tmp_path):
+    spark.dataSource.register(pages.PageSource)
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    texts = {"a.txt": [f"page {i} " + "x" * (i * 37 % 90) for i in range(57)], "sub/b.TXT": ["one"], "c.txt": ["", "", "three"], "d": ["é語"], "empty.txt": []}
+    for name, own in texts.items():
+        (tmp_path / "in" / name).write_bytes("\f".join(own).encode())
+    (tmp_path / "in" / "_SUCCESS").write_bytes(b"")
+    for most, size in ((120, 10**6), (120, 64), (20, 100)):
+        df = spark.read.format("docloom_pages").option("path", f"file://{tmp_path}/in").option("maxPages", most).option("rangeBytes", size).load()
+        rows = df.collect()
+        got = {(r.doc_id.split("/in/")[1], r.page): r.text for r in rows if r.error is None}
+        assert got == {(n, i + 1): t for n, own in texts.items() for i, t in enumerate(own[:most])}
+        assert [(r.page, r.error) for r in rows if r.error] == ([] if most > 57 else [(21, files.TOO_MANY.format(20))])
+        assert {r.source_ext for r in rows} == {"txt", ""} and (df.rdd.getNumPartitions() > 6) == (size < 1000)
+    whole = spark.read.format("docloom_pages").option("path", f"file://{tmp_path}/in/sub/b.TXT").load().collect()
+    assert [(r.page, r.text) for r in whole] == [(1, "one")]
+
+
+def test_ranges_that_fail_are_rows(spark, tmp_path):
+    spark.dataSource.register(pages.PageSource)
+    (tmp_path / "a.txt").write_bytes(b"\f".join(b"%d" % i for i in range(6)))
+    (tmp_path / "lost.txt").write_bytes(b"lost")
+    df = spark.read.format("docloom_pages").option("path", f"file://{tmp_path}").option("extractor", "tests.test_sources_streams:Broken").option("rangeBytes", 4).load()
+    rows = df.collect()
+    assert sorted((r.page, r.text) for r in rows if not r.error) == [(1, "0"), (2, "1"), (3, "2"), (5, "4"), (6, "5")]
+    assert sorted((r.page, r.error) for r in rows if r.error) == [(0, files.FAILED.format("no such page tree")), (3, files.FAILED.format("broken page"))]
+
+
+def test_pages_as_a_stream(spark, tmp_path):
+    spark.dataSource.register(pages.PageSource)
+    (tmp_path / "in").mkdir()
+    seen = []
+    for n in range(3):
+        if n < 2:
+            (tmp_path / "in" / f"{n}.txt").write_bytes(b"x\fy%d" % n)
+        stream = spark.readStream.format("docloom_pages").option("path", f"file://{tmp_path}/in").load()
+        q = stream.writeStream.foreachBatch(lambda b, i: seen.extend((r.doc_id[-5:], r.page, r.text) for r in b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert sorted(seen) == [("0.txt", 1, "x"), ("0.txt", 2, "y0"), ("1.txt", 1, "x"), ("1.txt", 2, "y1")]
+
+
+def test_a_watched_ingest_reports_and_stops(spark, tmp_path):
+    out, told = str(tmp_path / "out"), []
+    rows = spark.createDataFrame([(f"d{i}", 1, f"文字{i}。", "pdf", 1) for i in range(40)], UPLOADS)
+    progress.ingest_watched(progress.Watch(spark, lambda name, percent: told.append((name, percent)), every=0.01), spark, rows, 0, out, buckets=3)
+    assert [p for _, p in told] == sorted({p for _, p in told}) and told[-1][1] == 100 and [n for n in dict.fromkeys(n for n, _ in told)] == ["pages", "chunks", "commit"]
+    before = {(r.doc_id, r.text) for r in jobs.current(spark, out).collect()}
+    for name in ("pages", "chunks", "commit"):
+        watch = progress.Watch(spark, lambda n, percent, name=name: watch.cancel() if n == name else None)
+        with pytest.raises(progress.Cancelled):
+            progress.ingest_watched(watch, spark, rows.withColumn("upload", F.lit(2).cast("bigint")).withColumn("text", F.lit("新。")), 1, out, buckets=3)
+        assert {(r.doc_id, r.text) for r in jobs.current(spark, out).collect()} == before
+    with pytest.raises(ValueError):
+        progress.Watch(spark).run(lambda step: (_ for _ in ()).throw(ValueError("work's own")))
+
+
+def test_jobs_stop_by_the_tag(spark):
+    """A job that would take minutes ends when the watch is cancelled."""
+    import time
+
+    def slow(batches):
+        time.sleep(60)
+        yield from batches
+
+    watch = progress.Watch(spark, lambda name, percent: watch.cancel() if percent > 0 else None, every=0.05)
+
+    def work(step):
+        step("chunks")
+        spark.range(4).mapInArrow(slow, "id bigint").count()
+
+    start = time.time()
+    with pytest.raises(progress.Cancelled):
+        watch.run(work)
+    assert time.time() - start < 50
