@@ -735,10 +735,11 @@ def react_loop(spark, sf):
     c = read(spark, sf, "conversations")
     hint = F.when(F.pmod("conv_id", F.lit(3)) == 0, "合同金额 ").when(F.pmod("conv_id", F.lit(7)) == 0, "之前的合同 ").otherwise("")
     asked = c.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("conv_id").alias("doc_id"), F.concat(hint, T.text("text")).alias("question"))
-    chunks = windows(read(spark, sf, "documents"))
+    docs = read(spark, sf, "documents").select("doc_id", "text")
 
     def search_doc(q: DataFrame) -> DataFrame:
-        rows = retrieval.lexical_only(q, chunks).where("score > 0")
+        # only documents that a question is about are cut
+        rows = retrieval.lexical_only(q, windows(docs.join(q.select("doc_id").distinct(), "doc_id", "left_semi"))).where("score > 0")
         best = F.row_number().over(Window.partitionBy("doc_id", "query_id").orderBy(F.desc("score"), "chunk_index"))
         return rows.withColumn("rank", best).where("rank <= 2").select("query_id", "rank", "text", "page")
 

@@ -342,3 +342,12 @@ SQL["paged_files"] = f"""WITH w AS (SELECT doc_id // 50 AS book, row_number() OV
 SELECT book, page::INT AS page, text, 'txt' AS source_ext, NULL::VARCHAR AS error FROM w WHERE page <= 300
 UNION ALL SELECT book, 301, NULL, 'txt', 'pages after the first 300 were not read' FROM w GROUP BY book HAVING count(*) > 300"""
 SQL["watched_ingest"] = f"""SELECT doc_id, count(*) AS n_chunks, sum(length(t))::BIGINT AS chars, 0 AS n_falls, 100 AS last_report, true AS stopped FROM (SELECT doc_id, {trim('text')} AS t FROM {windows(300, 0)}) WHERE t <> '' GROUP BY 1"""
+SQL["facts_merged"] = f"""WITH l AS (SELECT conv_id + 1 AS conv_id, 0 AS o, no, line FROM {FACT_LINES} UNION ALL SELECT conv_id, 1, no, line FROM {FACT_LINES}),
+k AS (SELECT conv_id, o, no, line, starts_with(lower(line), '[pinned]') AS p, {KEY} AS k FROM l WHERE conv_id IN (SELECT conv_id FROM conversations)),
+fp AS (SELECT conv_id, k, arg_min(line, no) AS pl FROM k WHERE o = 1 AND p GROUP BY ALL),
+e AS (SELECT conv_id, o, no, line, p, k FROM k WHERE o = 0 UNION ALL SELECT conv_id, o, no, line, p, k FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, k ORDER BY no) AS nth FROM k WHERE o = 1 AND k <> '') n WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM k y WHERE y.o = 0 AND y.conv_id = n.conv_id AND y.k = n.k)),
+f AS (SELECT e.conv_id, o, no, CASE WHEN p OR pl IS NULL THEN line ELSE pl END AS line FROM e LEFT JOIN fp ON e.conv_id = fp.conv_id AND e.k = fp.k),
+g AS (SELECT *, starts_with(lower(line), '[pinned]') AS p, sum(length(line) + 3) OVER (PARTITION BY conv_id) - 1 AS total FROM f),
+h AS (SELECT *, sum(CASE WHEN p THEN length(line) + 3 ELSE 0 END) OVER (PARTITION BY conv_id) + sum(CASE WHEN p THEN 0 ELSE length(line) + 3 END) OVER (PARTITION BY conv_id ORDER BY o DESC, no DESC ROWS UNBOUNDED PRECEDING) - 1 AS size FROM g),
+t AS (SELECT conv_id, substr(string_agg('- ' || line, chr(10) ORDER BY CASE WHEN total <= 300 OR p THEN 0 ELSE 1 END, o, no), 1, 300) AS facts FROM h WHERE total <= 300 OR p OR size <= 300 GROUP BY 1)
+SELECT conv_id, coalesce(facts, '') AS facts FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN t USING (conv_id)"""

@@ -59,6 +59,20 @@ def test_case_files_in_chinese(spark, tmp_path):
     assert (a.doc_id, a.gold_pages, a.gold_contains, a.use_rerank) == ("d", [1, 2], ["x"], True) and (b.doc_id, b.use_rerank) == (None, False)
 
 
+def test_reports_and_dumps(spark, tmp_path):
+    """An evaluation's results as JSON and text; stored chunks with a preview, in order."""
+    from docloom.operators import retrieval
+
+    results = spark.createDataFrame([(1, 0.5, None), (2, 1.0, "tie")], "query_id int, page_recall double, verdict string")
+    tables.write_report(results, str(tmp_path / "r"))
+    assert {(r.query_id, r.page_recall) for r in spark.read.json(str(tmp_path / "r.results")).collect()} == {(1, 0.5), (2, 1.0)}
+    assert {r.value for r in spark.read.text(str(tmp_path / "r.report")).collect()} == {"1 | 0.5", "2 | 1.0 | tie"}
+    rows = [("d", 1, "d_chunk_1", 2, "text", "two\n\n  lines " + "x" * 200), ("d", 0, "d_chunk_0", 1, "table", "first"), ("e", 0, "e_chunk_0", 1, "text", "")]
+    dump = retrieval.chunk_dump(spark.createDataFrame(rows, "doc_id string, chunk_index int, id string, page int, kind string, text string"), 16).collect()
+    assert [(r.doc_id, r.chunk_index) for r in dump if r.doc_id == "d"] == [("d", 0), ("d", 1)]
+    assert {r.id: (r.chars, r.preview) for r in dump} == {"d_chunk_0": (5, "first"), "d_chunk_1": (213, "two lines xxx"), "e_chunk_0": (0, "")}
+
+
 def test_versions(spark, tmp_path):
     df = tables.bucketed(spark.range(10).select(F.col("id").cast("string").alias("doc_id")), buckets=4)
     tables.write_version(df, str(tmp_path / "t"), "1")
