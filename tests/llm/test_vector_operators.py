@@ -246,6 +246,29 @@ def test_few_or_no_candidates(spark):
     assert A.nearest(df.where("false"), df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("leaf", "most"), [(A.LEAF, 0.3), (8, 0.1)])
+def test_the_stop_fires_where_vectors_are_clustered(leaf, most, monkeypatch):
+    """Of fifty clusters the search verifies a small share of the rows, and finds the same as brute force."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(50, 64))[r.integers(0, 50, 4000)] + 0.15 * r.normal(size=(4000, 64))
+    p, ids = x @ np.random.default_rng(5).normal(size=(64, A.M)), np.arange(4000)
+    tree, verified, plain = A.Tree(p, leaf), [0], A.Tree.nearest_first
+
+    def counted(self, q):
+        for gap, rows in plain(self, q):
+            yield gap, rows
+            verified[0] += len(rows)  # reached only where the search goes on after the leaf
+
+    monkeypatch.setattr(A.Tree, "nearest_first", counted)
+    right = 0
+    for q in range(0, 4000, 100):
+        _, found = A.search(tree, x, ids, x[q], p[q], q, A.K, np.inf, A.chi_square_bound(A.M, A.CONFIDENCE))
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        right += len(set(np.argsort(d)[: A.K].tolist()) & set(found.tolist()))
+    assert right >= 0.9 * 40 * A.K and verified[0] / 40 / 4000 < most
+
+
 def test_chi_square_bound():
     r = np.random.default_rng(1)
     x = (r.normal(size=(200000, 8)) ** 2).sum(1)
