@@ -126,34 +126,46 @@ def structural_units(text: str | Column) -> Column:
     """array<UNIT>: runs of table rows, headed figures or tables, and the text between them.
 
     A headed unit ends at the next heading or table row, or at its second blank line in a row.
+    The fold over the lines keeps places of lines, not their text: a unit's lines are joined
+    once, at the end.
     """
-    rows = F.split(F.regexp_replace(ws_trim(text), r"\r\n|\r", "\n"), "\n")
-    start = F.struct(_empty(f"array<{UNIT}>").alias("done"), F.lit("").alias("body"), F.lit("").alias("kind"), F.lit("").alias("figure"), F.lit(False).alias("open"), F.lit(False).alias("blank"))
+    found = F.split(F.regexp_replace(ws_trim(text), r"\r\n|\r", "\n"), "\n")
+    lines = F.transform(found, lambda x, i: F.struct(i.alias("i"), F.when(ws_trim(x).rlike(HEADING), ws_trim(x)).otherwise(x).alias("line")))
+    return let(lines, _units_of)
 
-    def flush(s: Column) -> Column:
-        body = ws_trim(s["body"])
+
+def _units_of(lines: Column) -> Column:
+    """array<UNIT> of array<struct<i, line>>."""
+    span = "struct<at:int,end:int,kind:string,figure:string>"
+    start = F.struct(_empty(f"array<{span}>").alias("done"), F.lit(0).alias("at"), F.lit("").alias("kind"), F.lit("").alias("figure"), F.lit(False).alias("open"), F.lit(False).alias("blank"))
+
+    def flush(s: Column, end: Column) -> Column:
         kind = F.when(s["kind"] == "", "text").when(s["kind"] == "rows", "table").otherwise(s["kind"])
-        return F.when(s["open"] & (body != ""), F.concat(s["done"], F.array(_unit(body, kind, s["figure"])))).otherwise(s["done"])
+        unit = F.struct(s["at"].alias("at"), end.alias("end"), kind.alias("kind"), s["figure"].alias("figure"))
+        return F.when(s["open"], F.array_append(s["done"], unit)).otherwise(s["done"])
 
-    def state(done, body, kind, figure, blank) -> Column:
-        return F.struct(done.alias("done"), body.alias("body"), kind.alias("kind"), figure.alias("figure"), F.lit(True).alias("open"), blank.alias("blank"))
+    def state(done, at, kind, figure, blank, open_=True) -> Column:
+        lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return F.struct(done.alias("done"), lit(at).alias("at"), lit(kind).alias("kind"), lit(figure).alias("figure"), F.lit(open_).alias("open"), lit(blank).alias("blank"))
 
-    def step(s: Column, line: Column) -> Column:
-        t, no = ws_trim(line), F.lit(False)
+    def step(s: Column, x: Column) -> Column:
+        t, i = ws_trim(x["line"]), x["i"]
         row, head, headed = t.startswith("|"), t.rlike(HEADING), s["kind"].isin("figure", "table")
         figure = t.startswith("【图内") | t.startswith("【图像表格")
         number = ws_trim(F.regexp_extract(t, FIGURE, 1))
-        more = F.when(s["open"], F.concat(s["body"], F.lit("\n"), line)).otherwise(line)
         return (
-            F.when(row & s["open"] & (s["kind"] == "rows"), state(s["done"], more, s["kind"], s["figure"], no))
-            .when(row, state(flush(s), line, F.lit("rows"), F.lit(""), no))
-            .when(head, state(flush(s), t, F.when(figure, "figure").otherwise("table"), F.when(figure, number).otherwise(""), no))
-            .when((s["kind"] == "rows"), state(flush(s), line, F.lit(""), F.lit(""), no))
-            .when(headed & (t == "") & s["blank"], F.struct(flush(s).alias("done"), F.lit("").alias("body"), F.lit("").alias("kind"), F.lit("").alias("figure"), no.alias("open"), no.alias("blank")))
-            .otherwise(state(s["done"], more, s["kind"], s["figure"], headed & (t == "")))
+            F.when(row & s["open"] & (s["kind"] == "rows"), state(s["done"], s["at"], s["kind"], s["figure"], False))
+            .when(row, state(flush(s, i), i, "rows", "", False))
+            .when(head, state(flush(s, i), i, F.when(figure, "figure").otherwise("table"), F.when(figure, number).otherwise(""), False))
+            .when(s["kind"] == "rows", state(flush(s, i), i, "", "", False))
+            .when(headed & (t == "") & s["blank"], state(flush(s, i), 0, "", "", False, open_=False))
+            .otherwise(state(s["done"], F.when(s["open"], s["at"]).otherwise(i), s["kind"], s["figure"], headed & (t == "")))
         )
 
-    return F.aggregate(rows, start, step, flush)
+    spans = F.aggregate(lines, start, step, lambda s: flush(s, F.size(lines)))
+    own = lambda u: F.slice(lines, u["at"] + 1, u["end"] - u["at"])
+    units = F.transform(spans, lambda u: _unit(ws_trim(F.array_join(F.transform(own(u), lambda x: x["line"]), "\n")), u["kind"], u["figure"]))
+    return F.filter(units, lambda u: u["text"] != "")
 
 
 def hard_split(s: Column, size: Column) -> Column:
