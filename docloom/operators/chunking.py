@@ -163,8 +163,9 @@ def _units_of(lines: Column) -> Column:
         )
 
     spans = F.aggregate(lines, start, step, lambda s: flush(s, F.size(lines)))
-    own = lambda u: F.slice(lines, u["at"] + 1, u["end"] - u["at"])
-    units = F.transform(spans, lambda u: _unit(ws_trim(F.array_join(F.transform(own(u), lambda x: x["line"]), "\n")), u["kind"], u["figure"]))
+    # by places: a slice would go through all lines for each unit
+    own = lambda u: F.transform(F.sequence(u["at"], u["end"] - 1), lambda i: F.get(lines, i)["line"])
+    units = F.transform(spans, lambda u: _unit(ws_trim(F.array_join(own(u), "\n")), u["kind"], u["figure"]))
     return F.filter(units, lambda u: u["text"] != "")
 
 
