@@ -1,7 +1,8 @@
 """Cutting pages into chunks, as expressions over arrays: split, fold, explode.
 
-Nothing here shuffles: a page's chunks are made in its row and then exploded. Folds
-(``aggregate``) pass the limit and take the array as their argument, which is evaluated once.
+Nothing here shuffles: a page's chunks are made in its row and then exploded. A fold
+(``aggregate``) copies its state at every step, so none goes over a page's lines or sentences:
+where units and chunks begin is looked up in running sums and by pointer doubling.
 """
 
 from __future__ import annotations
@@ -122,51 +123,77 @@ def _trimmed(pieces: Column) -> Column:
     return F.filter(F.transform(pieces, ws_trim), lambda p: p != "")
 
 
+def running_sums(values: Column) -> Column:
+    """Sums up to and with each element, in as many rounds as the size has bits: a fold over the elements would copy its state for each."""
+
+    def doubled(sums: Column, k: Column) -> Column:
+        return F.transform(sums, lambda v, i: v + F.coalesce(F.get(sums, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0)))
+
+    return let(values, lambda v: F.aggregate(_rounds(v), v, doubled))
+
+
+def chain(jump: Column) -> Column:
+    """0 and the places that following jump (array<int>, null at the end) leads to, by pointer doubling: each round has twice
+    the places and jumps twice as far.
+    """
+
+    def doubled(s: Column, _: Column) -> Column:
+        on = F.filter(F.transform(s["at"], lambda i: F.get(s["jump"], i)), lambda i: i.isNotNull())
+        return F.struct(F.concat(s["at"], on).alias("at"), F.transform(s["jump"], lambda j: F.get(s["jump"], j)).alias("jump"))
+
+    start = lambda j: F.struct(F.array(F.lit(0)).alias("at"), j.alias("jump"))
+    return let(jump, lambda j: F.when(F.size(j) == 0, _empty("array<int>")).otherwise(F.aggregate(_rounds(j), start(j), doubled, lambda s: s["at"])))
+
+
+def _rounds(a: Column) -> Column:
+    return F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(a), F.lit(1)))).cast("int"))
+
+
+def _last_within(sums: Column, i: Column, bound: Column, size: int) -> Column:
+    """How many elements from the first have a sum within the bound, or i if that is fewer; more than size after i never have."""
+    steps = [F.lit(1 << k) for k in reversed(range(max(1, size).bit_length() + 1))]
+    return F.aggregate(F.array(*steps), i, lambda j, step: F.when(F.get(sums, j + step - 1) <= bound, j + step).otherwise(j))
+
+
 def structural_units(text: str | Column) -> Column:
     """array<UNIT>: runs of table rows, headed figures or tables, and the text between them.
 
     A headed unit ends at the next heading or table row, or at its second blank line in a row.
-    The fold over the lines keeps places of lines, not their text: a unit's lines are joined
-    once, at the end.
     """
     found = F.split(F.regexp_replace(ws_trim(text), r"\r\n|\r", "\n"), "\n")
-    lines = F.transform(found, lambda x, i: F.struct(i.alias("i"), F.when(ws_trim(x).rlike(HEADING), ws_trim(x)).otherwise(x).alias("line")))
-    return let(lines, _units_of)
+
+    def line(x: Column) -> Column:
+        t = ws_trim(x)
+        return let(t, lambda t: F.struct(F.when(t.rlike(HEADING), t).otherwise(x).alias("line"), t.startswith("|").alias("row"), t.rlike(HEADING).alias("head"), (t == "").alias("blank")))
+
+    return let(F.transform(found, line), _units_of)
 
 
 def _units_of(lines: Column) -> Column:
-    """array<UNIT> of array<struct<i, line>>."""
-    span = "struct<at:int,end:int,kind:string,figure:string>"
-    start = F.struct(_empty(f"array<{span}>").alias("done"), F.lit(0).alias("at"), F.lit("").alias("kind"), F.lit("").alias("figure"), F.lit(False).alias("open"), F.lit(False).alias("blank"))
-
-    def flush(s: Column, end: Column) -> Column:
-        kind = F.when(s["kind"] == "", "text").when(s["kind"] == "rows", "table").otherwise(s["kind"])
-        unit = F.struct(s["at"].alias("at"), end.alias("end"), kind.alias("kind"), s["figure"].alias("figure"))
-        return F.when(s["open"], F.array_append(s["done"], unit)).otherwise(s["done"])
-
-    def state(done, at, kind, figure, blank, open_=True) -> Column:
-        lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-        return F.struct(done.alias("done"), lit(at).alias("at"), lit(kind).alias("kind"), lit(figure).alias("figure"), F.lit(open_).alias("open"), lit(blank).alias("blank"))
-
-    def step(s: Column, x: Column) -> Column:
-        t, i = ws_trim(x["line"]), x["i"]
-        row, head, headed = t.startswith("|"), t.rlike(HEADING), s["kind"].isin("figure", "table")
-        figure = t.startswith("【图内") | t.startswith("【图像表格")
-        number = ws_trim(F.regexp_extract(t, FIGURE, 1))
-        return (
-            F.when(row & s["open"] & (s["kind"] == "rows"), state(s["done"], s["at"], s["kind"], s["figure"], False))
-            .when(row, state(flush(s, i), i, "rows", "", False))
-            .when(head, state(flush(s, i), i, F.when(figure, "figure").otherwise("table"), F.when(figure, number).otherwise(""), False))
-            .when(s["kind"] == "rows", state(flush(s, i), i, "", "", False))
-            .when(headed & (t == "") & s["blank"], state(flush(s, i), 0, "", "", False, open_=False))
-            .otherwise(state(s["done"], F.when(s["open"], s["at"]).otherwise(i), s["kind"], s["figure"], headed & (t == "")))
-        )
-
-    spans = F.aggregate(lines, start, step, lambda s: flush(s, F.size(lines)))
-    # by places: a slice would go through all lines for each unit
-    own = lambda u: F.transform(F.sequence(u["at"], u["end"] - 1), lambda i: F.get(lines, i)["line"])
-    units = F.transform(spans, lambda u: _unit(ws_trim(F.array_join(own(u), "\n")), u["kind"], u["figure"]))
-    return F.filter(units, lambda u: u["text"] != "")
+    """array<UNIT> of array<struct<line, row, head, blank>>. Where a unit begins shows in a line and the one before it."""
+    at = lambda i: F.get(lines, i)
+    begins = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | at(i)["head"] | (at(i)["row"] != at(i - 1)["row"]))
+    spans = let(begins, lambda b: F.transform(b, lambda i, k: F.struct(i.alias("at"), F.coalesce(F.get(b, k + 1), F.size(lines)).alias("end"))))
+
+    def parts(span: Column) -> Column:
+        """The span, or what lies before and after the second blank line below a heading."""
+        own = F.sequence(span["at"], span["end"] - 1)
+        gap = F.get(F.filter(own, lambda i: at(i)["blank"] & at(i - 1)["blank"]), F.lit(0))
+        part = lambda a, b, headed: F.struct(a.alias("at"), b.alias("end"), F.lit(headed).alias("headed"))
+        two = lambda g: F.array(part(span["at"], F.coalesce(g, span["end"]), True), part(F.coalesce(g + 1, span["end"]), span["end"], False))
+        return F.when(at(span["at"])["head"], let(gap, two)).otherwise(F.array(part(span["at"], span["end"], False)))
+
+    def unit(p: Column) -> Column:
+        # by places: a slice would go through all lines for each unit
+        own = ws_trim(F.array_join(F.transform(F.sequence(p["at"], p["end"] - 1), lambda i: at(i)["line"]), "\n"))
+        first = at(p["at"])
+        figure = first["line"].startswith("【图内") | first["line"].startswith("【图像表格")
+        kind = F.when(first["row"], "table").when(~p["headed"], "text").when(figure, "figure").otherwise("table")
+        number = F.when(p["headed"] & figure, ws_trim(F.regexp_extract(first["line"], FIGURE, 1))).otherwise("")
+        return _unit(own, kind, number)
+
+    whole = F.filter(F.flatten(F.transform(spans, parts)), lambda p: p["at"] < p["end"])
+    return F.filter(F.transform(whole, unit), lambda u: u["text"] != "")
 
 
 def hard_split(s: Column, size: Column) -> Column:
@@ -187,53 +214,64 @@ def split_sentences(s: Column) -> Column:
 def pack_sentences(text: Column, size: int, overlap: int, marker: Column) -> Column:
     """Sentences joined by line ends up to the size less the marker's; too long ones are cut.
 
-    A full chunk's tail opens the next one where there is room.
+    A full chunk's tail opens the next one where there is room. Where a chunk ends depends on
+    where it begins alone, so ends are looked up for every sentence in running sums of lengths,
+    and the chain of ends from the first sentence is what is made. (A tail's blanks count as
+    part of its length, also where they were trimmed off a chunk shorter than the overlap.)
     """
     limit = F.when(marker == "", F.lit(size)).otherwise(F.greatest(F.lit(32), size - F.length(marker) - 1))
-    sentences = F.transform(F.filter(split_sentences(text), lambda x: ~x.rlike(FIGURE) | (marker == "")), lambda x: F.struct(x.alias("s"), limit.alias("limit")))
-    start = F.struct(_empty().alias("done"), F.lit("").alias("body"))
+    sentences = F.filter(split_sentences(text), lambda x: ~x.rlike(FIGURE) | (marker == ""))
+
+    def packed(v: Column) -> Column:
+        s, most = v["s"], v["most"]
+        long = lambda i: F.length(F.get(s, i)) > most
+        room = lambda i: F.least(F.lit(overlap), F.greatest(F.lit(0), most - F.length(F.get(s, i)) - 1))
+        carried = lambda i: F.when((i == 0) | long(i) | long(i - 1), 0).otherwise(room(i))
+        taken = lambda i: let(carried(i), lambda c: F.when(c > 0, c + 1).otherwise(0))
 
-    def flush(a: Column) -> Column:
-        return F.when(a["body"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(ws_trim(a["body"]))))
+        def ends(sums: Column) -> Column:
+            """For each sentence the first that isn't in its chunk; null for none."""
+            end = lambda i: F.greatest(i + 1, _last_within(sums, i, F.coalesce(F.get(sums, i - 1), F.lit(0)) + 1 + most - taken(i), max(size, 32)))
+            return F.transform(s, lambda _, i: let(end(i), lambda e: F.when(e < F.size(s), e)))
 
-    def step(a: Column, x: Column) -> Column:
-        s, most = x["s"], x["limit"]
-        done = flush(a)
-        last = F.element_at(done, -1)
-        take = F.least(F.lit(overlap), F.greatest(F.lit(0), most - F.length(s) - 1), F.length(last))
-        carried = F.when((take > 0), F.concat(F.right(last, take), F.lit("\n"), s)).otherwise(s)
-        return (
-            F.when(F.length(s) > most, F.struct(F.concat(done, hard_split(s, most)).alias("done"), F.lit("").alias("body")))
-            .when(a["body"] == "", F.struct(a["done"].alias("done"), s.alias("body")))
-            .when(F.length(a["body"]) + F.length(s) + 1 > most, F.struct(done.alias("done"), carried.alias("body")))
-            .otherwise(F.struct(a["done"].alias("done"), F.concat(a["body"], F.lit("\n"), s).alias("body")))
-        )
+        def chunk(i: Column, end: Column) -> Column:
+            back = F.sequence(F.greatest(i - 1 - overlap // 2, F.lit(0)), F.greatest(i - 1, F.lit(0)))
+            tail = let(carried(i), lambda c: F.when(c > 0, F.concat(F.right(F.array_join(F.transform(back, lambda j: F.get(s, j)), "\n"), c), F.lit("\n"))).otherwise(""))
+            body = F.array_join(F.transform(F.sequence(i, end - 1), lambda j: F.get(s, j)), "\n")
+            return F.when(long(i), hard_split(F.get(s, i), most)).otherwise(F.array(ws_trim(F.concat(tail, body))))
 
-    return F.aggregate(sentences, start, step, flush)
+        sums = running_sums(F.transform(s, lambda x: F.length(x) + 1))
+        begins = chain(let(sums, ends))
+        return let(begins, lambda b: F.flatten(F.transform(b, lambda i, k: chunk(i, F.coalesce(F.get(b, k + 1), F.size(s))))))
+
+    return let(F.struct(sentences.alias("s"), limit.alias("most")), packed)
 
 
 def split_table(table: Column, size: int) -> Column:
-    """A long table's rows in pieces that each begin with its header."""
+    """A long table's rows in pieces that each begin with its header. An empty row opens no piece."""
     rows = F.split(table, "\n")
     ruled = (F.size(rows) >= 2) & F.trim(F.get(rows, F.lit(1))).rlike(r"^\|?\s*:?-{3,}")
     heads = F.when(ruled, 2).when(F.trim(F.get(rows, F.lit(0))).startswith("|"), 1).otherwise(0)
     header = F.array_join(F.slice(rows, F.lit(1), heads), "\n")
-    width = F.when(heads == 0, 0).otherwise(F.length(header) + 1)
-    body = F.transform(F.slice(rows, heads + 1, F.size(rows)), lambda r: F.struct(r.alias("r"), header.alias("h"), width.alias("w")))
-    start = F.struct(_empty().alias("done"), F.lit("").alias("rows"), F.lit("").alias("h"))
+    body = F.slice(rows, heads + 1, F.size(rows))
+
+    def pieces(v: Column) -> Column:
+        r, head = v["r"], v["head"]
+        width = F.when(head == "", 0).otherwise(F.length(head) + 1)
+
+        def ends(sums: Column) -> Column:
+            end = lambda i: F.when(F.get(r, i) == "", i + 1).otherwise(F.greatest(i + 1, _last_within(sums, i, F.coalesce(F.get(sums, i - 1), F.lit(0)) + size - width, size)))
+            return F.transform(r, lambda _, i: let(end(i), lambda e: F.when(e < F.size(r), e)))
 
-    def out(a: Column) -> Column:
-        whole = ws_trim(F.when(a["h"] == "", a["rows"]).otherwise(F.concat(a["h"], F.lit("\n"), a["rows"])))
-        return F.when(a["rows"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(whole)))
+        def piece(i: Column, end: Column) -> Column:
+            own = F.array_join(F.transform(F.sequence(i, end - 1), lambda j: F.get(r, j)), "\n")
+            return F.when(F.get(r, i) != "", ws_trim(F.when(head == "", own).otherwise(F.concat(head, F.lit("\n"), own))))
 
-    def step(a: Column, x: Column) -> Column:
-        over = (a["rows"] != "") & (x["w"] + F.length(a["rows"]) + 1 + F.length(x["r"]) + 1 > size)
-        return F.when(over | (a["rows"] == ""), F.struct(F.when(over, out(a)).otherwise(a["done"]).alias("done"), x["r"].alias("rows"), x["h"].alias("h"))).otherwise(
-            F.struct(a["done"].alias("done"), F.concat(a["rows"], F.lit("\n"), x["r"]).alias("rows"), x["h"].alias("h"))
-        )
+        begins = chain(let(running_sums(F.transform(r, lambda x: F.length(x) + 1)), ends))
+        return let(begins, lambda b: F.filter(F.transform(b, lambda i, k: piece(i, F.coalesce(F.get(b, k + 1), F.size(r)))), lambda p: p.isNotNull()))
 
     alone = F.filter(F.array(ws_trim(header)), lambda h: h != "")
-    return F.when(F.size(rows) <= heads, alone).otherwise(F.aggregate(body, start, step, out))
+    return F.when(F.size(rows) <= heads, alone).otherwise(let(F.struct(body.alias("r"), header.alias("head")), pieces))
 
 
 def figure_marker(figure: Column) -> Column:
@@ -259,13 +297,20 @@ def pack_units(units: Column, size: int, overlap: int) -> Column:
 def merge_tiny_units(units: Column, least: int) -> Column:
     """Short units go to the one before of the same kind, figures only to the same figure."""
 
-    def step(done: Column, u: Column) -> Column:
-        last = F.element_at(done, -1)
-        same = (last["kind"] == u["kind"]) & ((u["kind"] != "figure") | (last["figure_id"] == u["figure_id"]))
-        both = _unit(ws_trim(F.concat(last["text"], F.lit("\n"), u["text"])), last["kind"], last["figure_id"])
-        return F.when((F.size(done) > 0) & (F.length(u["text"]) < least) & same, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(u)))
+    def merged(v: Column) -> Column:
+        u = v["u"]
+        at = lambda i: F.get(u, i)
+        same = lambda i: (at(i)["kind"] == at(i - 1)["kind"]) & ((at(i)["kind"] != "figure") | (at(i)["figure_id"] == at(i - 1)["figure_id"]))
+        begins = F.filter(F.sequence(F.lit(0), F.greatest(F.size(u) - 1, F.lit(0))), lambda i: (i == 0) | (F.length(at(i)["text"]) >= least) | ~same(i))
+
+        def group(i: Column, end: Column) -> Column:
+            texts = F.filter(F.transform(F.sequence(i, end - 1), lambda j: at(j)["text"]), lambda t: t != "")
+            return _unit(F.array_join(texts, "\n"), at(i)["kind"], at(i)["figure_id"])
+
+        groups = let(begins, lambda b: F.transform(b, lambda i, k: group(i, F.coalesce(F.get(b, k + 1), F.size(u)))))
+        return F.when(F.size(u) == 0, _empty(f"array<{UNIT}>")).otherwise(groups)
 
-    return F.aggregate(units, _empty(f"array<{UNIT}>"), step)
+    return let(F.struct(units.alias("u")), merged)
 
 
 def with_units(pages: DataFrame, config: Config = Config()) -> DataFrame:
