@@ -19,7 +19,7 @@ from docloom.config import Config
 from docloom.functions import params, tables
 from docloom.functions import text as T
 from docloom.functions.scores import bigram_score, dot, lexical_boost
-from docloom.operators import agent, answers, catalog, chunking, cleanup, evaluation, global_search, layout, memory, retrieval, summaries
+from docloom.operators import agent, answers, catalog, chunking, cleanup, evaluation, global_search, layout, memory, retrieval, sql_functions, summaries
 from docloom.operators.embedding import embedder, question_embedding
 from docloom.sources import scratch
 from docloom.sources.pages import PageSource
@@ -223,6 +223,37 @@ def rerank_topk(spark, sf):
     return retrieval.rerank(hits, logit, 3, pool=8, min_score=0.5).select("query_id", "rank", "chunk_index", "score")
 
 
+# --- in SQL text alone ------------------------------------------------------------------------
+
+
+def _sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
+    """A statement over the library's SQL functions and the given tables by name."""
+    sql_functions.register(spark)
+    return spark.sql(text, **tables)
+
+
+@query
+def sql_windows(spark, sf):
+    text = """SELECT doc_id, w.at AS chunk_index, docloom_clip(w.piece, 60) AS clipped, docloom_strategy(w.piece, '.TXT') AS strategy, docloom_read_error(w.piece) AS unreadable
+    FROM {documents}, LATERAL docloom_windows(text, 400, 80) w"""
+    return _sql(spark, text, documents=read(spark, sf, "documents"))
+
+
+@query
+def sql_chunks(spark, sf):
+    return _sql(spark, "SELECT doc_id, c.at AS chunk_index, c.piece AS text FROM {documents}, LATERAL docloom_chunks(text, 300, 50, 90) c", documents=read(spark, sf, "documents"))
+
+
+@query
+def sql_search(spark, sf):
+    asked, chunks = _vectors(spark, sf)
+    sql_functions.register(spark)
+    asked.withColumnRenamed("q_embedding", "vector").createOrReplaceTempView("docloom_questions")
+    chunks.createOrReplaceTempView("docloom_vectors")
+    sql_functions.register_search(spark, "docloom_questions", "docloom_vectors", "docloom_nearest", "l2")
+    return spark.sql("SELECT query_id, rank, doc_id, chunk_index, distance FROM docloom_nearest(6)")
+
+
 # --- wording ----------------------------------------------------------------------------------
 
 

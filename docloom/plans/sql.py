@@ -144,6 +144,9 @@ SELECT doc_id, i AS chunk_index, CASE WHEN p IS NULL OR k <= 0 OR starts_with(t,
 SQL["sampled_chunks"] = f"""WITH w AS (SELECT doc_id, chunk_index, count(*) OVER (PARTITION BY doc_id) AS n FROM {windows()})
 SELECT doc_id, chunk_index FROM w WHERE n <= 5 OR chunk_index IN (0, round_even((n - 1) / 4.0::DOUBLE, 0), round_even(2 * (n - 1) / 4.0::DOUBLE, 0), round_even(3 * (n - 1) / 4.0::DOUBLE, 0), n - 1)"""
 SQL["knn_topk"] = f"SELECT query_id, chunk_index, {L2} AS distance FROM {PAIRS} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {L2}, chunk_index) <= 8"
+SQL["sql_search"] = f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {L2}, chunk_index)::INT AS rank, query_id // 200 AS doc_id, chunk_index, {L2} AS distance
+FROM {PAIRS} QUALIFY rank <= 6"""
+SQL["sql_windows"] = f"SELECT doc_id, chunk_index, {clip('text', 60)} AS clipped, 'recursive' AS strategy, {trim('text')} = '' OR text LIKE '[错误：%' OR text LIKE '[PDF解析错误%' OR text LIKE '[TXT读取错误%' OR text LIKE '[不支持的文件类型%' AS unreadable FROM {windows(400, 80)}"
 SQL["distance_scores"] = f"""WITH d AS (SELECT query_id, {L2} AS l2, {dot('x', 'y')} AS p FROM {PAIRS})
 SELECT query_id, avg({_CLAMP.format('1.0::DOUBLE - l2 * l2 / 2.0::DOUBLE')}) AS mean_l2, avg({_CLAMP.format('1.0::DOUBLE - (1.0::DOUBLE - p)')}) AS mean_cosine, avg({_CLAMP.format('abs(-p)')}) AS mean_ip, max(p) AS best FROM d GROUP BY 1"""
 _COS = f"(SELECT query_id, chunk_index, 1.0::DOUBLE - {dot('x', 'y')} AS d FROM {PAIRS})"
