@@ -7,7 +7,6 @@ ranks come from windows per question, so that no step pairs all with all.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +17,7 @@ from pyspark.sql.window import Window
 from docloom.config import Config
 from docloom.functions import params
 from docloom.functions.scores import MARKS, dot, lexical_boost, squared_l2
+from docloom.functions.sequences import Sequence, ratio
 from docloom.functions.text import squeeze, ws_trim
 
 TIES = ("distance", "chunk_index")
@@ -78,21 +78,19 @@ def above_threshold(hits: DataFrame, score: str = "score", by: str | tuple[str,
 def sequence_boost(question: Column, text: Column) -> Column:
     """Half the matching ratio of two texts, up to 0.3; 0 under a ratio of 0.25, null for nulls.
 
-    Two upper bounds of the ratio, by lengths and by common characters, go before it.
+    Upper bounds of the ratio, by lengths and by common characters, go before it.
     """
 
     @F.pandas_udf(DoubleType())
     def run(questions: pd.Series, texts: pd.Series) -> pd.Series:
-        matcher = SequenceMatcher()
+        asked = Sequence("")
 
         def one(q: str, t: str) -> float:
-            if matcher.b != t:
-                matcher.set_seq2(t)
-            matcher.set_seq1(q)
-            if matcher.real_quick_ratio() < 0.25 or matcher.quick_ratio() < 0.25:
-                return 0.0
-            r = matcher.ratio()
-            return min(0.3, r * 0.5) if r >= 0.25 else 0.0
+            nonlocal asked
+            if asked.text != q:  # a question's texts come one after the other
+                asked = Sequence(q)
+            r = ratio(asked, Sequence(t), 0.25)
+            return 0.0 if r is None else min(0.3, r * 0.5)
 
         return pd.Series([None if q is None or t is None else one(q, t) for q, t in zip(questions, texts, strict=True)], dtype=float)
 
@@ -147,30 +145,23 @@ def _unlike(texts, threshold: float) -> list[int]:
         bare = "".join((text or "").split())
         if not bare:
             continue
-        like = next((j for j, k in enumerate(kept) if k.like(bare, threshold)), None)
+        new = Kept(bare)
+        like = next((j for j, k in enumerate(kept) if k.like(new, threshold)), None)
         if like is None:
-            kept.append(Kept(bare))
+            kept.append(new)
             at.append(i)
         elif len(bare) > len(kept[like].text):
-            kept[like], at[like] = Kept(bare), i
+            kept[like], at[like] = new, i
     return at
 
 
-class Kept:
-    """A text that newcomers are compared with; what the comparison needs of it is computed once."""
+class Kept(Sequence):
+    """A text that newcomers are compared with; what the comparison needs of either is computed once."""
 
-    def __init__(self, text: str):
-        self.text = text
-        self.matcher = SequenceMatcher(None, "", text)
-
-    def like(self, new: str, threshold: float) -> bool:
-        """A ratio can't exceed twice the shorter length over both; most pairs of unequal length end there."""
-        if new in self.text or self.text in new:
-            return True
-        if 2 * min(len(new), len(self.text)) < threshold * (len(new) + len(self.text)):
-            return False
-        self.matcher.set_seq1(new)
-        return self.matcher.quick_ratio() >= threshold and self.matcher.ratio() >= threshold
+    def like(self, new: str | Sequence, threshold: float) -> bool:
+        """Whether one holds the other or the ratio reaches the threshold."""
+        new = Sequence(new) if isinstance(new, str) else new
+        return new.text in self.text or self.text in new.text or ratio(new, self, threshold) is not None
 
 
 def pair_scores(make: Callable[[], PairModel], batch: int = 32):
