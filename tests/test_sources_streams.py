@@ -270,6 +270,20 @@ def test_pages_of_files_in_ranges(spark, tmp_path):
     assert [(r.page, r.text) for r in whole] == [(1, "one")]
 
 
+def test_ranges_of_many_files_share_partitions(tmp_path):
+    """A million ranges in some thousand tasks; each range in one, and read as if it were alone."""
+    reader = pages.PageReader({"path": f"file://{tmp_path}", "rangeBytes": "4000"})
+    found = reader.ranges([(0, f"f{i}", 40_000 + i % 900) for i in range(100_000)])
+    assert len(found) <= 2 * 2048 + 1
+    assert [x for r in found for x in r.parts] == [(f"f{i}", k, 10 if i % 900 == 0 else 11) for i in range(100_000) for k in range(10 if i % 900 == 0 else 11)]
+    assert [len(r.parts) for r in reader.ranges([(0, "a", 9000), (0, "b", 10), (0, "c", 20), (0, "d", 8001)])] == [1, 1, 3, 1, 1, 1]  # the last of a with b and c
+    (tmp_path / "a.txt").write_bytes(b"\f".join(b"%d" % i for i in range(57)))
+    (tmp_path / "b.txt").write_bytes(b"x\fy")
+    parts = [(f"{tmp_path}/a.txt", k, 10) for k in range(3, 10)] + [(f"{tmp_path}/b.txt", 0, 1)]
+    got = [(path.rsplit("/", 1)[1], page, text) for path, page, text, _, error in reader.read(pages.Ranges(parts)) if error is None]
+    assert got == [("a.txt", i + 1, str(i)) for i in range(17, 57)] + [("b.txt", 1, "x"), ("b.txt", 2, "y")]
+
+
 def test_ranges_that_fail_are_rows(spark, tmp_path):
     spark.dataSource.register(pages.PageSource)
     (tmp_path / "a.txt").write_bytes(b"\f".join(b"%d" % i for i in range(6)))
