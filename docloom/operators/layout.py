@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from array import array
-from difflib import SequenceMatcher
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from docloom.functions.sequences import Sequence, ratio
 from docloom.functions.text import ws_trim
 
 
@@ -61,97 +59,88 @@ def dedupe_lines(texts: str | Column) -> Column:
     return run(texts)
 
 
-#: A line goes if it matches an earlier one by this ratio; then the longer has up to ALIKE_MOST times the characters of the other.
+#: A line goes if it matches an earlier one by this ratio.
 ALIKE = 0.9
-ALIKE_MOST = (2 - ALIKE) / ALIKE
-#: Length of the substrings that lines are indexed by. Segments of lines up to SHORT characters may be shorter, so what these can resemble has shorter ones too.
-GRAM, SHORT = 4, 28
-BINS = 64
+#: Places that characters, and substrings of GRAM characters, of a line are counted in.
+BINS, GRAM, BITS = 64, 4, 13
+FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
+#: Up to this length counts of characters are exact; longer lines are compared with all.
+COUNTED = np.iinfo(np.uint16).max
 
 
 class Lines:
-    """Distinct lines so far, indexed so that a new one meets only those that it can equal, hold, be held by or resemble.
-
-    * Held by another: all of its substrings of GRAM characters are in that line; the lines with
-      the rarest of them are looked at.
-    * Holding another: each line is filed under one of its substrings, the least used one, and
-      found by it at any place of the new line.
-    * Resembling: a ratio of ALIKE over lengths a and b leaves e = (1 - ALIKE)(a + b) characters
-      unmatched at most, so of e + 1 segments of the new line one stands whole in the other.
-      Lines that have the rarest substring of a segment are held to the lengths' and the common
-      characters' bounds of the ratio, in arrays, and only then compared.
+    """Distinct lines so far; a new one is compared with those alone that it can equal, hold, be held by or resemble.
+
+    * One line can hold another only if it has all of its characters: with the counts of
+      characters of all lines in an array, common counts tell in one step of arrays.
+    * A ratio of ALIKE asks for so many common characters, and lengths that allow them.
+    * It asks for common substrings, too: if m of both lines' s characters each match, they match in
+      s - 2m + 1 pieces at most, and a piece of p characters has p - 3 substrings of GRAM = 4. So
+      7m is at most 3s + 3 and the common substrings, which marks of a line's substrings bound.
     """
 
     def __init__(self):
-        self.lines: list[str] = []
-        self.having: dict[str, array] = {}
-        self.filed: dict[str, list[tuple[int, int]]] = {}
-        self.small: set[str] = set()
-        self.parts: set[str] = set()
-        self.lengths = np.zeros(64, np.int64)
-        self.counts = np.zeros((64, BINS), np.uint16)
-
-    def known(self, line: str) -> bool:
-        n = len(line)
-        small = {line[i : i + k] for k in range(1, GRAM) for i in range(n - k + 1)} if self.small or n < GRAM else set()
-        if n < GRAM and line in self.parts or not self.small.isdisjoint(small):
-            return True
-        grams = [line[i : i + GRAM] for i in range(n - GRAM + 1)]
-        for at, g in enumerate(grams):
-            if any(line.startswith(self.lines[k], at - off) for k, off in self.filed.get(g, ()) if at >= off):
-                return True
-        if grams and all(g in self.having for g in grams):
-            rarest = min(grams, key=lambda g: len(self.having[g]))
-            if any(line in self.lines[k] for k in self.having[rarest]):
-                return True
-        return self._resembles(line)
-
-    def _resembles(self, line: str) -> bool:
-        n = len(line)
-        most = int(n * ALIKE_MOST)
-        cuts = int((1 - ALIKE) * (n + most) + 1e-9) + 1
-        size = 2 if n // cuts < GRAM else GRAM  # the former of lines up to SHORT alone
-        found = []
-        for i in range(cuts):
-            part = line[i * n // cuts : (i + 1) * n // cuts]
-            k = min(size, len(part))
-            held = [self.having.get(g if k == GRAM else f"{k}\n{g}") for g in (part[j : j + k] for j in range(len(part) - k + 1))]
-            if all(held):
-                found.append(np.array(min(held, key=len)))
-        if not found:
+        self.lines: list[Sequence] = []
+        self.marks: list[tuple[int, int] | None] = []
+        self.longest = 0
+        self.lengths = np.zeros(16, np.int32)
+        self.counts = np.zeros((BINS, 16), np.uint16)  # by bin, so that sums over bins are sums of long rows
+
+    def add(self, line: str) -> bool:
+        """Whether the line is unlike all others; then it is one of them."""
+        k, n, own = len(self.lines), len(line), _bins(line)
+        if k and self._known(line, own):
             return False
-        near = np.unique(np.concatenate(found))
-        lengths = self.lengths[near]
-        near = near[2 * np.minimum(lengths, n) >= ALIKE * (lengths + n)]
+        if k == len(self.lengths):
+            self.lengths, self.counts = (np.concatenate([x, np.zeros_like(x)], axis=-1) for x in (self.lengths, self.counts))
+        self.lengths[k], self.counts[:, k] = n, own
+        self.longest = max(self.longest, n)
+        self.lines.append(Sequence(line))
+        self.marks.append(None)
+        return True
+
+    def _known(self, line: str, own: np.ndarray) -> bool:
+        k, n = len(self.lines), len(line)
+        lengths, has = self.lengths[:k], own.nonzero()[0]
+        least = np.minimum(lengths, n)
+        common = np.minimum(self.counts[has, :k], own[has, None]).sum(0, dtype=np.uint16)
+        if n > COUNTED or self.longest > COUNTED:
+            common = np.where(np.maximum(lengths, n) > COUNTED, least, common)
+        for i in (common == least).nonzero()[0]:
+            other = self.lines[i].text
+            if other in line or line in other:
+                return True
+        near = (common >= (lengths + n) * (ALIKE / 2 - 1e-9)).nonzero()[0]
         if not len(near):
             return False
-        common = np.minimum(self.counts[near], _bins(line)).sum(1, dtype=np.int64)
-        near = near[2 * common >= ALIKE * (self.lengths[near] + n)]
-        return any(_close(line, self.lines[k]) for k in near)
+        new, (mark, again) = Sequence(line), _marks(line)
+        for i in near:
+            held = self.marks[i] = self.marks[i] or _marks(self.lines[i].text)
+            shared, s = (mark & held[0]).bit_count() + min(again, held[1]), n + int(lengths[i])
+            if 2.0 * ((shared + 3 * s + 3) // 7) / s >= ALIKE and _close(new, self.lines[i]):
+                return True
+        return False
 
-    def add(self, line: str) -> None:
-        k, n = len(self.lines), len(line)
-        self.lines.append(line)
-        if k == len(self.lengths):
-            self.lengths, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.counts))
-        self.lengths[k], self.counts[k] = n, _bins(line)
-        grams = [line[i : i + GRAM] for i in range(n - GRAM + 1)]
-        keys = set(grams)
-        if n <= SHORT * ALIKE_MOST:
-            keys |= {f"{size}\n{line[i : i + size]}" for size in (1, 2) for i in range(n - size + 1)}
-        for g in keys:
-            self.having.setdefault(g, array("i")).append(k)
-        self.parts.update(line[i : i + size] for size in range(1, GRAM) for i in range(n - size + 1))
-        if grams:
-            at = min(range(len(grams)), key=lambda i: len(self.filed.get(grams[i], ())))
-            self.filed.setdefault(grams[at], []).append((k, at))
-        else:
-            self.small.add(line)
+
+def _codes(line: str) -> np.ndarray:
+    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _bins(line: str) -> np.ndarray:
-    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.minimum(np.bincount(code % BINS, minlength=BINS), np.iinfo(np.uint16).max).astype(np.uint16)
+    return np.minimum(np.bincount(_codes(line) % BINS, minlength=BINS), COUNTED).astype(np.uint16)
+
+
+def _marks(line: str) -> tuple[int, int]:
+    """A bit for each place that a substring of GRAM characters has, and how many substrings found theirs taken."""
+    code = _codes(line)
+    n = max(0, len(code) - GRAM + 1)
+    at = np.zeros(n, np.uint32)
+    for i, factor in enumerate(FACTORS):
+        at += code[i : i + n] * np.uint32(factor)
+    taken = np.zeros(1 << BITS, bool)
+    taken[at >> np.uint32(32 - BITS)] = True
+    mark = int.from_bytes(np.packbits(taken).tobytes(), "big")
+    return mark, n - mark.bit_count()
 
 
 def _distinct_lines(text: str | None) -> str:
@@ -162,17 +151,13 @@ def _distinct_lines(text: str | None) -> str:
         if not bare:
             if out and out[-1]:
                 out.append("")
-        elif not seen.known(bare):
-            seen.add(bare)
+        elif seen.add(bare):
             out.append(line.strip())
     return "\n".join(out).strip()
 
 
-def _close(a: str, b: str) -> bool:
-    if 2 * min(len(a), len(b)) < ALIKE * (len(a) + len(b)):
-        return False
-    matcher = SequenceMatcher(None, a, b)
-    return matcher.quick_ratio() >= ALIKE and matcher.ratio() >= ALIKE
+def _close(a: Sequence, b: Sequence) -> bool:
+    return ratio(a, b, ALIKE) is not None
 
 
 def image_coverage(boxes: str | Column, width: Column, height: Column) -> Column:

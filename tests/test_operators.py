@@ -191,6 +191,36 @@ def test_distinct_lines_against_all_pairs():
         assert layout._distinct_lines(text) == plain_distinct(text)
 
 
+def test_lines_too_long_to_count():
+    """Over 65535 characters, where counts of characters stop: equal, held, like and unlike lines."""
+    long = ["ab" * 40_000, "ab" * 40_000 + "c", "ba" * 39_000 + "xyz", "abab", "q" * 70_000, "q" * 69_000 + "r" * 1000, "zy" * 36_000, "r" * 900]
+    for text in ("\n".join(long), "\n".join(reversed(long)), "\n".join(x for x in long if len(x) > 1000)):
+        assert layout._distinct_lines(text) == plain_distinct(text)
+
+
+def test_a_page_of_long_lines_takes_ten_counts():
+    """800 lines of 300 characters of one vocabulary, in at most ten times what counting their characters in a loop takes."""
+    import random
+    import time
+
+    r = random.Random(2)
+    some = ["".join(r.choice("etaoinshrdlucmfwypvbgk") for _ in range(r.randrange(2, 5))) for _ in range(60)]
+    text = "\n".join(" ".join(r.choice(some) for _ in range(76)) for _ in range(800))
+    began, counts = time.perf_counter(), {}
+    for c in text:
+        counts[c] = counts.get(c, 0) + 1
+    plain, began = time.perf_counter() - began, time.perf_counter()
+    assert layout._distinct_lines(text) == text
+    assert time.perf_counter() - began < 10 * plain
+
+
+def test_pages_are_dealt_before_their_lines_are_compared(spark, sf):
+    from docloom.plans.queries import QUERIES
+
+    plan = QUERIES["deduped_lines"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan.split("ArrowEvalPython")[1]
+
+
 def test_new_lines_meet_few_old_ones(monkeypatch):
     """Of 3000 unlike lines hardly any two are compared."""
     import random
