@@ -13,6 +13,8 @@ from docloom.config import EMBED_INSTRUCTION
 from docloom.functions.text import query_for_embedding
 
 DIMENSIONS = 64
+#: Texts whose bigrams are counted in one step.
+TOGETHER = 256
 
 EmbedFn = Callable[[list[str]], np.ndarray]
 
@@ -20,10 +22,13 @@ EmbedFn = Callable[[list[str]], np.ndarray]
 def hashing_model(texts: list[str], size: int = DIMENSIONS) -> np.ndarray:
     """Counts of character bigrams by (31 * first + second) mod size, at unit length; zero for short texts."""
     out = np.zeros((len(texts), size))
-    for i, t in enumerate(texts):
-        code = np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-        if len(code) > 1:
-            out[i] = np.bincount((code[:-1] * 31 + code[1:]) % size, minlength=size)
+    for a in range(0, len(texts), TOGETHER):
+        some = texts[a : a + TOGETHER]
+        code = np.frombuffer("".join(some).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(len(some)), [len(t) for t in some])
+        within = row[:-1] == row[1:]
+        at = (row[:-1] * size + (code[:-1] * 31 + code[1:]) % size)[within]
+        out[a : a + len(some)] = np.bincount(at, minlength=len(some) * size).reshape(-1, size)
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return np.divide(out, norm, out=out, where=norm > 0)
 

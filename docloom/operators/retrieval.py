@@ -6,6 +6,7 @@ ranks come from windows per question, so that no step pairs all with all.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,7 +19,7 @@ from docloom.config import Config
 from docloom.functions import params
 from docloom.functions.scores import MARKS, dot, lexical_boost, squared_l2
 from docloom.functions.sequences import Sequence, ratio
-from docloom.functions.text import squeeze, ws_trim
+from docloom.functions.text import ws_trim
 
 TIES = ("distance", "chunk_index")
 
@@ -97,17 +98,53 @@ def sequence_boost(question: Column, text: Column) -> Column:
     return run(question, text)
 
 
+#: White space to Python and not to ``squeeze``.
+SEPARATORS = re.compile("[\x1c-\x1f]+")
+
+
+def _squeezed(s: str | None) -> str:
+    """As ``text.squeeze``."""
+    s = s or ""
+    parts = [s] if SEPARATORS.search(s) is None else re.split(f"({SEPARATORS.pattern})", s)
+    return "".join(p if SEPARATORS.fullmatch(p) else "".join(p.split()) for p in parts)
+
+
+def wording_boost(question: Column, text: Column) -> Column:
+    """``lexical_boost``, and ``sequence_boost`` where that leaves it open, in one pass over plain question and text."""
+
+    @F.pandas_udf(DoubleType())
+    def wording(questions: pd.Series, texts: pd.Series) -> pd.Series:
+        marks = re.compile(MARKS)
+        held: list = [None]
+
+        def one(question: str | None, text: str | None) -> float:
+            if held[0] != (question or ""):  # a question's texts come one after the other
+                q = _squeezed(question)
+                bare = marks.sub("", q)
+                held[:] = question or "", q, bare, [bare[i : i + 4] for i in range(len(bare) - 3)], Sequence(bare or q)
+            _, q, bare, four, asked = held
+            t = _squeezed(text)
+            if not q or not t:
+                return 0.0
+            if q in t:
+                return 0.55
+            if four and bare in t:
+                return 0.5
+            if four and sum(g in t for g in four) / len(four) >= 0.4:
+                return 0.35
+            r = ratio(asked, Sequence(t), 0.25)
+            return 0.0 if r is None else min(0.3, r * 0.5)
+
+        return pd.Series([one(q, t) for q, t in zip(questions, texts, strict=True)], dtype=float)
+
+    return wording(question, text)
+
+
 def with_boost(hits: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Adds lexical_boost; fuzzy: what the cheaper tests leave open is compared as sequences."""
-    hits = hits.withColumn("lexical_boost", lexical_boost("question", "text"))
     if fuzzy:
-        q = squeeze("question")
-        bare = F.regexp_replace(q, MARKS, "")
-        # only of rows that are open the texts go to Python; of the others nulls do
-        open_ = F.col("lexical_boost").isNull()
-        more = sequence_boost(F.when(open_, F.when(bare != "", bare).otherwise(q)), F.when(open_, squeeze("text")))
-        hits = hits.withColumn("__more", more).withColumn("lexical_boost", F.coalesce("lexical_boost", "__more")).drop("__more")
-    return hits.withColumn("lexical_boost", F.coalesce("lexical_boost", F.lit(0.0)))
+        return hits.withColumn("lexical_boost", wording_boost(F.col("question"), F.col("text")))
+    return hits.withColumn("lexical_boost", F.coalesce(lexical_boost("question", "text"), F.lit(0.0)))
 
 
 def lexical_only(questions: DataFrame, chunks: DataFrame, fuzzy: bool = False) -> DataFrame:
@@ -217,7 +254,7 @@ def rerank(hits: DataFrame, logit: Column, final_k: Column | int, pool: int = 8,
     return ranked.where(F.col("rank") <= F.greatest(k, F.lit(1))).drop("__logit", "__second", "__over", "__any", "__good")
 
 
-def search(questions: DataFrame, chunks: DataFrame, config: Config = Config(), space: str = "l2", fuzzy: bool = True, dedupe: bool = True, reranker=None, cut: str = "final_k") -> DataFrame:
+def search(questions: DataFrame, chunks: DataFrame, config: Config = Config(), space: str = "l2", fuzzy: bool = True, dedupe: bool = True, reranker=None, cut: str = "final_k", embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """The whole search: counts, parameters, neighbours, fusion, threshold, fallback, dedupe, rerank, top k.
 
     questions: query_id, doc_id, question, q_embedding (``embedding.question_embedding``). Blank
@@ -225,13 +262,16 @@ def search(questions: DataFrame, chunks: DataFrame, config: Config = Config(), s
     whose chunks have no vectors is answered by wording alone, from all of them. dedupe: hits
     alike count once, as ``dedupe_hits`` says.
 
-    cut: final_k, or fetch_k for the pool before the last cut.
+    cut: final_k, or fetch_k for the pool before the last cut. embed: makes the vectors of chunks
+    that have none, after they have met their question; for a question a document, since a second
+    one's chunks would be embedded again. A vector then is in no shuffle.
 
     Questions meet chunks once. All that follows is of a question and so of a document: its
     windows find the join's partitioning, and nothing is read, embedded or shuffled twice.
     """
     by = Window.partitionBy("doc_id", "query_id")
     joined = questions.where(ws_trim("question") != "").join(chunks, "doc_id")
+    joined = joined if embed is None else joined.withColumn("embedding", embed(F.col("text")))
     hits = joined.withColumn("distance", distance(F.col("q_embedding"), F.col("embedding"), space)).drop("embedding", "q_embedding")
     known = F.col("distance").isNotNull()
     hits = hits.withColumn("doc_chunks", F.count("*").over(by).cast("int")).withColumn("__known", F.max(known).over(by))

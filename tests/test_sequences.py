@@ -61,3 +61,35 @@ def test_hits_alike_in_a_third_of_difflibs_time():
     plain, began = time.perf_counter() - began, time.perf_counter()
     assert retrieval._unlike(texts, 0.72) == want and len(want) < 53
     assert 3 * (time.perf_counter() - began) < plain
+
+
+def test_wording_in_one_pass_is_that_of_columns(spark):
+    """Wording by columns, then sequences where that is open, against both in one pass; nulls, marks alone and odd blanks too."""
+    from pyspark.sql import functions as F
+
+    from docloom.functions.scores import MARKS, lexical_boost
+    from docloom.functions.text import squeeze
+
+    r = random.Random(11)
+    rows = [(None, "a"), ("a", None), ("", "a"), ("？！", "价格？！多少"), ("a\x1cb c", "xa\x1cbc d"), ("ab\x1d", "ab"), ("价格：多少", "说价格多少吗"), ("abc?", "xabcx")]
+    for _ in range(400):
+        alphabet = r.choice([*ALPHABETS, "ab 　\x1f ?。,", "价格多少？ a\n"])
+        q = "".join(r.choice(alphabet) for _ in range(r.choice((1, 3, 5, 30, 200))))
+        rows.append((q, changed(r, q, alphabet) + q[: r.randrange(9)]) if r.random() < 0.7 else (q, "".join(r.choice(alphabet) for _ in range(r.choice(LENGTHS)))))
+    df = spark.createDataFrame(rows, "question string, text string").coalesce(1)
+    q = squeeze("question")
+    bare = F.regexp_replace(q, MARKS, "")
+    apart = F.coalesce(lexical_boost("question", "text"), retrieval.sequence_boost(F.when(bare != "", bare).otherwise(q), squeeze("text")), F.lit(0.0))
+    both = df.select("question", "text", apart.alias("want"), retrieval.wording_boost(F.col("question"), F.col("text")).alias("got")).collect()
+    assert [x for x in both if x.want != x.got] == []
+    assert len({x.got for x in both} & {0.0, 0.55, 0.5, 0.35}) == 4
+
+
+def test_stand_in_model_counts_texts_apart():
+    """In steps over many texts, as for each text alone."""
+    from docloom.operators.embedding import TOGETHER, hashing_model
+
+    r = random.Random(5)
+    texts = ["", "a", "ab", "\ud800x", "é語𝄞"] + ["".join(r.choice("abc語é𝄞 ") for _ in range(r.randrange(40))) for _ in range(2 * TOGETHER)]
+    assert (hashing_model(texts) == [hashing_model([t])[0] for t in texts]).all()
+    assert hashing_model([]).shape == (0, 64)
